@@ -56,6 +56,7 @@ class Words:
     data: np.ndarray  # lower-cased bytes
     prefix: np.ndarray  # running sums for hash_range
     counts: np.ndarray  # words per row
+    offsets: np.ndarray  # byte offsets of the rows in data
 
     def hash_range(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         _, inv = _powers(len(self.data) + 1)
@@ -103,7 +104,7 @@ def words(data: np.ndarray, offsets: np.ndarray, first: int = 0) -> Words:
     with np.errstate(over="ignore"):
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
     row = np.searchsorted(offsets, start, side="right") - 1
-    return Words(first, rows, row, start, end, data, prefix, np.bincount(row, minlength=rows))
+    return Words(first, rows, row, start, end, data, prefix, np.bincount(row, minlength=rows), offsets)
 
 
 def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
