@@ -91,7 +91,7 @@ def identifiers(text: Column, known: dict[str, str]) -> Column:
 
 
 def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
-    """(doc_id, licenses, rules, first_sentence, n_known) per row of ``docs``; arrays are in order of place.
+    """(doc_id, licenses, rules, first_sentence (-1: none), n_known) per row of ``docs``; arrays are in order of place.
 
     Identifiers are joined to one string, each between bars, and the rules are one alternation over it: an ordered choice at
     each place, leftmost first, which is what applying the rules in order means.
@@ -106,7 +106,7 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list[tuple[s
     none = F.array().cast("array<string>")
     return found.select(
         "doc_id", F.coalesce(F.regexp_extract_all(joined, F.lit(f"({choice})"), F.lit(1)), none).alias("rules"), F.coalesce(F.size("ids"), F.lit(0)).alias("n"),
-        F.get("ids", F.lit(0))["at"].alias("first_sentence"),
+        F.coalesce(F.get("ids", F.lit(0))["at"], F.lit(-1)).alias("first_sentence"),
     ).select(
         "doc_id", F.transform("rules", lambda r: licence[r]).alias("licenses"), "rules", F.col("first_sentence").cast("long").alias("first_sentence"),
         F.greatest("n", F.lit(0)).cast("long").alias("n_known"),
@@ -128,7 +128,7 @@ hits AS (SELECT row, string_agg('<' || id || '>', '' ORDER BY place) AS ids, min
 names(rule, licence) AS (VALUES {names}),
 matched AS (SELECT row, unnest(regexp_extract_all(ids, '{choice}')) AS rule, generate_subscripts(regexp_extract_all(ids, '{choice}'), 1) AS n FROM hits),
 named AS (SELECT row, string_agg(licence, ';' ORDER BY n) AS licenses, string_agg(rule, ';' ORDER BY n) AS rules FROM matched JOIN names USING (rule) GROUP BY row)
-SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(rules, '') AS rules, first_sentence::BIGINT AS first_sentence, coalesce(n_known, 0)::BIGINT AS n_known
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(rules, '') AS rules, coalesce(first_sentence, -1)::BIGINT AS first_sentence, coalesce(n_known, 0)::BIGINT AS n_known
 FROM rows LEFT JOIN hits USING (row) LEFT JOIN named USING (row)
 """
 
