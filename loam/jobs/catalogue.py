@@ -1,6 +1,554 @@
-"""The registered queries of the retrieval operators and their SQL."""
+"""The registered queries of the retrieval operators, each with its SQL.
+
+Derived rows: a document is a file ``<source>/<doc_id>`` of the collection ``<source>`` with the tags (lang, source); its chunk is the
+document, its vector that of the same number in ``embeddings``. Query vectors are rows of that table and never candidates themselves.
+Scores are rounded after ranking.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loam.functions import hashing as hx
+from loam.functions import text as tx
+from loam.functions import vectors as vx
+from loam.jobs import embedder
+from loam.operators import diversify, incremental, lexical, scopes, search
+from loam.sources import markdown
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+QUERY_ROW = 17
+SPLITTER = markdown.Splitter()
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files_of(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"rel_path": F.concat_ws("/", "source", "doc_id"), "tags": tx.normalize_tags(F.array("lang", "source"))})
+
+
+def chunks_of(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    docs = files_of(table(spark, sf_dir, "documents")).select(
+        F.col("source").alias("collection_id"), "doc_id", "rel_path", "tags", F.col("doc_id").cast("string").alias("chunk_id"), F.lit(0).alias("chunk_index"), *more
+    )
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+    return docs.join(e, "doc_id")
+
+
+def vector_of(spark: SparkSession, sf_dir: str, row: int = QUERY_ROW) -> list[float]:
+    """The vector a query is asked with: one row."""
+    return list(table(spark, sf_dir, "embeddings").where(F.col("vec_id") == row).select(F.col("embedding").cast("array<double>")).first()[0])
+
+
+def hits_of(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    chunks = chunks_of(spark, sf_dir, *more).where(F.col("doc_id") != QUERY_ROW)
+    return search.scored(chunks, vector_of(spark, sf_dir))
+
+
+def shown(df: DataFrame, *columns: str) -> DataFrame:
+    rounded = {"score", "content_score", "tag_score", "bm25_score", "bm25_norm", "semantic_norm", "pre_rerank_score", "mmr_relevance", "top_score"}
+    return df.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in columns])
+
+
+HITS = f"""
+q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = {QUERY_ROW}),
+c AS (SELECT d.source AS collection_id, d.doc_id, d.source || '/' || d.doc_id AS rel_path, list_sort(list_distinct([lower(d.lang), lower(d.source)])) AS tags,
+        d.doc_id::VARCHAR AS chunk_id, 0 AS chunk_index, d.text, e.embedding::DOUBLE[] AS vector, e.label
+      FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+hits AS (SELECT c.*, list_cosine_similarity(vector, qv) AS score FROM c, q WHERE doc_id <> {QUERY_ROW})
+"""
+BY = "score DESC, rel_path, chunk_index, chunk_id"
+
+
+# Scoring and ranking
+
+
+@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {QUERY_ROW})), 6) AS score FROM embeddings")
+def cosine_similarity(spark, sf_dir):
+    q = vx.literal(vector_of(spark, sf_dir))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vx.cosine(F.col("embedding"), q), 6).alias("score"))
+
+
+@query(f"WITH {HITS} SELECT rank, rel_path, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY {BY})::INT AS rank FROM hits) WHERE rank <= 10")
+def vector_topk(spark, sf_dir):
+    return shown(search.top(hits_of(spark, sf_dir), 10), "rank", "rel_path", "score")
+
+
+@query("""
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS score FROM q, embeddings WHERE query_id <> vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10
+""")
+def vector_topk_batch(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "vector")
+    return search.batch_topk(e, asked, 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {HITS} SELECT collection_id, rank, rel_path, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY {BY})::INT AS rank FROM hits) WHERE rank <= 5")
+def topk_per_collection(spark, sf_dir):
+    return shown(search.top(hits_of(spark, sf_dir), 5, "collection_id"), "collection_id", "rank", "rel_path", "score")
+
+
+@query(f"""WITH {HITS}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY {BY}) AS n FROM hits WHERE collection_id IN ('src1', 'src2', 'src3')) WHERE n <= 20)
+SELECT rank, collection_id, rel_path, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY {BY})::INT AS rank FROM kept) WHERE rank <= 30""")
+def multi_scope_merge(spark, sf_dir):
+    hits = hits_of(spark, sf_dir).where(F.col("collection_id").isin("src1", "src2", "src3"))
+    return shown(search.top(search.top(hits, 20, "collection_id").drop("rank"), 30), "rank", "collection_id", "rel_path", "score")
+
+
+@query(f"WITH {HITS} SELECT row_number() OVER (ORDER BY {BY})::INT AS rank, rel_path, round(score, 6) AS score FROM hits WHERE score >= 0.2")
+def rank_results(spark, sf_dir):
+    return shown(search.ranked(hits_of(spark, sf_dir).where("score >= 0.2")), "rank", "rel_path", "score")
+
+
+@query(f"WITH {HITS} SELECT rel_path, round(score, 6) AS score FROM hits WHERE score >= 0.25")
+def filter_min_score(spark, sf_dir):
+    return shown(hits_of(spark, sf_dir).where("score >= 0.25"), "rel_path", "score")
+
+
+@query(f"""WITH {HITS}, t AS (SELECT *, row_number() OVER (ORDER BY {BY}) AS n, first_value(score) OVER (ORDER BY {BY}) AS best FROM hits)
+SELECT rel_path, round(score, 6) AS score FROM t WHERE n = 1 OR (score >= 0.85 * best AND best - score <= 0.1)""")
+def dynamic_threshold(spark, sf_dir):
+    return shown(search.threshold(hits_of(spark, sf_dir), 0.85, 0.1), "rel_path", "score")
+
+
+@query(f"""WITH {HITS}, f AS (SELECT * REPLACE ('file-' || label AS rel_path) FROM hits)
+SELECT rel_path, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY {BY}) AS n FROM f) WHERE n = 1""")
+def dedup_by_file(spark, sf_dir):
+    hits = hits_of(spark, sf_dir).withColumn("rel_path", F.concat(F.lit("file-"), F.col("label")))
+    return shown(search.unique(hits), "rel_path", "chunk_id", "score")
+
+
+@query(f"""WITH {HITS} SELECT rel_path, round(score, 6) AS score, round(score, 6) AS content_score, round(score, 6) AS pre_rerank_score FROM hits""")
+def explain_scores(spark, sf_dir):
+    hits = hits_of(spark, sf_dir).withColumn("pre_rerank_score", F.coalesce(F.lit(None).cast("double"), F.col("score")))
+    return shown(hits.withColumn("content_score", F.coalesce("content_score", "score")), "rel_path", "score", "content_score", "pre_rerank_score")
+
+
+@query(f"WITH {HITS} SELECT rel_path, CASE WHEN 2 * score >= 0.5 THEN 'high' WHEN 2 * score >= 0.35 THEN 'medium' ELSE 'low' END AS band FROM hits")
+def score_band(spark, sf_dir):
+    return hits_of(spark, sf_dir).select("rel_path", tx.score_band(2 * F.col("score")).alias("band"))
+
+
+CENTROIDS = """
+parts AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
+pooled AS (SELECT label, list(x ORDER BY i) AS v FROM parts GROUP BY label),
+centroids AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS tag_vector FROM pooled)
+"""
+
+
+def centroids_of(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("vector"))
+    return embedder.mean_pooled(e, "label").withColumnRenamed("vector", "tag_vector")
+
+
+@query(f"""WITH {HITS}, {CENTROIDS},
+s AS (SELECT hits.* EXCLUDE (score), score AS content_score, list_cosine_similarity(tag_vector, (SELECT tag_vector FROM centroids WHERE label = (SELECT label FROM embeddings WHERE vec_id = {QUERY_ROW}))) AS tag_score
+      FROM hits JOIN centroids USING (label)),
+f AS (SELECT *, (1 - 0.3::DOUBLE) * content_score + 0.3::DOUBLE * tag_score AS score FROM s)
+SELECT rank, rel_path, round(score, 6) AS score, round(content_score, 6) AS content_score, round(tag_score, 6) AS tag_score FROM (SELECT *, row_number() OVER (ORDER BY {BY})::INT AS rank FROM f) WHERE rank <= 20""")
+def tag_fusion_search(spark, sf_dir):
+    centroids = centroids_of(spark, sf_dir)
+    own = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == QUERY_ROW).select("label").join(centroids, "label").first()
+    chunks = chunks_of(spark, sf_dir).where(F.col("doc_id") != QUERY_ROW).join(centroids, "label")
+    return shown(search.top(search.scored(chunks, vector_of(spark, sf_dir), own["tag_vector"], 0.3), 20), "rank", "rel_path", "score", "content_score", "tag_score")
+
+
+@query("SELECT conv_id, turn, length(trim(text)) >= 4 AS fuse FROM conversations")
+def tag_fusion_gate(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length(F.trim("text")) >= 4).alias("fuse"))
+
+
+@query(f"WITH {CENTROIDS} SELECT label, generate_subscripts(tag_vector, 1)::INT - 1 AS pos, round(unnest(tag_vector), 6) AS x FROM centroids")
+def mean_pool_normalized(spark, sf_dir):
+    return centroids_of(spark, sf_dir).select("label", F.posexplode("tag_vector").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("""WITH v AS (SELECT vec_id, (embedding::DOUBLE[])[1:8] AS v FROM embeddings)
+SELECT vec_id, generate_subscripts(v, 1)::INT - 1 AS pos, round(unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))), 6) AS x FROM v""")
+def l2_normalize(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", vx.l2_normalize(F.col("embedding"), 8).alias("v"))
+    return e.select("vec_id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+# Whole retrievals
+
+PIPE = f"""{HITS},
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY {BY}) AS n FROM hits) WHERE n <= 50),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {BY}) AS m, first_value(score) OVER (ORDER BY {BY}) AS best FROM w) WHERE m = 1 OR (score >= 0.6::DOUBLE * best AND best - score <= 0.2::DOUBLE)),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY {BY}) AS k FROM t) WHERE k = 1)
+"""
+PIPE_OPTIONS = search.Options(limit=10, alpha=0.6, delta=0.2)
+
+
+@query(f"WITH {PIPE} SELECT rank, rel_path, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY {BY})::INT AS rank FROM u) WHERE rank <= 10")
+def query_pipeline(spark, sf_dir):
+    chunks = chunks_of(spark, sf_dir).where(F.col("doc_id") != QUERY_ROW)
+    return shown(search.retrieve(chunks, vector_of(spark, sf_dir), PIPE_OPTIONS)[0], "rank", "rel_path", "score")
+
+
+@query(f"""WITH {PIPE} SELECT (SELECT count(DISTINCT collection_id) FROM w) AS scopes, (SELECT round(max(score), 6) FROM w) AS top_score, (SELECT count(*) FROM w) AS retrieved,
+(SELECT count(*) FROM t) AS after_threshold, (SELECT count(*) FROM u) AS after_unique, (SELECT least(count(*), 10) FROM u) AS final""")
+def explain_counts(spark, sf_dir):
+    chunks = chunks_of(spark, sf_dir).where(F.col("doc_id") != QUERY_ROW)
+    stages = search.retrieve(chunks, vector_of(spark, sf_dir), PIPE_OPTIONS)[1]
+    return shown(search.explain(stages), "scopes", "top_score", *stages)
+
+
+TOKENS = "regexp_extract_all(lower({}), '[\\x{{4E00}}-\\x{{9FFF}}\\x{{3400}}-\\x{{4DBF}}]|[\\p{{L}}\\p{{Nd}}_]+')"
+BENCH = 0
+
+
+@query(f"""WITH {HITS}, k AS (SELECT * FROM hits ORDER BY {BY} LIMIT 50),
+qt AS (SELECT DISTINCT unnest({TOKENS.format('text')}) AS token FROM benchmark WHERE item_id = {BENCH}),
+dt AS (SELECT doc_id, {TOKENS.format("rel_path || ' ' || '' || ' ' || array_to_string(tags, ' ') || ' ' || text")} AS toks FROM k),
+st AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avgdl FROM dt),
+tf AS (SELECT doc_id, token, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(toks) AS token FROM dt) JOIN qt USING (token) GROUP BY ALL),
+df AS (SELECT token, count(*)::DOUBLE AS df FROM tf GROUP BY token),
+b AS (SELECT dt.doc_id, coalesce(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl))), 0) AS bm25_score FROM dt CROSS JOIN st LEFT JOIN tf USING (doc_id) LEFT JOIN df USING (token) GROUP BY dt.doc_id),
+z AS (SELECT k.* EXCLUDE (score), k.score AS pre_rerank_score, bm25_score, bm25_score / max(bm25_score) OVER () AS bm25_norm, greatest(k.score, 0) / max(greatest(k.score, 0)) OVER () AS semantic_norm FROM k JOIN b USING (doc_id)),
+y AS (SELECT *, 0.7 * semantic_norm + 0.3 * bm25_norm AS score FROM z)
+SELECT row_number() OVER (ORDER BY {BY})::INT AS rank, rel_path, round(score, 6) AS score, round(bm25_score, 6) AS bm25_score, round(bm25_norm, 6) AS bm25_norm, round(semantic_norm, 6) AS semantic_norm, round(pre_rerank_score, 6) AS pre_rerank_score FROM y""")
+def bm25_rerank(spark, sf_dir):
+    text = table(spark, sf_dir, "benchmark").where(F.col("item_id") == BENCH).select("text").first()[0]
+    kept = search.top(hits_of(spark, sf_dir), 50).drop("rank").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    return shown(search.ranked(lexical.rerank(kept, text)), "rank", "rel_path", "score", "bm25_score", "bm25_norm", "semantic_norm", "pre_rerank_score")
+
+
+@query(f"WITH {HITS} SELECT rel_path, round(greatest(score, 0) / max(greatest(score, 0)) OVER (PARTITION BY collection_id), 6) AS score FROM hits")
+def score_max_normalize(spark, sf_dir):
+    hits = hits_of(spark, sf_dir).withColumn("score", F.greatest("score", F.lit(0.0)))
+    return hits.select("rel_path", F.round(lexical.max_normalized("score", "collection_id"), 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {HITS}, k AS (SELECT *, row_number() OVER (ORDER BY {BY}) AS n FROM (SELECT * FROM hits ORDER BY {BY} LIMIT 50)),
+m AS (
+  SELECT 1 AS step, [(SELECT n FROM k ORDER BY score DESC, n LIMIT 1)] AS sel
+  UNION ALL
+  SELECT step + 1, list_append(sel, (SELECT k.n FROM k WHERE NOT list_contains(m.sel, k.n) ORDER BY 0.5::DOUBLE * k.score - 0.5::DOUBLE * greatest(0, (SELECT max(list_cosine_similarity(k.vector, s.vector)) FROM k s WHERE list_contains(m.sel, s.n))) DESC, k.n LIMIT 1))
+  FROM m WHERE step < 10
+), picked AS (SELECT unnest(sel) AS n, generate_subscripts(sel, 1) AS rank FROM m WHERE step = 10)
+SELECT rank::INT AS rank, rel_path, round(score, 6) AS score, round(score, 6) AS mmr_relevance FROM picked JOIN k USING (n)""")
+def mmr_select(spark, sf_dir):
+    kept = search.top(hits_of(spark, sf_dir), 50).drop("rank", "tag_score")
+    return shown(diversify.mmr(kept, vector_of(spark, sf_dir), 10, 0.5), "rank", "rel_path", "score", "mmr_relevance")
+
+
+# Filters, tags and text
+
+
+@query("SELECT doc_id, source || '/' || doc_id AS rel_path FROM documents WHERE list_has_all([lower(lang), lower(source)], ['en', 'src3'])")
+def filter_tags_and(spark, sf_dir):
+    return search.filtered(files_of(table(spark, sf_dir, "documents")), [" SRC3", "en"]).select("doc_id", "rel_path")
+
+
+@query("SELECT doc_id, source || '/' || doc_id AS rel_path FROM documents WHERE source || '/' || doc_id = 'src1' OR starts_with(source || '/' || doc_id, 'src1/')")
+def filter_path_prefix(spark, sf_dir):
+    return search.filtered(files_of(table(spark, sf_dir, "documents")), prefix="src1").select("doc_id", "rel_path")
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([lower(trim('  ' || lang || ' ')), lower(source), lower(upper(source)), ''], lambda t: t <> ''))), ',') AS tags FROM documents")
+def normalize_tags(spark, sf_dir):
+    raw = F.array(F.concat(F.lit("  "), F.col("lang"), F.lit(" ")), F.col("source"), F.upper("source"), F.lit("  "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.normalize_tags(raw), ",").alias("tags"))
+
+
+@query("""SELECT event_id, array_to_string(list_filter([lower(event_type), CASE WHEN length(user_id::VARCHAR || 'u') BETWEEN 2 AND 32 THEN user_id || 'u' END], lambda t: t IS NOT NULL), ',') AS tags FROM events""")
+def normalize_semantic_tags(spark, sf_dir):
+    raw = F.array(F.upper("event_type"), F.concat(F.lit(" "), "event_type"), F.col("user_id").cast("string"), F.concat("user_id", F.lit("U")), F.lit("!!!"), F.lit("x"), F.lit("see http://a"), F.lit("a\tb"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(tx.normalize_semantic_tags(raw), ",").alias("tags"))
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)")
+def tokenize_bm25(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens"))
+
+
+@query(f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY token")
+def bm25_document_frequency(spark, sf_dir):
+    return lexical.document_frequency(table(spark, sf_dir, "documents"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(t) > 120 THEN left(t, 119) || '…' ELSE t END AS preview, CASE WHEN length(t) > 72 THEN left(t, 71) || '…' ELSE t END AS short_preview
+FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)""")
+def preview_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.preview(F.col("text")).alias("preview"), tx.preview(F.col("text"), 72).alias("short_preview"))
+
+
+@query("""SELECT page_id, CASE WHEN x <> '' THEN '/' || x ELSE '/' END AS path FROM (SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+:/*', ''), '/'), lambda p: p <> '' AND p <> '.'), '/') AS x FROM pages)""")
+def normalize_path(spark, sf_dir):
+    dirty = F.concat(F.lit(" /./tmp/.."), F.lit("//"), F.regexp_replace("url", "^[a-z]+:/*", ""), F.lit("/./ "))
+    return table(spark, sf_dir, "pages").select("page_id", tx.normalize_path(dirty).alias("path"))
+
+
+# Identities and chunks
+
+RECIPE = hx.Recipe("markdown", "v1", "offline", "keyword", 3, splitter_options={"short_file_max_chars": 4000})
+
+
+@query(f"""WITH c AS (SELECT doc_id, source || '/' || doc_id AS rel_path, source AS title, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content FROM documents),
+f AS (SELECT *, sha256(title || chr(31) || 'part' || chr(30) || content) AS section_fingerprint FROM c)
+SELECT doc_id, section_fingerprint, sha256(rel_path || '|{SPLITTER.recipe_hash()}|0|' || section_fingerprint) AS chunk_id, substr(sha256(rel_path), 1, 32) AS collection_id FROM f""")
+def chunk_ids(spark, sf_dir):
+    f = files_of(table(spark, sf_dir, "documents")).withColumn("section_fingerprint", hx.fingerprint(F.array(F.col("source"), F.lit("part")), F.col("text")))
+    return f.select(
+        "doc_id", "section_fingerprint", hx.chunk_id(F.col("rel_path"), F.lit(SPLITTER.recipe_hash()), F.lit(0), F.col("section_fingerprint")).alias("chunk_id"),
+        hx.collection_id(F.col("rel_path")).alias("collection_id"),
+    )
+
+
+@query("SELECT doc_id, sha256('type=markdown|options={lang=' || lang || ',source=' || source || '}') AS recipe FROM documents")
+def recipe_hash(spark, sf_dir):
+    options = tx.canonical_map(F.create_map(F.lit("source"), "source", F.lit("lang"), "lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat(F.lit("type=markdown|options="), options), 256).alias("recipe"))
+
+
+@query("""SELECT doc_id, source || '/' || doc_id AS rel_path, sha256(text) AS file_hash, doc_id || '.md' AS file_name, coalesce(nullif(trim(lang), ''), source) AS title,
+array_to_string(list_sort(list_distinct([lower(lang), lower(source)])), ',') AS tags FROM documents""")
+def document_metadata(spark, sf_dir):
+    return files_of(table(spark, sf_dir, "documents")).select(
+        "doc_id", "rel_path", hx.file_hash(F.col("text")).alias("file_hash"), F.concat("doc_id", F.lit(".md")).alias("file_name"),
+        F.coalesce(F.nullif(tx.strip(F.col("lang")), F.lit("")), "source").alias("title"), F.array_join("tags", ",").alias("tags"),
+    )
+
+
+BODY = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, sha256(source || ' > ' || lang || chr(10) || chr(10) || {BODY}) AS content FROM documents")
+def chunk_assemble(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.titled(F.array(F.col("source"), F.lit(" "), F.col("lang")), F.col("text")), 256).alias("content"))
+
+
+@query(f"SELECT doc_id, length(source || chr(10) || chr(10) || {BODY}) <= 4000 AS short FROM documents")
+def short_file_chunk(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", (F.length(tx.titled(F.array("source"), F.col("text"))) <= SPLITTER.short_file).alias("short"))
+
+
+@query()
+def split_long_text(spark, sf_dir):
+    """Overlapping windows of every text; tested against a plain loop."""
+    return markdown.text_windows(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "part", F.length("content").alias("size"), F.sha2("content", 256).alias("content"))
+
+
+def fenced() -> Column:
+    """A document under front matter."""
+    return F.concat(F.lit("---\ntitle: "), F.col("source"), F.lit("\ntags: ["), F.col("lang"), F.lit(", Any]\n---\n\n"), F.col("text"))
+
+
+@query("SELECT doc_id, 'title: ' || source || chr(10) || 'tags: [' || lang || ', Any]' AS front, sha256(regexp_replace(text, '^[\\r\\n]+', '')) AS body FROM documents")
+def front_matter_extract(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", fenced().alias("t"))
+    body = F.regexp_replace(F.regexp_replace("t", tx.FRONT_MATTER, ""), r"^[\r\n]+", "")
+    return d.select("doc_id", F.regexp_extract("t", tx.FRONT_MATTER, 1).alias("front"), F.sha2(body, 256).alias("body"))
+
+
+@query()
+def markdown_chunks(spark, sf_dir):
+    """Chunks of every document under front matter and headings; tested on fixtures."""
+    d = files_of(table(spark, sf_dir, "documents"))
+    headed = F.concat(fenced(), F.lit("\n\n## Part\n\n"), F.col("text"), F.lit("\n\n### Note\n\n- one\n- two\n"))
+    return markdown.chunks(d.select("rel_path", headed.alias("content"))).select(
+        "rel_path", "chunk_index", F.array_join("title_path", " > ").alias("titles"), F.array_join("tags", ",").alias("tags"), F.length("content").alias("size"), "chunk_id"
+    )
+
+
+# Incremental scans
+
+
+def prior_states(docs: DataFrame) -> DataFrame:
+    """An earlier scan: every seventh file unknown, every fifth changed since, every third made with another recipe, and files since gone."""
+    d = files_of(docs)
+    known = d.where("doc_id % 7 <> 0").select(
+        "rel_path", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("file_hash"),
+        F.when(F.col("doc_id") % 3 == 0, "old").otherwise(RECIPE.hash()).alias("recipe_hash"),
+    )
+    gone = d.where("doc_id % 11 = 0").select(F.concat("rel_path", F.lit(".gone")).alias("rel_path"), F.lit("").alias("file_hash"), F.lit("old").alias("recipe_hash"))
+    return known.union(gone)
+
+
+@query("""SELECT source || '/' || doc_id AS rel_path, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'update' ELSE 'skip' END AS action,
+array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'missing_state' END, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'file_hash_changed' END, CASE WHEN doc_id % 7 = 0 OR doc_id % 3 = 0 THEN 'recipe_changed' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents""")
+def incremental_plan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    files = files_of(docs).select("rel_path", F.sha2("text", 256).alias("file_hash"))
+    return incremental.plan(files, prior_states(docs), RECIPE.hash()).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("SELECT source || '/' || doc_id || '.gone' AS rel_path FROM documents WHERE doc_id % 11 = 0")
+def reconcile_deleted(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return incremental.deleted(prior_states(docs), files_of(docs)).select("rel_path")
+
+
+@query("""SELECT source AS collection_id, array_to_string(list_filter([CASE WHEN max(doc_id) % 2 = 0 THEN 'model_changed' END, CASE WHEN count(*) % 2 = 0 THEN 'vector_dim_changed' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM documents GROUP BY source HAVING max(doc_id) % 2 = 0 OR count(*) % 2 = 0""")
+def config_rebuild(spark, sf_dir):
+    per = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("collection_id")).agg(F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    same = {"provider": F.lit("p"), "splitter": F.lit("s"), "db_version": F.lit("v2")}
+    stored = per.select("collection_id", F.lit("m").alias("model"), F.lit(3).alias("vector_dim"), *[c.alias(k) for k, c in same.items()])
+    now = per.select("collection_id", F.when(F.col("last") % 2 == 0, "n").otherwise("m").alias("model"), F.when(F.col("n") % 2 == 0, 4).otherwise(3).alias("vector_dim"), *[c.alias(k) for k, c in same.items()])
+    return incremental.rebuild_reasons(stored, now).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def upsert_chunks(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
+    return incremental.upsert(ids.where("chunk_id % 2 = 0").withColumn("version", F.lit("old")), ids.where("chunk_id % 3 = 0").withColumn("version", F.lit("new")))
+
+
+@query("SELECT doc_id, source FROM documents WHERE source <> 'src3'")
+def delete_by_source(spark, sf_dir):
+    return incremental.without_source(table(spark, sf_dir, "documents").select("doc_id", "source"), "src3")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE source = 'src3'")
+def find_by_source(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.col("source") == "src3").select("doc_id", "lang")
+
+
+@query("SELECT doc_id AS chunk_id, label, e.vec_id IS NULL AS missing FROM documents LEFT JOIN embeddings e ON doc_id = vec_id")
+def embed_join(spark, sf_dir):
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
+    have, lack = incremental.embedded(chunks, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label"))
+    return have.withColumn("missing", F.lit(False)).unionByName(lack.withColumns({"label": F.lit(None).cast("int"), "missing": F.lit(True)})).withColumn("label", F.coalesce("label", F.lit(-1)))
+
+
+ORACLES["embed_join"] = "SELECT doc_id AS chunk_id, coalesce(label, -1)::INT AS label, e.vec_id IS NULL AS missing FROM documents LEFT JOIN embeddings e ON doc_id = vec_id"
+
+
+# The registry of collections
+
+REGISTRY_SQL = """
+paths AS (SELECT page_id, '/' || regexp_replace(url, '^[a-z]+:/*', '') AS path FROM pages),
+registry AS (SELECT DISTINCT root FROM (SELECT '/' || regexp_extract(path, '^/([^/]+)', 1) AS root FROM paths WHERE page_id % 2 = 0
+  UNION ALL SELECT regexp_extract(path, '^(/[^/]+/[^/]+)', 1) FROM paths WHERE page_id % 3 = 0) WHERE root <> '' AND root <> '/')
+"""
+
+
+def paths_of(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/"), F.regexp_replace("url", "^[a-z]+:/*", "")).alias("path"))
+
+
+def registry_of(spark, sf_dir) -> DataFrame:
+    p = paths_of(spark, sf_dir)
+    hosts = p.where("page_id % 2 = 0").select(F.concat(F.lit("/"), F.regexp_extract("path", "^/([^/]+)", 1)).alias("root"))
+    parts = p.where("page_id % 3 = 0").select(F.regexp_extract("path", "^(/[^/]+/[^/]+)", 1).alias("root"))
+    return hosts.union(parts).where("root <> '' and root <> '/'").distinct()
+
+
+@query(f"""WITH {REGISTRY_SQL}, m AS (SELECT path, root, row_number() OVER (PARTITION BY path ORDER BY length(root) DESC) AS n FROM (SELECT DISTINCT path FROM paths) JOIN registry ON path = root OR starts_with(path, root || '/'))
+SELECT path, root, CASE WHEN path = root THEN '' ELSE substr(path, length(root) + 2) END AS rest FROM m WHERE n = 1""")
+def scope_resolve_longest_prefix(spark, sf_dir):
+    return scopes.longest_prefix(paths_of(spark, sf_dir), registry_of(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT DISTINCT lang AS path FROM documents), r AS (SELECT DISTINCT lang || '/' || source AS root FROM documents)
+SELECT path, root FROM p JOIN r ON starts_with(root, path || '/')""")
+def scope_descendants(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return scopes.descendants(d.select(F.col("lang").alias("path")).distinct(), d.select(F.concat_ws("/", "lang", "source").alias("root")).distinct())
+
+
+@query("""WITH r AS (SELECT DISTINCT substr(sha256(source), 1, 32) AS collection_id FROM documents)
+SELECT collection_id, false AS exact, count(*) OVER () AS matches FROM r WHERE starts_with(collection_id, substr(sha256('src3'), 1, 4))""")
+def collection_id_prefix(spark, sf_dir):
+    import hashlib
+
+    r = table(spark, sf_dir, "documents").select("source").distinct().select(hx.collection_id(F.col("source")).alias("collection_id"))
+    return scopes.by_id_prefix(r, hashlib.sha256(b"src3").hexdigest()[:4])
+
+
+@query("""WITH r AS (SELECT source, CASE WHEN count(*) % 2 = 0 THEN '/var/folders/' ELSE '/home/' END || source AS root, max(doc_id) % 3 <> 0 AS readable FROM documents GROUP BY source)
+SELECT substr(sha256(root), 1, 32) AS collection_id, root, CASE WHEN starts_with(root, '/var/folders/') THEN 'temporary' ELSE 'unreadable' END AS reason FROM r WHERE starts_with(root, '/var/folders/') OR NOT readable""")
+def collection_prune_candidates(spark, sf_dir):
+    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    r = per.select(F.concat(F.when(F.col("n") % 2 == 0, "/var/folders/").otherwise("/home/"), "source").alias("root"), (F.col("last") % 3 != 0).alias("readable"))
+    return scopes.prunable(r.withColumn("collection_id", hx.collection_id(F.col("root"))))
+
+
+@query("""WITH r AS (SELECT DISTINCT source AS root FROM documents), s AS (SELECT source, count(*) AS files, sum(n_chars)::BIGINT AS chunks FROM documents WHERE source <> 'src3' GROUP BY source)
+SELECT substr(sha256(root), 1, 12) AS short_id, root, coalesce(files, 0) AS files, coalesce(chunks, 0) AS chunks, CASE WHEN files IS NULL THEN '-' ELSE '2024-03-01 12:30' END AS updated, CASE WHEN files IS NULL THEN 'state not found' ELSE '' END AS error
+FROM r LEFT JOIN s ON root = source""")
+def collection_list(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    r = d.select(F.col("source").alias("root")).distinct().withColumn("collection_id", hx.collection_id(F.col("root")))
+    s = d.where("source <> 'src3'").select(hx.collection_id(F.col("source")).alias("collection_id"), F.col("n_chars").alias("chunk_count"), F.to_timestamp(F.lit("2024-03-01 12:30:45")).alias("last_indexed_at"))
+    return scopes.listed(r, s)
+
+
+@query("SELECT 'p' AS provider, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) ELSE 'multiple' END AS model, 0 AS vector_dim, 'v2' AS db_version, 'markdown' AS file_type, false AS mmr_compatible FROM documents")
+def combined_manifest(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return scopes.combined(d.select(F.lit("p").alias("provider"), F.col("lang").alias("model"), F.length("lang").alias("vector_dim"), F.lit("v2").alias("db_version"), F.lit("markdown").alias("file_type")).withColumn(
+        "vector_dim", F.when(F.col("model") == "en", 3).otherwise(F.col("vector_dim"))
+    ))
+
+
+@query("SELECT source || '/' || doc_id AS rel_path, sha256(text) AS file_hash, 1 AS chunk_count FROM documents")
+def file_states_snapshot(spark, sf_dir):
+    return files_of(table(spark, sf_dir, "documents")).select("rel_path", hx.file_hash(F.col("text")).alias("file_hash"), F.lit(1).alias("chunk_count"))
+
+
+@query("""SELECT count(*) FILTER (s IN ('skipped', 'updated')) AS processed, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'updated') AS updated, count(*) FILTER (s = 'deleted') AS deleted, count(*) FILTER (s = 'error') AS errors
+FROM (SELECT CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'updated' ELSE 'skipped' END AS s FROM documents UNION ALL SELECT 'deleted' FROM documents WHERE doc_id % 11 = 0)""")
+def scan_summary(spark, sf_dir):
+    done = incremental_plan(spark, sf_dir).select(F.when(F.col("action") == "skip", "skipped").otherwise("updated").alias("status"))
+    return incremental.summary(done.union(reconcile_deleted(spark, sf_dir).select(F.lit("deleted"))))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages WHERE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN ('html', 'md', 'htm', 'com')")
+def scan_filter_ext(spark, sf_dir):
+    ext = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1))
+    return table(spark, sf_dir, "pages").select("page_id", ext.alias("ext")).where(F.col("ext").isin("html", "md", "htm", "com"))
+
+
+@query("SELECT lang AS doc_type, count(*) AS files, min(source || '/' || doc_id) AS first_path, max(source || '/' || doc_id) AS last_path FROM documents GROUP BY lang")
+def group_files_by_type(spark, sf_dir):
+    from loam.sources.listing import by_type
+
+    return by_type(files_of(table(spark, sf_dir, "documents")).withColumn("doc_type", F.col("lang")))
+
+
+@query("SELECT source || '/' || doc_id AS rel_path, sha256(text) AS file_hash, lang AS title, CASE WHEN length(text) > 120 THEN 1 ELSE 0 END AS cut FROM documents WHERE doc_id IN (3, 5)")
+def show_file(spark, sf_dir):
+    """Files asked for by their path below their collection, or by their whole path."""
+    d = files_of(table(spark, sf_dir, "documents"))
+    asked = d.where(F.col("rel_path").isin(*[f"src{i}/{n}" for i in range(20) for n in (3, 5)]))
+    return asked.select("rel_path", hx.file_hash(F.col("text")).alias("file_hash"), F.col("lang").alias("title"), F.when(F.length("text") > 120, 1).otherwise(0).alias("cut"))
+
+
+# Sinks
+
+
+@query(f"""WITH {HITS}, r AS (SELECT *, row_number() OVER (ORDER BY {BY}) AS rank FROM hits)
+SELECT rank || chr(9) || format('{{:.6f}}', score) || chr(9) || rel_path || chr(9) || array_to_string(tags, ',') || chr(9) || chunk_id AS line FROM r WHERE rank <= 20""")
+def result_tsv(spark, sf_dir):
+    best = search.top(hits_of(spark, sf_dir), 20)
+    return best.select(tx.tsv_line([F.col("rank"), F.format_string("%.6f", "score"), F.col("rel_path"), F.array_join("tags", ","), F.col("chunk_id")]).alias("line"))
+
+
+@query()
+def result_json(spark, sf_dir):
+    """One JSON object per result; tested by reading it back."""
+    best = search.top(hits_of(spark, sf_dir), 20)
+    return best.select(F.to_json(F.struct("rank", F.round("score", 6).alias("score"), "rel_path", "tags", "chunk_id")).alias("json"))
