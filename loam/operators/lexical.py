@@ -46,7 +46,8 @@ def rerank(candidates: DataFrame, query_text: str, *by: str) -> DataFrame:
         return candidates.withColumns({"pre_rerank_score": F.col("score"), **blank})
     w = W.partitionBy(*by)
     own = F.struct(*candidates.columns).alias("__row")
-    terms = candidates.select(*by, "chunk_id", own, tx.tokens(rerank_text(candidates)).alias("__t")).select(
+    # explode keeps the tokens a column of their own: inlined, they would be made again for each wanted token
+    terms = candidates.select(*by, "chunk_id", own, F.explode(F.array(tx.tokens(rerank_text(candidates)))).alias("__t")).select(
         *by, "chunk_id", "__row", F.size("__t").cast("double").alias("__len"), F.posexplode(occurrences("__t", wanted)).alias("__k", "__tf")
     )
     per_token = W.partitionBy(*by, "__k")
