@@ -137,12 +137,12 @@ def compare(ids, copies, row, hsh, threshold: float, side) -> tuple[np.ndarray,
 
 
 def verify(members: DataFrame, width: int, threshold: float) -> DataFrame:
-    """``members`` (cell, comp, block, rep, copies, text) -> (rep, links, root), a row per document and cell."""
+    """``members`` (cell, cross, comp, block, rep, copies, text) -> (rep, links, root), a row per document and cell."""
 
     def of(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
         take = lambda c: cell.column(c).to_numpy()
-        reps, comps, blocks, copies = take("rep"), take("comp"), take("block"), take("copies")
+        reps, comps, blocks, copies, cross = (take(c) for c in ("rep", "comp", "block", "copies", "cross"))
         text = cell.column("text").combine_chunks()
         rows, hashes = [], []
         for w in ta.blocks(text.cast(pa.string()) if not isinstance(text, pa.ChunkedArray) else pa.concat_arrays(text.cast(pa.string()).chunks)):
@@ -161,8 +161,7 @@ def verify(members: DataFrame, width: int, threshold: float) -> DataFrame:
                 continue
             pick = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
             local = np.repeat(np.arange(len(own)), [first[i + 1] - first[i] for i in own])
-            lo, hi = blocks[own].min(), blocks[own].max()
-            side = None if lo == hi else (blocks[own] == hi).astype(np.int8)
+            side = (blocks[own] == blocks[own].max()).astype(np.int8) if cross[own[0]] else None
             links, root = compare(reps[own], copies[own], local, hsh[pick], threshold, side)
             got = links > 0
             found.append((reps[own][got], links[got], root[got]))
@@ -208,7 +207,7 @@ def jaccard_classes(
         .withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("long"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "rep", "comp", "block", "copies",
+            "rep", "comp", "block", "copies", (F.col("block") != F.col("other")).alias("cross"),
             F.when(F.col("blocks") == 1, F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.lit(packs))))
             .otherwise(F.concat_ws(":", "comp", F.least("block", "other"), F.greatest("block", "other"))).alias("cell"),
         )
