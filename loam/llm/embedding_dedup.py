@@ -1,8 +1,9 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables, reranked with the vectors.
 
-Codes. A bounded sample is centred and turned onto its principal axes; alternating between codes and the rotation that fits
-them best (orthogonal Procrustes) gives balanced bits. Several rotations from different starts give as many bits as the tables
-need. Tables. The bits are cut into substrings of about log2(n) bits; two vectors are candidates if they agree on any
+Codes. A bounded sample is turned onto its principal axes; alternating between codes and the rotation that fits them best
+(orthogonal Procrustes) spreads it evenly over the bits. Several rotations from different starts give as many bits as the tables
+need. Bits are cut at zero, not at a mean or median: there a tight cluster that holds most rows would be cut in two, here whether two
+vectors agree depends on their angle. Tables. The bits are cut into substrings of about log2(n) bits; two vectors are candidates if they agree on any
 substring. The number of tables follows from the recall asked for at ``threshold``, by the chance that one bit of two vectors at
 that angle agrees. Rerank. Within a bucket all pairs are compared by cosine in double precision; a pair counts at the first table
 where it meets, so no pair is counted twice and none is ever a row. A bucket of many vectors is cut into blocks, one task for
@@ -36,14 +37,12 @@ def rotation(x: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
     return r
 
 
-def learn(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(directions as columns, thresholds): ``bits`` bits, each near balanced on the sample."""
-    mean = sample.mean(axis=0)
-    _, axes = np.linalg.eigh(np.cov((sample - mean).T) if len(sample) > 1 else np.eye(sample.shape[1]))
-    turned = (sample - mean) @ axes
+def learn(sample: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` directions as columns; a code is the signs of a vector's products with them."""
+    _, axes = np.linalg.eigh(sample.T @ sample)
+    turned = sample @ axes
     parts = [axes @ rotation(turned, seed) for seed in range(-(-bits // sample.shape[1]))]
-    directions = np.concatenate(parts, axis=1)[:, :bits]
-    return directions, np.median(sample @ directions, axis=0)
+    return np.concatenate(parts, axis=1)[:, :bits]
 
 
 def tables_for(n: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -105,14 +104,14 @@ def near_duplicates(
     model = vectors.sparkSession.sparkContext.broadcast(learn(sample, tables * width))  # set by dimension and bits
 
     def encode(batches):
-        directions, cut = model.value
+        directions = model.value
         powers = 1 << np.arange(width, dtype=np.int64)
         for batch in batches:
             v = batch.column(batch.schema.get_field_index("v"))
             x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            keys = ((x @ directions > cut).reshape(len(x), tables, width) @ powers).astype(np.int32)
+            keys = ((x @ directions > 0).reshape(len(x), tables, width) @ powers).astype(np.int32)
             for lo in range(0, len(x), 256):
                 part = slice(lo, min(len(x), lo + 256))
                 m = part.stop - part.start
@@ -132,7 +131,7 @@ def near_duplicates(
     placed = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     ).select(
-        "rep", "copies", "x", "keys", "t", "key", "block",
+        "rep", "copies", "x", "keys", "t", "key", "block", (F.col("block") != F.col("other")).alias("cross"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("t", "key"), F.lit(cells)).cast("string"))
         .otherwise(F.concat_ws(":", "t", "key", F.least("block", "other"), F.greatest("block", "other"))).alias("cell"),
     )
@@ -143,14 +142,14 @@ def near_duplicates(
         order = np.lexsort((key, t))
         x = np.frombuffer(b"".join(cell.column("x").to_pylist()), dtype=np.float64).reshape(-1, dim)[order]
         keys = cell.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)[order]
-        rep, copies, t, key, blk = rep[order], copies[order], t[order], key[order], blk[order]
+        rep, copies, t, key, blk, cross = rep[order], copies[order], t[order], key[order], blk[order], cell.column("cross").to_numpy()[order]
         cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0)) + 1
         found = []
         for a, b in zip([0, *cut], [*cut, len(rep)], strict=True):
             if b - a > 1:
                 own = slice(a, b)
-                lo, hi = blk[own].min(), blk[own].max()
-                links, root = compare(rep[own], copies[own], x[own], keys[own], int(t[a]), None if lo == hi else blk[own] == hi, threshold)
+                side = blk[own] == blk[own].max() if cross[a] else None
+                links, root = compare(rep[own], copies[own], x[own], keys[own], int(t[a]), side, threshold)
                 got = links > 0
                 if got.any():
                     found.append((rep[own][got], links[got], root[got]))

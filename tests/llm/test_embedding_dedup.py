@@ -1,0 +1,78 @@
+import math
+
+import numpy as np
+
+from loam.llm import embedding_dedup as ed
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, threshold=0.9):
+    ids, vs = zip(*rows, strict=True)
+    x = np.array(vs, dtype=np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    root = np.array(ids)
+    while True:
+        low = np.minimum(root, np.where(near, root[None], 1 << 40).min(axis=1))
+        if (low == root).all():
+            return {i: (int(n), int(r)) for i, n, r in zip(ids, near.sum(axis=1), root, strict=True)}
+        root = low
+
+
+def clusters(n=30, dim=32, noise=0.02, seed=3):
+    rng = np.random.RandomState(seed)
+    rows = []
+    for k in range(n):
+        c = rng.standard_normal(dim)
+        c /= np.linalg.norm(c)
+        rows += [(100 * k + j, (c + noise * rng.standard_normal(dim)).astype(np.float32).tolist()) for j in range(rng.randint(1, 25))]
+    return rows
+
+
+def result(df):
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in df.collect()}
+
+
+def test_recall_and_precision(spark):
+    rows = clusters()
+    rows += [(9000 + i, rows[0][1]) for i in range(40)]  # equal vectors
+    got = result(ed.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)))
+    want = brute(rows)
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want)
+
+
+def test_blocks_change_nothing(spark):
+    df = spark.createDataFrame([(i, v, 0) for i, v in clusters()], SCHEMA)
+    assert result(ed.near_duplicates(df)) == result(ed.near_duplicates(df, block=5, cell_rows=50))
+
+
+def test_recall_at_the_threshold():
+    """Pairs at a cosine of exactly 0.9 meet in some table as often as asked for."""
+    rng = np.random.RandomState(5)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    tables, width = ed.tables_for(50_000, 0.9, 0.97)
+    d = ed.learn(x, tables * width)
+    same = ((x @ d > 0) == (y @ d > 0)).reshape(len(x), tables, width).all(axis=2).any(axis=1)
+    assert same.mean() > 0.93
+    assert abs((x @ d > 0).mean(axis=0) - 0.5).max() < 0.05
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 1), (3, None, 0), (4, [], 0), (5, [0.0, 0.0], 0), (6, [nan, 1.0], 0), (7, [inf, 1.0], 0), (8, [None, 1.0], 0), (9, [1.0], 0), (None, [1.0, 0.0], 0), (2, [1.0, 0.01], 1)]
+    got = ed.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert result(got) == {1: (1, 1), 2: (1, 1), **{i: (0, i) for i in range(3, 10)}}
+    assert ed.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert result(ed.near_duplicates(spark.createDataFrame(rows[2:5], SCHEMA))) == {3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    assert result(ed.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))) == brute(rows)
