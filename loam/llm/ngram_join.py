@@ -13,7 +13,7 @@ per pair. A large component thus becomes many small tasks.
 
 Defined cases: null, empty and word-less texts link with nothing and keep themselves; a text with
 fewer words than ``width`` has one n-gram, all its words; a repeated id counts once, with the
-smallest of its keys; null ids and other columns are passed over; an empty
+text of its smallest key; null ids and other columns are passed over; an empty
 table gives an empty result.
 """
 
@@ -65,28 +65,32 @@ def band_hashes(w: ta.Words, width: int, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def word_keys(w: ta.Words) -> np.ndarray:
+    """Two 64-bit hashes (rows hi, lo) of the word sequence of each row of the block; 0 for a row without words."""
+    h = w.hashes()
+    begin = np.cumsum(w.counts) - w.counts
+    power, _ = ta._powers(int(w.counts.max(initial=0)) + 1)
+    key = np.zeros((2, w.rows), dtype=np.uint64)
+    live = np.flatnonzero(w.counts)
+    if len(live):
+        at = np.arange(len(h)) - begin[w.row]
+        with np.errstate(over="ignore"):
+            for k in range(2):
+                key[k, live] = ta.mix(np.add.reduceat(ta.mix(h + np.uint64(k)) * power[at], begin[live]))
+    return key.view(np.int64)
+
+
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, hi, lo: key of the word sequence, n: words, bands) per row of ``docs`` with an id."""
+    """(doc_id, hi, lo: key of the word sequence, n: words, bands) per id of ``docs``."""
 
     def of(batches):
         for batch in batches:
             parts = []
             for w in ta.blocks(as_table(batch, "text")):
-                h = w.hashes()
-                begin = np.cumsum(w.counts) - w.counts
-                at = np.arange(len(h)) - begin[w.row] if len(h) else np.zeros(0, np.int64)
-                power, _ = ta._powers(int(w.counts.max(initial=0)) + 1)
-                key = np.zeros((2, w.rows), dtype=np.uint64)
-                live = np.flatnonzero(w.counts)
-                with np.errstate(over="ignore"):
-                    for k in range(2):
-                        x = ta.mix(h + np.uint64(k)) * power[at] if len(h) else h
-                        if len(live):
-                            key[k, live] = ta.mix(np.add.reduceat(x, begin[live]))
-                parts.append((key, w.counts, band_hashes(w, width, bands, rows)))
+                parts.append((word_keys(w), w.counts, band_hashes(w, width, bands, rows)))
             if not parts:
                 continue
-            key = np.concatenate([p[0] for p in parts], axis=1).view(np.int64)
+            key = np.concatenate([p[0] for p in parts], axis=1)
             sig = np.concatenate([p[2] for p in parts]).view(np.int64)
             offsets = np.arange(len(sig) + 1, dtype=np.int32) * bands
             yield pa.RecordBatch.from_arrays(
@@ -99,7 +103,8 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             )
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows_in.mapInArrow(of, "doc_id long, hi long, lo long, n long, bands array<long>")
+    made = rows_in.mapInArrow(of, "doc_id long, hi long, lo long, n long, bands array<long>")
+    return made.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n", "bands")).alias("s")).select("doc_id", "s.*")
 
 
 def compare(ids, copies, row, hsh, threshold: float, side) -> tuple[np.ndarray, np.ndarray]:
@@ -137,26 +142,28 @@ def compare(ids, copies, row, hsh, threshold: float, side) -> tuple[np.ndarray,
 
 
 def verify(members: DataFrame, width: int, threshold: float) -> DataFrame:
-    """``members`` (cell, cross, comp, block, rep, copies, text) -> (rep, links, root), a row per document and cell."""
+    """``members`` (cell, cross, comp, block, rep, hi, copies, text) -> (rep, links, root), a row per document and cell."""
 
     def of(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
         take = lambda c: cell.column(c).to_numpy()
         reps, comps, blocks, copies, cross = (take(c) for c in ("rep", "comp", "block", "copies", "cross"))
         text = cell.column("text").combine_chunks()
-        rows, hashes = [], []
+        rows, hashes, keys = [], [], [np.zeros(0, np.int64)]
         for w in ta.blocks(text.cast(pa.string()) if not isinstance(text, pa.ChunkedArray) else pa.concat_arrays(text.cast(pa.string()).chunks)):
             r, h = ta.shingles(w, width)
             rows.append(r + w.first)
             hashes.append(h)
+            keys.append(word_keys(w)[0])
         row, hsh = ta.distinct_per_row(np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         first = np.searchsorted(row, np.arange(len(reps) + 1))
-        order = np.lexsort((reps, comps))
+        own_text = np.flatnonzero(np.concatenate(keys) == take("hi"))  # not another text of a repeated id
+        order = own_text[np.lexsort((reps[own_text], comps[own_text]))]
         found: list[tuple] = []
         cuts = np.flatnonzero(np.diff(comps[order], prepend=comps[order][:1] - 1))
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             own = order[a:b]
-            own = own[np.diff(reps[own], prepend=reps[own][:1] - 1) != 0]  # a repeated id once
+            own = own[np.diff(reps[own], prepend=reps[own][:1] - 1) != 0]  # a repeated row once
             if len(own) < 2:
                 continue
             pick = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
@@ -196,7 +203,7 @@ def jaccard_classes(
     roots = near.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
     members = checkpointed(
         near.union(roots).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-        .join(reps.select(F.col("doc_id").alias("rep"), "n", "copies"), "rep")
+        .join(reps.select(F.col("doc_id").alias("rep"), "hi", "n", "copies"), "rep")
     )
     size = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select(
         "comp", F.greatest(F.ceil(F.col("m") / cell_rows), F.ceil(F.col("s") / cell_words)).cast("int").alias("blocks")
@@ -207,7 +214,7 @@ def jaccard_classes(
         .withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("long"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "rep", "comp", "block", "copies", (F.col("block") != F.col("other")).alias("cross"),
+            "rep", "comp", "block", "hi", "copies", (F.col("block") != F.col("other")).alias("cross"),
             F.when(F.col("blocks") == 1, F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.lit(packs))))
             .otherwise(F.concat_ws(":", "comp", F.least("block", "other"), F.greatest("block", "other"))).alias("cell"),
         )
