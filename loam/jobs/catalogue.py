@@ -114,9 +114,12 @@ def multi_scope_merge(spark, sf_dir):
     return shown(search.top(search.top(hits, 20, "collection_id").drop("rank"), 30), "rank", "collection_id", "rel_path", "score")
 
 
-@query(f"WITH {HITS} SELECT row_number() OVER (ORDER BY {BY})::INT AS rank, rel_path, round(score, 6) AS score FROM hits WHERE score >= 0.2")
+KEPT = f"{HITS}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY {BY}) AS n FROM hits) WHERE n <= 50)"
+
+
+@query(f"WITH {KEPT} SELECT row_number() OVER (ORDER BY {BY})::INT AS rank, rel_path, round(score, 6) AS score FROM kept")
 def rank_results(spark, sf_dir):
-    return shown(search.ranked(hits_of(spark, sf_dir).where("score >= 0.2")), "rank", "rel_path", "score")
+    return shown(search.ranked(search.top(hits_of(spark, sf_dir), 50, "collection_id").drop("rank")), "rank", "rel_path", "score")
 
 
 @query(f"WITH {HITS} SELECT rel_path, round(score, 6) AS score FROM hits WHERE score >= 0.25")
@@ -233,9 +236,9 @@ def bm25_rerank(spark, sf_dir):
     return shown(search.ranked(lexical.rerank(kept, text)), "rank", "rel_path", "score", "bm25_score", "bm25_norm", "semantic_norm", "pre_rerank_score")
 
 
-@query(f"WITH {HITS} SELECT rel_path, round(greatest(score, 0) / max(greatest(score, 0)) OVER (PARTITION BY collection_id), 6) AS score FROM hits")
+@query(f"WITH {KEPT} SELECT rel_path, round(greatest(score, 0) / max(greatest(score, 0)) OVER (PARTITION BY collection_id), 6) AS score FROM kept")
 def score_max_normalize(spark, sf_dir):
-    hits = hits_of(spark, sf_dir).withColumn("score", F.greatest("score", F.lit(0.0)))
+    hits = search.top(hits_of(spark, sf_dir), 50, "collection_id").withColumn("score", F.greatest("score", F.lit(0.0)))
     return hits.select("rel_path", F.round(lexical.max_normalized("score", "collection_id"), 6).alias("score"))
 
 

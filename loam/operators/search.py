@@ -80,15 +80,21 @@ def top(df: DataFrame, k: int, *by: str) -> DataFrame:
 
 
 def threshold(df: DataFrame, alpha: float, delta: float, *by: str) -> DataFrame:
-    """Rank 1 stays; others need ``alpha`` of its score and a gap to it of ``delta`` at most; 0 turns a rule off."""
-    w = W.partitionBy(*by).orderBy(*order())
-    out = df.withColumn("__n", F.row_number().over(w)).withColumn("__top", F.first("score").over(w))
+    """Rank 1 stays; others need ``alpha`` of its score and a gap to it of ``delta`` at most; 0 turns a rule off.
+
+    The best row of each group is an aggregate, combined before it is shuffled, and joined back: no group is sorted in one task.
+    """
+    keys = list(by) or ["__g"]
+    rows = df if by else df.withColumn("__g", F.lit(1))
+    place = F.struct((-F.col("score")).alias("down"), "rel_path", "chunk_index", "chunk_id")
+    best = rows.groupBy(*keys).agg(F.min(place).alias("__best"))
+    top_score = -F.col("__best.down")
     keep = F.lit(True)
     if alpha > 0:
-        keep = keep & (F.col("score") >= alpha * F.col("__top"))
+        keep = keep & (F.col("score") >= alpha * top_score)
     if delta > 0:
-        keep = keep & (F.col("__top") - F.col("score") <= delta)
-    return out.where((F.col("__n") == 1) | keep).drop("__n", "__top")
+        keep = keep & (top_score - F.col("score") <= delta)
+    return rows.join(best, keys).where((place == F.col("__best")) | keep).select(*df.columns)
 
 
 def unique(df: DataFrame, *by: str) -> DataFrame:
