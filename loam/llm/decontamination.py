@@ -66,14 +66,16 @@ def templates(col: pa.Array):
             part = col.slice(w.first, w.rows)
             begin = np.frombuffer(part.buffers()[1], dtype=np.int32)[part.offset : part.offset + len(part) + 1]
             raw = np.frombuffer(part.buffers()[2], dtype=np.uint8)[begin[0] : begin[-1]]
-            name = np.zeros(len(own), dtype=bool)
-            # lower-casing may change the length of a text; then its capitals are not looked for
+            # where lower-casing changed a text's length, capitals have no place to be looked up, and it has no names
             same = np.diff(begin) == np.diff(w.offsets)
-            if len(raw) == len(w.data):
-                stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
-                opens = np.ones(len(own), dtype=bool)
-                opens[1:] = (w.row[1:] != w.row[:-1]) | (stops[w.start[1:]] > stops[w.end[:-1]])
-                name = _UPPER[raw[w.start]] & ~opens & same[w.row]
+            if not same.all():
+                whole, raw = raw, np.zeros(len(w.data), dtype=np.uint8)
+                for r in np.flatnonzero(same):
+                    raw[w.offsets[r] : w.offsets[r + 1]] = whole[begin[r] - begin[0] : begin[r + 1] - begin[0]]
+            stops = np.concatenate([[0], np.cumsum(_STOP[w.data])])
+            opens = np.ones(len(own), dtype=bool)
+            opens[1:] = (w.row[1:] != w.row[:-1]) | (stops[w.start[1:]] > stops[w.end[:-1]])
+            name = _UPPER[raw[w.start]] & ~opens
             form[number], form[unit], form[name & ~number] = NUMBER, UNIT, NAME
         yield w, form, form != own, own
 

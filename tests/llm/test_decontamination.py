@@ -50,3 +50,10 @@ def test_query_equals_brute_force(spark, sf_dir):
         have = {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
         want |= {(d, i) for i, own in windows.items() if len(own & have) >= 0.5 * len(own)}
     assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, items).collect()} == want and want
+
+
+def test_a_text_whose_length_changes_in_lower_case_leaves_others_alone(spark):
+    other = ITEM.replace("Anna", "Carl").replace("Paris", "Rome").replace("12 kg", "3 lb")
+    docs = [(1, "İİ " + "word " * 20, None), (2, f"See that {other}", None), (3, f"İ x. {ITEM.replace('in Paris', 'in paris').replace('to Bob', 'to bob')}", None)]
+    got = found(spark, docs, [(1, ITEM, None)])
+    assert (2, 1) in got and (1, 1) not in got
