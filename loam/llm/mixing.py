@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,6 +64,7 @@ def source_targets(totals: DataFrame, weights: Sequence[int], share: float, most
 
 def systematic_mix(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) per row of ``sized(doc_id, source, size)``."""
+    sized = stored(sized.select("doc_id", "source", "size"), "sizes")  # read four times below; the texts are read once
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(totals, weights, share, most).withColumn("buckets", F.ceil(F.sqrt("n")))
     same = F.col("d.source").eqNullSafe(F.col("t.source"))
