@@ -92,12 +92,18 @@ def same_bucket() -> Column:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; ids must tell rows apart."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    copies = systematic_mix(sized, **how).where("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")
-    )
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"])).select(*[docs[c] for c in docs.columns])
+    """``docs`` with every row as often as the mix takes it.
+
+    Rows meet their copies by id, source and size; rows alike in all three get the copies of that group dealt in order of text.
+    """
+    size = word_count(F.col("text"))
+    key = lambda size: F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("doc_id", "source")], size)
+    mixed = systematic_mix(docs.select("doc_id", "source", size.alias("size")), **how)
+    copies = mixed.groupBy(key(F.col("size")).alias("__key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
+    met = docs.withColumn("__key", key(size)).join(copies, "__key")
+    each = met.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy("text")))
+    taken = each.withColumn("__taken", F.element_at("__copies", F.col("__n")).cast("int")).where("__taken > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__taken")))).select(*docs.columns)
 
 
 #: The same in SQL, for the query over documents.

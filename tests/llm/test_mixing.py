@@ -60,3 +60,11 @@ def test_odd_rows(spark):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} >= {3}
     assert mixing.systematic_mix(sized.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_mixed_each(spark):
+    rows = [(1, "a b c", "s", None, None)] * 3 + [(1, "d e f", "s", None, None), (2, "g", None, None, None), (2, "g", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    want = sum(r["copies"] for r in mixing.systematic_mix(sized).collect())
+    assert mixing.mixed_documents(docs).count() == want
