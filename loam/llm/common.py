@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,8 +45,16 @@ def as_table(batch: pa.RecordBatch, name: str) -> pa.Array:
     return col if col.type == pa.string() else col.cast(pa.string())
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)``: rows (node, root), root the smallest node reachable.
+def is_forest_of_stars(edges: DataFrame) -> bool:
+    """Does every ``a`` hang under one ``b``, and no ``b`` under another? Then nothing is left to join."""
+    return (
+        edges.groupBy("a").count().where("count > 1").isEmpty()
+        and edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+    )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges(a, b)``: rows (node, root), root the smallest node reachable, without the roots.
 
     Each round hangs every node's larger neighbours, and the node itself, under its smallest
     neighbour, then hangs each node's smaller neighbours under the smallest of them. Edges stay
@@ -57,10 +65,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     cur = checkpointed(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     )
-    before = None
-    for _ in range(rounds):
+    while not is_forest_of_stars(cur):
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # cut here: joined with a plain table, a node with very many neighbours is split over tasks by adaptive execution
+        low = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         large = (
             both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.where("m < a").select("a", F.col("m").alias("b")))
@@ -74,15 +82,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         )
         cur = checkpointed(small)
-        now = cur.agg(
-            F.count("*"), F.sum("a").cast("decimal(38,0)"),
-            F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
-        ).first()
-        if now == before:
-            break
-        before = now
-    return cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-
-
-def whole(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(""))
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
