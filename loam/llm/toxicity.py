@@ -2,7 +2,7 @@
 
 Restoring. A word that is disguised (digits or signs among letters, one character repeated three
 times or more, or letters set apart one by one) spans a lattice: each character is itself, a letter
-it stands in for, a repeat to drop, or a separator to drop. Viterbi decoding picks the path that a
+it stands in for, a repeat to drop, or a separator or sign to drop (a digit always stands for a letter). Viterbi decoding picks the path that a
 character trigram model, counted over all documents, and the channel's costs like best. A word
 that is none of these has one path, itself, so only disguised words are decoded.
 
@@ -31,14 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import as_table
+from .common import as_table, stored
 
 #: What a sign may stand for.
 STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou",
 }
-SUBSTITUTE, DROP_REPEAT, DROP_SEPARATOR, KEEP_SIGN = 1.0, 0.5, 0.3, 9.0
+SUBSTITUTE, DROP_REPEAT, DROP_SEPARATOR, DROP_SIGN, DROP_LAST_SIGN = 1.0, 0.5, 0.3, 8.0, 1.0
 PREFIXES = (4, 5, 6, 7, 8)
 
 _SIGN = "[0-9@$!|+€(*]"
@@ -96,15 +96,15 @@ def restore(word: str, cost: list) -> str:
     """The cheapest reading of one disguised stretch; states are the classes of the last two letters read."""
     spaced = SPACED.fullmatch(word) is not None
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    before = ""
+    before, last = "", len(word.rstrip("!|+*(€$@")) - 1  # signs after it are marks more likely than letters
     for k, c in enumerate(word):
         options: list[tuple[str, float]] = []
         if c.isalpha():
             options.append((c, 0.0))
         for x in STANDS_FOR.get(c, ""):
             options.append((x, SUBSTITUTE))
-        if not c.isalpha():
-            options.append(("", DROP_SEPARATOR if c in " .-_*" else KEEP_SIGN if c.isdigit() else 2.0))
+        if not c.isalpha() and not (c.isdigit() and c in STANDS_FOR):
+            options.append(("", DROP_SEPARATOR if c in " .-_*" else DROP_SIGN if k < last else DROP_LAST_SIGN))
             if not spaced and c in "-._":
                 options.append((c, 0.5))
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
@@ -213,6 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
     sample = usable.where("y = 1").orderBy(order, "id").limit(most_positive).union(usable.where("y = 0").orderBy(order, "id").limit(most_negative))
     # at most most_positive + most_negative rows of two numbers: small enough to broadcast
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "id").select("y", "text")
+    rows = stored(rows, "toxicity-sample")  # three passes below, one over the documents
 
     def grams(batches):
         memo: dict[str, str] = {}
@@ -230,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
                 n = np.bincount(inv)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(pos.astype(np.int64)), pa.array((n - pos).astype(np.int64))], names=["name", "pos", "neg"])
 
-    sizes = dict(sample.groupBy("y").count().collect())
+    sizes = dict(rows.groupBy("y").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         p = (n1 + 0.1) / (n1 + n0 + 1)
