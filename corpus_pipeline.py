@@ -15,8 +15,12 @@ from loam.runtime import ship
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``ids``; rows without an id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    """Rows of ``docs`` whose id is not in ``ids``; rows without an id stay.
+
+    The ids are written first: with their size known, the planner broadcasts few of them and shuffles for many.
+    """
+    gone = stored(ids.select(F.col("doc_id").alias("__id")).distinct(), "pipeline-gone")
+    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
