@@ -26,9 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: for the small frames of iterations."""
+    """A reliable checkpoint in the shared folder: for the small frames of iterations.
+
+    Columns get identities of their own, so the result joins with frames it was made from.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    return done.select(*[F.col(c).alias(c) for c in done.columns])
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
