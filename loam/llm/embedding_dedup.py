@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components
+from .common import checkpointed, components, stored
 
 
 def rotation(x: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
@@ -45,6 +45,12 @@ def learn(sample: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)[:, :bits]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; dividing by the largest component first keeps very large and very small vectors in range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def tables_for(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """(tables, bits of each) for ``n`` vectors: substrings of log2(n) - 1 bits, 8 to 30, as many as the recall needs."""
     width = min(30, max(8, int(math.log2(max(n, 2))) - 1))
@@ -88,6 +94,7 @@ def near_duplicates(
     vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, sample_rows: int = 20_000, block: int = 512, cell_rows: int = 20_000
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every id of ``vectors(vec_id, embedding)``."""
+    kind = np.dtype(np.float32 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64)
     given = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     good = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
     dims = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -100,7 +107,7 @@ def near_duplicates(
     sample = np.array(drawn.to_pylist(), dtype=np.float64).reshape(-1, dim)
     if not n:
         sample = np.ones((1, dim))
-    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    sample = unit(sample)
     model = vectors.sparkSession.sparkContext.broadcast(learn(sample, tables * width))  # set by dimension and bits
 
     def encode(batches):
@@ -108,9 +115,9 @@ def near_duplicates(
         powers = 1 << np.arange(width, dtype=np.int64)
         for batch in batches:
             v = batch.column(batch.schema.get_field_index("v"))
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            raw = v.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
+            x = unit(raw)
+            raw = raw.astype(kind)
             keys = ((x @ directions > 0).reshape(len(x), tables, width) @ powers).astype(np.int32)
             for lo in range(0, len(x), 256):
                 part = slice(lo, min(len(x), lo + 256))
@@ -118,13 +125,14 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(batch.schema.get_field_index(c)).slice(lo, m) for c in ("rep", "copies")
-                    ] + [pa.array([r.tobytes() for r in x[part]], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * tables), pa.array(keys[part].reshape(-1)))],
+                    ] + [pa.array([r.tobytes() for r in raw[part]], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * tables), pa.array(keys[part].reshape(-1)))],
                     names=["rep", "copies", "x", "keys"],
                 )
 
     coded = checkpointed(classes.mapInArrow(encode, "rep long, copies long, x binary, keys array<int>"))
     slots = coded.select("rep", F.posexplode("keys").alias("t", "key"))
-    crowds = checkpointed(slots.groupBy("t", "key").agg(F.count("*").alias("m")).where(f"m > {block}"))
+    # a written table: its size is known, so the planner broadcasts it or shuffles as that size allows
+    crowds = stored(slots.groupBy("t", "key").agg(F.count("*").alias("m")).where(f"m > {block}"), "crowded-buckets")
     cells = max(1, math.ceil(n * tables / cell_rows))
     met = coded.select("*", F.posexplode("keys").alias("t", "key")).join(crowds, ["t", "key"], "left")
     blocks = F.coalesce(F.ceil(F.col("m") / block), F.lit(1))
@@ -140,7 +148,7 @@ def near_duplicates(
         take = lambda c: cell.column(c).to_numpy()
         rep, copies, t, key, blk = take("rep"), take("copies"), take("t"), take("key"), take("block")
         order = np.lexsort((key, t))
-        x = np.frombuffer(b"".join(cell.column("x").to_pylist()), dtype=np.float64).reshape(-1, dim)[order]
+        x = unit(np.frombuffer(b"".join(cell.column("x").to_pylist()), dtype=kind).reshape(-1, dim).astype(np.float64))[order]
         keys = cell.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)[order]
         rep, copies, t, key, blk, cross = rep[order], copies[order], t[order], key[order], blk[order], cell.column("cross").to_numpy()[order]
         cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0)) + 1
