@@ -1,16 +1,18 @@
 """Benchmark decontamination by template canonicalisation.
 
-Both sides become templates: numbers, names and units give way to typed placeholders, everything else is
-the lower-cased word. Windows of ``window`` template words are joined on their hash. Matched windows
-of one document and one item that lie on one diagonal are counted together, and the slots they fill are held against
-each other: a slot value of the item must stand for one value of the document throughout, so a question
-asked again with other numbers or names matches and a chance likeness of templates does not.
+Both sides are read in the forms of ``FORMS``: as plain lower-cased words, and as templates in which numbers, units and
+names give way to typed placeholders. Windows of ``window`` tokens of a form are joined on their hash. Matched windows
+of one document, item and form that lie on one diagonal are counted together, then with those of neighbouring diagonals, and
+the slots they fill are held against each other: a slot value of the item must stand for one value of the document throughout, so a
+question asked again with other numbers or names matches and a chance likeness of templates does not.
 
-A number is a word of digits; a unit is a word of ``UNITS`` after a number; a name is a capitalised word
-that does not open a sentence. Windows with under half their words literal say nothing and are left out.
+A number is digits with the separators and the sign between and before them; a unit is a word of ``UNITS`` after a number; a
+name is a run of capitalised words. ``PLAIN`` has no slots, so neither case nor numbers keep a copy from being found, ``NUMBERS`` has no
+names; ``NAMES`` has each word as a token of its own. A capitalised word that opens a sentence is a name in ``KNOWN`` if it also stands
+inside one in that text, and always in ``OPENERS``. Windows with under half their tokens literal say nothing and are left out.
 
 The benchmark's windows are broadcast only up to ``broadcast_windows``; beyond it the same join shuffles
-on the window's hash. Items shorter than ``window`` words are one window of their own length; items under
+on the window's hash. Items of fewer than ``window`` tokens are one window of their own length; items under
 ``shortest`` words match nothing.
 
 Defined cases: null and empty texts on either side match nothing; null ids are carried as they are; equal items
@@ -19,10 +21,12 @@ match each; repeated documents give the rows of one; other columns are passed ov
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -35,13 +39,19 @@ UNITS = (
     "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "meter", "meters", "metre", "metres",
     "degrees", "kmh", "mph", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "v", "w", "kw", "j", "kj", "n", "pa",
 )
-NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA11CE00000000001, 0xB0B0000000000002, 0xC0DE000000000003))
-_UPPER = np.zeros(256, dtype=bool)
-_UPPER[65:91] = True
-_STOP = np.zeros(256, dtype=bool)
-_STOP[[ord(c) for c in ".!?:\n"]] = True
-_DIGIT = np.zeros(256, dtype=bool)
-_DIGIT[48:58] = True
+NUMBER, NAME, UNIT, SIGN = (np.uint64(x) for x in (0xA11CE00000000001, 0xB0B0000000000002, 0xC0DE000000000003, 0x5161000000000004))
+#: The readings of a text, each matched with its like on the other side.
+PLAIN, NUMBERS, NAMES, RUNS, KNOWN, OPENERS = range(6)
+FORMS = (PLAIN, NUMBERS, NAMES)
+
+
+def _bytes(chars: str) -> np.ndarray:
+    found = np.zeros(256, dtype=bool)
+    found[[ord(c) for c in chars]] = True
+    return found
+
+
+_STOP, _DIGIT, _SEPARATOR, _LINK = _bytes(".!?:\n"), _bytes("0123456789"), _bytes(".,/'"), _bytes(" -'")
 _units: list[np.ndarray] = []
 
 
@@ -51,52 +61,111 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def templates(col: pa.Array):
-    """Blocks of (words, template hash of each word, is it a slot, hash of the word itself)."""
+@dataclass
+class Template:
+    """One reading of a block: of each token its row, hash, whether it is a slot, what fills it, and its words."""
+
+    row: np.ndarray
+    hash: np.ndarray
+    slot: np.ndarray
+    value: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray  # tokens per row
+
+
+def _capitals(raw: bytes, low: bytes, at: np.ndarray) -> np.ndarray:
+    """Is the character at each byte offset of ``low`` another one in ``raw``? Lower-casing keeps the number of characters."""
+    changed = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32) != np.frombuffer(low.decode().encode("utf-32-le"), np.uint32)
+    lead = (np.frombuffer(low, np.uint8) & 0xC0) != 0x80
+    return changed[np.cumsum(lead)[at] - 1]
+
+
+def templates(col: pa.Array, forms: list[int]):
+    """Blocks of (words, {form: its Template})."""
     col = pc.fill_null(col, "")
     for w in ta.blocks(col):
         own = w.hashes()
-        form = own.copy()
-        if len(own):
+        n = len(own)
+        if not n:
+            continue
+        none, one = np.zeros(n, dtype=bool), np.ones(n, dtype=np.int64)
+        out = {PLAIN: Template(w.row, own, none, own, one, w.counts)}
+        if forms != [PLAIN]:
+            follows = none.copy()
+            follows[1:] = w.row[1:] == w.row[:-1]
             digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
             number = digits[w.end] - digits[w.start] == w.end - w.start
-            follows = np.zeros(len(own), dtype=bool)
-            follows[1:] = number[:-1] & (w.row[1:] == w.row[:-1])
-            unit = follows & np.isin(own, _unit_hashes())
+            after = follows.copy()
+            after[1:] &= number[:-1]
+            unit = after & ~number & np.isin(own, _unit_hashes())
+            ahead = w.data[w.start - 1]  # what stands before a word; looked at only where something does
+            more = after & number & _SEPARATOR[ahead]
+            more[1:] &= w.start[1:] - w.end[:-1] == 1
+            begins = w.offsets[w.row]
+            sign = number & (w.start > begins) & (ahead == ord("-")) & ((w.start - 1 == begins) | ~ta.IS_WORD[w.data[w.start - 2]])
             part = col.slice(w.first, w.rows)
-            begin = np.frombuffer(part.buffers()[1], dtype=np.int32)[part.offset : part.offset + len(part) + 1]
-            raw = np.frombuffer(part.buffers()[2], dtype=np.uint8)[begin[0] : begin[-1]]
-            # where lower-casing changed a text's length, capitals have no place to be looked up, and it has no names
-            same = np.diff(begin) == np.diff(w.offsets)
-            if not same.all():
-                whole, raw = raw, np.zeros(len(w.data), dtype=np.uint8)
-                for r in np.flatnonzero(same):
-                    raw[w.offsets[r] : w.offsets[r + 1]] = whole[begin[r] - begin[0] : begin[r + 1] - begin[0]]
+            at = np.frombuffer(part.buffers()[1], dtype=np.int32)[part.offset : part.offset + len(part) + 1]
+            capital = _capitals(part.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes(), w.data.tobytes(), w.start) & ~number
             stops = np.concatenate([[0], np.cumsum(_STOP[w.data])])
-            opens = np.ones(len(own), dtype=bool)
-            opens[1:] = (w.row[1:] != w.row[:-1]) | (stops[w.start[1:]] > stops[w.end[:-1]])
-            name = _UPPER[raw[w.start]] & ~opens
-            form[number], form[unit], form[name & ~number] = NUMBER, UNIT, NAME
-        yield w, form, form != own, own
-
-
-def windows(w: ta.Words, form: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the windows that lie in one row and are literal in half their words at least."""
-    n = len(form) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    acc = np.full(n, width, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            acc = acc * ta.P + form[k : k + n]
-    filled = np.concatenate([[0], np.cumsum(slot)])
-    good = (w.row[:n] == w.row[width - 1 :]) & (2 * (filled[width:] - filled[:-width]) <= width)
-    at = np.flatnonzero(good)
-    return at, ta.mix(acc[at])
-
-
-def window_rows(rows: DataFrame, key: str, widths: list[int], whole_only: dict[int, bool], keep: np.ndarray | None) -> DataFrame:
-    """(key, win, pos, names, slots) per window of ``rows(key, text)``; ``keep`` holds the hashes to keep, if given."""
+            opens = ~follows
+            opens[1:] |= stops[w.start[1:]] > stops[w.end[:-1]]
+            apart = np.concatenate([[0], np.cumsum(~_LINK[w.data])])
+            linked = follows.copy()
+            linked[1:] &= apart[w.start[1:]] == apart[w.end[:-1]]
+            with np.errstate(over="ignore"):
+                mine = own + w.row.astype(np.uint64) * ta.P
+            value = np.where(sign, own ^ SIGN, own)
+        for f in forms:
+            if f == PLAIN:
+                continue
+            name = none if f == NUMBERS else capital if f == OPENERS else capital & ~opens
+            if f == KNOWN:
+                name = name | (capital & opens & np.isin(mine, mine[name]))
+            if f != NAMES:
+                name = name & ~unit
+            slot = number | unit | name
+            form = own.copy()
+            form[number], form[unit], form[name] = NUMBER, UNIT, NAME
+            if f == NAMES:
+                out[f] = Template(w.row, form, slot, own, one, w.counts)
+                continue
+            runs = linked & name
+            runs[1:] &= name[:-1]
+            runs |= more
+            first = np.flatnonzero(~runs)
+            filled = value[first]
+            rest = np.flatnonzero(runs)
+            if len(rest):
+                token = np.searchsorted(first, rest, side="right") - 1
+                with np.errstate(over="ignore"):
+                    np.add.at(filled, token, ta.mix(own[rest] + (rest - first[token]).astype(np.uint64) * ta.P))
+            row = w.row[first]
+            out[f] = Template(row, form[first], slot[first], filled, np.diff(np.append(first, n)), np.bincount(row, minlength=w.rows))
+        yield w, {f: out[f] for f in forms}
+
+
+def windows(t: Template, form: int, widths: list[int]):
+    """(width, first token, hash) of the windows of each width that lie in one row and are literal in half their tokens at least."""
+    filled = np.concatenate([[0], np.cumsum(t.slot)])
+    acc = np.full(len(t.hash), form + 1, dtype=np.uint64)
+    for k in range(max(widths)):
+        n = len(t.hash) - k
+        if n <= 0:
+            return
+        with np.errstate(over="ignore"):
+            acc = acc[:n] * ta.P + t.hash[k:]
+        if k + 1 in widths:
+            at = np.flatnonzero((t.row[:n] == t.row[k:]) & (2 * (filled[k + 1 :] - filled[:n]) <= k + 1))
+            with np.errstate(over="ignore"):
+                yield k + 1, at, ta.mix(acc[at] + np.uint64(k + 1))
+
+
+def window_rows(rows: DataFrame, key: str, widths: dict[int, list[int]], shortest: int | None, keep: np.ndarray | None) -> DataFrame:
+    """(key, form, width, win, pos, slots) per window of ``rows(key, text)``; ``keep`` holds the hashes to keep, if given.
+
+    With ``shortest`` the rows are items: of at least so many words, with windows under the largest width only where they
+    are the whole item and half its words are literal; a form that makes no slot of an item says what PLAIN says, and is left out.
+    """
     kind = rows.schema[key].dataType.simpleString()
     bits = None
     if keep is not None:
@@ -108,70 +177,91 @@ def window_rows(rows: DataFrame, key: str, widths: list[int], whole_only: dict[i
         keep, bits = shared.value
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(key))
-            for w, form, slot, own in templates(as_table(batch, "text")):
-                begin = np.cumsum(w.counts) - w.counts
-                for width in widths:
-                    at, h = windows(w, form, slot, width)
-                    if whole_only.get(width):
-                        ok = w.counts[w.row[at]] == width
-                        at, h = at[ok], h[ok]
-                    if keep is not None:
-                        ok = bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                        at, h = at[ok], h[ok]
-                        if len(at):
-                            near = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
-                            ok = keep[near] == h
+            for w, found in templates(as_table(batch, "text"), sorted(widths)):
+                for form, t in found.items():
+                    begin = np.cumsum(t.counts) - t.counts
+                    slots = np.bincount(t.row, weights=t.slot, minlength=w.rows)
+                    bare = w.counts - np.bincount(t.row, weights=t.words * t.slot, minlength=w.rows)
+                    for width, at, h in windows(t, form, widths[form]):
+                        if shortest is not None:
+                            r = t.row[at]
+                            ok = (w.counts[r] >= shortest) & ((form == PLAIN) | (slots[r] > 0))
+                            if width < max(widths[form]):
+                                ok &= (t.counts[r] == width) & (2 * bare[r] >= w.counts[r])
+                            at, h = at[ok], h[ok]
+                        if keep is not None:
+                            ok = bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
                             at, h = at[ok], h[ok]
-                    if not len(at):
-                        continue
-                    places = at[:, None] + np.arange(width)
-                    filled = slot[places]
-                    offsets = np.concatenate([[0], np.cumsum(filled.sum(axis=1))]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(w.first + w.row[at])), pa.array(h.view(np.int64)), pa.array(at - begin[w.row[at]]),
-                            pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[places[filled]].view(np.int64))),
-                        ],
-                        names=[key, "win", "pos", "slots"],
-                    )
-
-    return rows.mapInArrow(of, f"{key} {kind}, win long, pos long, slots array<long>")
+                            if len(at):
+                                near = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
+                                ok = keep[near] == h
+                                at, h = at[ok], h[ok]
+                        if not len(at):
+                            continue
+                        places = at[:, None] + np.arange(width)
+                        filled = t.slot[places]
+                        offsets = np.concatenate([[0], np.cumsum(filled.sum(axis=1))]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                ids.take(pa.array(w.first + t.row[at])), pa.array(np.full(len(at), form, np.int32)), pa.array(np.full(len(at), width, np.int32)),
+                                pa.array(h.view(np.int64)), pa.array(at - begin[t.row[at]]),
+                                pa.ListArray.from_arrays(pa.array(offsets), pa.array(t.value[places[filled]].view(np.int64))),
+                            ],
+                            names=[key, "form", "width", "win", "pos", "slots"],
+                        )
+
+    return rows.mapInArrow(of, f"{key} {kind}, form int, width int, win long, pos long, slots array<long>")
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, shortest: int = 5, coverage: float = 0.5, broadcast_windows: int = 500_000
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, shortest: int = 5, coverage: float = 0.5, broadcast_windows: int = 500_000, reach: int = 8
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, same_slots) for every document that holds an item's template.
 
-    ``coverage`` is the least share of the item's windows that one diagonal must match; ``same_slots`` tells a
-    copy from a re-parameterised one.
+    ``coverage`` is the least share of the item's windows, in the form that matches best, that one diagonal must match together
+    with those at most ``reach`` from it whose slots agree; ``same_slots`` tells a copy from a re-parameterised one.
     """
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    words = F.regexp_count(F.lower("text"), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"))
-    short = sorted(r[0] for r in items.select(words.alias("n")).where((F.col("n") >= shortest) & (F.col("n") < window)).distinct().collect())
-    widths = [*short, window]  # under `window` numbers
-    own = window_rows(items, "item_id", widths, {n: True for n in short}, None).select(
-        "item_id", "win", F.col("pos").alias("at"), F.col("slots").alias("asked")
+    own = window_rows(items, "item_id", {f: list(range(1, window + 1)) for f in FORMS}, shortest, None).select(
+        "item_id", "form", "width", "win", F.col("pos").alias("at"), F.col("slots").alias("asked")
     ).distinct()
     own = checkpointed(own)
+    widths: dict[int, list[int]] = {}
+    for form, width in own.select("form", "width").distinct().collect():  # FORMS by `window` rows at most
+        widths.setdefault(form, []).append(width)
+    own = own.drop("width")
     keep = None
     if own.count() <= broadcast_windows:
         keep = np.unique(own.select("win").toArrow().column(0).to_numpy().view(np.uint64))
         keep = keep if len(keep) else np.zeros(1, dtype=np.uint64)
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    found = window_rows(texts, "doc_id", widths, {}, keep)
-    size = own.groupBy("item_id").agg(F.countDistinct("at").alias("size"))
+    found = window_rows(texts, "doc_id", widths or {PLAIN: [window]}, None, keep).select("doc_id", "win", "pos", "slots")
+    size = own.groupBy("item_id", "form").agg(F.countDistinct("at").alias("size"))
     pairs = found.join(own if keep is None else F.broadcast(own), "win").select(
-        "doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("diagonal"),
+        "doc_id", "item_id", "form", "at", (F.col("pos") - F.col("at")).alias("diagonal"),
         F.arrays_zip(F.col("asked").alias("asked"), F.col("slots").alias("got")).alias("fills"),
     )
-    # one row per item, document and diagonal: an item's windows bound the sets
-    runs = pairs.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.countDistinct("at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("fills"))).alias("fills")
-    ).withColumn("askeds", F.transform("fills", lambda x: x["asked"]))
-    steady = F.size(F.array_distinct("askeds")) == F.size("fills")
-    same = F.forall("fills", lambda x: x["asked"] == x["got"])
-    best = runs.where(steady).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", same.alias("same_slots"))).alias("best"))
-    return best.join(size, "item_id").select(
-        "doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), (F.col("best.n_windows") / F.col("size")).alias("coverage"), F.col("best.same_slots").alias("same_slots")
-    ).where(F.col("coverage") >= coverage)
+    # one row per item, form, document and diagonal: an item's windows bound the sets
+    runs = pairs.groupBy("doc_id", "item_id", "form", "diagonal").agg(
+        F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("fills"))).alias("fills")
+    ).where(_steady(F.col("fills")))
+    # every diagonal takes the windows of its neighbours, nearest first, as long as their slots agree
+    around = Window.partitionBy("doc_id", "item_id", "form").orderBy("diagonal").rangeBetween(-reach, reach)
+    near = runs.withColumn("near", F.collect_list(F.struct("diagonal", "ats", "fills")).over(around))
+    nearest = F.array_sort(F.transform("near", lambda x: F.struct(F.abs(x["diagonal"] - F.col("diagonal")).alias("off"), x["diagonal"].alias("diagonal"), x["ats"].alias("ats"), x["fills"].alias("fills"))))
+
+    def take(held, x):
+        both = F.array_union(held["fills"], x["fills"])
+        return F.when(_steady(both), F.struct(F.array_union(held["ats"], x["ats"]).alias("ats"), both.alias("fills"))).otherwise(held)
+
+    all_of = F.when(F.size("near") == 1, F.struct("ats", "fills")).otherwise(F.aggregate(nearest, F.struct("ats", "fills"), take))
+    share = near.select("doc_id", "item_id", "form", all_of.alias("held")).select(
+        "doc_id", "item_id", "form", F.size("held.ats").cast("long").alias("n_windows"), F.forall("held.fills", lambda x: x["asked"] == x["got"]).alias("same_slots")
+    ).join(F.broadcast(size) if keep is not None else size, ["item_id", "form"]).withColumn("coverage", F.col("n_windows") / F.col("size"))
+    best = share.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "same_slots", "n_windows")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_windows", "best.coverage", "best.same_slots").where(F.col("coverage") >= coverage)
+
+
+def _steady(fills: Column) -> Column:
+    """Does each slot value of the item stand for one value of the document?"""
+    return F.size(F.array_distinct(F.transform(fills, lambda x: x["asked"]))) == F.size(fills)

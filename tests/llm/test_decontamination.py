@@ -57,3 +57,14 @@ def test_a_text_whose_length_changes_in_lower_case_leaves_others_alone(spark):
     docs = [(1, "İİ " + "word " * 20, None), (2, f"See that {other}", None), (3, f"İ x. {ITEM.replace('in Paris', 'in paris').replace('to Bob', 'to bob')}", None)]
     got = found(spark, docs, [(1, ITEM, None)])
     assert (2, 1) in got and (1, 1) not in got
+
+
+def test_verbatim_copies_in_another_case_or_beside_a_character_that_changes_length(spark):
+    other = ITEM.replace("Anna", "Carl").replace("Paris", "Rome").replace("12 kg", "3 lb").replace("Bob", "Dan")
+    docs = [(1, ITEM.upper(), None), (2, ITEM.lower(), None), (3, f"See 20 K, İ and ẞ. So {other}", None), (4, f"see that {ITEM.lower().replace('12', '31')}", None)]
+    for bound in (500_000, 0):
+        got = found(spark, docs, [(1, ITEM, None)], broadcast_windows=bound)
+        assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+        assert [got[(k, 1)]["same_slots"] for k in (1, 2, 3, 4)] == [True, True, False, False]
+    digits = "7 8 9 10 11 and 12 13 14 15 16 17 18"
+    assert set(found(spark, [(1, f"so {digits}", None)], [(1, digits, None)])) == {(1, 1)}
