@@ -41,8 +41,7 @@ UNITS = (
 )
 NUMBER, NAME, UNIT, SIGN = (np.uint64(x) for x in (0xA11CE00000000001, 0xB0B0000000000002, 0xC0DE000000000003, 0x5161000000000004))
 #: The readings of a text, each matched with its like on the other side.
-PLAIN, NUMBERS, NAMES, RUNS, KNOWN, OPENERS = range(6)
-FORMS = (PLAIN, NUMBERS, NAMES)
+PLAIN, NUMBERS, NAMES, RUNS, KNOWN, OPENERS = FORMS = range(6)
 
 
 def _bytes(chars: str) -> np.ndarray:

@@ -68,3 +68,30 @@ def test_verbatim_copies_in_another_case_or_beside_a_character_that_changes_leng
         assert [got[(k, 1)]["same_slots"] for k in (1, 2, 3, 4)] == [True, True, False, False]
     digits = "7 8 9 10 11 and 12 13 14 15 16 17 18"
     assert set(found(spark, [(1, f"so {digits}", None)], [(1, digits, None)])) == {(1, 1)}
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Sara gives Tom 3 more. How many apples does Tom have now?"
+    ask = lambda a, b, x, y: f"{a} has {x} apples. {b} gives {a} {y} more. How many apples does {a} have now?"
+    docs = [(1, ask("Ben", "Lucy", 9, 4), None), (2, ask("Mary Ann", "Dr Lucy Hill", "1,200", "-4.5"), None), (3, "Note that " + ask("Émile", "Zoë", 9, 4), None), (4, ask("Ben", "Lucy", 9, 4).replace("does Ben", "does Lucy").replace("gives Ben", "gives Al"), None)]
+    got = found(spark, docs, [(1, item, None)])
+    assert set(got) == {(1, 1), (2, 1), (3, 1)} and not any(r["same_slots"] for r in got.values())
+
+
+def test_numbers_and_names_of_other_lengths(spark):
+    ask = lambda who, x, y, z: f"a train left from {who} at 60 and then went on for {x} miles until it came to {y} and there it stood for {z} hours in the rain".replace("60", str(x))
+    docs = [(1, ask("Rome", "1,200", "New York City", "45.5"), None), (2, ask("Los Angeles", "7/8", "Bath", "3"), None)]
+    got = found(spark, docs, [(1, ask("Paris", "60", "Lyon", "40"), None)])
+    assert set(got) == {(1, 1), (2, 1)}
+
+
+def test_neighbouring_diagonals_count_together(spark):
+    longer = ITEM.replace("and then", "and quickly then")  # 5 windows before the word, 4 after, of 16
+    other = longer.replace("Anna", "Carl").replace("12 kg", "3 lb").replace("7 of", "8 of").replace("Bob", "Dan")
+    got = found(spark, [(1, longer, None), (2, other, None)], [(1, ITEM, None)])
+    assert {k: r["n_windows"] for k, r in got.items()} == {(1, 1): 9, (2, 1): 9} and got[(1, 1)]["same_slots"] and not got[(2, 1)]["same_slots"]
+
+
+def test_two_questions_asked_again_side_by_side(spark):
+    ask = lambda x, y: f"take {x} of the red balls and put {x} of the blue balls into the {y} boxes"
+    assert set(found(spark, [(1, f"{ask(8, 3)} {ask(9, 4)}", None)], [(1, ask(5, 2), None)])) == {(1, 1)}
