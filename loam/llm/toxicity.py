@@ -42,14 +42,18 @@ SUBSTITUTE, DROP_REPEAT, DROP_SEPARATOR, DROP_SIGN, DROP_LAST_SIGN = 1.0, 0.5, 0
 PREFIXES = (4, 5, 6, 7, 8)
 
 _SIGN = "[0-9@$!|+€(*]"
-#: Letters one by one, set apart by one sign each.
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
+_SINGLE = r"[^\W\d_]|[0-9@$!|+€(]"
+_SPACED = r"(?<![^\W_])(?:(?:{0})[ .\-_*]{1}){{3,}}(?:{0})(?![^\W_])"
+#: Letters one by one, set apart by one sign each; then letters or signs for them; then those, set apart by any number of signs.
+SPACED = [re.compile(_SPACED.format(*x)) for x in ((r"[^\W\d_]", ""), (_SINGLE, ""), (_SINGLE, "+"))]
 #: A sign beside a letter, a sign between letters, or a letter three times.
 DISGUISED = re.compile(rf"[^\W\d_]{_SIGN}|{_SIGN}[^\W\d_]|[^\W\d_][._-][^\W\d_]|([^\W\d_])\1\1")
-#: For whole columns at once: every row with a disguised stretch passes this, and only these are searched.
+_LETTER = r"a-zA-Z\x{80}-\x{10FFFF}"  # and more: all that [^\W\d_] takes
+#: For whole columns at once: every row with a disguised stretch passes this or ``tripled``, and only these are searched.
 MAYBE = "|".join(
     [
-        r"\pL[0-9@$!|+€(*]+\pL", r"[0-9@$!|+€(*]\pL", r"\pL[._-]\pL", r"(^|[^\pL])\pL[ .\-_*]\pL[ .\-_*]\pL[ .\-_*]\pL([^\pL]|$)",
+        rf"[{_LETTER}]{_SIGN}", rf"{_SIGN}[{_LETTER}]", rf"[{_LETTER}][._-][{_LETTER}]",
+        rf"[{_LETTER}0-9@$!|+€(][ .\-_*]+" * 3 + rf"[{_LETTER}0-9@$!|+€(]",
         *(f"{chr(c)}{{3}}" for c in range(97, 123)),
     ]
 )
@@ -94,7 +98,7 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 def restore(word: str, cost: list) -> str:
     """The cheapest reading of one disguised stretch; states are the classes of the last two letters read."""
-    spaced = SPACED.fullmatch(word) is not None
+    spaced = any(p.fullmatch(word) for p in SPACED)
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     before, last = "", len(word.rstrip("!|+*(€$@")) - 1  # signs after it are marks more likely than letters
     for k, c in enumerate(word):
@@ -121,9 +125,37 @@ def restore(word: str, cost: list) -> str:
     return min(((t + cost[a][b][0], out) for (a, b), (t, out) in states.items()), default=(0.0, word))[1]
 
 
+def stretches(text: str) -> list[str]:
+    """What is set apart letter by letter, each also without its first letter, which may be a word: "a 1 d 1 0 t". Digits alone are numbers."""
+    out: dict[str, None] = {}
+    for pattern in SPACED:
+        for m in pattern.finditer(text):
+            for got in (m.group(0), re.sub(r"^.[ .\-_*]+", "", m.group(0))):
+                if any(c.isalpha() for c in got) and any(p.fullmatch(got) for p in SPACED):
+                    out[got] = None
+    return list(out)
+
+
+def tripled(low: pa.Array) -> np.ndarray:
+    """Which rows hold a character beyond ASCII three times in a row?"""
+    offsets = np.frombuffer(low.buffers()[1], dtype=np.int32)[low.offset : low.offset + len(low) + 1]
+    out = np.zeros(len(low), dtype=bool)
+    if low.buffers()[2] is None:
+        return out
+    data = np.frombuffer(low.buffers()[2], dtype=np.uint8)[: offsets[-1]]
+    beyond = np.flatnonzero(data >= 0xC0)
+    for size, least, most in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        at = beyond[(data[beyond] >= least) & (data[beyond] < most) & (beyond >= offsets[0]) & (beyond + 3 * size <= len(data))]
+        for k in range(2 * size):
+            at = at[data[at + k] == data[at + k + size]]
+        row = np.searchsorted(offsets, at, side="right") - 1
+        out[row[at + 3 * size <= offsets[row + 1]]] = True
+    return out
+
+
 def restored(text: str, cost: list, memo: dict[str, str]) -> list[str]:
     """The readings of the disguised stretches of a text, each also with its double letters made single."""
-    found = [m.group(0) for m in SPACED.finditer(text)]
+    found = stretches(text)
     found += [t for t in (x.strip(".,;:?\"'()[]{}<>") for x in text.split()) if DISGUISED.search(t)]
     out = []
     for got in found:
@@ -139,7 +171,7 @@ def restored(text: str, cost: list, memo: dict[str, str]) -> list[str]:
 def features(col: pa.Array, cost: list, memo: dict[str, str]):
     """Blocks of (first row, rows, row of each feature, 64-bit feature), repeats kept."""
     low = pc.utf8_lower(pc.fill_null(col, ""))
-    maybe = pc.match_substring_regex(low, MAYBE).to_numpy(zero_copy_only=False)
+    maybe = pc.match_substring_regex(low, MAYBE).to_numpy(zero_copy_only=False) | tripled(low)
     extra: dict[int, str] = {}
     for i in np.flatnonzero(maybe):
         if got := restored(low[int(i)].as_py(), cost, memo):

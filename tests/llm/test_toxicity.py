@@ -67,3 +67,33 @@ def test_logistic_fits():
     row, col = np.array([0, 1, 2, 3]), np.array([0, 0, 1, 1])
     w, b = tx.fit_logistic(row, col, np.array([1.0, 1.0, 0.0, 0.0]), 2)
     assert w[0] + b > 1 > -1 > w[1] + b
+
+
+@pytest.mark.parametrize("word", ["i d i 0 t", "1 d 1 0 t", "1  d  1  0  t", "i - d - i - o - t", "a 1 d 1 0 t", "1 d 1 0 t   a b c d", "7 8 i d i o t"])
+def test_restores_spaced_signs(word, cost):
+    assert "idiot" in " ".join(tx.restored(f"that {word}, so", cost, {})).split()
+
+
+def test_numbers_set_apart_are_left_alone(cost):
+    assert tx.restored("1 2 3 4 5 and 1.2.3.4", cost, {}) == []
+
+
+def test_every_disguised_stretch_passes_the_prefilter(cost):
+    words = ["hat3", "ki11", "a55", "a$$", "di3", "useles5", "éééé", "жжж", "𝒳𝒳𝒳", "aaa", "²0", "é€", "1d10t", "x-y", "i d i 0 t", "1  d  1  0  t", "é é é 1", "a * b * 1 * ½", "t|", "*a"]
+    words += [a + s for a in "aéж" for s in tx.STANDS_FOR] + [s + a for a in "aéж" for s in tx.STANDS_FOR]
+    found = [bool(tx.stretches(w) or tx.DISGUISED.search(w)) for w in words]
+    assert all(found)
+    col = pa.array(["skipped", *words, None, "plain", "éé é"])[1:]
+    passes = tx.pc.match_substring_regex(tx.pc.fill_null(col, ""), tx.MAYBE).to_numpy(zero_copy_only=False) | tx.tripled(tx.pc.fill_null(col, ""))
+    assert passes.tolist() == [True] * len(words) + [False] * 3
+    for w in words:  # read alike alone and beside other text
+        alone = {int(f) for *_, fs in tx.features(pa.array([w]), cost, {}) for f in fs}
+        beside = {int(f) for *_, fs in tx.features(pa.array([f"1d10t , {w}"]), cost, {}) for f in fs}
+        assert alone <= beside, w
+
+
+def test_signs_at_the_end_score_like_letters(spark):
+    docs, model = model_on(spark, "/root/testdata/sf0.01")
+    table = model.cost.tolist()
+    hidden, clean = model.scores(pa.array(["the idi0t and the 1 d 1 0 t", "1 2 3 4 and of that!"]), table, {})
+    assert clean < 0.5 <= hidden
