@@ -3,7 +3,9 @@
 A text is cut into sentences (at line ends, and at ``.``, ``;`` or ``:`` before white space), each is normalised (lower case,
 other than letters and digits to one space) and looked up among known licence sentences. The identifiers of a text, in order,
 are held against the rules in the order of ``RULES``: a rule is a sequence of identifiers that must follow each other,
-with no other known sentence between. The first rule that matches at a place takes its sentences.
+with no other known sentence between. The first rule that matches at a place takes its sentences. The long sentences of licences (``LONG``)
+are found before the cut, whatever line ends and comment signs stand between their words; the SQL has only the cut, and
+says the same where no text holds such a sentence wrapped or at full length.
 
 All of it is DataFrame operations. The two dictionaries are fixed lists of this module, so their size is known; sentences of a
 text are filtered against them where they are read, so only hits are ever exploded, grouped or shuffled.
@@ -71,22 +73,61 @@ RULES = [
     ("CC-BY-SA-4.0", ("cc-by-sa-4.0-notice",)),
     ("LicenseRef-all-rights-reserved", ("all-rights-reserved",)),
 ]
+#: Long sentences as licences have them, over lines and behind comment signs; (words, sentences of SENTENCES they are).
+#: What stands between tildes may be missing; ``...`` is any name.
+LONG = [
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction~ including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so~ subject to the following conditions~", ("mit-grant",)),
+    ("the above copyright notice and this permission notice~ including the next paragraph~ shall be included in all copies or substantial portions of the software", ("mit-condition",)),
+    ("the software is provided as is without warranty of any kind express or implied~ including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement~", ("mit-warranty",)),
+    ("licensed under the apache license version 2 0 the license", ("apache-2.0-notice",)),
+    ("you may not use this file except in compliance with the license", ("apache-2.0-compliance",)),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis~ without warranties or conditions of any kind either express or implied~", ("apache-2.0-warranty",)),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("bsd-grant",)),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("bsd-source",)),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("bsd-binary",)),
+    ("neither the name of ... nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("bsd-endorse",)),
+    ("this software is provided by the copyright holders and contributors as is and any express or implied warranties~ including but not limited to the implied warranties of merchantability and fitness for a particular purpose~ are disclaimed", ("bsd-warranty",)),
+    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gpl-redistribute", "gpl-3.0-or-later")),
+    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gpl-redistribute", "gpl-2.0-or-later")),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mpl-2.0-notice",)),
+]
 #: Ends a sentence besides a line feed.
 END = r"[.;:]([ \t\n\r\f]|$)"
 #: A sentence that any dictionary entry could be holds one of these words; other texts are not cut at all.
 HINT = r"(?i)licen|permission|warrant|copyright|redistribut|software|rights reserved"
 
 
-def sentences(text: Column) -> Column:
+def long_pattern(words: str) -> str:
+    """The words with anything but letters and digits between them, so line ends and comment signs too."""
+    gap = "[^a-z0-9]+"
+    parts = []
+    for k, part in enumerate(words.split("~")):
+        part = gap.join(part.split()).replace("...", ".{1,120}?")
+        parts.append(part if k == 0 else f"(?:{gap}{part})?" if k % 2 else gap + part if part else "")
+    return f"(?s)(?<![a-z0-9]){''.join(parts)}(?![a-z0-9])"
+
+
+def unwrapped(low: Column, known: dict[str, str]) -> Column:
+    """The lower-cased text with each of ``LONG`` on lines of its own, as ``known`` has it; other text stays as it is."""
+    by_id: dict[str, str] = {}
+    for sentence, i in known.items():
+        by_id.setdefault(i, sentence)
+    for words, ids in LONG:
+        if all(i in by_id for i in ids):
+            low = F.regexp_replace(low, long_pattern(words), "\n" + "\n".join(by_id[i] for i in ids) + "\n")
+    return low
+
+
+def sentences(text: Column, known: dict[str, str] = SENTENCES) -> Column:
     """The normalised sentences of a text, in order, without those of no letter or digit."""
-    cut = F.transform(F.split(F.regexp_replace(F.lower(text), END, "\n"), "\n"), lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
+    cut = F.transform(F.split(F.regexp_replace(unwrapped(F.lower(text), known), END, "\n"), "\n"), lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
     return F.filter(cut, lambda s: s != "")
 
 
 def identifiers(text: Column, known: dict[str, str]) -> Column:
     """The identifiers of a text's known sentences, in order: array<struct<at, id>>."""
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    placed = F.transform(sentences(text), lambda s, i: F.struct(i.alias("at"), F.try_element_at(table, s).alias("id")))
+    placed = F.transform(sentences(text, known), lambda s, i: F.struct(i.alias("at"), F.try_element_at(table, s).alias("id")))
     return F.filter(placed, lambda x: x["id"].isNotNull())
 
 
