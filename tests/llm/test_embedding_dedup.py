@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from loam.llm import embedding_dedup as ed
 
@@ -49,30 +50,86 @@ def test_blocks_change_nothing(spark):
     assert result(ed.near_duplicates(df)) == result(ed.near_duplicates(df, block=5, cell_rows=50))
 
 
-def test_recall_at_the_threshold():
-    """Pairs at a cosine of exactly 0.9 meet in some table as often as asked for."""
-    rng = np.random.RandomState(5)
-    x = rng.standard_normal((3000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = rng.standard_normal(x.shape)
+def at_threshold(x, rng, within=None):
+    """For each row one at a cosine of exactly 0.9, in any direction or in those that ``within`` spans."""
+    y = rng.standard_normal(x.shape) if within is None else rng.standard_normal((len(x), len(within))) @ within
     y -= (x * y).sum(axis=1, keepdims=True) * x
-    y = 0.9 * x + math.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    tables, width = ed.tables_for(50_000, 0.9, 0.97)
-    d = ed.learn(x, tables * width)
-    same = ((x @ d > 0) == (y @ d > 0)).reshape(len(x), tables, width).all(axis=2).any(axis=1)
+    return 0.9 * x + math.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("shape", ["isotropic", "off centre", "low rank", "off centre and low rank", "one cluster"])
+def test_recall_at_the_threshold(shape):
+    """Pairs at a cosine of exactly 0.9 meet in some table as often as asked for, wherever the data lie; bits are balanced."""
+    rng = np.random.RandomState(5)
+    basis = rng.standard_normal((10, 64)) if "low rank" in shape else None
+    x = rng.standard_normal((4000, 64)) if basis is None else rng.standard_normal((4000, 10)) @ basis
+    x = unit_rows(x)
+    if "centre" in shape:
+        x = unit_rows(x + 0.8 * x[0])
+        basis = None if basis is None else np.vstack([basis, x[:1]])
+    if shape == "one cluster":
+        x[:2500] = unit_rows(x[0] + 0.02 * rng.standard_normal((2500, 64)))
+    directions, cuts, tables, width = ed.fit(x[:2000], 50_000, 0.9, 0.98, 256, 128)
+    fresh = x[2000:]
+    y = at_threshold(fresh, rng, basis)
+    same = ((fresh @ directions > cuts) == (y @ directions > cuts)).reshape(len(fresh), tables, width).all(axis=2).any(axis=1)
     assert same.mean() > 0.93
-    assert abs((x @ d > 0).mean(axis=0) - 0.5).max() < 0.05
+    if shape != "one cluster":
+        assert abs((x @ directions > cuts).mean(axis=0) - 0.5).mean() < 0.1
+
+
+def test_random_directions_reach_the_recall():
+    rng = np.random.RandomState(6)
+    x = unit_rows(rng.standard_normal((3000, 40)))
+    y = at_threshold(x, rng)
+    directions, cuts, tables, width = ed.by_angle(40, 50_000, 0.9, 0.98, 256)
+    assert ((x @ directions > cuts) == (y @ directions > cuts)).reshape(len(x), tables, width).all(axis=2).any(axis=1).mean() > 0.95
+    assert ed.by_angle(40, 200, 0.9, 0.98, 256)[2:] == (1, 0)
+
+
+def test_off_centre_vectors_equal_brute_force(spark):
+    rng = np.random.RandomState(8)
+    x = unit_rows(unit_rows(rng.standard_normal((1500, 24))) + 2.0 * np.eye(24)[0])
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    got = result(ed.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)))
+    want = brute(rows)
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values()) > 100
+    assert all(got[i][0] <= want[i][0] for i in want)
 
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 1), (3, None, 0), (4, [], 0), (5, [0.0, 0.0], 0), (6, [nan, 1.0], 0), (7, [inf, 1.0], 0), (8, [None, 1.0], 0), (9, [1.0], 0), (None, [1.0, 0.0], 0), (2, [1.0, 0.01], 1)]
-    got = ed.near_duplicates(spark.createDataFrame(rows, SCHEMA))
-    assert result(got) == {1: (1, 1), 2: (1, 1), **{i: (0, i) for i in range(3, 10)}}
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in ed.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    want = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), *((i, 0, i, True) for i in range(3, 10)), (None, 3, 1, False)]
+    assert got == sorted(want, key=str)
     assert ed.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert result(ed.near_duplicates(spark.createDataFrame(rows[2:5], SCHEMA))) == {3: (0, 3), 4: (0, 4), 5: (0, 5)}
 
 
+def test_lengths_repeated_ids_and_null_ids(spark):
+    """Vectors link with those of their own length, whichever is commonest; each row of an id is a vector."""
+    rows = [(i, [float(i % 7 + 1), 1.0, float(i)], 0) for i in range(1, 30)] + [(100, [1.0, 0.0], 0), (101, [2.0, 0.0], 0), (102, [5.0], 0), (103, [0.1], 0)]
+    rows += [(200, [0.0, 0.0, -1.0], 0), (200, [0.0, -1.0, 0.0], 0), (201, [0.0, -2.0, 0.0], 0), (None, [-1.0, 0.0, 0.0], 0), (None, [-3.0, 0.0, 0.0], 0)]
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in ed.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(rows)
+    for one in ((100, 1, 100, True), (101, 1, 100, False), (102, 1, 102, True), (103, 1, 102, False), (200, 0, 200, True), (200, 1, 200, True), (201, 1, 200, False)):
+        assert one in got
+    assert got.count((None, 1, None, True)) == 2
+    three = {r[0]: r[1:3] for r in got if r[0] is not None and r[0] < 100}
+    assert three == brute([(i, v) for i, v, _ in rows[:29]])
+
+
+def test_other_columns_and_other_types_of_id(spark):
+    schema = "vec_id string, embedding array<double>, node long, h1 string, v string, first int, keys array<int>, t int"
+    rows = [("b", [1.0, 0.0], 1, "x", "y", 2, [1], 3), ("a", [1.0, 0.001], 1, None, None, None, None, None), ("c", [0.0, 1.0], 1, "x", "y", 2, [1], 3)]
+    assert result(ed.near_duplicates(spark.createDataFrame(rows, schema))) == {"a": (1, "a"), "b": (1, "a"), "c": (0, "c")}
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert result(ed.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))) == brute(rows)
