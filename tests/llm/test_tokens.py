@@ -73,7 +73,7 @@ def test_odd_tables(spark):
     with pytest.raises(ValueError):
         tc.token_counts(frame(spark), rule="other")
     rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
-    assert tc.token_counts(rows).count() == 3 and to.training_order(rows).count() == 3
+    assert tc.token_counts(rows).count() == 3 and sum(len(r["doc_ids"]) for r in to.training_order(rows).collect()) == 3
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 65_537])
@@ -84,25 +84,61 @@ def test_feistel_permutes(n):
         assert list(got) != list(range(n)) and list(got) != list(to.feistel(np.arange(n), n, key=10))
 
 
+def texts_of(rows, end):
+    """{doc_id: token ids} from packed sequences in order of their numbers; a document that goes on starts the next sequence."""
+    out, held = [], []
+    for r in rows:
+        ids = np.frombuffer(r["tokens"], "<u2")[: r["n_tokens"]].tolist()
+        for doc_id, a, b in zip(r["doc_ids"], r["starts"], [*r["starts"][1:], r["n_tokens"]], strict=True):
+            held += ids[a:b]
+            if held[-1] == end:
+                out.append((doc_id, held))
+                held = []
+    assert not held
+    return out
+
+
+def test_sequences_are_packed_whole_texts(spark, tok):
+    rows = to.packed(frame(spark), 16, tk.VOCABULARY, bucket_docs=2).orderBy("bucket", "at").collect()
+    got = texts_of(rows, tok.end)
+    assert sorted(i for i, _ in got) == [i for i, t in TEXTS.items() if t]
+    assert all(tok.encoding.decode(ids[:-1]) == TEXTS[i] for i, ids in got)
+    last = {r["bucket"]: r["at"] for r in rows}
+    assert all(r["n_tokens"] == 16 for r in rows if r["at"] != last[r["bucket"]]) and len(last) > 1
+
+
 def test_shards_round_trip(spark, tok, tmp_path):
-    ordered = to.training_order(frame(spark), length=16, shard_slots=8)
-    rows = ordered.collect()
+    how = {"length": 16, "shard_slots": 8}
+    rows = to.training_order(frame(spark), **how).collect()
     n = len(rows)
     assert sorted(r["slot"] for r in rows) == list(range(n))
     assert all((r["shard"], r["offset"]) == (r["slot"] // 8, r["slot"] % 8 * 32) and len(r["tokens"]) == 32 for r in rows)
-    texts = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["seq"])):
-        texts.setdefault(r["doc_id"], []).extend(np.frombuffer(r["tokens"], "<u2")[: r["n_tokens"]].tolist())
-    assert set(texts) == {i for i, t in TEXTS.items() if t}
-    for i, ids in texts.items():
-        assert ids[-1] == tok.end and tok.encoding.decode(ids[:-1]) == TEXTS[i]
     folder = str(tmp_path / "shards")
-    to.write_shards(ordered, folder)
+    to.write_shards(frame(spark), folder, **how)
     by_slot = {r["slot"]: bytes(r["tokens"]) for r in rows}
-    assert list(to.read_slots(folder, 0, n, 8, 32)) == [by_slot[s] for s in range(n)]
+    assert list(to.read_slots(folder, 0, n)) == [by_slot[s] for s in range(n)] and list(to.read_slots(folder, 7, 18)) == [by_slot[s] for s in range(7, 18)]
     (tmp_path / "shards" / "shard-00000000.bin").unlink()
-    to.write_shards(ordered, folder)  # resumes: only what is missing is written
-    assert next(to.read_slots(folder, 0, 1, 8, 32)) == by_slot[0]
+    kept = (tmp_path / "shards" / "shard-00000001.bin").stat().st_mtime_ns
+    to.write_shards(frame(spark).repartition(5), folder, **how)  # resumes from other partitions: only what is missing is written
+    assert list(to.read_slots(folder, 0, n)) == [by_slot[s] for s in range(n)] and (tmp_path / "shards" / "shard-00000001.bin").stat().st_mtime_ns == kept
+    for other in ({"key": 1}, {"length": 8}):
+        with pytest.raises(ValueError):
+            to.write_shards(frame(spark), folder, **(how | other))
+    with pytest.raises(ValueError):
+        to.write_shards(frame(spark, {**TEXTS, 1: "changed"}), folder, **how)
+
+
+def test_slots_do_not_depend_on_partitions(spark):
+    rows = [(i % 90, f"text {i % 100} " * (i % 40 + 1)) for i in range(240)] + [(None, "alike")] * 60 + [(7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def slots(d, **how):
+        made = to.packed(d, 16, tk.VOCABULARY, 40, **how)
+        return sorted((r["slot"], r["doc_ids"], bytes(r["tokens"])) for r in to.arranged(made, made.count(), 16, 8, 5, tk.VOCABULARY).collect())
+
+    two = slots(df.repartition(2), crowd=10)
+    assert two == slots(df.repartition(5), crowd=10) and sum(x[1].count(None) for x in two) >= 60
+    assert slots(df.repartition(2)) == slots(df.repartition(5, "text"))
 
 
 def test_partitions_are_ranges_of_slots(spark):
@@ -110,4 +146,21 @@ def test_partitions_are_ranges_of_slots(spark):
     parts = {}
     for r in df.collect():
         parts.setdefault(r["p"], []).append(r["slot"])
-    assert all(p == sorted(p) and p[0] // 8 == p[-1] // 8 for p in parts.values())
+    ranges = sorted((p[0], p[-1]) for p in parts.values())
+    assert all(p == sorted(p) for p in parts.values()) and all(a[1] < b[0] and b[0] % 8 == 0 for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_long_runs_of_white_space(spark, tok):
+    for blank in (" ", "\n", " \n", "\u3000", "\t \x85"):
+        for text in ("x" + blank * 5000 + "y", blank * 5000, "a  b" + blank * 4096 + " é" + blank * 9000 + "!", blank * 4095 + "z"):
+            assert tok.encode(text).tolist() == tok.encoding.encode_ordinary(text)
+    assert tok.encode("a" + "\x1c" * 5000 + "b").tolist() == tok.encoding.encode_ordinary("a" + "\x1c" * 5000 + "b")
+    rows = spark.createDataFrame([(1, "x")], "doc_id long, text string").select("doc_id", F.concat(F.repeat(F.lit(" "), 5_000_000), F.lit("end")).alias("text"))
+    got = tc.token_counts(rows).first()
+    assert got["n_tokens"] == got["doc_tokens"] > 1_000_000
+    assert to.packed(rows, 1024, tk.VOCABULARY).agg(F.sum("n_tokens")).first()[0] == got["n_tokens"] + 1
+
+
+def test_other_columns_and_other_types_of_id(spark):
+    df = spark.createDataFrame([("k", "some text", 1, "x", 2), (None, "more", 3, None, 4)], "doc_id string, text string, bucket int, h string, copy int")
+    assert sorted(x for r in to.training_order(df).collect() for x in r["doc_ids"] if x) == ["k"] and tc.token_counts(df).count() == 2
