@@ -5,7 +5,7 @@ over the whole corpus by distinct repositories and owners: a value that many own
 a single owner has is that owner's, and looks live.
 
 All of it is DataFrame operations. A row is searched for a kind only if it holds the kind's pattern at all; the spans come from the
-matches and the gaps between them, whose lengths in code points sum up to places. Only hashes are shuffled, counted by (hash,
+matches and the gaps between them, whose lengths in code points sum up to places, in time linear in the matches. Only hashes are shuffled, counted by (hash,
 owner, repository) before (hash): a value in every document is one partial sum per task.
 
 Defined cases: a null text is empty; empty texts have no spans; null owners and repositories are values of their own; repeated rows are scanned
@@ -42,22 +42,38 @@ KINDS = [k[0] for k in (*BASE, *ADDED)]
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint,value:string>>"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where ``use`` names it within loops."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(lengths: Column, chunk: int = 256) -> Column:
+    """Running sums of an array<bigint>: of chunks, then within each, so no list is copied for every one of its elements."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / chunk).cast("int"))
+    own = lambda k: F.slice(lengths, k * chunk + 1, F.lit(chunk))
+    kind = "struct<at:bigint,sums:array<bigint>>"
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("sums"))
+    add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["sums"], F.array(s["at"] + x)).alias("sums")).cast(kind)
+    totals = F.transform(numbers, lambda k: F.aggregate(own(k), F.lit(0).cast("bigint"), lambda s, x: s + x))
+    ends = F.aggregate(totals, zero, add, lambda s: s["sums"])
+    within = lambda ends: F.transform(numbers, lambda k: F.aggregate(own(k), zero, add, lambda s: F.transform(s["sums"], lambda x: x + F.coalesce(F.get(ends, k - 1), F.lit(0)))))
+    return F.when(F.size(lengths) > 0, F.flatten(bound(ends, within))).otherwise(F.array().cast("array<bigint>"))
+
+
 def spans(text: Column, number: int, pattern: str, group: int, least: int, holds: Column) -> Column:
-    """Spans (start, kind, stop, value) of one kind: places are sums of the lengths of gaps and matches before."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(whole.alias("whole"), value.alias("value"), F.slice(gaps, 1, F.size(whole)).alias("gap"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("found"))
+    """Spans (start, kind, stop, value) of one kind: places are sums of the lengths of gaps and matches before; linear in text and matches."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(x):
+        lengths = F.transform(x["whole"], lambda w, i: (F.length(w) + F.length(F.get(x["gaps"], i))).cast("bigint"))
+        stops = bound(lengths, lambda x: running(x))
+        return F.transform(F.arrays_zip(x["whole"].alias("whole"), stops.alias("stop")), span)
 
-    def add(so_far, x):
-        begin = so_far["at"] + F.length(x["gap"])
-        stop = begin + F.length(x["whole"])
-        span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), stop.alias("stop"), x["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(so_far["found"], F.array(span)).cast(SPAN).alias("found"))
+    def span(s):
+        value = s["whole"] if group == 1 else F.regexp_extract(s["whole"], pattern, group)  # group 1 is the whole match
+        return F.struct((s["stop"] - F.length(s["whole"])).alias("start"), F.lit(number).alias("kind"), s["stop"].alias("stop"), value.alias("value")).cast(SPAN[6:-1])
 
-    found = F.aggregate(parts, start, add, lambda s: s["found"])
-    return F.when(holds, F.filter(found, lambda s: F.length(s["value"]) >= least)).otherwise(F.array().cast(SPAN))
+    return F.when(holds, F.filter(bound(both, placed), lambda s: F.length(s["value"]) >= least)).otherwise(F.array().cast(SPAN))
 
 
 def candidates(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
@@ -71,7 +87,7 @@ def candidates(docs: DataFrame, repository: str = "doc_id", owner: str = "source
         for m in marks[1:]:
             holds = holds | F.contains(t, F.lit(m))
         kinds.append(spans(t, i, p, g, n, holds))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", F.array_sort(F.concat(*kinds)).alias("spans"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", F.sort_array(F.concat(*kinds)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -38,6 +38,25 @@ def test_base_spans_equal_a_plain_scan(spark):
     assert "github:0:40" in got[9]["spans"] and "jwt:" in got[9]["spans"] and got[10]["spans"] == "pem:0:31"
 
 
+def test_very_many_matches_in_one_text(spark):
+    """Time grows with the matches, not with their square."""
+    import time
+
+    text = "".join(f"é token = v{i:07d} \n" for i in range(200_000)) + "f" * 24
+    docs = spark.createDataFrame([(1, text, "s", None, None)], DOCS)
+    began = time.perf_counter()
+    got = secrets.digest(secrets.scan(docs)).first()
+    assert time.perf_counter() - began < 60
+    own = base_spans(text)
+    assert got["n_assign"] == 200_000 and got["n_hex"] == 1 and got["base_sha256"] == hashlib.sha256(",".join(own).encode()).hexdigest()
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 7, 8, 9, 26):
+        df = spark.createDataFrame([(list(range(n)),)], "x array<long>")
+        assert df.select(secrets.running(secrets.F.col("x"), 3)).first()[0] == [sum(range(i + 1)) for i in range(n)]
+
+
 def test_owners_part_copied_from_live_values(spark):
     rows = [(i, "token = sharedvalue1", f"owner{i}", None, None) for i in range(5)] + [(10, "token = onlymine123", "owner1", None, None), (10, "token = onlymine123", "owner1", None, None), (11, "token = twoowners1", "a", None, None), (12, "token = twoowners1", None, None, None)]
     got = {(r["doc_id"], r["n_live"], r["n_shared"], r["n_copied"], r["most_repositories"]) for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
