@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -43,6 +46,28 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """``df`` with two numbers that together name each row, and their columns' names.
+
+    Of Parquet files they are a hash of the file's name and the row's place in it, so every later read has the same;
+    anything else is written once with numbers of its own.
+    """
+    file, row = fresh(df, "row_file"), fresh(df, "row_place")
+    try:
+        hidden = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(hidden["file_path"]).alias(file), hidden["row_index"].alias(row)), file, row
+    except AnalysisException:
+        return stored(df.select("*", F.lit(0).cast("long").alias(file), F.monotonically_increasing_id().alias(row)), "numbered"), file, row
+
+
 def as_table(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The named column of a batch with 64-bit offsets dropped and offset zero."""
     col = batch.column(batch.schema.get_field_index(name))

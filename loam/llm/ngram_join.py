@@ -1,20 +1,20 @@
 """N-gram Jaccard self-join by MinHash banding, each candidate verified on the full n-gram sets.
 
-``jaccard_classes`` returns one row per distinct document id with its class (all documents that
-links reach), its number of links, and whether it is the one its class keeps.
+``jaccard_classes`` returns one row per document with its class (all documents that links reach), its number of links, and
+whether it is the one its class keeps.
 
 How rows move. One pass makes, per document, a key of its word sequence and its band hashes;
 documents with equal keys fold into one representative, so groups of exact copies cost one row
 from there on. Band hashes shuffle on their value; every bucket links its members to its smallest,
-linear in the bucket. The components of these edges hold every candidate pair. Each component is
-cut into blocks of bounded rows and words, and one task compares one pair of blocks on full
-n-gram sets: it returns a row per document (links counted, smallest document reached), never a row
-per pair. A large component thus becomes many small tasks.
-
-Defined cases: null, empty and word-less texts link with nothing and keep themselves; a text with
-fewer words than ``width`` has one n-gram, all its words; a repeated id counts once, with the
-text of its smallest key; null ids and other columns are passed over; an empty
-table gives an empty result.
+linear in the bucket. The components of these edges hold every candidate pair. A component that fits one block is compared as a whole. A
+larger one is either cut into blocks, each compared with each, or, where that copies fewer texts, into its buckets, so that a long chain of
+chance candidates costs what its buckets hold; a bucket beyond a block is cut into blocks, and a pair that shares several buckets counts in
+the first. One task compares one block or two on full n-gram sets: it returns a row per document (links counted, smallest one
+reached), never a row per pair. Texts of candidates alone are shuffled.
+
+Defined cases: every row is a document of its own, also where ids repeat or are null. Null, empty and word-less texts link with nothing
+and keep themselves; a text with fewer words than ``width`` has one n-gram, all its words; a class's id is its smallest id that is not
+null, null if it has none, and of the rows with that id one is kept; other columns are passed over; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import as_table, checkpointed, components, stored
+from .common import as_table, checkpointed, components, numbered, stored
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -80,14 +80,15 @@ def word_keys(w: ta.Words) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, hi, lo: key of the word sequence, n: words, bands) per id of ``docs``."""
+def signatures(rows: DataFrame, width: int, bands: int, per_band: int) -> DataFrame:
+    """``rows`` (doc_id, file, row, text) with hi, lo (key of the word sequence), n (words) and bands in place of the text."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def of(batches):
         for batch in batches:
             parts = []
             for w in ta.blocks(as_table(batch, "text")):
-                parts.append((word_keys(w), w.counts, band_hashes(w, width, bands, rows)))
+                parts.append((word_keys(w), w.counts, band_hashes(w, width, bands, per_band)))
             if not parts:
                 continue
             key = np.concatenate([p[0] for p in parts], axis=1)
@@ -95,22 +96,21 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             offsets = np.arange(len(sig) + 1, dtype=np.int32) * bands
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(batch.schema.get_field_index("doc_id")), pa.array(key[0]), pa.array(key[1]),
+                    *batch.columns[:3], pa.array(key[0]), pa.array(key[1]),
                     pa.array(np.concatenate([p[1] for p in parts]).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.reshape(-1))),
                 ],
-                names=["doc_id", "hi", "lo", "n", "bands"],
+                names=["doc_id", "file", "row", "hi", "lo", "n", "bands"],
             )
 
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    made = rows_in.mapInArrow(of, "doc_id long, hi long, lo long, n long, bands array<long>")
-    return made.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n", "bands")).alias("s")).select("doc_id", "s.*")
+    return rows.mapInArrow(of, f"doc_id {kind}, file long, row long, hi long, lo long, n long, bands array<long>")
 
 
-def compare(ids, copies, row, hsh, threshold: float, side) -> tuple[np.ndarray, np.ndarray]:
-    """Links (copies counted) and smallest linked id reached, for the rows of one component in one cell.
+def compare(ids, copies, row, hsh, threshold: float, side, keys, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (copies counted) and smallest linked id reached, for the rows of one group in one cell.
 
-    ``side`` is None where all pairs count, else a 0/1 array: only pairs across the sides count.
+    ``side`` is None where all pairs count, else a 0/1 array: only pairs across the sides count. With a ``band`` the group is a bucket
+    of that band, and pairs that share an earlier one of ``keys`` count there.
     """
     m = len(ids)
     size = np.bincount(row, minlength=m).astype(np.float64)
@@ -132,6 +132,12 @@ def compare(ids, copies, row, hsh, threshold: float, side) -> tuple[np.ndarray,
     np.fill_diagonal(linked, False)
     if side is not None:
         linked &= side[:, None] != side[None, :]
+    if band > 0:
+        i, j = np.nonzero(linked)
+        met = np.zeros(len(i), dtype=bool)
+        for t in range(band):
+            met |= keys[i, t] == keys[j, t]
+        linked[i[met], j[met]] = False
     links = linked.astype(np.int64) @ copies
     root = ids.copy()
     while True:
@@ -142,43 +148,86 @@ def compare(ids, copies, row, hsh, threshold: float, side) -> tuple[np.ndarray,
 
 
 def verify(members: DataFrame, width: int, threshold: float) -> DataFrame:
-    """``members`` (cell, cross, comp, block, rep, hi, copies, text) -> (rep, links, root), a row per document and cell."""
+    """``members`` (cell, cross, grp, band, block, node, copies, keys, text) -> (node, links, root), a row per document and group."""
 
     def of(cell: pa.Table) -> pa.Table:
-        cell = cell.combine_chunks()
-        take = lambda c: cell.column(c).to_numpy()
-        reps, comps, blocks, copies, cross = (take(c) for c in ("rep", "comp", "block", "copies", "cross"))
-        text = cell.column("text").combine_chunks()
-        rows, hashes, keys = [], [], [np.zeros(0, np.int64)]
-        for w in ta.blocks(text.cast(pa.string()) if not isinstance(text, pa.ChunkedArray) else pa.concat_arrays(text.cast(pa.string()).chunks)):
+        whole = lambda c: (lambda x: pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x)(cell.column(c).combine_chunks())
+        nodes, groups, bands, blocks, copies, cross = (whole(c).to_numpy(zero_copy_only=False) for c in ("node", "grp", "band", "block", "copies", "cross"))
+        keys, text = whole("keys"), whole("text").cast(pa.string())
+        at, values = keys.offsets.to_numpy(), keys.values.to_numpy(zero_copy_only=False)
+        rows, hashes = [], []
+        for w in ta.blocks(text):
             r, h = ta.shingles(w, width)
             rows.append(r + w.first)
             hashes.append(h)
-            keys.append(word_keys(w)[0])
         row, hsh = ta.distinct_per_row(np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        first = np.searchsorted(row, np.arange(len(reps) + 1))
-        own_text = np.flatnonzero(np.concatenate(keys) == take("hi"))  # not another text of a repeated id
-        order = own_text[np.lexsort((reps[own_text], comps[own_text]))]
+        first = np.searchsorted(row, np.arange(len(nodes) + 1))
+        order = np.lexsort((nodes, groups, bands))
+        cut = np.flatnonzero((np.diff(groups[order]) != 0) | (np.diff(bands[order]) != 0)) + 1
         found: list[tuple] = []
-        cuts = np.flatnonzero(np.diff(comps[order], prepend=comps[order][:1] - 1))
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            own = order[a:b]
-            own = own[np.diff(reps[own], prepend=reps[own][:1] - 1) != 0]  # a repeated row once
+        for own in np.split(order, cut):
             if len(own) < 2:
                 continue
             pick = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
             local = np.repeat(np.arange(len(own)), [first[i + 1] - first[i] for i in own])
             side = (blocks[own] == blocks[own].max()).astype(np.int8) if cross[own[0]] else None
-            links, root = compare(reps[own], copies[own], local, hsh[pick], threshold, side)
+            band = int(bands[own[0]])
+            shared = values[at[own][:, None] + np.arange(band)] if band > 0 else None
+            links, root = compare(nodes[own], copies[own], local, hsh[pick], threshold, side, shared, band)
             got = links > 0
-            found.append((reps[own][got], links[got], root[got]))
+            found.append((nodes[own][got], links[got], root[got]))
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ()))]
-        return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["rep", "links", "root"])
+        return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["node", "links", "root"])
+
+    return members.groupBy("cell").applyInArrow(of, "node long, links long, root long")
+
+
+def cut_up(rows: DataFrame, sizes: DataFrame, packs: int) -> DataFrame:
+    """A row of ``rows`` (node, grp, band, keys, copies) for each other block of its group, with the cell where the two meet.
+
+    ``sizes`` gives the blocks of each group; groups of one block are packed into ``packs`` cells.
+    """
+    return (
+        rows.join(sizes, ["grp", "band"])
+        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("long"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "node", "grp", "band", "block", "copies", "keys", (F.col("block") != F.col("other")).alias("cross"),
+            F.when(F.col("blocks") == 1, F.concat(F.lit("p"), F.pmod(F.xxhash64("grp", "band"), F.lit(packs))))
+            .otherwise(F.concat_ws(":", "grp", "band", F.least("block", "other"), F.greatest("block", "other"))).alias("cell"),
+        )
+    )
 
-    return members.groupBy("cell").applyInArrow(of, "rep long, links long, root long")
 
+def placements(members: DataFrame, cell_rows: int, cell_words: int) -> DataFrame:
+    """Where the texts of ``members`` (node, comp, n, copies, bands) are compared: (node, grp, band, block, copies, keys, cross, cell).
 
-def jaccard_classes(
+    ``grp`` is a component, with band -1, or a bucket of a large component for which buckets copy fewer texts.
+    """
+    blocks = lambda rows, words: F.greatest(F.ceil(rows / cell_rows), F.ceil(words / cell_words)).cast("int")
+    packs = lambda words: max(1, math.ceil((words or 0) / cell_words))
+    size = stored(
+        members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select("comp", "m", "s", blocks(F.col("m"), F.col("s")).alias("blocks")), "component-sizes"
+    )
+    none = F.array().cast("array<bigint>")
+    as_whole = members.select("node", F.col("comp").alias("grp"), F.lit(-1).alias("band"), none.alias("keys"), "copies")
+    whole = size.select(F.col("comp").alias("grp"), F.lit(-1).alias("band"), "blocks")
+    words = packs(size.where("blocks = 1").agg(F.sum("s")).first()[0])
+    large = size.where("blocks > 1")
+    if large.isEmpty():
+        return cut_up(as_whole, whole, words)
+    each = members.join(large.select("comp"), "comp").select("node", "comp", "n", "copies", F.col("bands").alias("keys"), F.posexplode("bands").alias("band", "grp"))
+    buckets = each.groupBy("comp", "band", "grp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1").withColumn("blocks", blocks(F.col("m"), F.col("s")))
+    buckets = stored(buckets, "bucket-sizes")
+    cheaper = buckets.groupBy("comp").agg(F.sum(F.col("m") * F.col("blocks")).alias("copied")).join(large, "comp").where("copied < m * blocks").select("comp")
+    cheaper = stored(cheaper, "components-by-bucket")
+    split = buckets.join(cheaper, "comp", "left_semi")
+    by_bucket = cut_up(each.drop("comp"), split.select("grp", "band", "blocks"), packs(split.where("blocks = 1").agg(F.sum("s")).first()[0]))
+    kept = whole.join(cheaper.select(F.col("comp").alias("grp")), "grp", "left_anti")
+    return cut_up(as_whole, kept, words).union(by_bucket.withColumn("cell", F.concat(F.lit("b"), "cell")))
+
+
+def jaccard_rows(
     docs: DataFrame,
     width: int = 5,
     threshold: float = 0.8,
@@ -186,47 +235,49 @@ def jaccard_classes(
     most_hashes: int = 160,
     cell_rows: int = 1024,
     cell_words: int = 400_000,
+    broadcast_rows: int = 500_000,
 ) -> DataFrame:
-    """(doc_id, class_id, n_links, kept) for every id of ``docs(doc_id, text)``; see the module's text.
+    """(file, row, doc_id, class_id, n_links, kept) per row of ``docs(doc_id, text)``; file and row are those of ``common.numbered``.
 
     ``recall`` is the chance that a pair of exactly ``threshold`` becomes a candidate; it rises
-    steeply above. ``cell_rows`` and ``cell_words`` bound a block; they change no result.
+    steeply above. ``cell_rows`` and ``cell_words`` bound a block, ``broadcast_rows`` the rows (three numbers each) whose names are sent to all
+    tasks to find their texts; none changes a result.
     """
-    bands, rows = choose_bands(threshold, recall, most_hashes)
-    sigs = stored(signatures(docs, width, bands, rows), "ngram-signatures")
-    classes = checkpointed(sigs.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = sigs.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), F.col("hi").alias("h"), F.col("lo").alias("l"), "copies"), "doc_id").where("hi = h and lo = l")
-    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    edges = keyed.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    near = components(edges)
-    roots = near.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    members = checkpointed(
-        near.union(roots).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-        .join(reps.select(F.col("doc_id").alias("rep"), "hi", "n", "copies"), "rep")
+    bands, per_band = choose_bands(threshold, recall, most_hashes)
+    wide, file, row = numbered(docs)
+    rows = wide.select("doc_id", F.col(file).alias("file"), F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+    sigs = stored(signatures(rows, width, bands, per_band), "ngram-signatures")
+    first_row = [F.coalesce(F.min_by("file", "doc_id"), F.max("file")).alias("file"), F.coalesce(F.min_by("row", "doc_id"), F.max_by("row", "file")).alias("row")]
+    keys = [F.min(F.col("bands")[i]).alias(f"b{i}") for i in range(bands)]  # equal within a class; numbers, so a hash aggregate holds them
+    folded = sigs.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), *first_row, F.count("*").alias("copies"), F.min("n").alias("n"), *keys)
+    # numbered where they are written, so the numbers stay
+    classes = stored(
+        folded.select("hi", "lo", "first", "file", "row", "copies", "n", F.array(*[f"b{i}" for i in range(bands)]).alias("bands"), F.monotonically_increasing_id().alias("node")), "ngram-classes"
     )
-    size = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select(
-        "comp", F.greatest(F.ceil(F.col("m") / cell_rows), F.ceil(F.col("s") / cell_words)).cast("int").alias("blocks")
-    )
-    packs = max(1, math.ceil((members.agg(F.sum("n")).first()[0] or 0) / cell_words))
-    placed = (
-        members.join(size, "comp")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("long"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "rep", "comp", "block", "hi", "copies", (F.col("block") != F.col("other")).alias("cross"),
-            F.when(F.col("blocks") == 1, F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.lit(packs))))
-            .otherwise(F.concat_ws(":", "comp", F.least("block", "other"), F.greatest("block", "other"))).alias("cell"),
-        )
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    found = checkpointed(verify(texts.join(placed.hint("shuffle_hash"), "rep"), width, threshold))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    by_class = (
-        classes.join(links, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("hi", "lo", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub")
+    near = components(keyed.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    roots = near.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    members = stored(near.union(roots).select("node", F.col("root").alias("comp")).join(classes.select("node", "file", "row", "n", "copies", "bands"), "node"), "ngram-candidates")
+    placed = placements(members.drop("file", "row"), cell_rows, cell_words)
+    wanted = members.select("file", "row", "node")
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted.hint("shuffle_hash")
+    texts = rows.select("file", "row", "text").join(wanted, ["file", "row"]).select("node", "text")
+    found = checkpointed(verify(texts.join(placed.hint("shuffle_hash"), "node"), width, threshold))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    by_class = classes.drop("bands", "n").join(links, "node", "left").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = by_class.groupBy("root").agg(F.min("first").alias("class_id"), F.coalesce(F.min_by("node", "first"), F.min("node")).alias("keeper"))
+    told = by_class.join(whole, "root").select(
+        "hi", "lo", F.col("file").alias("first_file"), F.col("row").alias("first_row"), "class_id", (F.col("node") == F.col("keeper")).alias("keeps"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    out = sigs.where("n > 0").select("doc_id", "hi", "lo").join(by_class, ["hi", "lo"]).select("doc_id", "class_id", "n_links")
-    alone = sigs.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.union(alone).select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    kept = F.col("keeps") & (F.col("file") == F.col("first_file")) & (F.col("row") == F.col("first_row"))
+    out = sigs.where("n > 0").select("file", "row", "doc_id", "hi", "lo").join(told, ["hi", "lo"]).select("file", "row", "doc_id", "class_id", "n_links", kept.alias("kept"))
+    alone = sigs.where("n = 0").select("file", "row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return out.union(alone)
+
+
+def jaccard_classes(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id, n_links, kept) per row of ``docs(doc_id, text)``; see the module's text and ``jaccard_rows``."""
+    return jaccard_rows(docs, **how).drop("file", "row")

@@ -77,13 +77,46 @@ def test_documents_query_equals_all_pairs(spark, sf_dir):
 
 
 def test_odd_rows(spark):
-    schema = "doc_id long, text string, rep long, cell string, bands string"
+    schema = "doc_id long, text string, node long, cell string, bands string, row_file string, row long, file string, _metadata string"
     assert nj.jaccard_classes(spark.createDataFrame([], schema)).count() == 0
-    rows = [(1, "a b c d e f", 1, "x", "y"), (1, "a b c d e f", 2, None, None), (2, "a b c d e f", 3, "x", "y"), (None, "a b c d e f", 4, "x", "y")]
-    assert result(nj.jaccard_classes(spark.createDataFrame(rows, schema))) == {1: (1, 1), 2: (1, 1)}
+    rest = ("x", "y", "z", 1, "f", "m")
+    rows = [(1, "a b c d e f", 1, *rest), (1, "a b c d e f", 2, *[None] * 6), (2, "a b c d e f", 3, *rest), (None, "A b, c d e f", 4, *rest), (None, "q r s", 5, *rest), (None, "q r s", 5, *rest), (None, None, 6, *rest)]
+    got = sorted((tuple(r) for r in nj.jaccard_classes(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == sorted([(1, 1, 3, True), (1, 1, 3, False), (2, 1, 3, False), (None, 1, 3, False), (None, None, 1, True), (None, None, 1, False), (None, None, 0, True)], key=str)
     other = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (3, "a b c d e f")]
-    got = result(nj.jaccard_classes(spark.createDataFrame(other, "doc_id long, text string")))
-    assert len(got) == 3 and sorted(n for _, n in got.values()) == [0, 1, 1]
+    got = [tuple(r) for r in nj.jaccard_classes(spark.createDataFrame(other, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    named = spark.createDataFrame([("b", "a b c"), ("a", "a b c")], "doc_id string, text string")
+    assert result(nj.jaccard_classes(named)) == {"a": ("a", 1), "b": ("a", 1)}
+
+
+def test_rows_are_named_by_file_and_place(spark, tmp_path):
+    spark.createDataFrame([(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (9, "e")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = nj.jaccard_rows(docs).collect()
+    assert len({(r["file"], r["row"]) for r in rows}) == 4 and sorted(r["kept"] for r in rows) == [False, False, True, True]
+    wide, file, row = nj.numbered(docs)
+    assert {(r[file], r[row]) for r in wide.collect()} == {(r["file"], r["row"]) for r in rows}
+
+
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_large_components_by_block_and_by_bucket(spark, bound):
+    """A chain whose neighbours alone are near, and a dense group, both beyond a block: as all pairs have it."""
+    chain = {i: " ".join(f"c{k}" for k in range(10 * i, 10 * i + 100)) for i in range(40)}
+    dense = {1000 + i: " ".join([*(f"d{k}" for k in range(60 - i % 9)), f"x{i}"]) for i in range(40)}
+    docs = chain | dense
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert result(nj.jaccard_classes(df, cell_rows=5, broadcast_rows=bound)) == brute(docs)
+
+
+def test_a_long_chain_of_candidates_costs_what_its_buckets_hold(spark):
+    n = 6000
+    rows = [(i, 0, 10, 1, [-i - 1, i // 2, 10_000_000 + (i + 1) // 2]) for i in range(n)]
+    members = spark.createDataFrame(rows, "node long, comp long, n long, copies long, bands array<long>")
+    placed = nj.placements(members, 1024, 400_000).groupBy("grp", "band", "cell").count().toPandas()["count"]
+    assert placed.sum() <= 2 * n and (placed**2).sum() <= 4 * n
+    dense = spark.createDataFrame([(i, 0, 10, 1, [1, 2, 3]) for i in range(3000)], "node long, comp long, n long, copies long, bands array<long>")
+    assert nj.placements(dense, 1024, 400_000).count() == 9000
 
 
 def test_long_text(spark):
