@@ -5,12 +5,12 @@ whole lower-cased text, predicts that bit. Decoding adds, over bits, the loss of
 codeword's bit, weighted by how well that bit's classifier did on its training rows, and picks the least; the score is the
 winner's share of exp(-loss), and a text whose two best codewords are close is flagged ``ambiguous``.
 
-Learning uses text and language of rows that are not held out, about ``most_rows`` of them, an equal share for each
-language, drawn by a hash of the id: the documented bound of the sample. At most ``most_languages`` languages are learned, the
-most frequent first.
+Learning uses text and language of rows that are not held out and have both, about ``most_rows`` of them, an equal share for each
+language but ``least_rows`` each where they are many: the documented bound of the sample. Rows are drawn one by one, whether or not they share an
+id. Every language that has such rows is learned.
 
 Defined cases: null texts and texts without any letter are ``und`` with score 0; so is every text where no language could be learned;
-rows with a null language teach nothing; null ids and repeated rows are predicted each; other columns are passed over; an empty
+rows with a null language, or without a letter, teach nothing; null ids and repeated rows are predicted each; other columns are passed over; an empty
 table gives an empty result.
 """
 
@@ -59,16 +59,20 @@ def vectors(col: pa.Array):
 
 def codewords(n: int, tries: int = 400, seed: int = 11) -> np.ndarray:
     """``n`` rows of +1/-1 with both values in every bit: every such split for up to five rows, beyond that the
-    most distant of ``tries`` random codes of 10 log2(n) bits."""
+    most distant of ``tries`` random codes of 10 log2(n) bits; of many rows one such code, whose rows are all apart."""
     if n == 1:
         return np.ones((1, 1))
     if n <= 5:
         splits = np.arange(1, 2 ** (n - 1))
         return np.where((splits[None, :] >> np.arange(n)[:, None]) & 1, 1.0, -1.0)
     rng, best, far = np.random.RandomState(seed), None, -1.0
-    for _ in range(tries):
+    for _ in range(tries if n <= 100 else 20 if n <= 1000 else 1):
         code = rng.choice([-1.0, 1.0], (n, int(np.ceil(10 * np.log2(n)))))
         code = code[:, np.abs(code.sum(axis=0)) < n]
+        if n > 1000:
+            while len(np.unique(code, axis=0)) < n:
+                code = np.concatenate([code, rng.choice([-1.0, 1.0], (n, 8))], axis=1)
+            return code
         alike = code @ code.T
         np.fill_diagonal(alike, -np.inf)
         least = (code.shape[1] - alike.max()) / 2
@@ -88,7 +92,8 @@ class Model:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the best language, score, ambiguous) of each row."""
         margin = x @ self.weights + self.bias
-        loss = (np.logaddexp(0, -margin[:, None, :] * self.code[None]) * self.trust).sum(axis=2)
+        # the loss of a bit is one of two values: two products instead of a row, language and bit each
+        loss = (np.logaddexp(0, -margin) * self.trust) @ (self.code.T > 0) + (np.logaddexp(0, margin) * self.trust) @ (self.code.T < 0)
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
         p /= p.sum(axis=1, keepdims=True)
         ranked = np.sort(p, axis=1)
@@ -112,15 +117,16 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150) ->
     return Model(languages, code, w.astype(np.float32), b.astype(np.float32), trust / trust.mean())
 
 
-def train(docs: DataFrame, held_out: Callable[[Column], Column], most_rows: int = 4000, most_languages: int = 200) -> Model | None:
+def train(docs: DataFrame, held_out: Callable[[Column], Column], most_rows: int = 4000, least_rows: int = 20) -> Model | None:
     usable = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where("lang is not null").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    usable = usable.where(F.col("text").rlike(r"\p{L}"))
+    counts = usable.groupBy("lang").count().collect()  # a row a language, which the model holds too
     if not counts:
         return None
-    each = max(1, most_rows // len(counts))
+    each = max(least_rows, most_rows // len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).where("text is not null").select("lang", "text")
+    draw = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.withColumn("draw", draw).where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
 
     def of(batches):
         for batch in batches:
@@ -128,12 +134,13 @@ def train(docs: DataFrame, held_out: Callable[[Column], Column], most_rows: int
             if got:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.astype(np.float16).tobytes() for r in np.concatenate(got)], pa.binary())], names=["lang", "x"])
 
-    rows = sample.mapInArrow(of, "lang string, x binary").toArrow()
+    rows = drawn.mapInArrow(of, "lang string, x binary").toArrow()  # about max(most_rows, least_rows a language) rows of 8 KB
     if not rows.num_rows:
         return None
-    languages = sorted({lang for lang, _ in counts})
+    languages = sorted(set(rows.column("lang").to_pylist()))
+    number = {lang: i for i, lang in enumerate(languages)}
     x = np.stack([np.frombuffer(v, np.float16) for v in rows.column("x").to_pylist()]).astype(np.float32)
-    y = np.array([languages.index(v) for v in rows.column("lang").to_pylist()])
+    y = np.array([number[v] for v in rows.column("lang").to_pylist()])
     return fit(x, y, languages)
 
 
