@@ -6,10 +6,9 @@ it stands in for, a repeat to drop, or a separator or sign to drop (a digit alwa
 character trigram model, counted over all documents, and the channel's costs like best. A word
 that is none of these has one path, itself, so only disguised words are decoded.
 
-Scoring. A text's features are its words and their leading parts of 4 to 8 bytes, as written and
-as restored, each counted once. The features that tell toxic from clean rows on a bounded, labelled
-sample by a likelihood-ratio test are weighed by a logistic regression. Labels, language, source and
-id are never features.
+Scoring. The restored text, in which readings stand in place of disguised stretches, is what is scored: its features are its words and
+their leading parts of 4 to 8 bytes, each counted once; how a word was disguised is none. The features that tell toxic from clean rows on a
+bounded, labelled sample by a likelihood-ratio test are weighed by a logistic regression. Labels, language, source and id are never features.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone; other
 columns pass through untouched; with no labels, or one class only, every score is the smoothed rate
@@ -99,7 +98,8 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 def restore(word: str, cost: list) -> str:
     """The cheapest reading of one disguised stretch; states are the classes of the last two letters read."""
     spaced = any(p.fullmatch(word) for p in SPACED)
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # what was read so far is a chain of (chain before, letter): paths share it, and a step costs the same however long the word
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before, last = "", len(word.rstrip("!|+*(€$@")) - 1  # signs after it are marks more likely than letters
     for k, c in enumerate(word):
         options: list[tuple[str, float]] = []
@@ -111,29 +111,43 @@ def restore(word: str, cost: list) -> str:
             options.append(("", DROP_SEPARATOR if c in " .-_*" else DROP_SIGN if k < last else DROP_LAST_SIGN))
             if not spaced and c in "-._":
                 options.append((c, 0.5))
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (so_far, out) in states.items():
             for x, channel in options + ([("", DROP_REPEAT)] if c.isalpha() and c == before else []):
                 if not x:
-                    key, total, text = (a, b), so_far + channel, out
+                    key, total, read = (a, b), so_far + channel, out
                 else:
                     n = letter(x)
-                    key, total, text = (b, n), so_far + channel + cost[a][b][n], out + x
+                    key, total, read = (b, n), so_far + channel + cost[a][b][n], (out, x)
                 if key not in nxt or total < nxt[key][0]:
-                    nxt[key] = (total, text)
+                    nxt[key] = (total, read)
         states, before = nxt, c
-    return min(((t + cost[a][b][0], out) for (a, b), (t, out) in states.items()), default=(0.0, word))[1]
+    chain = min(((t + cost[a][b][0], k, out) for k, ((a, b), (t, out)) in enumerate(states.items())), key=lambda s: s[:2])[2]
+    letters = []
+    while chain:
+        chain, x = chain
+        letters.append(x)
+    return "".join(reversed(letters))
 
 
-def stretches(text: str) -> list[str]:
-    """What is set apart letter by letter, each also without its first letter, which may be a word: "a 1 d 1 0 t". Digits alone are numbers."""
-    out: dict[str, None] = {}
+def stretches(text: str) -> list[tuple[int, int, list[str]]]:
+    """(first character, end, readings to make) of what is set apart letter by letter, in order and apart.
+
+    A stretch is read also without its first letter, which may be a word: "a 1 d 1 0 t". Digits alone are numbers.
+    """
+    found = []
     for pattern in SPACED:
         for m in pattern.finditer(text):
-            for got in (m.group(0), re.sub(r"^.[ .\-_*]+", "", m.group(0))):
-                if any(c.isalpha() for c in got) and any(p.fullmatch(got) for p in SPACED):
-                    out[got] = None
-    return list(out)
+            own = [x for x in (m.group(0), re.sub(r"^.[ .\-_*]+", "", m.group(0))) if any(c.isalpha() for c in x) and any(p.fullmatch(x) for p in SPACED)]
+            if own:
+                found.append((m.start(), m.end(), own))
+    out: list[tuple[int, int, list[str]]] = []
+    for begin, end, own in sorted(found):
+        if out and begin < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), list(dict.fromkeys([*out[-1][2], *own])))
+        else:
+            out.append((begin, end, list(dict.fromkeys(own))))
+    return out
 
 
 def tripled(low: pa.Array) -> np.ndarray:
@@ -153,38 +167,52 @@ def tripled(low: pa.Array) -> np.ndarray:
     return out
 
 
-def restored(text: str, cost: list, memo: dict[str, str]) -> list[str]:
-    """The readings of the disguised stretches of a text, each also with its double letters made single."""
-    found = stretches(text)
-    found += [t for t in (x.strip(".,;:?\"'()[]{}<>") for x in text.split()) if DISGUISED.search(t)]
-    out = []
-    for got in found:
+def restored(text: str, cost: list, memo: dict[str, str]) -> str:
+    """The text with its disguised stretches replaced by their readings, each also with its double letters made single."""
+
+    def read(got: str) -> str:
         if got not in memo:
             if len(memo) > 200_000:  # a memo only: what is forgotten is decoded again
                 memo.clear()
-            read = restore(got, cost)
-            memo[got] = read + " " + re.sub(r"(.)\1+", r"\1", read)
-        out.append(memo[got])
-    return out
+            plain = restore(got, cost)
+            memo[got] = plain + " " + re.sub(r"(.)\1+", r"\1", plain)
+        return memo[got]
+
+    def words(part: str) -> str:
+        out, at = [], 0
+        for m in DISGUISED.finditer(part):
+            if m.start() < at:
+                continue
+            begin, end = m.start(), m.end()
+            while begin > at and not part[begin - 1].isspace():
+                begin -= 1
+            while end < len(part) and not part[end].isspace():
+                end += 1
+            word = part[begin:end].strip(".,;:?\"'()[]{}<>")
+            out += [part[at:begin], " ", read(word) if DISGUISED.search(word) else word, " "]
+            at = end
+        return "".join([*out, part[at:]])
+
+    out, at = [], 0
+    for begin, end, own in stretches(text):
+        out += [words(text[at:begin]), " ", " ".join(map(read, own)), " "]
+        at = end
+    return "".join([*out, words(text[at:])])
 
 
 def features(col: pa.Array, cost: list, memo: dict[str, str]):
-    """Blocks of (first row, rows, row of each feature, 64-bit feature), repeats kept."""
+    """Blocks of (first row, rows, row of each feature, 64-bit feature) of the restored texts, repeats kept."""
     low = pc.utf8_lower(pc.fill_null(col, ""))
     maybe = pc.match_substring_regex(low, MAYBE).to_numpy(zero_copy_only=False) | tripled(low)
-    extra: dict[int, str] = {}
-    for i in np.flatnonzero(maybe):
-        if got := restored(low[int(i)].as_py(), cost, memo):
-            extra[int(i)] = " ".join(got)
-    more = pa.array([extra.get(i, "") for i in range(len(low))], pa.string()) if extra else None
-    for part in (low, more):
-        for w in ta.blocks(part) if part is not None else ():
-            rows, found = [w.row], [w.hashes()]
-            for k in PREFIXES:
-                long = np.flatnonzero(w.end - w.start > k)
-                rows.append(w.row[long])
-                found.append(w.hash_range(w.start[long], w.start[long] + k))
-            yield w.first, w.rows, np.concatenate(rows), np.concatenate(found)
+    if maybe.any():
+        low = pc.replace_with_mask(low, pa.array(maybe), pa.array([restored(low[int(i)].as_py(), cost, memo) for i in np.flatnonzero(maybe)], low.type))
+    for w in ta.blocks(low):
+        rows, found = [w.row], [w.hashes()]
+        for k in PREFIXES:
+            long = np.flatnonzero(w.end - w.start > k)
+            rows.append(w.row[long])
+            found.append(w.hash_range(w.start[long], w.start[long] + k))
+        yield w.first, w.rows, np.concatenate(rows), np.concatenate(found)
 
 
 @dataclass
@@ -246,16 +274,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
     """Fit on rows of ``labels(doc_id, toxic)`` for which ``held_out`` is false.
 
     The bounds, documented: ``most_positive`` and ``most_negative`` labelled rows, first by a hash of their
-    id, and the ``most_features`` features that the test likes best. The trigram model counts all documents.
+    id and text, and the ``most_features`` features that the test likes best. Rows that repeat both teach once. The trigram model
+    counts all documents.
     """
     cost = language_model(trigram_counts(docs))
     table = cost.tolist()
     usable = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
     usable = usable.groupBy("id").agg(F.max("y").alias("y"))
-    order = F.xxhash64("id", F.lit(3))
-    sample = usable.where("y = 1").orderBy(order, "id").limit(most_positive).union(usable.where("y = 0").orderBy(order, "id").limit(most_negative))
-    # at most most_positive + most_negative rows of two numbers: small enough to broadcast
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "id").select("y", "text")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    known = texts.select("id", "h").join(usable, "id").distinct()
+    order = F.xxhash64("id", "h", F.lit(3))
+    sample = known.where("y = 1").orderBy(order, "id", "h").limit(most_positive).union(known.where("y = 0").orderBy(order, "id", "h").limit(most_negative))
+    # at most most_positive + most_negative rows of three numbers: small enough to broadcast
+    rows = texts.join(F.broadcast(stored(sample, "toxicity-rows")), ["id", "h"]).groupBy("id", "h").agg(F.any_value("y").alias("y"), F.any_value("text").alias("text")).select("y", "text")
     rows = stored(rows, "toxicity-sample")  # three passes below, one over the documents
 
     def grams(batches):

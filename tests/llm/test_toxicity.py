@@ -15,11 +15,12 @@ def cost(spark, sf_dir):
 
 @pytest.mark.parametrize("word", ["1d10t", "i d i o t", "idiiiiot", "i.d.i.o.t", "id-iot", "!diot"])
 def test_restores(word, cost):
-    assert "idiot" in " ".join(tx.restored(word, cost, {})).split()
+    assert "idiot" in tx.restored(word, cost, {}).split()
 
 
 def test_plain_words_are_left_alone(cost):
-    assert tx.restored("plain words, with marks. And a line\nbreak", cost, {}) == []
+    plain = "plain words, with marks. And a line\nbreak"
+    assert tx.restored(plain, cost, {}) == plain
 
 
 def test_trigrams_count_everything(spark):
@@ -71,11 +72,12 @@ def test_logistic_fits():
 
 @pytest.mark.parametrize("word", ["i d i 0 t", "1 d 1 0 t", "1  d  1  0  t", "i - d - i - o - t", "a 1 d 1 0 t", "1 d 1 0 t   a b c d", "7 8 i d i o t"])
 def test_restores_spaced_signs(word, cost):
-    assert "idiot" in " ".join(tx.restored(f"that {word}, so", cost, {})).split()
+    got = tx.restored(f"that {word}, so", cost, {}).split()
+    assert "idiot" in got and got[0] == "that" and got[-1] == "so"
 
 
 def test_numbers_set_apart_are_left_alone(cost):
-    assert tx.restored("1 2 3 4 5 and 1.2.3.4", cost, {}) == []
+    assert tx.restored("1 2 3 4 5 and 1.2.3.4", cost, {}) == "1 2 3 4 5 and 1.2.3.4"
 
 
 def test_every_disguised_stretch_passes_the_prefilter(cost):
@@ -97,3 +99,67 @@ def test_signs_at_the_end_score_like_letters(spark):
     table = model.cost.tolist()
     hidden, clean = model.scores(pa.array(["the idi0t and the 1 d 1 0 t", "1 2 3 4 and of that!"]), table, {})
     assert clean < 0.5 <= hidden
+
+
+def cheapest(word, cost):
+    """Every reading of a word by trying every choice for every character; the least total of channel and trigram costs."""
+    import itertools
+
+    spaced = any(p.fullmatch(word) for p in tx.SPACED)
+    last = len(word.rstrip("!|+*(€$@")) - 1
+    choices = []
+    for k, c in enumerate(word):
+        own = [(c, 0.0)] if c.isalpha() else []
+        own += [(x, tx.SUBSTITUTE) for x in tx.STANDS_FOR.get(c, "")]
+        if not c.isalpha() and not (c in "0123456789"):
+            own.append(("", tx.DROP_SEPARATOR if c in " .-_*" else tx.DROP_SIGN if k < last else tx.DROP_LAST_SIGN))
+            if c in "-._" and not spaced:
+                own.append((c, 0.5))
+        if c.isalpha() and k and word[k - 1] == c:
+            own.append(("", tx.DROP_REPEAT))
+        choices.append(own)
+    best = (float("inf"), "")
+    for path in itertools.product(*choices):
+        text, total, a, b = "".join(x for x, _ in path), sum(v for _, v in path), 0, 0
+        for x in text:
+            n = ord(x) - 96 if "a" <= x <= "z" else 27 if x.isalpha() else 0
+            total, a, b = total + cost[a][b][n], b, n
+        best = min(best, (total + cost[a][b][0], text))
+    return best[1]
+
+
+def test_decoding_equals_trying_every_reading(cost):
+    rng = np.random.RandomState(7)
+    letters = list("abdeiost") + list("01345@$!*.-_ ") + ["é", "|", "("]
+    words = ["1d10t", "i d i o t", "m0r0n", "idiiiiot", "st*pid!", "id-iot", "a$$", "h.a.t.e"] + ["".join(rng.choice(letters, rng.randint(2, 8))) for _ in range(250)]
+    for word in words:
+        assert tx.restore(word, cost) == cheapest(word, cost), word
+
+
+def test_the_restored_text_alone_is_scored(cost):
+    """The disguise of a word is no feature: only the readings are."""
+    names = lambda t: {int(f) for *_, fs in tx.features(pa.array([t]), cost, {}) for f in fs}
+    raw = {int(f) for w in tx.ta.blocks(pa.array(["1d10t m0r0n"])) for f in w.hashes()}
+    hidden = names("the 1d10t and the m0r0n")
+    assert not raw & hidden and hidden == names(tx.restored("the 1d10t and the m0r0n", cost, {}))
+
+
+def test_very_long_words_are_decoded_in_linear_time(cost):
+    import time
+
+    began = time.perf_counter()
+    assert len(tx.restored("a1" * 100_000, cost, {})) > 100_000
+    assert time.perf_counter() - began < 30
+
+
+def test_rows_that_repeat_an_id_are_bounded(spark):
+    rows = [(1 + i % 8, f"mild idiot text {i}", None) for i in range(4000)] + [(20 + i % 8, f"fine text {i}", None) for i in range(4000)] + [(1, "alike idiot", None)] * 2000
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 9)] + [(i, 0) for i in range(20, 28)], LABELS)
+    seen, fit = [], tx.fit_logistic
+    try:
+        tx.fit_logistic = lambda row, col, y, n: seen.append(y) or fit(row, col, y, n)
+        model = tx.train(docs, labels, tx.held_out, most_positive=100, most_negative=150)
+    finally:
+        tx.fit_logistic = fit
+    assert len(seen[0]) == 250 and seen[0].sum() == 100 and len(model.names)
