@@ -11,12 +11,14 @@ name is a run of capitalised words. ``PLAIN`` has no slots, so neither case nor
 names; ``NAMES`` has each word as a token of its own. A capitalised word that opens a sentence is a name in ``KNOWN`` if it also stands
 inside one in that text, and always in ``OPENERS``. Windows with under half their tokens literal say nothing and are left out.
 
-The benchmark's windows are broadcast only up to ``broadcast_windows``; beyond it the same join shuffles
-on the window's hash. Items of fewer than ``window`` tokens are one window of their own length; items under
-``shortest`` words match nothing.
-
-Defined cases: null and empty texts on either side match nothing; null ids are carried as they are; equal items
-match each; repeated documents give the rows of one; other columns are passed over; an empty table on either side gives an empty result.
+Tasks drop the windows that no item has by a table of hashes, up to ``broadcast_windows``, or by a bitmap of bounded size, beyond it; what is
+left is written once. A document and an item that share ``coverage`` of the item's windows share one of the rest and one more, so they are
+paired by the item's rarest windows only: one that very many items have pairs no document with all of them. Items of fewer than
+``window`` tokens are one window of their own length; items under ``shortest`` words match nothing.
+
+Defined cases: null and empty texts on either side match nothing; null ids are carried as they are; items of different ids match each, a repeated
+item once; every row of the documents is one of its own, also where ids repeat or are null; other columns are passed over; an empty table on
+either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import as_table, checkpointed
+from .common import as_table, checkpointed, numbered, stored
 
 #: Words that are units when they follow a number.
 UNITS = (
@@ -159,23 +161,51 @@ def windows(t: Template, form: int, widths: list[int]):
                 yield k + 1, at, ta.mix(acc[at] + np.uint64(k + 1))
 
 
-def window_rows(rows: DataFrame, key: str, widths: dict[int, list[int]], shortest: int | None, keep: np.ndarray | None) -> DataFrame:
-    """(key, form, width, win, pos, slots) per window of ``rows(key, text)``; ``keep`` holds the hashes to keep, if given.
+MOST_BITS = 27
+
+
+@dataclass
+class Known:
+    """The hashes that are looked for: a bitmap of their low bits and, where they are few, themselves in order."""
+
+    bits: np.ndarray
+    hashes: np.ndarray | None
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        low = h & np.uint64(8 * len(self.bits) - 1)
+        got = (self.bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        if self.hashes is not None:
+            at = np.flatnonzero(got)
+            near = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            got[at] = self.hashes[near] == h[at]
+        return got
+
+
+def known_windows(own: DataFrame, most: int) -> Known:
+    """What ``own(win)`` holds, as a bitmap of 2**MOST_BITS bits at most, and as a list of up to ``most``."""
+    n = own.count()
+    size = min(MOST_BITS, max(20, (16 * n).bit_length()))
+    place = F.col("win").bitwiseAND(F.lit((1 << size) - 1))
+    words = own.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast((win & {(1 << size) - 1}L) & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    bits = np.zeros((1 << size) // 64, dtype=np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bit").to_numpy().view(np.uint64)
+    hashes = np.unique(own.select("win").toArrow().column(0).to_numpy().view(np.uint64)) if 0 < n <= most else None
+    return Known(bits.view(np.uint8), hashes)
+
+
+def window_rows(rows: DataFrame, keys: list[str], widths: dict[int, list[int]], shortest: int | None, known: Known | None) -> DataFrame:
+    """(*keys, form, width, win, pos, slots) per window of ``rows(*keys, text)``, of those in ``known``, if given.
 
     With ``shortest`` the rows are items: of at least so many words, with windows under the largest width only where they
     are the whole item and half its words are literal; a form that makes no slot of an item says what PLAIN says, and is left out.
     """
-    kind = rows.schema[key].dataType.simpleString()
-    bits = None
-    if keep is not None:
-        bits = np.zeros(1 << 20, dtype=bool)
-        bits[(keep & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    shared = rows.sparkSession.sparkContext.broadcast((keep, bits))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def of(batches):
-        keep, bits = shared.value
+        known = shared.value
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(key))
+            ids = [batch.column(batch.schema.get_field_index(k)) for k in keys]
             for w, found in templates(as_table(batch, "text"), sorted(widths)):
                 for form, t in found.items():
                     begin = np.cumsum(t.counts) - t.counts
@@ -188,64 +218,65 @@ def window_rows(rows: DataFrame, key: str, widths: dict[int, list[int]], shortes
                             if width < max(widths[form]):
                                 ok &= (t.counts[r] == width) & (2 * bare[r] >= w.counts[r])
                             at, h = at[ok], h[ok]
-                        if keep is not None:
-                            ok = bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
+                        if known is not None:
+                            ok = known.has(h)
                             at, h = at[ok], h[ok]
-                            if len(at):
-                                near = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
-                                ok = keep[near] == h
-                                at, h = at[ok], h[ok]
                         if not len(at):
                             continue
                         places = at[:, None] + np.arange(width)
                         filled = t.slot[places]
                         offsets = np.concatenate([[0], np.cumsum(filled.sum(axis=1))]).astype(np.int32)
+                        own = pa.array(w.first + t.row[at])
                         yield pa.RecordBatch.from_arrays(
                             [
-                                ids.take(pa.array(w.first + t.row[at])), pa.array(np.full(len(at), form, np.int32)), pa.array(np.full(len(at), width, np.int32)),
+                                *(c.take(own) for c in ids), pa.array(np.full(len(at), form, np.int32)), pa.array(np.full(len(at), width, np.int32)),
                                 pa.array(h.view(np.int64)), pa.array(at - begin[t.row[at]]),
                                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(t.value[places[filled]].view(np.int64))),
                             ],
-                            names=[key, "form", "width", "win", "pos", "slots"],
+                            names=[*keys, "form", "width", "win", "pos", "slots"],
                         )
 
-    return rows.mapInArrow(of, f"{key} {kind}, form int, width int, win long, pos long, slots array<long>")
+    return rows.mapInArrow(of, f"{kinds}, form int, width int, win long, pos long, slots array<long>")
 
 
-def contaminated(
+def contaminated_rows(
     docs: DataFrame, benchmark: DataFrame, window: int = 8, shortest: int = 5, coverage: float = 0.5, broadcast_windows: int = 500_000, reach: int = 8
 ) -> DataFrame:
-    """(doc_id, item_id, n_windows, coverage, same_slots) for every document that holds an item's template.
+    """(file, row, doc_id, item_id, n_windows, coverage, same_slots) for every row of ``docs`` that holds an item's template.
 
     ``coverage`` is the least share of the item's windows, in the form that matches best, that one diagonal must match together
-    with those at most ``reach`` from it whose slots agree; ``same_slots`` tells a copy from a re-parameterised one.
+    with those at most ``reach`` from it whose slots agree; ``same_slots`` tells a copy from a re-parameterised one. File and row are those
+    of ``common.numbered``.
     """
-    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    own = window_rows(items, "item_id", {f: list(range(1, window + 1)) for f in FORMS}, shortest, None).select(
-        "item_id", "form", "width", "win", F.col("pos").alias("at"), F.col("slots").alias("asked")
-    ).distinct()
-    own = checkpointed(own)
+    texts, file, row = numbered(docs)
+    texts = texts.select("doc_id", F.col(file).alias("file"), F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+    # numbered where they are written, so the numbers stay
+    items = stored(benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct().withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
+    every = window_rows(items, ["item"], {f: list(range(1, window + 1)) for f in FORMS}, shortest, None)
+    every = checkpointed(every.select("item", "form", "width", "win", F.col("pos").alias("at"), F.col("slots").alias("asked")))
     widths: dict[int, list[int]] = {}
-    for form, width in own.select("form", "width").distinct().collect():  # FORMS by `window` rows at most
+    for form, width in every.select("form", "width").distinct().collect():  # FORMS by `window` rows at most
         widths.setdefault(form, []).append(width)
-    own = own.drop("width")
-    keep = None
-    if own.count() <= broadcast_windows:
-        keep = np.unique(own.select("win").toArrow().column(0).to_numpy().view(np.uint64))
-        keep = keep if len(keep) else np.zeros(1, dtype=np.uint64)
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    found = window_rows(texts, "doc_id", widths or {PLAIN: [window]}, None, keep).select("doc_id", "win", "pos", "slots")
-    size = own.groupBy("item_id", "form").agg(F.countDistinct("at").alias("size"))
-    pairs = found.join(own if keep is None else F.broadcast(own), "win").select(
-        "doc_id", "item_id", "form", "at", (F.col("pos") - F.col("at")).alias("diagonal"),
+    spread = every.groupBy("win").agg(F.count_distinct("item").alias("items"))
+    mine = Window.partitionBy("item", "form")
+    own = every.drop("width").join(spread, "win").withColumn("size", F.count("*").over(mine)).withColumn("nth", F.row_number().over(mine.orderBy("items", "at")))
+    own = stored(own.withColumn("lead", F.col("nth") <= F.col("size") - F.ceil(F.col("size") * coverage) + 1).drop("nth", "items"), "benchmark-windows")
+    known = known_windows(own, broadcast_windows)
+    few = F.broadcast if known.hashes is not None else lambda df: df
+    name = ["file", "row", "doc_id"]
+    found = stored(window_rows(texts, ["doc_id", "file", "row"], widths or {PLAIN: [window]}, None, known).select(*name, "win", "pos", "slots"), "matched-windows")
+    likely = found.join(few(own.where("lead").select("win", "item", "form")), "win").select("file", "row", "item", "form").distinct()
+    needed = likely.join(few(own.drop("lead")), ["item", "form"])
+    pairs = found.join(needed, ["file", "row", "win"]).select(
+        *name, "item", "form", "size", "at", (F.col("pos") - F.col("at")).alias("diagonal"),
         F.arrays_zip(F.col("asked").alias("asked"), F.col("slots").alias("got")).alias("fills"),
     )
     # one row per item, form, document and diagonal: an item's windows bound the sets
-    runs = pairs.groupBy("doc_id", "item_id", "form", "diagonal").agg(
+    runs = pairs.groupBy(*name, "item", "form", "size", "diagonal").agg(
         F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("fills"))).alias("fills")
     ).where(_steady(F.col("fills")))
     # every diagonal takes the windows of its neighbours, nearest first, as long as their slots agree
-    around = Window.partitionBy("doc_id", "item_id", "form").orderBy("diagonal").rangeBetween(-reach, reach)
+    around = Window.partitionBy(*name, "item", "form").orderBy("diagonal").rangeBetween(-reach, reach)
     near = runs.withColumn("near", F.collect_list(F.struct("diagonal", "ats", "fills")).over(around))
     nearest = F.array_sort(F.transform("near", lambda x: F.struct(F.abs(x["diagonal"] - F.col("diagonal")).alias("off"), x["diagonal"].alias("diagonal"), x["ats"].alias("ats"), x["fills"].alias("fills"))))
 
@@ -254,11 +285,18 @@ def contaminated(
         return F.when(_steady(both), F.struct(F.array_union(held["ats"], x["ats"]).alias("ats"), both.alias("fills"))).otherwise(held)
 
     all_of = F.when(F.size("near") == 1, F.struct("ats", "fills")).otherwise(F.aggregate(nearest, F.struct("ats", "fills"), take))
-    share = near.select("doc_id", "item_id", "form", all_of.alias("held")).select(
-        "doc_id", "item_id", "form", F.size("held.ats").cast("long").alias("n_windows"), F.forall("held.fills", lambda x: x["asked"] == x["got"]).alias("same_slots")
-    ).join(F.broadcast(size) if keep is not None else size, ["item_id", "form"]).withColumn("coverage", F.col("n_windows") / F.col("size"))
-    best = share.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "same_slots", "n_windows")).alias("best"))
-    return best.select("doc_id", "item_id", "best.n_windows", "best.coverage", "best.same_slots").where(F.col("coverage") >= coverage)
+    share = near.select(*name, "item", "form", "size", all_of.alias("held")).select(
+        *name, "item", F.size("held.ats").cast("long").alias("n_windows"), F.forall("held.fills", lambda x: x["asked"] == x["got"]).alias("same_slots"),
+        (F.size("held.ats") / F.col("size")).alias("coverage"),
+    ).where(F.col("coverage") >= coverage)
+    named = share.join(items.select("item", "item_id"), "item")
+    best = named.groupBy(*name, "item_id").agg(F.max(F.struct("coverage", "same_slots", "n_windows")).alias("best"))
+    return best.select(*name, "item_id", "best.n_windows", "best.coverage", "best.same_slots")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """(doc_id, item_id, n_windows, coverage, same_slots) for every document that holds an item's template; see ``contaminated_rows``."""
+    return contaminated_rows(docs, benchmark, **how).drop("file", "row")
 
 
 def _steady(fills: Column) -> Column:

@@ -33,6 +33,8 @@ def test_odd_rows(spark):
     items = [(1, ITEM, None), (2, None, None), (3, "", None), (4, "only four words here", None), (5, "these are just six plain words", None), (1, ITEM, None)]
     docs = [(1, None, None), (2, "", None), (None, f"x. {ITEM}.", None), (4, ITEM, None), (4, ITEM, None), (5, "so these are just six plain words now", None), (6, "word " * 50_000 + ITEM, None), (7, "only four words here", None)]
     assert set(found(spark, docs, items)) == {(None, 1), (4, 1), (5, 5), (6, 1)}
+    rows = dc.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    assert rows.count() == 5  # document 4 twice, item 1 once
     assert not found(spark, docs, []) and not found(spark, [], items)
 
 
@@ -95,3 +97,91 @@ def test_neighbouring_diagonals_count_together(spark):
 def test_two_questions_asked_again_side_by_side(spark):
     ask = lambda x, y: f"take {x} of the red balls and put {x} of the blue balls into the {y} boxes"
     assert set(found(spark, [(1, f"{ask(8, 3)} {ask(9, 4)}", None)], [(1, ask(5, 2), None)])) == {(1, 1)}
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    """Coverage is not put together from several texts."""
+    words = ITEM.split()
+    parts = [" ".join(words[k : k + 10]) for k in range(0, len(words), 7)]
+    for doc_id in (1, None):
+        assert not found(spark, [(doc_id, p, None) for p in parts], [(1, ITEM, None)])
+        assert len(found(spark, [(doc_id, p, None) for p in [*parts, ITEM]], [(1, ITEM, None)])) == 1
+
+
+def test_a_window_of_all_items_pairs_no_document_with_all(spark):
+    """Items share a long beginning: a document with it alone holds none of them, one with an item's own part holds that item."""
+    start = "please answer the following question as well as you can and explain each step of it"
+    items = [(i, f"{start} " + " ".join(f"q{i}w{k}" for k in range(24)), None) for i in range(60)]
+    docs = [(i, f"so {start} now", None) for i in range(200)] + [(900, f"well {items[7][1]} indeed", None)]
+    for bound in (500_000, 0):
+        assert set(found(spark, docs, items, broadcast_windows=bound)) == {(900, 7)}
+
+
+def plain_loop(doc, item, reach=8):
+    """(share, windows) of an item in a document by comparing every window with every other, form by form and diagonal by diagonal."""
+
+    def read(text, form):
+        out = []
+        for w in text.split():
+            kind = "NUM" if w.isdigit() and form else "NAME" if w[0].isupper() and form == 2 else w.lower()
+            out.append((kind, w.lower() if kind in ("NUM", "NAME") else None))
+        return out
+
+    best = (0.0, 0)
+    for form in range(3):  # plain, numbers, numbers and names
+        d, q = read(doc, form), read(item, form)
+        literal = lambda x: sum(v is not None for _, v in x) <= 4
+        asked = [k for k in range(len(q) - 7) if literal(q[k : k + 8])]
+        runs = {}
+        for k in asked:
+            for p in range(len(d) - 7):
+                if [x[0] for x in d[p : p + 8]] == [x[0] for x in q[k : k + 8]]:
+                    ats, fills = runs.setdefault(p - k, (set(), set()))
+                    ats.add(k)
+                    fills |= {(a, b) for (_, a), (_, b) in zip(q[k : k + 8], d[p : p + 8], strict=True) if a is not None}
+        steady = lambda f: len({a for a, _ in f}) == len(f)
+        runs = {g: r for g, r in runs.items() if steady(r[1])}
+        for g in runs:
+            ats, fills = set(runs[g][0]), set(runs[g][1])
+            for other in sorted((o for o in runs if abs(o - g) <= reach), key=lambda o: (abs(o - g), o)):
+                if steady(fills | runs[other][1]):
+                    ats |= runs[other][0]
+                    fills |= runs[other][1]
+            best = max(best, (len(ats) / len(asked), len(ats)))
+    return best
+
+
+def test_templates_and_slots_equal_a_plain_loop(spark):
+    """Random texts of words, numbers and names, some asked again with other values, words put in or left out, or slots that disagree."""
+    import numpy as np
+
+    rng = np.random.RandomState(12)
+    names, words = ["Anna", "Bob", "Carl", "Dora"], [f"w{chr(97 + k)}o" for k in range(6)]
+
+    def sentence():
+        out = ["so"]
+        for _ in range(rng.randint(14, 26)):
+            out.append(str(rng.randint(1, 5)) if rng.rand() < 0.15 else rng.choice(names) if rng.rand() < 0.15 and not out[-1][0].isupper() else rng.choice(words))
+        return [*out, "end"]
+
+    items, docs = {}, {}
+    for i in range(25):
+        items[i] = sentence()
+    for j in range(150):
+        own = list(items[rng.randint(len(items))])
+        change = {n: rng.choice(names) for n in names} | {str(n): str(rng.randint(1, 9)) for n in range(1, 5)}
+        own = [change.get(w, w) if rng.rand() < 0.95 else w for w in own]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(1, len(own) - 1)
+            own = [*own[:at], *([rng.choice(words)] if rng.rand() < 0.5 else []), *own[at + (rng.rand() < 0.5) :]]
+        own = [w for k, w in enumerate(own) if not (k and w[0].isupper() and own[k - 1][0].isupper())]
+        docs[j] = ["before", *own, "after"] if rng.rand() < 0.7 else sentence()
+    docs, items = {k: " ".join(v) for k, v in docs.items()}, {k: " ".join(v) for k, v in items.items()}
+    want = {}
+    for j, d in docs.items():
+        for i, q in items.items():
+            share, n = plain_loop(d, q)
+            if share >= 0.5:
+                want[(j, i)] = n
+    got = found(spark, [(j, d, None) for j, d in docs.items()], [(i, q, None) for i, q in items.items()])
+    assert {k: r["n_windows"] for k, r in got.items()} == want and len(want) > 20
