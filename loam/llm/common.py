@@ -68,6 +68,15 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str, str]:
         return stored(df.select("*", F.lit(0).cast("long").alias(file), F.monotonically_increasing_id().alias(row)), "numbered"), file, row
 
 
+def named_once(df: DataFrame) -> DataFrame:
+    """``df`` as rows of Parquet files, so that ``numbered`` names its rows alike however often it is asked: itself, if it is that, or written."""
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"])
+        return df
+    except AnalysisException:
+        return stored(df, "rows")
+
+
 def as_table(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The named column of a batch with 64-bit offsets dropped and offset zero."""
     col = batch.column(batch.schema.get_field_index(name))

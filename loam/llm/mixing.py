@@ -6,13 +6,14 @@ the same expected copies, target / size of the source; it sums them up in a fixe
 offset per source and emits a document once for every integer the running sum crosses.
 
 The running sum is not taken in one window per source, for a source may hold a third of all rows:
-documents go to about sqrt(n) buckets per source by a hash of their id, bucket counts are summed
-up (one small row per bucket), and ranks within a bucket follow from size and id.
+documents go to about sqrt(n) buckets per source by a hash of their id and text, bucket counts are summed
+up (one small row per bucket), and ranks within a bucket follow from size and id. Only rows alike in id and text share a bucket whatever
+their number; null ids do not.
 
 Defined cases: a null text has size 0; sizes count runs of characters outside space and
 tab to carriage return. Null is a source of its own, last in order; null ids sort first in their bucket;
 equal rows are separate documents; a source without words has target 0 and no copies; an empty
-table gives an empty result; other columns pass through ``mixed_documents`` untouched.
+table gives an empty result; other columns, whatever their names, pass through ``mixed_documents`` untouched.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, numbered, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,15 +63,23 @@ def source_targets(totals: DataFrame, weights: Sequence[int], share: float, most
     )
 
 
-def systematic_mix(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) per row of ``sized(doc_id, source, size)``."""
-    sized = stored(sized.select("doc_id", "source", "size"), "sizes")  # read four times below; the texts are read once
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """What ``systematic_mix`` needs of ``docs(doc_id, source, text)``: the size of each row and a mark of its text."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", "source", word_count(text).alias("size"), F.md5(F.coalesce(text, F.lit(""))).alias("mark"), *more)
+
+
+def systematic_mix(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", more: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, *more) per row of ``sized(doc_id, source, size, mark, *more)``."""
+    mark = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("mark") if "mark" in sized.columns else F.lit(""))
+    hashed = F.conv(F.substring(F.md5(mark), 1, 8), 16, 10).cast("long")
+    sized = stored(sized.select("doc_id", "source", "size", hashed.alias("hashed"), *more), "sizes")  # read four times below; the texts are read once
+    more = [f"d.{c}" for c in more]
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(totals, weights, share, most).withColumn("buckets", F.ceil(F.sqrt("n")))
     same = F.col("d.source").eqNullSafe(F.col("t.source"))
     placed = sized.alias("d").join(targets.alias("t"), same).select(
-        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target",
-        F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("d.doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.col("t.buckets")).alias("bucket"),
+        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", F.pmod("d.hashed", "t.buckets").alias("bucket"), *more
     )
     counts = placed.groupBy("source", "bucket").agg(F.count("*").alias("in_bucket"))
     starts = counts.select(
@@ -83,7 +92,7 @@ def systematic_mix(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     offset = fraction(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("d.source"), F.lit("\u0000"))))
     copies = F.floor(offset + position * rate) - F.floor(offset + (position - 1) * rate)
     return ranked.alias("d").join(starts.alias("s"), same_bucket()).select(
-        "d.doc_id", "d.source", "d.size", "d.source_size", "d.target", copies.cast("long").alias("copies")
+        "d.doc_id", "d.source", "d.size", "d.source_size", "d.target", copies.cast("long").alias("copies"), *more
     )
 
 
@@ -94,22 +103,20 @@ def same_bucket() -> Column:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with every row as often as the mix takes it.
 
-    Rows meet their copies by id, source and size; rows alike in all three get the copies of that group dealt in order of text.
+    Rows meet their copies by the numbers that name them (``common.numbered``), so equal rows and rows without an id are dealt theirs one by one.
     """
-    size = word_count(F.col("text"))
-    key = lambda size: F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("doc_id", "source")], size)
-    mixed = systematic_mix(docs.select("doc_id", "source", size.alias("size")), **how)
-    copies = mixed.groupBy(key(F.col("size")).alias("__key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    met = docs.withColumn("__key", key(size)).join(copies, "__key")
-    each = met.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy("text")))
-    taken = each.withColumn("__taken", F.element_at("__copies", F.col("__n")).cast("int")).where("__taken > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__taken")))).select(*docs.columns)
+    named, file, row = numbered(docs)
+    taken = systematic_mix(sizes(named, file, row), more=(file, row), **how).where("copies > 0")
+    copies, copy = fresh(named, "copies"), fresh(named, "copy")
+    taken = taken.select(file, row, F.col("copies").cast("int").alias(copies))
+    met = named.join(taken.hint("shuffle_hash"), [file, row])  # texts are shuffled, not sorted
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same in SQL, for the query over documents.
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS mark FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM sized GROUP BY source
 ), ranked AS (
@@ -123,7 +130,7 @@ WITH sized AS (
          ELSE (min(CASE WHEN level * weight < cap THEN {'r': cap / weight, 'level': level} END) OVER ()).level * weight END AS target
   FROM levels
 ), placed AS (
-  SELECT d.*, t.source_size, t.target, ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT % t.buckets AS bucket
+  SELECT d.*, t.source_size, t.target, ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|' || d.mark), 1, 8))::BIGINT % t.buckets AS bucket
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), positions AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, size, doc_id NULLS FIRST) AS position,

@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from loam.llm import mixing
 
@@ -32,12 +31,12 @@ def test_targets(spark):
 
 def test_takes_come_near_their_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sized = mixing.sizes(docs)
     got = mixing.systematic_mix(sized).toPandas()
     assert len(got) == 1000 and got.copies.between(0, 2).all()
     per = got.assign(taken=got.copies * got["size"]).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), largest=("size", "max"))
     assert ((per.taken - per.target).abs() <= 3 * per.largest).all()
-    again = mixing.systematic_mix(sized.repartition(7)).toPandas()
+    again = mixing.systematic_mix(mixing.sizes(docs.repartition(7))).toPandas()
     assert dict(zip(got.doc_id, got.copies, strict=True)) == dict(zip(again.doc_id, again.copies, strict=True))
 
 
@@ -53,7 +52,7 @@ def test_copies_follow_the_definition(spark):
 def test_odd_rows(spark):
     rows = [(1, None, "a", "x", "y"), (2, "", "a", None, None), (3, "one two\tthree\n\x0bfour", None, None, None), (None, "w " * 50_000, "b", None, None), (5, " x  y", "b", None, None), (5, " x  y", "b", None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sized = mixing.sizes(docs)
     got = mixing.systematic_mix(sized).collect()
     assert sorted(r["size"] for r in got) == [0, 0, 2, 2, 4, 50_000]
     assert all(r["copies"] == 0 for r in got if r["source"] == "a")
@@ -65,6 +64,25 @@ def test_odd_rows(spark):
 def test_repeated_rows_are_mixed_each(spark):
     rows = [(1, "a b c", "s", None, None)] * 3 + [(1, "d e f", "s", None, None), (2, "g", None, None, None), (2, "g", None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sized = mixing.sizes(docs)
     want = sum(r["copies"] for r in mixing.systematic_mix(sized).collect())
     assert mixing.mixed_documents(docs).count() == want
+
+
+def test_rows_without_ids_and_clashing_columns(spark):
+    """Null ids of one source and size are dealt copies one by one; columns keep names that the job might use itself."""
+    names = ["size", "copies", "copy", "row_file", "row_place", "mark", "hashed", "bucket", "rank", "__copies", "a.b"]
+    rows = [(None if i % 2 else i, f"word{i} other words", "s" if i % 3 else None, *range(i, i + len(names))) for i in range(300)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert {tuple(r) for r in got} <= set(rows) and len({r["text"] for r in got}) > 100
+    want = sum(r["copies"] for r in mixing.systematic_mix(mixing.sizes(docs)).collect())
+    assert len(got) == want
+
+
+def test_null_ids_are_spread_over_buckets(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "s") for i in range(900)], "doc_id long, text string, source string")
+    marks = mixing.sizes(docs).select("mark").distinct().count()
+    assert marks == 900

@@ -1,6 +1,5 @@
 import pytest
 from compare import database, same
-from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -29,13 +28,13 @@ def test_stages_take_effect(spark):
     hit = ids(decontamination.contaminated(single, spark.read.parquet(f"{AT}/benchmark.parquet")))
     assert hit and ids(clean) == ids(single) - hit
     mixed = stored(steps["mix_sources"](spark, clean, AT), "t4")
-    sized = clean.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sized = mixing.sizes(clean)
     copies = {r["doc_id"]: r["copies"] for r in mixing.systematic_mix(sized).collect() if r["copies"]}
     assert {r[0]: r[1] for r in mixed.groupBy("doc_id").count().collect()} == copies
     assert mixed.columns == docs.columns
-    ordered = steps["token_output"](spark, mixed, AT).select("slot", "doc_id", "seq").collect()
+    ordered = steps["token_output"](spark, mixed, AT).select("slot", "doc_ids").collect()
     assert sorted(r["slot"] for r in ordered) == list(range(len(ordered)))
-    assert {r["doc_id"] for r in ordered} == set(copies)
+    assert {i for r in ordered for i in r["doc_ids"]} == set(copies)
 
 
 def test_empty_documents(spark):
@@ -43,3 +42,30 @@ def test_empty_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs, AT)
         assert got.count() == 0, name
+
+
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    """Null ids, repeated ids, null, empty and very long texts, and columns of names that stages might use themselves."""
+    docs = spark.read.parquet(f"{AT}/documents.parquet").limit(60).drop("n_chars")
+    item = spark.read.parquet(f"{AT}/benchmark.parquet").first()["text"]
+    long = "lorem ipsum dolor " * 40_000
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    odd = [(None, f"first {item} last", "en", "src1"), (None, near, "en", "src1"), (None, near + "!", "en", "src2"), (5, near.upper(), "en", "src2"), (5, "something else that is here", "en", None), (None, None, None, None), (None, "", "en", "src1"), (None, long, "en", "src3")]
+    rows = docs.union(spark.createDataFrame(odd, docs.schema))
+    extra = ["score", "__score", "__id", "kept", "row_file", "row_place", "copies", "h", "item_id", "source_size"]
+    for k, c in enumerate(extra):
+        rows = rows.selectExpr("*", f"{k} AS {c}")
+    rows = stored(rows, "odd")
+    texts = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, AT)
+        assert out.columns == rows.columns, name
+        rows = stored(out, name)
+        texts[name] = [r["text"] for r in rows.select("text").collect()]
+        assert rows.where(" or ".join(f"{c} <> {k}" for k, c in enumerate(extra))).count() == 0
+    assert sum((t or "").lower().startswith("one two three") for t in texts["ngram_jaccard_join"]) == 1
+    assert long in texts["ngram_jaccard_join"] and None in texts["toxicity"] and "" in texts["decontamination"]
+    assert any(item in (t or "") for t in texts["ngram_jaccard_join"]) and not any(item in (t or "") for t in texts["decontamination"])
+    assert "something else that is here" in texts["decontamination"]
+    last = corpus_pipeline.STAGES[-1][1](spark, rows, AT)
+    assert last.count() > 0
