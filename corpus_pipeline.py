@@ -10,36 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import decontamination, mixing, ngram_join, token_output, toxicity
-from loam.llm.common import stored, table
+from loam.llm.common import fresh, named_once, numbered, stored, table
 from loam.runtime import ship
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``ids``; rows without an id stay.
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows named in ``gone(file, row)``, by the numbers of ``common.numbered``: an id may be null or repeat.
 
-    The ids are written first: with their size known, the planner broadcasts few of them and shuffles for many.
+    The names are written first: with their size known, the planner broadcasts few of them and shuffles for many.
     """
-    gone = stored(ids.select(F.col("doc_id").alias("__id")).distinct(), "pipeline-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    named, file, row = numbered(docs)
+    gone = stored(gone.select(F.col("file").alias(file), F.col("row").alias(row)).distinct(), "pipeline-gone")
+    return named.join(gone, [file, row], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5; null and empty texts stay."""
     ship(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.held_out)
-    return toxicity.score(docs, model, "__score").where("__score < 0.5").drop("__score")
+    score = fresh(docs, "score")
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word Jaccard 0.8 or more hold together: the smallest id."""
+    """One document of each group that links of five-word Jaccard 0.8 or more hold together: one with the smallest id."""
     ship(spark)
-    return without(docs, ngram_join.jaccard_classes(docs).where("not kept"))
+    named = named_once(docs)
+    return without(named, ngram_join.jaccard_rows(named).where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item's template."""
     ship(spark)
-    return without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    named = named_once(docs)
+    return without(named, decontamination.contaminated_rows(named, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
