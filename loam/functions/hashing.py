@@ -61,6 +61,7 @@ class Recipe:
     def identifier(self) -> str:
         if not (self.type and self.provider and self.model):
             return ""
+        #: The names of the fields and their order.
         fields = {
             "type": self.type, "version": self.version, "provider.name": self.provider, "provider.version": self.provider_version,
             "provider.options": canonical(self.provider_options), "model.provider": self.provider, "model.name": self.model,

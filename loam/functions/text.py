@@ -20,8 +20,11 @@ def strip(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lexical tokens: each ideograph, and each run of other letters, digits and underscores, in lower case."""
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+    """Lexical tokens: each ideograph, and each run of other letters, digits and underscores, in lower case.
+
+    The capital I with a dot becomes a plain i first: its lower case is two characters, the second of which would cut a token in two.
+    """
+    return F.regexp_extract_all(F.lower(F.translate(c, "\u0130", "i")), F.lit(TOKEN), F.lit(0))
 
 
 def normalize_tags(tags: Column) -> Column:

@@ -347,9 +347,28 @@ def short_file_chunk(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.length(tx.titled(F.array("source"), F.col("text"))) <= SPLITTER.short_file).alias("short"))
 
 
-@query()
+def windows_sql(limit: int = 1200, overlap: int = 120) -> str:
+    """Common tables ``parts(doc_id, part, content)``: a recursion that finds one window of each text a round."""
+    half = limit // 2
+    return rf"""
+RECURSIVE texts AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+parts AS (
+  SELECT doc_id, 0 AS part, 0::BIGINT AS begin, t, cut(t, 0::BIGINT) AS stop FROM texts WHERE t <> ''
+  UNION ALL
+  SELECT doc_id, part + 1, begin, t, cut(t, begin) FROM (
+    SELECT doc_id, part, t, stop - {overlap} + length(regexp_extract(substr(t, stop - {overlap} + 1), '^\s*')) AS begin FROM parts WHERE stop < length(t))
+)""".replace("cut(t, 0::BIGINT)", _cut_sql("0", limit, half)).replace("cut(t, begin)", _cut_sql("begin", limit, half))
+
+
+def _cut_sql(begin: str, limit: int, half: int) -> str:
+    tail = f"substr(t, {begin} + {half + 2}, {limit - half - 1})"
+    return rf"""CASE WHEN {begin} + {limit} >= length(t) THEN length(t) WHEN regexp_matches({tail}, '\s') THEN {begin} + {half + 1} + length(regexp_extract({tail}, '(?s)^(.*)\s', 1)) ELSE {begin} + {limit} END"""
+
+
+@query(rf"""WITH {windows_sql()}, p AS (SELECT doc_id, part, regexp_replace(substr(t, begin + 1, stop - begin), '^\s+|\s+$', '', 'g') AS content FROM parts)
+SELECT doc_id, part, length(content)::INT AS size, sha256(content) AS content FROM p""")
 def split_long_text(spark, sf_dir):
-    """Overlapping windows of every text; tested against a plain loop."""
+    """Overlapping windows of every text."""
     return markdown.text_windows(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "part", F.length("content").alias("size"), F.sha2("content", 256).alias("content"))
 
 
@@ -507,9 +526,14 @@ def combined_manifest(spark, sf_dir):
     ))
 
 
-@query("SELECT source || '/' || doc_id AS rel_path, sha256(text) AS file_hash, 1 AS chunk_count FROM documents")
+@query(f"""WITH {windows_sql()} SELECT source || '/' || d.doc_id AS rel_path, sha256(text) AS file_hash, count(part) AS chunk_count
+FROM documents d LEFT JOIN parts p ON d.doc_id = p.doc_id GROUP BY ALL""")
 def file_states_snapshot(spark, sf_dir):
-    return files_of(table(spark, sf_dir, "documents")).select("rel_path", hx.file_hash(F.col("text")).alias("file_hash"), F.lit(1).alias("chunk_count"))
+    """A state a file: its hash and how many windows it is cut into."""
+    docs = table(spark, sf_dir, "documents")
+    counts = markdown.text_windows(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    files = files_of(docs).select("doc_id", "rel_path", hx.file_hash(F.col("text")).alias("file_hash"))
+    return files.join(counts, "doc_id", "left").select("rel_path", "file_hash", F.coalesce("n", F.lit(0)).cast("long").alias("chunk_count"))
 
 
 @query("""SELECT count(*) FILTER (s IN ('skipped', 'updated')) AS processed, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'updated') AS updated, count(*) FILTER (s = 'deleted') AS deleted, count(*) FILTER (s = 'error') AS errors

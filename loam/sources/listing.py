@@ -24,7 +24,8 @@ FILES = "root string, file_path string, rel_path string, file_name string, doc_t
 
 
 class Ignore:
-    """Rules of an ignore file: the last one that fits decides; ``!`` takes back, a slash at the end means directories."""
+    """Rules of an ignore file: the last one that fits decides; ``!`` takes back, a slash at the end means directories; a backslash
+    makes the ``!`` or ``#`` after it a plain first character."""
 
     def __init__(self, lines: Iterable[str]):
         self.rules = []
@@ -32,7 +33,9 @@ class Ignore:
             line = line.rstrip("\n")
             if not line.strip() or line.startswith("#"):
                 continue
-            back, line = line.startswith("!"), line.lstrip("!")
+            back, line = line.startswith("!"), line.removeprefix("!")
+            if line.startswith(("\\!", "\\#")):
+                line = line[1:]
             folder, line = line.endswith("/"), line.rstrip("/")
             anchored = "/" in line
             pattern = "/".join(".*" if p == "**" else fnmatch.translate(p)[4:-3].replace(".*", "[^/]*") for p in line.lstrip("/").split("/"))

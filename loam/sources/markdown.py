@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -17,6 +19,7 @@ import yaml
 from pyspark.sql import DataFrame
 
 from loam.functions.hashing import splitter_hash
+from loam.functions.text import FRONT_MATTER
 
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^`]*)$")
 ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -24,7 +27,8 @@ RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$
 ITEM = re.compile(r"^( {0,3})(?:([-*+])|(\d{1,9})[.)])[ \t]+(.*)$")
 CELLS = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 MARKS = re.compile(r"[*_~`\[]")
-FRONT = re.compile(r"\A---[ \t]*\r?\n(.*?)\r?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|\Z)", re.S)
+BLANK = re.compile(r"\s")
+FRONT = re.compile(FRONT_MATTER.replace(r"\z", r"\Z"))  # the one pattern, as this engine spells it
 
 
 class Loader(yaml.SafeLoader):
@@ -175,24 +179,26 @@ def assemble(titles: list[str], body: str) -> str:
 
 
 def windows(text: str, limit: int, overlap: int) -> list[str]:
-    """Pieces of up to ``limit`` characters that end at white space in their second half, if there is any, and overlap."""
+    """Pieces of up to ``limit`` characters that overlap. A piece that does not reach the end stops at the last white space
+    of its second half, if there is any; the next one starts ``overlap`` before that, at the first character that is not white space."""
     text = text.strip()
-    if not text or limit <= 0 or len(text) <= limit:
+    if limit <= 0 or len(text) <= limit:
         return [text] if text else []
-    out, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + limit)
-        if end < len(text):
-            end = next((i for i in range(end - 1, start + (end - start) // 2, -1) if text[i].isspace()), end)
-        if piece := text[start:end].strip():
-            out.append(piece)
-        if end >= len(text):
-            break
-        begin = end - overlap if end - overlap > start else end
-        while begin < len(text) and text[begin].isspace():
-            begin += 1
-        start = begin
-    return out
+    blanks = [m.start() for m in BLANK.finditer(text)]  # found once; every cut is looked up
+
+    def cuts() -> Iterator[tuple[int, int]]:
+        begin = 0
+        while begin + limit < len(text):
+            last = bisect_left(blanks, begin + limit) - 1
+            end = blanks[last] if last >= 0 and blanks[last] > begin + limit // 2 else begin + limit
+            yield begin, end
+            begin = end - overlap if end - overlap > begin else end
+            at = bisect_left(blanks, begin)
+            while at < len(blanks) and blanks[at] == begin:
+                begin, at = begin + 1, at + 1
+        yield begin, len(text)
+
+    return [piece for begin, end in cuts() if (piece := text[begin:end].strip())]
 
 
 @dataclass(frozen=True)

@@ -14,16 +14,6 @@ def test_query_equals_its_sql(name, spark, sf_dir, con):
     same(catalogue.QUERIES[name](spark, sf_dir), con, catalogue.ORACLES[name])
 
 
-def test_windows_query_equals_plain_loop(spark, sf_dir):
-    import hashlib
-
-    from loam.sources.markdown import windows
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
-    want = sorted((d, i, len(p), hashlib.sha256(p.encode()).hexdigest()) for d, t in docs.itertuples(index=False) for i, p in enumerate(windows(t, 1200, 120)))
-    assert sorted(map(tuple, catalogue.split_long_text(spark, sf_dir).collect())) == want
-
-
 def test_json_lines_read_back(spark, sf_dir):
     import json
 

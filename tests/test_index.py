@@ -47,6 +47,40 @@ def test_windows_overlap_and_break_at_white_space():
     assert markdown.windows("  ", 10, 2) == []
 
 
+def test_windows_follow_the_rule():
+    """Character by character, without looking anything up."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("ab \n\u2003" if rng.random() < 0.3 else "abcdef") for _ in range(rng.randint(0, 90)))
+        limit, overlap = rng.randint(1, 30), rng.randint(0, 12)
+        t, want, at = text.strip(), [], 0
+        if 0 < len(t) <= limit:
+            want = [t]
+        elif t:
+            while True:
+                end = len(t)
+                if at + limit < len(t):
+                    end = at + limit
+                    for k in range(at, at + limit):
+                        if t[k].isspace() and k - at > limit // 2:
+                            end = k
+                if t[at:end].strip():
+                    want.append(t[at:end].strip())
+                if end == len(t):
+                    break
+                at = end - overlap if end - overlap > at else end
+                while t[at].isspace():
+                    at += 1
+        assert markdown.windows(text, limit, overlap) == want, (text, limit, overlap)
+
+
+def test_ignore_rules_can_escape_marks():
+    rules = listing.Ignore(["\\!a.md", "\\#b.md", "!!c.md", "*.txt", "!keep.txt"])
+    assert rules.match("!a.md", False) and rules.match("#b.md", False) and rules.match("x.txt", False) and not rules.match("keep.txt", False)
+
+
 def test_oversize_sections_are_cut():
     s = markdown.Splitter()
     text = "# T\n\n" + "\n\n".join(["lorem ipsum " * 60] * 8)
