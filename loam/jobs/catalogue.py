@@ -17,7 +17,7 @@ from loam.functions import text as tx
 from loam.functions import vectors as vx
 from loam.jobs import embedder
 from loam.operators import diversify, incremental, lexical, scopes, search
-from loam.sources import markdown
+from loam.sources import listing, markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,12 +140,6 @@ def dedup_by_file(spark, sf_dir):
     return shown(search.unique(hits), "rel_path", "chunk_id", "score")
 
 
-@query(f"""WITH {HITS} SELECT rel_path, round(score, 6) AS score, round(score, 6) AS content_score, round(score, 6) AS pre_rerank_score FROM hits""")
-def explain_scores(spark, sf_dir):
-    hits = hits_of(spark, sf_dir).withColumn("pre_rerank_score", F.coalesce(F.lit(None).cast("double"), F.col("score")))
-    return shown(hits.withColumn("content_score", F.coalesce("content_score", "score")), "rel_path", "score", "content_score", "pre_rerank_score")
-
-
 @query(f"WITH {HITS} SELECT rel_path, CASE WHEN 2 * score >= 0.5 THEN 'high' WHEN 2 * score >= 0.35 THEN 'medium' ELSE 'low' END AS band FROM hits")
 def score_band(spark, sf_dir):
     return hits_of(spark, sf_dir).select("rel_path", tx.score_band(2 * F.col("score")).alias("band"))
@@ -175,9 +169,29 @@ def tag_fusion_search(spark, sf_dir):
     return shown(search.top(search.scored(chunks, vector_of(spark, sf_dir), own["tag_vector"], 0.3), 20), "rank", "rel_path", "score", "content_score", "tag_score")
 
 
-@query("SELECT conv_id, turn, length(trim(text)) >= 4 AS fuse FROM conversations")
+@query(f"""WITH {HITS}, {CENTROIDS},
+own AS (SELECT tag_vector AS tv FROM centroids WHERE label = (SELECT label FROM embeddings WHERE vec_id = {QUERY_ROW})),
+f AS (SELECT rel_path, score AS content_score, CASE WHEN label % 2 = 0 THEN list_cosine_similarity(tag_vector, tv) END AS tag_score FROM hits JOIN centroids USING (label), own),
+g AS (SELECT *, CASE WHEN tag_score IS NULL THEN content_score ELSE (1 - 0.3::DOUBLE) * content_score + 0.3::DOUBLE * tag_score END AS pre FROM f)
+SELECT rel_path, round(greatest(pre, 0) / max(greatest(pre, 0)) OVER (), 6) AS score, round(content_score, 6) AS content_score, round(tag_score, 6) AS tag_score, round(pre, 6) AS pre_rerank_score FROM g""")
+def explain_scores(spark, sf_dir):
+    """Content, tag and fused scores of every hit beside a last score that a re-ranking made; labels of odd number have no tag vector."""
+    centroids = centroids_of(spark, sf_dir)
+    own = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == QUERY_ROW).select("label").join(centroids, "label").first()
+    chunks = chunks_of(spark, sf_dir).where(F.col("doc_id") != QUERY_ROW).join(centroids, "label").withColumn("tag_vector", F.when(F.col("label") % 2 == 0, F.col("tag_vector")))
+    hits = search.seeded(search.scored(chunks, vector_of(spark, sf_dir), own["tag_vector"], 0.3))
+    hits = hits.withColumn("floored", F.greatest("score", F.lit(0.0)))
+    return shown(hits.withColumn("score", lexical.max_normalized("floored")), "rel_path", "score", "content_score", "tag_score", "pre_rerank_score")
+
+
+@query("""SELECT conv_id, turn, role <> 'system' AND turn % 5 <> 4 AND conv_id % 7 <> 0 AND length(trim(text)) >= 4 AND len(string_split(trim(text), ' ')) > 1 AS fuse FROM conversations""")
 def tag_fusion_gate(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length(F.trim("text")) >= 4).alias("fuse"))
+    """Turns as queries: some with tags turned off, some of weight 0, some of images; every word but the first is a tag."""
+    c = table(spark, sf_dir, "conversations")
+    tags = F.size(F.split(F.trim("text"), " ")) - 1
+    weight = F.when(F.col("turn") % 5 == 4, 0.0).otherwise(0.3)
+    kind = F.when(F.col("conv_id") % 7 == 0, " Image").otherwise("markdown")
+    return c.select("conv_id", "turn", search.fusion_gate(F.col("text"), tags, weight, F.col("role") == "system", kind).alias("fuse"))
 
 
 @query(f"WITH {CENTROIDS} SELECT label, generate_subscripts(tag_vector, 1)::INT - 1 AS pos, round(unnest(tag_vector), 6) AS x FROM centroids")
@@ -185,11 +199,13 @@ def mean_pool_normalized(spark, sf_dir):
     return centroids_of(spark, sf_dir).select("label", F.posexplode("tag_vector").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("""WITH v AS (SELECT vec_id, (embedding::DOUBLE[])[1:8] AS v FROM embeddings)
-SELECT vec_id, generate_subscripts(v, 1)::INT - 1 AS pos, round(unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))), 6) AS x FROM v""")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, (embedding::DOUBLE[])[1:8] AS h FROM embeddings)
+SELECT vec_id, generate_subscripts(v, 1)::INT - 1 AS pos, round(unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))), 6) AS x,
+round(unnest(list_transform(v, lambda x, i: CASE WHEN i <= 8 THEN x / sqrt(list_inner_product(h, h)) END)), 6) AS short FROM v""")
 def l2_normalize(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", vx.l2_normalize(F.col("embedding"), 8).alias("v"))
-    return e.select("vec_id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    """Every component of every vector, of the whole and of its first eight alone."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", vx.l2_normalize(F.col("embedding")).alias("v"), vx.l2_normalize(F.col("embedding"), 8).alias("h"))
+    return e.select("vec_id", "h", F.posexplode("v").alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x"), F.round(F.get("h", F.col("pos")), 6).alias("short"))
 
 
 # Whole retrievals
@@ -205,15 +221,14 @@ PIPE_OPTIONS = search.Options(limit=10, alpha=0.6, delta=0.2)
 @query(f"WITH {PIPE} SELECT rank, rel_path, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY {BY})::INT AS rank FROM u) WHERE rank <= 10")
 def query_pipeline(spark, sf_dir):
     chunks = chunks_of(spark, sf_dir).where(F.col("doc_id") != QUERY_ROW)
-    return shown(search.retrieve(chunks, vector_of(spark, sf_dir), PIPE_OPTIONS)[0], "rank", "rel_path", "score")
+    return shown(search.retrieve(chunks, vector_of(spark, sf_dir), PIPE_OPTIONS), "rank", "rel_path", "score")
 
 
 @query(f"""WITH {PIPE} SELECT (SELECT count(DISTINCT collection_id) FROM w) AS scopes, (SELECT round(max(score), 6) FROM w) AS top_score, (SELECT count(*) FROM w) AS retrieved,
 (SELECT count(*) FROM t) AS after_threshold, (SELECT count(*) FROM u) AS after_unique, (SELECT least(count(*), 10) FROM u) AS final""")
 def explain_counts(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir).where(F.col("doc_id") != QUERY_ROW)
-    stages = search.retrieve(chunks, vector_of(spark, sf_dir), PIPE_OPTIONS)[1]
-    return shown(search.explain(stages), "scopes", "top_score", *stages)
+    o = PIPE_OPTIONS.normalized()
+    return shown(search.explain(search.windowed(hits_of(spark, sf_dir), o), o), "scopes", "top_score", "retrieved", "after_threshold", "after_unique", "final")
 
 
 TOKENS = "regexp_extract_all(lower({}), '[\\x{{4E00}}-\\x{{9FFF}}\\x{{3400}}-\\x{{4DBF}}]|[\\p{{L}}\\p{{Nd}}_]+')"
@@ -432,10 +447,13 @@ def config_rebuild(spark, sf_dir):
     return incremental.rebuild_reasons(stored, now).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query("""SELECT doc_id AS chunk_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents""")
 def upsert_chunks(spark, sf_dir):
-    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
-    return incremental.upsert(ids.where("chunk_id % 2 = 0").withColumn("version", F.lit("old")), ids.where("chunk_id % 3 = 0").withColumn("version", F.lit("new")))
+    """A chunk a document; those of the files that the plan marks are written anew, and files not known before are added."""
+    ids = files_of(table(spark, sf_dir, "documents")).select("rel_path", F.col("doc_id").alias("chunk_id"))
+    marked = incremental_plan(spark, sf_dir).where("action = 'update'").select("rel_path")
+    old = ids.where("chunk_id % 7 <> 0").select("chunk_id", F.lit("old").alias("version"))
+    return incremental.upsert(old, ids.join(marked, "rel_path").select("chunk_id", F.lit("new").alias("version")))
 
 
 @query("SELECT doc_id, source FROM documents WHERE source <> 'src3'")
@@ -543,17 +561,22 @@ def scan_summary(spark, sf_dir):
     return incremental.summary(done.union(reconcile_deleted(spark, sf_dir).select(F.lit("deleted"))))
 
 
+KNOWN_TYPES = {".html": "page", ".htm": "page", ".md": "markdown", ".com": "site"}
+
+
 @query("SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages WHERE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN ('html', 'md', 'htm', 'com')")
 def scan_filter_ext(spark, sf_dir):
+    wanted = [e[1:] for e in listing.extensions("HTML, .md,htm , com", KNOWN_TYPES)]
     ext = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1))
-    return table(spark, sf_dir, "pages").select("page_id", ext.alias("ext")).where(F.col("ext").isin("html", "md", "htm", "com"))
+    return table(spark, sf_dir, "pages").select("page_id", ext.alias("ext")).where(F.col("ext").isin(*wanted))
 
 
-@query("SELECT lang AS doc_type, count(*) AS files, min(source || '/' || doc_id) AS first_path, max(source || '/' || doc_id) AS last_path FROM documents GROUP BY lang")
+@query(r"""WITH f AS (SELECT url, CASE lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) WHEN 'html' THEN 'page' WHEN 'htm' THEN 'page' WHEN 'md' THEN 'markdown' WHEN 'com' THEN 'site' ELSE 'other' END AS doc_type FROM pages)
+SELECT doc_type, count(*) AS files, min(url) AS first_path, max(url) AS last_path FROM f GROUP BY doc_type""")
 def group_files_by_type(spark, sf_dir):
-    from loam.sources.listing import by_type
-
-    return by_type(files_of(table(spark, sf_dir, "documents")).withColumn("doc_type", F.col("lang")))
+    ext = F.concat(F.lit("."), F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1)))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in KNOWN_TYPES.items() for x in pair])[ext], F.lit("other"))
+    return listing.by_type(table(spark, sf_dir, "pages").select(F.col("url").alias("rel_path"), kind.alias("doc_type")))
 
 
 @query("SELECT source || '/' || doc_id AS rel_path, sha256(text) AS file_hash, lang AS title, CASE WHEN length(text) > 120 THEN 1 ELSE 0 END AS cut FROM documents WHERE doc_id IN (3, 5)")

@@ -1,4 +1,4 @@
-"""Maximal marginal relevance: greedy, so one group of bounded candidates per query goes to one task."""
+"""Maximal marginal relevance: greedy, one pick after the other, over the candidates of a query."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from loam.functions import vectors as vx
 from loam.operators.search import order
 
 
@@ -30,13 +32,18 @@ def select(relevance: np.ndarray, vectors: np.ndarray, k: int, lam: float) -> li
 
 
 def mmr(candidates: DataFrame, query: Sequence[float], k: int, lam: float, most: int = 100_000) -> DataFrame:
-    """``candidates`` of one query, picked and ranked anew; scores stay. More than ``most`` candidates are an error."""
+    """``candidates`` of one query, picked and ranked anew; scores stay.
+
+    Up to ``most`` candidates, which a query's window usually bounds, are one group in one task. More are picked in ``k`` rounds, each an
+    expression over all of them and a bounded heap per task. Both pick the same.
+    """
+    rows = candidates.drop("rank")
+    if rows.limit(most + 1).count() > most:
+        return _in_rounds(rows, query, k, lam)
     q = np.asarray(query, dtype=np.float64)
-    numbered = candidates.withColumns({"__n": F.row_number().over(W.orderBy(*order())), "__g": F.lit(1)})
+    numbered = rows.withColumns({"__n": F.row_number().over(W.orderBy(*order())), "__g": F.lit(1)})
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"{len(pdf)} candidates for one query; {most} are allowed")
         pdf = pdf.sort_values("__n")
         x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
         length = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
@@ -47,6 +54,20 @@ def mmr(candidates: DataFrame, query: Sequence[float], k: int, lam: float, most:
         out["rank"] = np.arange(1, len(out) + 1, dtype=np.int32)
         return out.drop(columns=["__n", "__g"])
 
-    kept = candidates.drop("rank")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
-    return numbered.drop("rank").groupBy("__g").applyInPandas(pick, ", ".join([*fields, "mmr_relevance double", "rank int"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    return numbered.groupBy("__g").applyInPandas(pick, ", ".join([*fields, "mmr_relevance double", "rank int"]))
+
+
+def _in_rounds(rows: DataFrame, query: Sequence[float], k: int, lam: float) -> DataFrame:
+    """The same pick by pick; ``chunk_id`` names a candidate."""
+    left = rows.withColumn("mmr_relevance", vx.cosine(F.col("vector"), vx.literal(query)))
+    picked: list = []
+    while len(picked) < k:
+        near = [vx.cosine(F.col("vector"), vx.literal(p["vector"])) for p in picked]
+        value = F.col("mmr_relevance") if not near else lam * F.col("mmr_relevance") - (1 - lam) * F.greatest(F.lit(0.0), *near)
+        best = left.where(~F.col("chunk_id").isin([p["chunk_id"] for p in picked])).orderBy(value.desc(), *order()).first()
+        if best is None:
+            break
+        picked.append(best)
+    schema = StructType([*left.schema.fields, StructField("rank", IntegerType())])
+    return rows.sparkSession.createDataFrame([(*p, n) for n, p in enumerate(picked, 1)], schema)

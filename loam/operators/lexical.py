@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +33,11 @@ def occurrences(tokens: str, wanted: list[str]):
     return F.transform(F.array(*[F.lit(w) for w in wanted]), lambda w: F.size(F.filter(tokens, lambda x: x == w)).cast("double"))
 
 
+def wanted(spark: SparkSession, query_text: str) -> list[str]:
+    """The distinct tokens of a query."""
+    return spark.range(1).select(F.array_distinct(tx.tokens(F.lit(query_text)))).first()[0]
+
+
 def rerank(candidates: DataFrame, query_text: str, *by: str) -> DataFrame:
     """Candidates scored anew: 0.7 of the normalised semantic score and 0.3 of the normalised BM25 score.
 
@@ -40,15 +45,15 @@ def rerank(candidates: DataFrame, query_text: str, *by: str) -> DataFrame:
     Candidates are bounded by the query's window, and one row per candidate and query token is the most there is. Their
     ``chunk_id`` must be unique within ``by``.
     """
-    wanted = candidates.sparkSession.range(1).select(F.array_distinct(tx.tokens(F.lit(query_text)))).first()[0]
-    if not wanted:
+    asked = wanted(candidates.sparkSession, query_text)
+    if not asked:
         blank = {c: F.lit(None).cast("double") for c in ("bm25_score", "bm25_norm", "semantic_norm")}
         return candidates.withColumns({"pre_rerank_score": F.col("score"), **blank})
     w = W.partitionBy(*by)
     own = F.struct(*candidates.columns).alias("__row")
     # explode keeps the tokens a column of their own: inlined, they would be made again for each wanted token
     terms = candidates.select(*by, "chunk_id", own, F.explode(F.array(tx.tokens(rerank_text(candidates)))).alias("__t")).select(
-        *by, "chunk_id", "__row", F.size("__t").cast("double").alias("__len"), F.posexplode(occurrences("__t", wanted)).alias("__k", "__tf")
+        *by, "chunk_id", "__row", F.size("__t").cast("double").alias("__len"), F.posexplode(occurrences("__t", asked)).alias("__k", "__tf")
     )
     per_token = W.partitionBy(*by, "__k")
     terms = terms.withColumns(

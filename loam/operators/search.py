@@ -1,7 +1,7 @@
 """Stages of a retrieval, each a DataFrame in, a DataFrame out.
 
-Rows of all stages carry ``query_id``, so one plan answers one query or many. Ranking is total: score down, then path, chunk
-number and chunk id up.
+``scored`` and ``retrieve`` answer one query; the stages after scoring take columns to group by, so they also work on the hits of many,
+and ``batch_topk`` scores many at once. Ranking is total: score down, then path, chunk number and chunk id up.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,11 +104,24 @@ def unique(df: DataFrame, *by: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def batch_topk(chunks: DataFrame, queries: DataFrame, k: int, most_queries: int = 20_000, block: int = 2048, exclude_self: bool = True) -> DataFrame:
+def seeded(df: DataFrame) -> DataFrame:
+    """Hits whose content and first scores are told: both are the score where nothing else set them."""
+    for c in ("content_score", "pre_rerank_score"):
+        df = df.withColumn(c, F.coalesce(c, "score") if c in df.columns else F.col("score"))
+    return df
+
+
+def fusion_gate(text: Column, n_tags: Column, tag_weight: Column, no_tag: Column, file_type: Column, shortest: int = 4) -> Column:
+    """Do the tags of a query count? Not if that is off, for images, for texts of under ``shortest`` characters, or without any tag."""
+    return ~no_tag & (tag_weight > 0) & (F.lower(tx.strip(file_type)) != "image") & (F.length(tx.strip(text)) >= shortest) & (n_tags > 0)
+
+
+def batch_topk(chunks: DataFrame, queries: DataFrame, k: int, most_queries: int = 20_000, block_bytes: int = 1 << 26, exclude_self: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of each query, exactly.
 
-    The queries are a stated set. Up to ``most_queries`` they go to every task as one matrix; more are taken in as many rounds.
-    Each task keeps its own best ``k`` per query, in blocks of one matrix product each; a window over those rows ends it.
+    The queries are a stated set, of vectors of one length. Up to ``most_queries`` they go to every task as one matrix; more are taken in as many
+    rounds. Each task keeps its own best ``k`` per query, in products of ``block_bytes`` at most; a window over those rows ends it.
+    A null or zero vector, one with a null component or one of another length than the queries scores 0, as in ``vectors.cosine``.
     """
     n = queries.count()
     rounds = max(1, -(-n // most_queries))
@@ -115,70 +129,99 @@ def batch_topk(chunks: DataFrame, queries: DataFrame, k: int, most_queries: int
     for r in range(rounds):
         part = queries if rounds == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)
         got = part.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow()
-        shared = chunks.sparkSession.sparkContext.broadcast((got.column("query_id").to_numpy(), _matrix(got.column("vector").combine_chunks())))
+        lists = got.column("vector").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        lengths = set(pc.list_value_length(lists).drop_null().to_pylist()) - {0}
+        if len(lengths) > 1:
+            raise ValueError(f"queries of different lengths: {sorted(lengths)[:5]}")
+        shared = chunks.sparkSession.sparkContext.broadcast((got.column("query_id").to_numpy(), _matrix(lists, max(lengths, default=1))))
         found = chunks.select(F.col("vec_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(
-            _nearest(shared, k, block, exclude_self), "query_id long, vec_id long, score double"
+            _nearest(shared, k, block_bytes, exclude_self), "query_id long, vec_id long, score double"
         )
         best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")).where(F.col("rank") <= k)
         out = best if out is None else out.union(best)
     return out.select("query_id", "rank", "vec_id", "score")
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    """The lists as unit rows; one that is not ``dim`` numbers is a row of zeros."""
+    out = np.zeros((len(lists), dim))
+    offsets = np.asarray(lists.offsets)
+    values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+    fine = np.flatnonzero((np.diff(offsets) == dim) & np.asarray(lists.is_valid()))
+    out[fine] = values[offsets[fine][:, None] + np.arange(dim)]
+    out[~np.isfinite(out).all(axis=1)] = 0
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
-def _nearest(shared, k: int, block: int, exclude_self: bool):
+def _nearest(shared, k: int, block_bytes: int, exclude_self: bool):
     def of(batches):
         qid, q = shared.value
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        best_s = np.full((len(q), 0), -np.inf)
-        best_i = np.zeros((len(q), 0), dtype=np.int64)
+        rows, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floor = np.full(len(q), -np.inf)  # the k-th best score of each query so far
+        block = max(k, block_bytes // (8 * max(1, len(q))), 1)
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            if not len(x) or not len(q):
-                continue
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            for lo in range(0, len(x), block):
+            own_ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), q.shape[1])
+            for lo in range(0, len(x) if len(q) else 0, block):
+                own = own_ids[lo : lo + block]
                 s = q @ x[lo : lo + block].T
-                own = ids[lo : lo + block]
                 if exclude_self:
                     s[qid[:, None] == own[None, :]] = -np.inf
-                s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(own, s.shape)], axis=1)
-                keep = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-        real = np.isfinite(best_s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, real.sum(axis=1))), pa.array(best_i[real]), pa.array(best_s[real])], names=["query_id", "vec_id", "score"])
+                least = floor if s.shape[1] <= k else np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))  # ties stay in until the ids decide
+                rows, ids, scores = np.concatenate([rows, i]), np.concatenate([ids, own[j]]), np.concatenate([scores, s[i, j]])
+                order = np.lexsort((ids, -scores, rows))
+                rows, ids, scores = rows[order], ids[order], scores[order]
+                nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                floor[rows[nth == k - 1]] = scores[nth == k - 1]
+                rows, ids, scores = (a[nth < k] for a in (rows, ids, scores))
+        yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return of
 
 
-def retrieve(chunks: DataFrame, query: Sequence[float], options: Options, query_tags: Sequence[float] | None = None, query_text: str = "") -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The result of one query over the collections of ``chunks`` and the frames of its stages, for ``explain``."""
+def flagged(kept: DataFrame, o: Options, *by: str) -> DataFrame:
+    """``kept``, which a query's window bounds, with ``passed`` (the threshold) and ``single`` (passed, and the best of its file): one pass over it."""
+    place = W.partitionBy(*by).orderBy(*order())
+    top_score = F.first("score").over(place)
+    keep = F.lit(True)
+    if o.alpha > 0:
+        keep = keep & (F.col("score") >= o.alpha * top_score)
+    if o.delta > 0:
+        keep = keep & (top_score - F.col("score") <= o.delta)
+    out = kept.withColumn("passed", (F.row_number().over(place) == 1) | keep)
+    if not o.unique_files:
+        return out.withColumn("single", F.col("passed"))
+    return out.withColumn("single", F.col("passed") & (F.row_number().over(W.partitionBy(*by, "rel_path", "passed").orderBy(*order())) == 1))
+
+
+def windowed(hits: DataFrame, o: Options) -> DataFrame:
+    """Scored hits cut to the candidate window of each collection, with their flags."""
+    return flagged(top(hits, o.window, "collection_id").drop("rank"), o)
+
+
+def finished(hits: DataFrame, o: Options, query: Sequence[float] | None, query_text: str = "") -> tuple[DataFrame, str]:
+    """The final result from flagged hits, and the strategy that made it; without one query vector there is no MMR."""
     from loam.operators import diversify, lexical
 
-    o = options.normalized()
-    kept = top(scored(chunks, query, query_tags, o.tag_weight), o.window, "collection_id").drop("rank")
-    passed = threshold(kept, o.alpha, o.delta)
-    single = unique(passed) if o.unique_files else passed
+    single = hits.where("single").drop("passed", "single")
     if o.rerank == "bm25":
-        final = top(lexical.rerank(single, query_text), o.limit)
-    elif o.mmr:
-        final = diversify.mmr(single, query, o.limit, o.mmr_lambda)
-    else:
-        final = top(single, o.limit)
-    return final, {"retrieved": kept, "after_threshold": passed, "after_unique": single, "final": final}
-
-
-def explain(stages: dict[str, DataFrame]) -> DataFrame:
-    """One row: the rows after each stage and the best score."""
-    marked = [df.select(F.lit(name).alias("stage"), "collection_id", "score") for name, df in stages.items()]
-    every = marked[0]
-    for m in marked[1:]:
-        every = every.union(m)
-    first = F.col("stage") == "retrieved"
-    return every.agg(
-        F.count_distinct(F.when(first, F.col("collection_id"))).alias("scopes"), F.max(F.when(first, F.col("score"))).alias("top_score"),
-        *[F.count_if(F.col("stage") == name).alias(name) for name in stages],
+        return top(lexical.rerank(single, query_text), o.limit), "bm25" if lexical.wanted(single.sparkSession, query_text) else "truncate"
+    if o.mmr and query is not None and o.mmr_lambda < 1:
+        return diversify.mmr(single, query, o.limit, o.mmr_lambda), "mmr"
+    return top(single, o.limit), "truncate"
+
+
+def retrieve(chunks: DataFrame, query: Sequence[float], options: Options, query_tags: Sequence[float] | None = None, query_text: str = "") -> DataFrame:
+    """The result of one query over the collections of ``chunks``."""
+    o = options.normalized()
+    return finished(windowed(scored(chunks, query, query_tags, o.tag_weight), o), o, query, query_text)[0]
+
+
+def explain(hits: DataFrame, o: Options) -> DataFrame:
+    """One row from flagged hits: the rows after each stage and the best score."""
+    single = F.count_if("single")
+    return hits.agg(
+        F.count_distinct("collection_id").alias("scopes"), F.max("score").alias("top_score"), F.count("*").alias("retrieved"),
+        F.count_if("passed").alias("after_threshold"), single.alias("after_unique"), F.least(single, F.lit(o.limit)).alias("final"),
     )

@@ -112,7 +112,7 @@ def test_batch_equals_single(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
     q = e.where("vec_id in (3, 40)").select(F.col("vec_id").alias("query_id"), "vector")
     whole = search.batch_topk(e, q, 5).collect()
-    parts = search.batch_topk(e.repartition(7), q, 5, most_queries=1, block=16).collect()
+    parts = search.batch_topk(e.repartition(7), q, 5, most_queries=1, block_bytes=64).collect()
     key = lambda r: (r["query_id"], r["rank"])
     assert [(r["query_id"], r["vec_id"]) for r in sorted(whole, key=key)] == [(r["query_id"], r["vec_id"]) for r in sorted(parts, key=key)]
     assert search.batch_topk(e.limit(0), q, 5).count() == 0 and search.batch_topk(e, q.limit(0), 5).count() == 0
@@ -122,3 +122,37 @@ def test_tsv_lines(spark):
     df = spark.createDataFrame([("a\tb\nc", "d\u0000e\tf\n")], "x string, y string")
     assert df.select(tx.tsv_line([F.col("x"), F.col("x")])).first()[0] == "a b c\ta b c"
     assert df.select(tx.tsv_record([F.col("y")])).first()[0] == "de f\n\u0000"
+
+
+def test_batch_scores_odd_vectors_zero_and_keeps_ties(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0, 0.0, 0.0, 9.0]), (7, []), (8, [-1.0, 0.0]), (9, [1.0, 0.0])]
+    e = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    q = spark.createDataFrame([(100, [2.0, 0.0])], "query_id long, vector array<double>")
+    for how in ({}, {"block_bytes": 8}):
+        got = {r["vec_id"]: (r["rank"], r["score"]) for r in search.batch_topk(e.repartition(1), q, 8, **how).collect()}
+        assert got == {1: (1, 1.0), 2: (2, 1.0), 9: (3, 1.0), 3: (4, 0.0), 4: (5, 0.0), 5: (6, 0.0), 6: (7, 0.0), 7: (8, 0.0)}
+        assert [r["vec_id"] for r in search.batch_topk(e, q, 2, **how).orderBy("rank").collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        search.batch_topk(e, spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "query_id long, vector array<double>"), 2)
+
+
+def test_mmr_beyond_one_group_picks_the_same(spark):
+    rng = np.random.RandomState(4)
+    rows = [(float(s), f"p{i % 7}", i, str(i), v.tolist()) for i, (s, v) in enumerate(zip(rng.random_sample(60), rng.standard_normal((60, 6)), strict=True))]
+    df = spark.createDataFrame(rows, "score double, rel_path string, chunk_index int, chunk_id string, vector array<double>")
+    q = rng.standard_normal(6).tolist()
+    picks = [[r["chunk_id"] for r in diversify.mmr(df, q, 9, lam, most=most).orderBy("rank").collect()] for lam in (0.5, 0.2) for most in (100, 10)]
+    assert picks[0] == picks[1] and picks[2] == picks[3] and len(picks[0]) == 9
+
+
+def test_flags_agree_with_the_stages(spark):
+    o = search.Options(limit=1, alpha=0.8, delta=0.2).normalized()
+    df = hits(spark, [1, 0.9, 0.85, 0.5], "abad").withColumn("collection_id", F.lit("c"))
+    marked = search.windowed(df, o)
+    assert search.explain(marked, o).first().asDict() == {"scopes": 1, "top_score": 1.0, "retrieved": 4, "after_threshold": 3, "after_unique": 2, "final": 1}
+    want = search.unique(search.threshold(df, o.alpha, o.delta))
+    assert sorted(r["chunk_id"] for r in marked.where("single").collect()) == sorted(r["chunk_id"] for r in want.collect())
+
+
+def test_tokens_of_capitals_with_dots(spark):
+    assert spark.createDataFrame([("İstanbul IŞIK",)], "t string").select(tx.tokens(F.col("t"))).first()[0] == ["istanbul", "işik"]
