@@ -7,6 +7,7 @@ Scores are rounded after ranking.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from loam.functions import hashing as hx
 from loam.functions import text as tx
 from loam.functions import vectors as vx
-from loam.jobs import embedder
-from loam.operators import diversify, incremental, lexical, scopes, search
+from loam.jobs import embedder, index
+from loam.jobs import query as ask
+from loam.operators import contracts, diversify, incremental, lexical, scopes, search
 from loam.sources import listing, markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -579,12 +581,110 @@ def group_files_by_type(spark, sf_dir):
     return listing.by_type(table(spark, sf_dir, "pages").select(F.col("url").alias("rel_path"), kind.alias("doc_type")))
 
 
-@query("SELECT source || '/' || doc_id AS rel_path, sha256(text) AS file_hash, lang AS title, CASE WHEN length(text) > 120 THEN 1 ELSE 0 END AS cut FROM documents WHERE doc_id IN (3, 5)")
+# Jobs over a store of their own
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder for a store, where the cluster keeps its checkpoints."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+JOB_WORDS = ("the", "der", "en", "de", "fr", "es", "a", "i", "n")
+JOB_RECIPE = hx.Recipe("markdown", "v1", "offline", "keyword", len(JOB_WORDS))
+ONE_CHUNK = markdown.Splitter(short_file=1 << 30)
+
+
+def files_under(docs: DataFrame, content: Column) -> DataFrame:
+    """A file ``/<source>/<doc_id>`` of the collection ``/<source>`` a document."""
+    return docs.select(hx.collection_id(F.concat(F.lit("/"), "source")).alias("collection_id"), F.concat_ws("/", F.lit(""), "source", "doc_id").alias("rel_path"), content.alias("content"), "doc_id").withColumn(
+        "file_hash", F.sha2("content", 256)
+    )
+
+
+def job_collections(docs: DataFrame) -> list[index.Collection]:
+    return [index.Collection(f"/{r[0]}") for r in docs.select("source").distinct().collect()]  # the registry: a row a collection
+
+
+@query("""WITH d AS (SELECT '/' || source || '/' || doc_id AS rel_path, doc_id, text, CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END AS before FROM documents),
+s AS (SELECT *, CASE WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 'error' WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'updated' ELSE 'skipped' END AS status FROM d)
+SELECT rel_path, status, CASE WHEN status = 'error' AND doc_id % 7 = 0 THEN NULL WHEN status = 'error' THEN sha256(before) ELSE sha256(text) END AS file_hash,
+  CASE WHEN status = 'error' AND doc_id % 7 = 0 THEN 0 ELSE 1 END AS chunk_count FROM s
+UNION ALL SELECT rel_path || '.gone', 'deleted', NULL, 0 FROM d WHERE doc_id % 11 = 0""")
+def scan_job(spark, sf_dir):
+    """Two scans into a store: some files new, some changed, some gone, some unreadable, some with bad front matter; then what the store has of each."""
+    docs = table(spark, sf_dir, "documents")
+    store, known = index.Store(spark, workspace(spark, "scan-job")), job_collections(docs)
+    first = files_under(docs.where("doc_id % 7 <> 0"), F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    gone = files_under(docs.where("doc_id % 11 = 0"), F.col("text")).withColumn("rel_path", F.concat("rel_path", F.lit(".gone")))
+    index.scan(store, first.union(gone).drop("doc_id"), JOB_RECIPE, known, ONE_CHUNK, words=JOB_WORDS)
+    bad = F.when(F.col("doc_id") % 13 == 0, None).when(F.col("doc_id") % 17 == 0, F.lit("---\ntags: [x\n---\n")).otherwise(F.col("text"))
+    second = files_under(docs, bad).withColumn("error", F.when(F.col("content").isNull(), "unreadable"))
+    outcome = index.scan(store, second.drop("doc_id"), JOB_RECIPE, known, ONE_CHUNK, words=JOB_WORDS)
+    return outcome.join(store.states().select(*index.KEYS, "file_hash", "chunk_count"), list(index.KEYS), "left").select("rel_path", "status", "file_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
+JOB_TEXT = "the end of it all"
+COUNTS_SQL = "list_transform([" + ", ".join(f"'{w}'" for w in JOB_WORDS) + "], lambda w: ((length({0}) - length(replace({0}, w, ''))) / length(w))::DOUBLE)"
+COSINE_SQL = "CASE WHEN list_inner_product({0}, {0}) > 0 THEN list_inner_product({0}, {1}) / (sqrt(list_inner_product({0}, {0})) * sqrt(list_inner_product({1}, {1}))) ELSE 0 END"
+
+
+@query(rf"""WITH q AS (SELECT {COUNTS_SQL.format(f"'{JOB_TEXT}'")} AS qv, {COUNTS_SQL.format("'en'")} AS tv),
+c AS (SELECT '/' || source || '/' || doc_id AS rel_path, source AS collection, {COUNTS_SQL.format(r"lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))")} AS v, {COUNTS_SQL.format("lower(lang)")} AS t FROM documents),
+u AS (SELECT *, list_transform(t, lambda x: CASE WHEN list_inner_product(t, t) > 0 THEN (x / sqrt(list_inner_product(t, t)))::FLOAT::DOUBLE ELSE x END) AS tag FROM c),
+s AS (SELECT rel_path, collection, {COSINE_SQL.format("v", "qv")} AS content_score, {COSINE_SQL.format("tag", "tv")} AS tag_score FROM u, q),
+h AS (SELECT *, (1 - 0.3::DOUBLE) * content_score + 0.3::DOUBLE * tag_score AS score FROM s),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, rel_path) AS n FROM h) WHERE n <= 25),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, rel_path) AS m, first_value(score) OVER (ORDER BY score DESC, rel_path) AS best FROM w) WHERE m = 1 OR (score >= 0.5::DOUBLE * best AND best - score <= 0.4::DOUBLE))
+SELECT m::INT AS rank, rel_path, round(score, 6) AS score, round(content_score, 6) AS content_score, round(tag_score, 6) AS tag_score FROM t WHERE m <= 15""")
+def query_job(spark, sf_dir):
+    """A text asked of all collections of a store that a scan has made, with tag fusion: front matter gives each file its language as a tag."""
+    docs = table(spark, sf_dir, "documents")
+    store, known = index.Store(spark, workspace(spark, "query-job")), job_collections(docs)
+    files = files_under(docs, F.concat(F.lit("---\ntags: ["), "lang", F.lit("]\n---\n\n"), "text"))
+    index.scan(store, files.drop("doc_id"), JOB_RECIPE, known, ONE_CHUNK, tag_extractor="vocabulary", extractor_options={"words": ("en", "de")}, words=JOB_WORDS)
+    answer = ask.ask(
+        store, JOB_TEXT, options=search.Options(limit=15, window=25, alpha=0.5, delta=0.4), tag_extractor="vocabulary", extractor_options={"words": ("en", "de")},
+        root_exists=lambda _: True, words=JOB_WORDS,
+    )
+    return shown(answer.results, "rank", "rel_path", "score", "content_score", "tag_score")
+
+
+@query(r"""SELECT '/' || source || '/' || doc_id AS path, doc_id % 7 <> 0 AS found, CASE WHEN doc_id % 7 <> 0 THEN '/' || source END AS root_dir,
+CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE '/' || source || '/' || doc_id END AS rel_path, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS file_hash,
+CASE WHEN doc_id % 7 <> 0 THEN 1 ELSE 0 END AS chunk_count, CASE WHEN doc_id % 7 <> 0 THEN sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) END AS content FROM documents""")
 def show_file(spark, sf_dir):
-    """Files asked for by their path below their collection, or by their whole path."""
+    """What a store shows of the path of every document: stored below its collection's root or under its whole path, or not at all."""
+    docs = table(spark, sf_dir, "documents")
+    store = index.Store(spark, workspace(spark, "show-file"))
+    files = files_under(docs, F.col("text")).where("doc_id % 7 <> 0").withColumn("rel_path", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise(F.col("rel_path")))
+    index.scan(store, files.drop("doc_id"), JOB_RECIPE, job_collections(docs), ONE_CHUNK, words=JOB_WORDS)
+    got = ask.shown_files(store, files_under(docs, F.col("text")).select(F.col("rel_path").alias("path")))
+    return got.select("path", "found", "root_dir", "rel_path", "file_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.sha2(F.get("chunks", F.lit(0))["content"], 256).alias("content"))
+
+
+@query("""WITH m AS (SELECT doc_id, source || '/' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'metadata: source is required' WHEN doc_id % 7 = 0 THEN 'metadata: chunk_index must be an int'
+  WHEN doc_id % 9 = 0 THEN 'metadata: tags must be a list of strings' WHEN doc_id % 11 = 0 THEN 'metadata: chunk_index must be >= 0' END AS error, lang, source FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN path END AS source, path AS file_path, 'h' || doc_id AS file_hash, CASE WHEN doc_id % 7 = 0 THEN -9 WHEN doc_id % 11 = 0 THEN -1 ELSE 3 END::INT AS chunk_index,
+CASE WHEN doc_id % 9 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct([lower(lang), lower(source)])), ',') END AS tags, error FROM m""")
+def metadata_from_map(spark, sf_dir):
+    """Metadata of every document from a loose JSON object: names in their other forms, and some fields blank, of another type or out of range."""
     d = files_of(table(spark, sf_dir, "documents"))
-    asked = d.where(F.col("rel_path").isin(*[f"src{i}/{n}" for i in range(20) for n in (3, 5)]))
-    return asked.select("rel_path", hx.file_hash(F.col("text")).alias("file_hash"), F.col("lang").alias("title"), F.when(F.length("text") > 120, 1).otherwise(0).alias("cut"))
+    name = lambda n, a, b: F.when(F.col("doc_id") % n == 0, a).otherwise(b)
+    path = F.concat(F.lit('"'), F.col("rel_path"), F.lit('"'))
+    member = lambda key, value: F.concat(F.lit('"'), key, F.lit('": '), value)
+    index_ = F.when(F.col("doc_id") % 7 == 0, '"3"').when(F.col("doc_id") % 11 == 0, "-1").otherwise("3")
+    tags = F.when(F.col("doc_id") % 9 == 0, "7").otherwise(F.concat(F.lit('["'), F.upper("lang"), F.lit(' ", "'), F.col("source"), F.lit('", ""]')))
+    loose = F.concat(
+        F.lit("{"),
+        F.concat_ws(
+            ", ", member(name(2, F.lit("source_path"), F.lit("source")), F.when(F.col("doc_id") % 5 == 0, '" "').otherwise(path)), member(name(3, F.lit("source_file"), F.lit("file_path")), path),
+            member(F.lit("rel_path"), path), F.lit('"file_name": "f.md", "doc_type": "md", "title": null'), member(name(4, F.lit("doc_hash"), F.lit("file_hash")), F.concat(F.lit('"h'), "doc_id", F.lit('"'))),
+            member(F.lit("chunk_index"), index_), member(F.lit("tags"), tags),
+        ), F.lit("}"),
+    )
+    m = d.select("doc_id", contracts.metadata(loose).alias("m"))
+    return m.select("doc_id", F.nullif(F.col("m.source"), F.lit("")).alias("source"), "m.file_path", "m.file_hash", F.coalesce("m.chunk_index", F.lit(-9)).alias("chunk_index"), F.array_join("m.tags", ",").alias("tags"), "m.error")
 
 
 # Sinks
@@ -597,8 +697,9 @@ def result_tsv(spark, sf_dir):
     return best.select(tx.tsv_line([F.col("rank"), F.format_string("%.6f", "score"), F.col("rel_path"), F.array_join("tags", ","), F.col("chunk_id")]).alias("line"))
 
 
-@query()
+@query(f"""WITH {HITS}, r AS (SELECT *, row_number() OVER (ORDER BY {BY})::INT AS rank FROM hits)
+SELECT to_json({{'rank': rank, 'score': round(score, 6), 'rel_path': rel_path, 'tags': tags, 'chunk_id': chunk_id}})::VARCHAR AS json FROM r WHERE rank <= 20""")
 def result_json(spark, sf_dir):
-    """One JSON object per result; tested by reading it back."""
+    """One JSON object per result; ``Answer.json`` makes the whole envelope."""
     best = search.top(hits_of(spark, sf_dir), 20)
     return best.select(F.to_json(F.struct("rank", F.round("score", 6).alias("score"), "rel_path", "tags", "chunk_id")).alias("json"))

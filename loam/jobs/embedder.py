@@ -1,8 +1,8 @@
-"""Embedders by name. The offline ones are deterministic; others may be registered by whoever has a model."""
+"""Embedders and tag extractors by name. The offline ones are deterministic; others may be registered by whoever has a model."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,24 +10,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Embed = Callable[[list[str]], np.ndarray]
-_known: dict[str, Callable[..., Embed]] = {}
+Extract = Callable[[list[str]], list[list[str]]]
 
 
-def register(name: str, make: Callable[..., Embed]) -> None:
-    name = name.strip()
-    if not name or name in _known:
-        raise ValueError(f"embedder {name!r} is blank or known already")
-    _known[name] = make
+class Registry:
+    """Factories by name: a name is trimmed, not blank, and taken once; an unknown one is an error that lists the known."""
 
+    def __init__(self, what: str):
+        self.what, self._known = what, {}
 
-def names() -> list[str]:
-    return sorted(_known)
+    def register(self, name: str, make: Callable) -> None:
+        name = name.strip()
+        if not name or name in self._known:
+            raise ValueError(f"{self.what} {name!r} is blank or known already")
+        self._known[name] = make
 
+    def names(self) -> list[str]:
+        return sorted(self._known)
 
-def make(name: str, **options) -> Embed:
-    if name.strip() not in _known:
-        raise KeyError(f"unknown embedder {name!r}; known: {names()}")
-    return _known[name.strip()](**options)
+    def make(self, name: str, **options):
+        if name.strip() not in self._known:
+            raise KeyError(f"unknown {self.what} {name!r}; known: {self.names()}")
+        return self._known[name.strip()](**options)
+
+
+#: Embedders turn texts into vectors; extractors turn texts into tags.
+embedders, extractors = Registry("embedder"), Registry("tag extractor")
+register, names, make = embedders.register, embedders.names, embedders.make
 
 
 def keyword(words: tuple[str, ...] = ("go", "vector", "yaml")) -> Embed:
@@ -50,6 +59,21 @@ def hashing(dims: int = 64) -> Embed:
     return embed
 
 
+def vocabulary(words: tuple[str, ...] = ("go", "vector", "yaml")) -> Extract:
+    """Of ``words`` those that the lower-cased text holds, in their order."""
+    return lambda texts: [[w for w in words if w in t.lower()] for t in texts]
+
+
+def frequent(most: int = 8, shortest: int = 4) -> Extract:
+    """The words that a text has most often, the earlier first where they tie."""
+    import re
+    from collections import Counter
+
+    return lambda texts: [[w for w, _ in Counter(x for x in re.findall(r"\w+", t.lower()) if len(x) >= shortest).most_common(most)] for t in texts]
+
+
+extractors.register("vocabulary", vocabulary)
+extractors.register("frequent", frequent)
 register("keyword", keyword)
 register("hashing", hashing)
 
@@ -67,6 +91,41 @@ def with_vectors(chunks: DataFrame, name: str = "keyword", column: str = "conten
     return chunks.withColumn("vector", vector(F.col(column)))
 
 
+def with_tag_vectors(chunks: DataFrame, keys: Sequence[str], name: str, extractor: str, most: int = 8, extractor_options: dict | None = None, **options) -> DataFrame:
+    """``chunks`` with ``semantic_tags`` and ``tag_vector`` of their file, the pooled vectors of its tags; null for a file without tags.
+
+    A file's own ``tags`` are taken as they are; others are what ``extractor`` finds in its contents. Each distinct tag is embedded once.
+    """
+
+    @F.pandas_udf("array<string>")
+    def extract(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = extractors.make(extractor, **(extractor_options or {}))
+        for s in texts:
+            yield pd.Series(found(s.fillna("").tolist()), dtype=object)
+
+    from loam.functions import text as tx
+
+    own = chunks.where("error is null").groupBy(*keys).agg(
+        F.first("tags").alias("tags"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]), "\n\n").alias("content")
+    )
+    lacking = F.coalesce(F.size("tags"), F.lit(0)) == 0
+    given = own.where(~lacking).select(*keys, F.col("tags").alias("semantic_tags"))
+    found = own.where(lacking).select(*keys, tx.normalize_semantic_tags(extract("content"), most).alias("semantic_tags"))
+    tagged = given.union(found).where(F.size("semantic_tags") > 0)
+    each = tagged.select(*keys, F.explode("semantic_tags").alias("tag"))
+    vectors = with_vectors(each.select("tag").distinct(), name, "tag", **options)
+    key = F.struct(*keys)
+    pooled = mean_pooled(each.join(vectors, "tag").select(key.alias("file"), "vector"), "file").select("file.*", F.col("vector").cast("array<float>").alias("tag_vector"))
+    return chunks.join(tagged.join(pooled, list(keys)), list(keys), "left")
+
+
+def pooled(vectors: np.ndarray) -> list[float]:
+    """The mean of the rows, set to length 1; zero stays zero."""
+    mean = np.asarray(vectors, dtype=np.float64).mean(axis=0)
+    length = float(np.linalg.norm(mean))
+    return (mean / length if length > 0 else mean).tolist()
+
+
 def mean_pooled(rows: DataFrame, by: str, vector: str = "vector") -> DataFrame:
     """(by, vector): the mean of each group's vectors, set to length 1; sums are combined before they are shuffled."""
     parts = rows.select(by, F.posexplode(vector).alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -1,84 +1,292 @@
-"""The scan job: files to chunks to vectors, into a snapshot of Parquet tables that a pointer names.
+"""The index: scanned files of any number of collections as Parquet tables that grow by layers, and a manifest that says what is current.
 
-A scan reads the current snapshot, works on changed files alone, and writes one new snapshot; the pointer turns last, so readers see the
-old or the new state and a failed scan leaves the old one. Files that fail are rows with an error and keep what they had.
+Layout of a store: ``layers/<n>/{chunks,states}``, partitioned by collection, and ``manifest-<n>.json``, of which the highest number is current. A
+scan writes what it made and which files are gone into one new layer, then the manifest that names it; what it did not touch is neither
+read nor written again. A file's current state is that of its highest layer, and its chunks are those of the same layer. ``compact``
+writes what is current as one layer; ``vacuum`` deletes what no manifest names. All paths go through Hadoop's file systems.
+
+A file that cannot be read or parsed, or whose vectors have another length than its collection's, is a row with an error and keeps what it had.
+A scan with another provider, model, splitter or format starts its collections anew, which only a scan of whole collections may do.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import re
 import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field, replace
+from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.hashing import Recipe
-from loam.jobs.embedder import with_vectors
-from loam.operators import incremental
+from loam.jobs import embedder as em
+from loam.operators import contracts, incremental
 from loam.sources.markdown import Splitter, chunks
 
-STATES = "rel_path string, file_hash string, recipe_hash string, chunk_ids array<string>, chunk_count int"
+DB_VERSION = "v2"
+KEYS = ("collection_id", "rel_path")
+STATES = (
+    "rel_path string, source string, file_path string, file_name string, doc_type string, file_hash string, recipe_hash string, chunk_ids array<string>, chunk_count int, "
+    "last_indexed_at timestamp, deleted boolean, layer int, collection_id string"
+)
+CHUNKS = (
+    "rel_path string, source string, file_path string, file_name string, doc_type string, file_hash string, title string, tags array<string>, yaml string, chunk_index int, "
+    "title_path array<string>, content string, recipe_hash string, section_fingerprint string, chunk_id string, created_at timestamp, vector array<float>, "
+    "semantic_tags array<string>, tag_vector array<float>, layer int, collection_id string"
+)
+#: Options of these names never reach a file.
+CREDENTIAL = re.compile(r"api_?key|secret|token|password", re.I)
+
+
+class StateNotFound(LookupError):
+    """There is no manifest yet."""
+
+
+class RebuildRequired(ValueError):
+    """The stored collection cannot be read, or was made another way; a scan of the whole collection makes it anew."""
+
+
+class CollectionNotFound(LookupError):
+    pass
+
+
+def normalized_type(file_type: str | None) -> str:
+    kind = (file_type or "").strip().lower()
+    return "markdown" if kind in ("", "md") else kind
+
+
+@dataclass(frozen=True)
+class Collection:
+    """A row of the registry with the settings its files were indexed with; vector_dim 0 means that none is known yet."""
+
+    root: str
+    provider: str = "offline"
+    model: str = "keyword"
+    splitter: str = "markdown"
+    file_type: str = "markdown"
+    vector_dim: int = 0
+    db_version: str = DB_VERSION
+    provider_options: dict[str, str] = field(default_factory=dict)
+    created_at: str = ""
+    updated_at: str = ""
+
+    @property
+    def collection_id(self) -> str:
+        import hashlib
+
+        kind = normalized_type(self.file_type)
+        named = self.root if kind == "markdown" else f"{self.root}|file_type={kind}"
+        return hashlib.sha256(named.encode()).hexdigest()[:32]
+
+    def rebuild_reasons(self, other: Collection) -> list[str]:
+        """Why files indexed with ``self`` are of no use with ``other``."""
+        fields = ("provider", "model", "splitter", "vector_dim", "db_version")
+        return [f"{f}_changed" for f in fields if getattr(self, f) != getattr(other, f) and not (f == "vector_dim" and 0 in (self.vector_dim, other.vector_dim))]
+
+    def valid(self) -> Collection:
+        """Itself, if a query can be asked of it."""
+        if lacking := [f for f in ("provider", "model", "db_version") if not getattr(self, f).strip()] + ([] if self.vector_dim > 0 else ["vector_dim"]):
+            raise ValueError(f"collection {self.root}: {', '.join(lacking)} missing")
+        return self
+
+
+def scrubbed(options: dict[str, str]) -> dict[str, str]:
+    return {k: v for k, v in options.items() if not CREDENTIAL.search(k)}
 
 
 class Store:
-    """Snapshots in a folder: ``<root>/<snapshot>/{chunks,states}`` and ``<root>/_CURRENT``."""
+    def __init__(self, spark: SparkSession, root: str, now: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
+        self.spark, self.root, self.now = spark, root.rstrip("/"), now
+
+    # Files
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def current(self) -> str | None:
+    def _numbers(self, folder: str, pattern: str) -> list[int]:
+        fs, p = self._at(folder)
+        if not fs.exists(p):
+            return []
+        return sorted(int(m.group(1)) for s in fs.listStatus(p) if (m := re.fullmatch(pattern, s.getPath().getName())))
+
+    def manifest(self) -> dict:
+        numbers = self._numbers(self.root, r"manifest-(\d+)\.json")
+        if not numbers:
+            raise StateNotFound(self.root)
+        fs, p = self._at(f"{self.root}/manifest-{numbers[-1]:09d}.json")
+        stream = fs.open(p)
+        try:
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            found["collections"] = [Collection(**c) for c in found["collections"]]
+            if found["version"] != "v1":
+                raise ValueError(found["version"])
+        except (KeyError, TypeError, ValueError) as e:
+            raise RebuildRequired(f"manifest of {self.root} cannot be read: {e}") from e
+        finally:
+            stream.close()
+        return found | {"number": numbers[-1]}
+
+    def _current(self) -> dict:
         try:
-            with open(os.path.join(self.root, "_CURRENT"), encoding="utf-8") as f:
-                return json.load(f)["snapshot"]
-        except FileNotFoundError:
-            return None
-
-    def read(self, name: str) -> DataFrame | None:
-        at = self.current()
-        return None if at is None else self.spark.read.parquet(f"{self.root}/{at}/{name}")
-
-    def write(self, frames: dict[str, DataFrame]) -> str:
-        at = uuid.uuid4().hex
-        for name, df in frames.items():
-            df.write.parquet(f"{self.root}/{at}/{name}")
-        aside = os.path.join(self.root, f".{at}")
-        with open(aside, "w", encoding="utf-8") as f:
-            json.dump({"snapshot": at}, f)
-        os.replace(aside, os.path.join(self.root, "_CURRENT"))
-        return at
-
-
-def scan(store: Store, files: DataFrame, recipe: Recipe, splitter: Splitter = Splitter(), embedder: str = "keyword", reconcile: bool = True, force: bool = False) -> DataFrame:
-    """Bring ``store`` up to ``files(rel_path, content, file_hash)``; returns (rel_path, status, error) of each file."""
-    spark = store.spark
-    states = store.read("states")
-    states = states if states is not None else spark.createDataFrame([], STATES)
-    planned = incremental.plan(files, states, recipe.hash(), force)
-    todo = files.join(planned.where("action = 'update'").select("rel_path"), "rel_path")
-    made = chunks(todo, splitter)
-    # the parsed rows are read three times below
-    aside = f"{store.root}/.work-{uuid.uuid4().hex}"
-    with_vectors(made, embedder).write.parquet(aside)
-    made = spark.read.parquet(aside)
-    good, failed = made.where("error is null"), made.where("error is not null").select("rel_path", "error")
-    touched = todo.join(failed, "rel_path", "left_anti").select("rel_path")
-    new_states = touched.join(files.select("rel_path", "file_hash"), "rel_path").join(
-        good.groupBy("rel_path").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids")), "rel_path", "left"
-    ).select(
-        "rel_path", "file_hash", F.lit(recipe.hash()).alias("recipe_hash"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids")
+            return self.manifest()
+        except StateNotFound:
+            return {"version": "v1", "layers": [], "collections": [], "number": 0}
+
+    def _commit(self, old: dict, layers: list[int], collections: Sequence[Collection]) -> None:
+        """The next manifest, whole or not at all; fails if another writer was first."""
+        rows = [asdict(replace(c, provider_options=scrubbed(c.provider_options))) for c in sorted(collections, key=lambda c: (-len(c.root), c.root, c.file_type))]
+        ids = [Collection(**r).collection_id for r in rows]
+        if len(set(ids)) < len(ids):
+            raise ValueError("a root and file type occur twice in the registry")
+        body = json.dumps({"version": "v1", "layers": layers, "collections": rows}).encode()
+        fs, aside = self._at(f"{self.root}/.{uuid.uuid4().hex}")
+        stream = fs.create(aside, True)
+        stream.write(body)
+        stream.close()
+        _, to = self._at(f"{self.root}/manifest-{old['number'] + 1:09d}.json")
+        if fs.exists(to) or not fs.rename(aside, to):
+            fs.delete(aside, False)
+            raise RuntimeError(f"another writer has changed {self.root}")
+
+    def _layer(self) -> int:
+        return max(self._numbers(f"{self.root}/layers", r"(\d+)"), default=0) + 1
+
+    def _read(self, name: str, schema: str, layers: list[int]) -> DataFrame:
+        if not layers:
+            return self.spark.createDataFrame([], schema)
+        return reduce(DataFrame.union, [self.spark.read.schema(schema).parquet(f"{self.root}/layers/{n}/{name}") for n in layers])
+
+    # Tables
+
+    def states(self) -> DataFrame:
+        """The current state of every file of a registered collection."""
+        m = self._current()
+        rows = self._read("states", STATES, m["layers"]).where(F.col("collection_id").isin([c.collection_id for c in m["collections"]]))
+        if len(m["layers"]) > 1:
+            rest = [c for c in rows.columns if c not in KEYS]
+            rows = rows.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "layer").alias("s")).select(*KEYS, "s.*")
+        return rows.where("not deleted")
+
+    def chunks(self, validate: bool = False) -> DataFrame:
+        """The current chunks. With ``validate`` a row that breaks the contract of chunks fails the job that reads it."""
+        m = self._current()
+        rows = self._read("chunks", CHUNKS, m["layers"])
+        if len(m["layers"]) > 1:
+            rows = rows.join(self.states().select(*KEYS, "layer"), [*KEYS, "layer"], "left_semi")
+        else:
+            rows = rows.where(F.col("collection_id").isin([c.collection_id for c in m["collections"]]))
+        return contracts.enforced(rows, contracts.chunk_problems()) if validate else rows
+
+    def collections(self) -> list[Collection]:
+        """The registry, longest root first."""
+        return self._current()["collections"]
+
+    # Registry
+
+    def register(self, collection: Collection) -> None:
+        m = self._current()
+        self._commit(m, m["layers"], [c for c in m["collections"] if c.collection_id != collection.collection_id] + [collection])
+
+    def remove(self, collection_id: str) -> Collection:
+        m = self._current()
+        gone = [c for c in m["collections"] if c.collection_id == collection_id.strip()]
+        if not gone:
+            raise CollectionNotFound(collection_id)
+        self._commit(m, m["layers"], [c for c in m["collections"] if c not in gone])
+        return gone[0]
+
+    # Upkeep
+
+    def compact(self) -> None:
+        m, n = self.manifest(), self._layer()
+        for name, rows in (("chunks", self.chunks()), ("states", self.states())):
+            rows.withColumn("layer", F.lit(n)).write.partitionBy("collection_id").parquet(f"{self.root}/layers/{n}/{name}")
+        self._commit(m, [n], m["collections"])
+
+    def vacuum(self) -> list[int]:
+        """Deletes layers that the current manifest does not name, and older manifests; readers of those fail."""
+        m = self.manifest()
+        gone = [n for n in self._numbers(f"{self.root}/layers", r"(\d+)") if n not in m["layers"]]
+        for path in [*(f"{self.root}/layers/{n}" for n in gone), *(f"{self.root}/manifest-{k:09d}.json" for k in range(1, m["number"]))]:
+            fs, p = self._at(path)
+            fs.delete(p, True)
+        return gone
+
+
+def scan(
+    store: Store, files: DataFrame, recipe: Recipe, collections: Sequence[Collection], splitter: Splitter = Splitter(), tag_extractor: str | None = None,
+    extractor_options: dict | None = None, reconcile: bool = True, force: bool = False, most_layers: int = 20, **embedder_options,
+) -> DataFrame:
+    """Brings ``store`` up to ``files(collection_id, rel_path, content, file_hash)``, with a column ``error`` if some could not be read.
+
+    Returns (collection_id, rel_path, status, error) of each file: skipped, updated, deleted or error. ``collections`` are those the files belong to;
+    with ``reconcile`` the files are all they have, so others are gone. ``tag_extractor`` names one of ``embedder.extractors``; the tags of the
+    front matter are taken as they are where a file has any.
+    """
+    spark, m, n = store.spark, store._current(), store._layer()
+    if "error" not in files.columns:
+        files = files.withColumn("error", F.lit(None).cast("string"))
+    stored = {c.collection_id: c for c in m["collections"]}
+    wanted = {c.collection_id: c for c in collections}
+    rebuilt = [i for i, c in wanted.items() if i in stored and stored[i].rebuild_reasons(c)]
+    if rebuilt and not reconcile:
+        raise RebuildRequired({stored[i].root: stored[i].rebuild_reasons(wanted[i]) for i in rebuilt})
+    before = store.states().where(F.col("collection_id").isin(list(wanted)))
+    states = before.where(~F.col("collection_id").isin(rebuilt)) if rebuilt else before
+    unread = files.where("error is not null").select(*KEYS, "error")
+    planned = incremental.plan(files.where("error is null"), states, recipe.hash(), force, KEYS)
+    todo = files.where("error is null").join(planned.where("action = 'update'").select(*KEYS), list(KEYS))
+    made = em.with_vectors(chunks(todo, splitter, keep=("collection_id",)), recipe.model, **embedder_options)
+    if tag_extractor is not None:
+        made = em.with_tag_vectors(made, KEYS, recipe.model, tag_extractor, extractor_options=extractor_options, **embedder_options)
+    else:
+        made = made.withColumns({"semantic_tags": F.lit(None).cast("array<string>"), "tag_vector": F.lit(None).cast("array<float>")})
+    at = f"{store.root}/layers/{n}"
+    made.write.parquet(f"{at}/made")  # parsed and embedded once; read several times below
+    made = spark.read.parquet(f"{at}/made")
+    good = made.where("error is null")
+    dims = {c: (stored[c].vector_dim if c in stored and c not in rebuilt else 0) or wanted[c].vector_dim for c in wanted}
+    for c, d in good.where("chunk_id is not null").groupBy("collection_id").agg(F.min_by(F.size("vector"), F.struct("rel_path", "chunk_index"))).collect():  # a row a collection
+        dims[c] = dims[c] or d
+    expected = F.create_map(*[F.lit(x) for pair in dims.items() for x in pair])[F.col("collection_id")] if dims else F.lit(0)
+    other = good.where(F.size("vector") != expected).groupBy(*KEYS).agg(F.concat(F.lit("vector dimension mismatch: expected="), F.first(expected), F.lit(" actual="), F.min(F.size("vector"))).alias("error"))
+    failed = made.where("error is not null").select(*KEYS, "error").union(other.select(*KEYS, "error")).union(unread)
+    fine = good.join(other.select(*KEYS), list(KEYS), "left_anti")
+    now = F.lit(store.now()).cast("timestamp")
+    about = {
+        "source": F.col("rel_path"), "file_path": F.col("rel_path"), "file_name": F.element_at(F.split("rel_path", "/"), -1), "doc_type": F.lit(recipe.type), "layer": F.lit(n),
+    }
+    body = fine.drop("error").withColumns(about | {"created_at": now}).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    touched = todo.join(failed.select(*KEYS), list(KEYS), "left_anti").select(*KEYS, "file_hash")
+    ids = fine.groupBy(*KEYS).agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
+    new = touched.join(ids, list(KEYS), "left").withColumns(
+        about | {"recipe_hash": F.lit(recipe.hash()), "chunk_ids": F.coalesce("chunk_ids", F.array().cast("array<string>")), "last_indexed_at": now, "deleted": F.lit(False)}
     ).withColumn("chunk_count", F.size("chunk_ids"))
-    gone = incremental.deleted(states, files).select("rel_path") if reconcile else states.limit(0).select("rel_path")
-    left = touched.union(gone)
-    kept_states = states.join(left, "rel_path", "left_anti")
-    old = store.read("chunks")
-    body = good.drop("error")
-    kept = body if old is None else old.join(left, "rel_path", "left_anti").unionByName(body)
-    outcome = (
-        planned.where("action = 'skip'").select("rel_path", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
-        .union(touched.select("rel_path", F.lit("updated"), F.lit(None).cast("string")))
-        .union(failed.select("rel_path", F.lit("error"), "error"))
-        .union(gone.select("rel_path", F.lit("deleted"), F.lit(None).cast("string")))
-    )
-    at = store.write({"chunks": kept, "states": kept_states.unionByName(new_states), "outcome": outcome})
-    return spark.read.parquet(f"{store.root}/{at}/outcome")
+    # a rebuilt collection keeps nothing of what it had; another one loses the files that are gone
+    lost = before.join(touched.select(*KEYS), list(KEYS), "left_anti").where(F.col("collection_id").isin(rebuilt)) if rebuilt else before.limit(0)
+    gone = incremental.deleted(states, files, KEYS) if reconcile else states.limit(0)
+    dead = gone.unionByName(lost).withColumns({"deleted": F.lit(True), "layer": F.lit(n)})
+    columns = [c.split()[0] for c in STATES.split(", ")]
+    body.select(*[c.split()[0] for c in CHUNKS.split(", ")]).write.partitionBy("collection_id").parquet(f"{at}/chunks")
+    new.select(*columns).unionByName(dead.select(*columns)).write.partitionBy("collection_id").parquet(f"{at}/states")
+    nothing = F.lit(None).cast("string").alias("error")
+    planned.where("action = 'skip'").select(*KEYS, F.lit("skipped").alias("status"), nothing).union(touched.select(*KEYS, F.lit("updated"), nothing)).union(
+        failed.select(*KEYS, F.lit("error"), "error")
+    ).union(gone.select(*KEYS, F.lit("deleted"), nothing)).write.parquet(f"{at}/outcome")
+    outcome = spark.read.parquet(f"{at}/outcome")
+    changed = not spark.read.schema(STATES).parquet(f"{at}/states").isEmpty()
+    moment = store.now().isoformat()
+    entries = [
+        replace(c, vector_dim=dims[i], created_at=stored[i].created_at if i in stored and i not in rebuilt else moment, updated_at=moment) for i, c in wanted.items()
+    ]
+    kept = [c for c in m["collections"] if c.collection_id not in wanted]
+    if changed or any(i not in stored for i in wanted):
+        store._commit(m, [*m["layers"], n], [*kept, *entries])
+        if len(m["layers"]) + 1 > most_layers:
+            store.compact()
+    return outcome

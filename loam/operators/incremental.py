@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,24 +13,24 @@ def reasons(**checks: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
 
 
-def plan(files: DataFrame, states: DataFrame, recipe_hash: Column | str, force: bool = False) -> DataFrame:
-    """(rel_path, action, reasons) of each of ``files(rel_path, file_hash)``: skip, or update and why."""
+def plan(files: DataFrame, states: DataFrame, recipe_hash: Column | str, force: bool = False, keys: Sequence[str] = ("rel_path",)) -> DataFrame:
+    """(*keys, action, reasons) of each of ``files(*keys, file_hash)``: skip, or update and why."""
     recipe = F.lit(recipe_hash) if isinstance(recipe_hash, str) else recipe_hash
-    prior = states.select("rel_path", F.col("file_hash").alias("old_hash"), F.col("recipe_hash").alias("old_recipe"), F.lit(True).alias("known"))
-    joined = files.select("rel_path", "file_hash").join(prior, "rel_path", "left")
+    prior = states.select(*keys, F.col("file_hash").alias("old_hash"), F.col("recipe_hash").alias("old_recipe"), F.lit(True).alias("known"))
+    joined = files.select(*keys, "file_hash").join(prior, list(keys), "left")
     why = reasons(
         missing_state=F.col("known").isNull(),
         file_hash_changed=~F.col("file_hash").eqNullSafe(F.col("old_hash")),
         recipe_changed=~recipe.eqNullSafe(F.col("old_recipe")),
     )
-    return joined.select("rel_path", why.alias("reasons")).select(
-        "rel_path", F.when(F.lit(force) | (F.size("reasons") > 0), "update").otherwise("skip").alias("action"), "reasons"
+    return joined.select(*keys, why.alias("reasons")).select(
+        *keys, F.when(F.lit(force) | (F.size("reasons") > 0), "update").otherwise("skip").alias("action"), "reasons"
     )
 
 
-def deleted(states: DataFrame, files: DataFrame) -> DataFrame:
+def deleted(states: DataFrame, files: DataFrame, keys: Sequence[str] = ("rel_path",)) -> DataFrame:
     """States whose file is gone."""
-    return states.join(files.select("rel_path").distinct(), "rel_path", "left_anti")
+    return states.join(files.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def rebuild_reasons(stored: DataFrame, current: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import hashlib
 import json
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -267,8 +267,8 @@ CHUNKS = (
 )
 
 
-def chunks(files: DataFrame, splitter: Splitter = Splitter()) -> DataFrame:
-    """``files(rel_path, content)`` -> rows of ``CHUNKS``. A file that fails is one row with its error and no chunk."""
+def chunks(files: DataFrame, splitter: Splitter = Splitter(), keep: Sequence[str] = ()) -> DataFrame:
+    """``files(rel_path, content, *keep)`` -> rows of ``CHUNKS`` with the columns ``keep``. A file that fails is one row with its error and no chunk."""
 
     def sha(x: str) -> str:
         return hashlib.sha256(x.encode()).hexdigest()
@@ -276,8 +276,8 @@ def chunks(files: DataFrame, splitter: Splitter = Splitter()) -> DataFrame:
     def of(frames):
         recipe = splitter.recipe_hash()
         for pdf in frames:
-            out = []
-            for path, content in zip(pdf["rel_path"], pdf["content"], strict=True):
+            out, of_file = [], []
+            for n, (path, content) in enumerate(zip(pdf["rel_path"], pdf["content"], strict=True)):
                 content = content or ""
                 raw = sha(content)
                 try:
@@ -285,13 +285,19 @@ def chunks(files: DataFrame, splitter: Splitter = Splitter()) -> DataFrame:
                     title, tags = title_and_tags(found)
                 except ValueError as e:
                     out.append((path, raw, None, None, None, None, None, None, None, None, None, str(e)))
+                    of_file.append(n)
                     continue
                 for i, (titles, piece) in enumerate(splitter.split(body, [title] if title else [])):
                     print_ = sha("\x1f".join(titles) + "\x1e" + piece.strip())
                     out.append((path, raw, title, tags, json.dumps(found, default=str, sort_keys=True), i, titles, piece, recipe, print_, sha(f"{path}|{recipe}|{i}|{print_}"), None))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")]).astype({"chunk_index": "Int32"})
-
-    return files.select("rel_path", "content").mapInPandas(of, CHUNKS)
+                    of_file.append(n)
+            got = pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")]).astype({"chunk_index": "Int32"})
+            for c in keep:
+                got[c] = pdf[c].to_numpy()[of_file]
+            yield got
+
+    kept = ", ".join(["", *(f"{c} {files.schema[c].dataType.simpleString()}" for c in keep)])
+    return files.select("rel_path", "content", *keep).mapInPandas(of, CHUNKS + kept)
 
 
 def text_windows(df: DataFrame, key: str, limit: int = 1200, overlap: int = 120) -> DataFrame:

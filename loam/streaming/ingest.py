@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loam.functions.hashing import Recipe
-from loam.jobs.index import Store, scan
+from loam.jobs.index import Collection, Store, scan
 
 ARRIVALS = "rel_path string, content string, arrived timestamp"
 
@@ -21,9 +21,9 @@ def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(ARRIVALS).parquet(folder).withColumn("file_hash", F.sha2("content", 256))
 
 
-def ingest(stream: DataFrame, store: Store, recipe: Recipe, checkpoint: str) -> StreamingQuery:
+def ingest(stream: DataFrame, store: Store, recipe: Recipe, collection: Collection, checkpoint: str) -> StreamingQuery:
     def batch(df: DataFrame, _: int) -> None:
         latest = df.groupBy("rel_path").agg(F.max_by(F.struct("content", "file_hash"), "arrived").alias("r")).select("rel_path", "r.*")
-        scan(store, latest, recipe, reconcile=False)
+        scan(store, latest.withColumn("collection_id", F.lit(collection.collection_id)), recipe, [collection], reconcile=False)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

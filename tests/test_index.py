@@ -3,9 +3,11 @@ from pyspark.sql import functions as F
 
 from loam.functions import hashing as hx
 from loam.jobs import embedder
-from loam.jobs.index import Store, scan
-from loam.operators import incremental, scopes
-from loam.sources import listing, markdown
+from loam.jobs import index
+from loam.jobs import query as ask
+from loam.jobs.index import Collection, Store
+from loam.operators import contracts, incremental, scopes, search
+from loam.sources import listing, markdown, providers
 
 RECIPE = hx.Recipe("markdown", "v1", "offline", "keyword", 3)
 
@@ -99,26 +101,220 @@ def test_front_matter():
         markdown.title_and_tags({"title": 3})
 
 
-def files(spark, **content):
-    df = spark.createDataFrame([(k, v) for k, v in content.items()], "rel_path string, content string")
+HOME = Collection("/home/docs")
+
+
+def files(spark, collection=HOME, **content):
+    """Files of texts; None is one that cannot be read."""
+    rows = [(collection.collection_id, f"{collection.root}/{k}", v, None if v is not None else "cannot be read") for k, v in content.items()]
+    df = spark.createDataFrame(rows, "collection_id string, rel_path string, content string, error string")
     return df.withColumn("file_hash", F.sha2("content", 256))
 
 
-def statuses(df):
-    return {r["rel_path"]: r["status"] for r in df.collect()}
+def scan(store, found, recipe=RECIPE, collections=(HOME,), **how):
+    return {r["rel_path"].split("/")[-1]: r["status"] for r in index.scan(store, found, recipe, collections, **how).collect()}
+
+
+def names(df):
+    return sorted({r["rel_path"].split("/")[-1] for r in df.collect()})
 
 
 def test_scan_is_incremental(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
+    with pytest.raises(index.StateNotFound):
+        store.manifest()
+    assert store.chunks().count() == 0 and store.collections() == []
     two = files(spark, a="# A\n\ngo go yaml", b="vector")
-    assert statuses(scan(store, two, RECIPE)) == {"a": "updated", "b": "updated"}
-    assert {tuple(r["vector"]) for r in store.read("chunks").collect()} == {(2, 0, 1), (0, 1, 0)}
-    assert statuses(scan(store, two, RECIPE)) == {"a": "skipped", "b": "skipped"}
-    other = hx.Recipe("markdown", "v1", "offline", "other", 3)
-    assert statuses(scan(store, two, other)) == {"a": "updated", "b": "updated"}
-    assert statuses(scan(store, files(spark, a="changed"), other)) == {"a": "updated", "b": "deleted"}
-    assert statuses(scan(store, files(spark, a="changed", bad="---\ntags: [x\n---\n"), other)) == {"a": "skipped", "bad": "error"}
-    assert [r["rel_path"] for r in store.read("chunks").select("rel_path").distinct().collect()] == ["a"]
+    assert scan(store, two) == {"a": "updated", "b": "updated"}
+    assert {tuple(r["vector"]) for r in store.chunks(validate=True).collect()} == {(2, 0, 1), (0, 1, 0)}
+    layers = store.manifest()["layers"]
+    assert scan(store, two) == {"a": "skipped", "b": "skipped"} and store.manifest()["layers"] == layers
+    other = hx.Recipe("markdown", "v2", "offline", "keyword", 3)
+    assert scan(store, two, other) == {"a": "updated", "b": "updated"}
+    assert scan(store, files(spark, a="changed"), other) == {"a": "updated", "b": "deleted"}
+    assert scan(store, files(spark, a="changed", bad="---\ntags: [x\n---\n"), other) == {"a": "skipped", "bad": "error"}
+    assert names(store.chunks()) == ["a"] and names(store.states()) == ["a"]
+    assert scan(store, files(spark, a="changed"), other, force=True) == {"a": "updated"}
+    assert scan(store, files(spark, c="new"), other, reconcile=False) == {"c": "updated"} and names(store.chunks()) == ["a", "c"]
+
+
+def test_unreadable_files_keep_what_they_had(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    scan(store, files(spark, a="go", b="yaml"))
+    before = {r["rel_path"]: r["file_hash"] for r in store.states().collect()}
+    got = index.scan(store, files(spark, a=None, b="yaml go", c=None), RECIPE, [HOME]).collect()
+    assert {r["rel_path"][-1]: (r["status"], r["error"]) for r in got} == {"a": ("error", "cannot be read"), "b": ("updated", None), "c": ("error", "cannot be read")}
+    assert names(store.chunks()) == ["a", "b"]
+    after = {r["rel_path"]: r["file_hash"] for r in store.states().collect()}
+    assert after["/home/docs/a"] == before["/home/docs/a"] and after["/home/docs/b"] != before["/home/docs/b"]
+    assert scan(store, files(spark, a="---\n- list\n---\n", b="yaml go"))["a"] == "error" and names(store.chunks()) == ["a", "b"]
+
+
+def test_other_settings_rebuild_whole_collections_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    far = Collection("/far")
+    both = files(spark, a="go", b="yaml").union(files(spark, far, z="vector"))
+    scan(store, both, collections=(HOME, far))
+    hashed = Collection("/home/docs", model="hashing")
+    recipe = hx.Recipe("markdown", "v1", "offline", "hashing", 8)
+    with pytest.raises(index.RebuildRequired, match="model_changed"):
+        scan(store, files(spark, a="go"), recipe, (hashed,), reconcile=False, dims=8)
+    assert scan(store, files(spark, a="go", bad="---\n- x\n---\n"), recipe, (hashed,), dims=8) == {"a": "updated", "bad": "error"}
+    assert names(store.chunks()) == ["a", "z"] and names(store.states()) == ["a", "z"]
+    assert {c.root: (c.model, c.vector_dim) for c in store.collections()} == {"/home/docs": ("hashing", 8), "/far": ("keyword", 3)}
+    assert Collection("/x").rebuild_reasons(Collection("/x", provider="p", splitter="s", vector_dim=4, db_version="v9")) == ["provider_changed", "splitter_changed", "db_version_changed"]
+
+
+def test_vectors_of_another_length_are_errors(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    scan(store, files(spark, a="go"))
+    got = index.scan(store, files(spark, a="go", b="yaml"), RECIPE, [HOME], words=("one", "two")).collect()
+    assert {r["rel_path"][-1]: r["status"] for r in got} == {"a": "skipped", "b": "error"}
+    assert "expected=3 actual=2" in [r["error"] for r in got if r["error"]][0] and names(store.chunks()) == ["a"]
+
+
+def test_layers_are_compacted_and_vacuumed(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for text in ("one", "two", "three"):
+        scan(store, files(spark, a=text, b="same"))
+    rows = lambda: sorted((r["rel_path"], r["content"]) for r in store.chunks().collect())
+    before = rows()
+    assert before == [("/home/docs/a", "three"), ("/home/docs/b", "same")] and len(store.manifest()["layers"]) == 3
+    store.compact()
+    assert rows() == before and len(store.manifest()["layers"]) == 1 and store.vacuum() == [1, 2, 3] and rows() == before
+    scan(store, files(spark, a="four", b="same"), most_layers=1)
+    assert rows()[0][1] == "four" and len(store.manifest()["layers"]) == 1
+    store._commit(store.manifest(), [], [])
+    with pytest.raises(RuntimeError):
+        store._commit(store.manifest() | {"number": store.manifest()["number"] - 1}, [], [])
+
+
+def test_registry(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.register(Collection("/a", provider_options={"url": "u", "openai_api_key": "s3cr3t"}))
+    store.register(Collection("/a/deep"))
+    store.register(Collection("/a", file_type="image"))
+    store.register(Collection("/a", model="other", file_type="md"))
+    assert [(c.root, c.file_type, c.model) for c in store.collections()] == [("/a/deep", "markdown", "keyword"), ("/a", "image", "keyword"), ("/a", "md", "other")]
+    assert "s3cr3t" not in "".join(p.read_text() for p in (tmp_path / "store").glob("manifest-*.json"))
+    assert store.remove(Collection("/a", file_type="image").collection_id).file_type == "image" and len(store.collections()) == 2
+    with pytest.raises(index.CollectionNotFound):
+        store.remove("none")
+    (tmp_path / "store" / "manifest-000000099.json").write_text("{")
+    with pytest.raises(index.RebuildRequired):
+        store.manifest()
+    assert Collection("/tmp/docs").collection_id == "6fdb92d73ed94d13055de07d55229929" and Collection("/tmp/docs", file_type="image").collection_id == "faba04d4bf42ca416e1e7304d448f856"
+
+
+def test_scopes_of_a_query():
+    known = [Collection("/a/b"), Collection("/a"), Collection("/z/1"), Collection("/z/2"), Collection("/a", file_type="image")]
+    roots = lambda *x, **how: [c.root for c in ask.scopes(known, *x, root_exists=lambda r: r != "/z/2", **how)]
+    assert roots("/a/b/deep/guide.md") == ["/a/b"] and roots("/a/x") == ["/a"] and roots("/z") == ["/z/1", "/z/2"]
+    assert roots() == ["/a/b", "/a", "/z/1"] and roots("", "image") == ["/a"] and roots("", "md") == roots()
+    for path in ("/q", "/a/bc/../x"[:0] or "/ab"):
+        with pytest.raises(ask.NotIndexed):
+            roots(path)
+    with pytest.raises(ask.NotIndexed):
+        ask.scopes([], "")
+    with pytest.raises(ValueError, match="vector_dim"):
+        Collection("/a").valid()
+
+
+def test_queries_over_stored_collections(spark, tmp_path):
+    import json
+
+    store = Store(spark, str(tmp_path / "store"))
+    far = Collection("/far")
+    found = files(spark, a="---\ntitle: Guide\ntags: [Go]\n---\n\ngo go vector", b="yaml go", sub="go").union(files(spark, far, z="---\ntags: [yaml]\n---\n\nvector vector yaml"))
+    scan(store, found, collections=(HOME, far), tag_extractor="vocabulary")
+    rows = {r["rel_path"]: r for r in store.chunks().collect()}
+    assert rows["/home/docs/a"]["semantic_tags"] == ["go"] and rows["/home/docs/a"]["tag_vector"] == [1, 0, 0] and rows["/home/docs/b"]["semantic_tags"] == ["go", "yaml"]
+    assert rows["/home/docs/b"]["tag_vector"] == pytest.approx([0.70710677, 0, 0.70710677])
+    wide = search.Options(alpha=-1, delta=-1)
+    get = lambda *x, **how: ask.ask(store, *x, root_exists=lambda _: True, **how)
+    paths = lambda a: [r["rel_path"] for r in a.results.orderBy("rank").collect()]
+    plain = get("go vector", options=wide)
+    assert paths(plain)[0] == "/home/docs/a" and len(paths(plain)) == 4 and not plain.fused
+    fused = get("go vector", options=wide, tag_extractor="vocabulary")
+    top = fused.results.orderBy("rank").first()
+    assert fused.query_tags == ["go", "vector"] and fused.fused and top["tag_score"] == pytest.approx(0.70710678) and top["score"] == pytest.approx(0.7 * top["content_score"] + 0.3 * top["tag_score"])
+    for how in ({"no_tag": True}, {"options": search.Options(alpha=-1, delta=-1, tag_weight=0)}):
+        assert not get("go vector", tag_extractor="vocabulary", **({"options": wide} | how)).fused
+    assert not get("go ", tag_extractor="vocabulary").fused
+    assert paths(get("go vector", "/far", options=wide)) == ["/far/z"] and paths(get("go", "/home/docs/sub", options=wide)) == ["/home/docs/sub"]
+    assert paths(get("go", tags=[" GO "], options=wide)) == ["/home/docs/a"]
+    said = json.loads(get("go vector", options=search.Options(limit=2, alpha=-1, delta=-1)).json().first()[0])
+    assert said["version"] == "v1" and said["vector_dim"] == 3 and [r["rank"] for r in said["results"]] == [1, 2] and said["results"][0]["title_path"] == ["Guide"] and "explain" not in said and "query_tags" not in said
+    for o, strategy in ((search.Options(limit=2, rerank="bm25"), "bm25"), (search.Options(limit=2, mmr=True, alpha=-1, delta=-1), "mmr"), (search.Options(limit=2, alpha=-1, delta=-1), "truncate")):
+        said = json.loads(get("go vector", options=o, tag_extractor="vocabulary").json(explain=True).first()[0])
+        assert said["explain"]["final_strategy"] == strategy and said["explain"]["search_window"] == 20 and said["explain"]["scope_count"] == 2
+        assert said["explain"]["final_count"] == len(said["results"]) and said["query_tags"] == ["go", "vector"]
+        own = said["results"][0]["explain"]
+        assert {"content_score", "tag_score", "pre_rerank_score", "final_score"} <= set(own) and ("bm25_score" in own) == (strategy == "bm25") and ("mmr_relevance" in own) == (strategy == "mmr")
+    with pytest.raises(ValueError):
+        get("  ")
+    with pytest.raises(ValueError, match="dimensions"):
+        get("go", words=("one",))
+
+
+def test_shown_files(spark, tmp_path):
+    import json
+
+    store = Store(spark, str(tmp_path / "store"))
+    deep = Collection("/home/docs/deep")
+    below = files(spark, deep, k="inside").withColumn("rel_path", F.lit("k"))
+    scan(store, files(spark, a="go").union(below), collections=(HOME, deep), most_layers=5)
+    paths = spark.createDataFrame([("/home/docs/a",), ("/home/docs/deep/k",), ("/home/docs/none",), ("/else",)], "path string")
+    got = {r["path"]: r for r in ask.shown_files(store, paths).collect()}
+    assert got["/home/docs/a"]["chunk_count"] == 1 and got["/home/docs/deep/k"]["root_dir"] == "/home/docs/deep" and got["/home/docs/deep/k"]["chunks"][0]["content"] == "inside"
+    assert not got["/home/docs/none"]["found"] and not got["/else"]["found"]
+    said = {r["path"]: json.loads(r["json"]) for r in ask.show_json(ask.shown_files(store, paths)).collect()}
+    assert said["/else"] == {"found": False} and said["/home/docs/a"]["file"]["rel_path"] == "/home/docs/a" and said["/home/docs/a"]["chunks"][0]["vector_len"] == 3
+
+
+def test_contracts(spark):
+    good = {"source": "s", "file_path": "f", "rel_path": "r", "file_name": "n", "doc_type": "d", "file_hash": "h", "chunk_index": 0, "tags": ["a", "b"], "title_path": ["T"], "yaml": "{}"}
+    schema = "source string, file_path string, rel_path string, file_name string, doc_type string, file_hash string, chunk_index int, tags array<string>, title_path array<string>, yaml string"
+    changes = [{}, {"source": " "}, {"chunk_index": -1}, {"tags": ["b", "a"]}, {"tags": ["A"]}, {"title_path": [" "]}, {"yaml": None}, {"tags": None}]
+    df = spark.createDataFrame([tuple((good | c).values()) for c in changes], schema)
+    got = [r[0] for r in df.select(contracts.chunk_problems()).collect()]
+    assert got == [[], ["source_required"], ["chunk_index_negative"], ["tags_not_normalized"], ["tags_not_normalized"], ["title_path_blank"], ["yaml_required"], []]
+    assert contracts.enforced(df.limit(1), contracts.chunk_problems()).count() == 1
+    with pytest.raises(Exception, match="invalid row"):
+        contracts.enforced(df, contracts.chunk_problems()).collect()
+    states = spark.createDataFrame([("r", "h", "c", ["i"], 1, "2024-01-01"), ("r", "", "c", ["i"], 2, "2024-01-01"), ("r", "h", "c", [" "], 1, None)], "rel_path string, file_hash string, recipe_hash string, chunk_ids array<string>, chunk_count int, d string")
+    got = [r[0] for r in states.withColumn("last_indexed_at", F.to_timestamp("d")).select(contracts.state_problems()).collect()]
+    assert got == [[], ["file_hash_required", "chunk_count_differs"], ["chunk_id_blank", "last_indexed_at_required"]]
+
+
+def test_metadata_from_loose_maps(spark):
+    good = '"source_path": " s ", "source_file": "f", "rel_path": "r", "file_name": "n", "doc_type": "d", "doc_hash": "h", "chunk_index": 2'
+    rows = ["{%s}" % good, "{%s, \"tags\": [\" B\", \"a\", \"\"], \"title\": \" T \", \"title_path\": [\" x \", \" \"], \"yaml\": {\"k\": [1]}}" % good, "{%s, \"source\": 3}" % good, "{%s, \"tags\": [1]}" % good, "{%s, \"yaml\": []}" % good, "[]", "no", None, "{}"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "j string").select(contracts.metadata(F.col("j"))).collect()]
+    assert got[0]["error"] is None and got[0]["source"] == "s" and got[0]["file_hash"] == "h" and got[0]["tags"] == [] and got[0]["yaml"] == "{}" and got[0]["title"] == ""
+    assert got[1]["error"] is None and got[1]["tags"] == ["a", "b"] and got[1]["title"] == "T" and got[1]["title_path"] == ["x"] and got[1]["yaml"] == '{"k":[1]}'
+    assert [g["error"] for g in got[2:]] == ["metadata: source must be a string", "metadata: tags must be a list of strings", "metadata: yaml must be a map", *["metadata: values are required"] * 3, "metadata: source is required"]
+
+
+def test_providers_and_captions(spark):
+    own = providers.Providers()
+    own.register(providers.Provider("markdown", (".md",), markdown.chunks))
+    for bad in (providers.Provider("markdown", (".x",), None), providers.Provider("other", ("MD",), None), providers.Provider(" ", (".y",), None), providers.Provider("none", (), None)):
+        with pytest.raises(ValueError):
+            own.register(bad)
+    assert own.types() == {".md": "markdown"} and own.get("markdown").chunks is markdown.chunks and ".webp" in providers.providers.types()
+    with pytest.raises(KeyError):
+        own.get("other")
+    assert providers.splitters.names() == ["markdown"] and {"frequent", "vocabulary"} <= set(embedder.extractors.names())
+    pictures = spark.createDataFrame([("/p/a.png", "h1"), ("/p/b.jpg", "h2"), ("/p/c.gif", "h3")], "rel_path string, file_hash string")
+    said = spark.createDataFrame([("/p/a.png", " Cat ", ["B ", "a"], " on a mat "), ("/p/b.jpg", " ", None, None)], "rel_path string, title string, tags array<string>, description string")
+    got = {r["rel_path"]: r for r in providers.captioned(pictures, said, "rh").collect()}
+    a, b, c = (got[f"/p/{x}"] for x in ("a.png", "b.jpg", "c.gif"))
+    assert (a["title"], a["content"], a["tags"], a["caption_text"], a["error"]) == ("Cat", "on a mat", ["a", "b"], "Cat on a mat a b", None)
+    assert (b["title"], b["caption_text"]) == ("b", "b ") and c["error"] == "no caption"
+    import hashlib
+
+    assert a["chunk_id"] == hashlib.sha256(b"/p/a.png|rh|h1|0").hexdigest()
 
 
 def test_stream_ingest(spark, tmp_path):
@@ -127,8 +323,13 @@ def test_stream_ingest(spark, tmp_path):
     rows = spark.createDataFrame([("a", "go"), ("b", "yaml"), ("a", "go")], "rel_path string, content string").withColumn("arrived", F.to_timestamp(F.lit("2024-01-01")))
     rows.write.parquet(str(tmp_path / "in"))
     store = Store(spark, str(tmp_path / "store"))
-    ingest(arrivals(spark, str(tmp_path / "in")), store, RECIPE, str(tmp_path / "progress")).awaitTermination(120)
-    assert store.read("chunks").count() == 2
+    run = lambda: ingest(arrivals(spark, str(tmp_path / "in")), store, RECIPE, HOME, str(tmp_path / "progress")).awaitTermination(120)
+    run()
+    assert store.chunks().count() == 2
+    for n, text in enumerate(("changed", "go")):  # a revert within minutes counts
+        spark.createDataFrame([("a", text)], "rel_path string, content string").withColumn("arrived", F.to_timestamp(F.lit(f"2024-01-01 00:0{n + 1}:00"))).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    assert {r["rel_path"]: r["content"] for r in store.chunks().collect()} == {"a": "go", "b": "yaml"}
 
 
 def test_listing(spark, tmp_path):
