@@ -52,6 +52,28 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4.0-notice",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4.0-notice",
     "all rights reserved": "all-rights-reserved",
+    "isc license": "isc-title",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "this library is free software": "lgpl-free",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-redistribute",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-redistribute",
+    "either version 2 1 of the license or at your option any later version": "gpl-2.1-or-later",
+    "licensed under the gnu lesser general public license version 3": "lgpl-3.0-notice",
+    "licensed under the gnu affero general public license version 3": "agpl-3.0-notice",
+    "licensed under the gnu general public license version 2": "gpl-2.0-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at": "epl-2.0-notice",
+    "licensed under the eclipse public license 2 0": "epl-2.0-notice",
+    "creative commons legal code": "cc-title",
+    "cc0 1 0 universal": "cc0-1.0-title",
+    "licensed under cc0 1 0": "cc0-1.0-notice",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4.0-notice",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd-4.0-notice",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa-4.0-notice",
+    "licensed under cc by nd 4 0": "cc-by-nd-4.0-notice",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa-4.0-notice",
+    "this is free and unencumbered software released into the public domain": "unlicense-title",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-grant",
 }
 #: Fixed values: (licence, identifiers in order), tried in this order, longer ones before their beginnings.
 RULES = [
@@ -60,6 +82,14 @@ RULES = [
     ("Apache-2.0", ("apache-2.0-notice", "apache-2.0-compliance", "apache-2.0-copy", "apache-2.0-warranty")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")),
+    ("ISC", ("isc-title", "isc-grant", "isc-warranty")),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("Unlicense", ("unlicense-title", "unlicense-grant")),
+    ("CC0-1.0", ("cc-title", "cc0-1.0-title")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-redistribute", "gpl-2.1-or-later")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-redistribute", "gpl-3.0-or-later")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl-redistribute", "gpl-3.0-or-later")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-redistribute", "gpl-3.0-or-later")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-redistribute", "gpl-3.0-or-later")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-redistribute", "gpl-2.0-or-later")),
     ("MIT", ("mit-notice",)),
@@ -68,6 +98,14 @@ RULES = [
     ("GPL-3.0", ("gpl-3.0-notice",)),
     ("GPL-2.0", ("gpl-2.0-notice",)),
     ("MPL-2.0", ("mpl-2.0-notice",)),
+    ("ISC", ("isc-title",)),
+    ("LGPL-3.0", ("lgpl-3.0-notice",)),
+    ("AGPL-3.0", ("agpl-3.0-notice",)),
+    ("EPL-2.0", ("epl-2.0-notice",)),
+    ("CC0-1.0", ("cc0-1.0-title",)),
+    ("CC0-1.0", ("cc0-1.0-notice",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4.0-notice",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4.0-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4.0-notice",)),
     ("CC-BY-4.0", ("cc-by-4.0-notice",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4.0-notice",)),
@@ -87,14 +125,26 @@ LONG = [
     ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("bsd-binary",)),
     ("neither the name of ... nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("bsd-endorse",)),
     ("this software is provided by the copyright holders and contributors as is and any express or implied warranties~ including but not limited to the implied warranties of merchantability and fitness for a particular purpose~ are disclaimed", ("bsd-warranty",)),
-    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gpl-redistribute", "gpl-3.0-or-later")),
-    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gpl-redistribute", "gpl-2.0-or-later")),
+    *(
+        (f"you can redistribute it and or modify it under the terms of the gnu {kind}general public license as published by the free software foundation either version {version} of the license or at your option any later version", (name, later))
+        for kind, name, versions in (("", "gpl-redistribute", ("3", "2")), ("lesser ", "lgpl-redistribute", ("3", "2 1")), ("affero ", "agpl-redistribute", ("3",)))
+        for version in versions for later in (f"gpl-{version.replace(' ', '.') if ' ' in version else version + '.0'}-or-later",)
+    ),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mpl-2.0-notice",)),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("isc-grant",)),
+    ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ("isc-warranty",)),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license~ v~ 2 0 which is available at", ("epl-2.0-notice",)),
+    ("this is free and unencumbered software released into the public domain", ("unlicense-title",)),
+    ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("unlicense-grant",)),
+    *(
+        (f"this work is licensed under a creative commons attribution{kind} 4 0 international license", (f"cc-by{short}-4.0-notice",))
+        for kind, short in (("", ""), (" noncommercial", "-nc"), (" sharealike", "-sa"), (" noderivatives", "-nd"), (" noncommercial sharealike", "-nc-sa"))
+    ),
 ]
 #: Ends a sentence besides a line feed.
 END = r"[.;:]([ \t\n\r\f]|$)"
 #: A sentence that any dictionary entry could be holds one of these words; other texts are not cut at all.
-HINT = r"(?i)licen|permission|warrant|copyright|redistribut|software|rights reserved"
+HINT = r"(?i)licen|permission|warrant|copyright|redistribut|software|rights reserved|creative commons|cc0"
 
 
 def long_pattern(words: str) -> str:

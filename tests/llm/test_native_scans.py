@@ -164,3 +164,54 @@ def test_unmodified_licence_texts(spark):
             assert set(got[i]["licenses"]) == {name}
             continue
         assert got[i]["licenses"] == [name] and got[i]["rules"][0].count("<") == longest[name], (k, name, got[i])
+
+
+ISC = """ISC License
+
+Copyright (c) 2020, A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+CC = "This work is licensed under a Creative Commons Attribution-{} 4.0\nInternational License.\n"
+
+
+def test_more_unmodified_licence_texts(spark):
+    texts = {
+        "ISC": ISC, "LGPL-2.1-or-later": LGPL, "LGPL-3.0-or-later": LGPL.replace("version 2.1", "version 3"), "AGPL-3.0-or-later": AGPL, "EPL-2.0": EPL, "Unlicense": UNLICENSE,
+        "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n", "CC-BY-SA-4.0": CC.format("ShareAlike"), "CC-BY-ND-4.0": CC.format("NoDerivatives"),
+        "CC-BY-NC-SA-4.0": CC.format("NonCommercial-ShareAlike"), "CC-BY-NC-4.0": CC.format("NonCommercial"), "CC-BY-4.0": CC.format("X").replace("-X", ""),
+    }
+    shapes = [lambda t: t, lambda t: t.replace("\n", "\r\n"), *(lambda t, c=c: "".join(f"{c} {x}\n" for x in t.splitlines()) for c in ("#", "//", " *"))]
+    rows = [(k, name, shape(text)) for k, shape in enumerate(shapes) for name, text in texts.items()]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, (_, _, t) in enumerate(rows)], DOCS)
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
+    for i, (k, name, _) in enumerate(rows):
+        assert got[i] == [name], (k, name, got[i])
