@@ -1,4 +1,5 @@
-"""File listings. Spark's own file sources pass over names that start with a dot or an underscore, so the driver walks."""
+"""File listings. Spark's own file sources pass over names that start with a dot or an underscore, so folders are walked here: the
+first levels on the driver, what is below them in tasks."""
 
 from __future__ import annotations
 
@@ -6,9 +7,11 @@ import fnmatch
 import hashlib
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,37 +65,88 @@ def extensions(text: str, known: dict[str, str]) -> list[str]:
     return found
 
 
-def walk(root: str, types: dict[str, str], recursive: bool = True, excludes: Iterable[str] = ()) -> list[tuple]:
-    """Rows of ``FILES`` in lexical order; a file as ``root`` is a listing of one."""
+@dataclass
+class Walk:
+    """What a walk below ``root`` enters and lists."""
+
+    root: str
+    types: dict[str, str]
+    recursive: bool
+    rules: list[Ignore]
+
+    def row(self, path: str, base: str) -> tuple | None:
+        kind = self.types.get(os.path.splitext(path)[1].lower())
+        if not kind:
+            return None
+        slashed = path.replace(os.sep, "/")
+        when = datetime.fromtimestamp(os.path.getmtime(path), timezone.utc).replace(tzinfo=None)
+        return base, slashed, slashed, os.path.basename(path), kind, when
+
+    def level(self, folder: str) -> tuple[list[str], list[tuple]]:
+        """(folders to enter, rows) of one folder, in lexical order."""
+        folders, rows = [], []
+        for entry in sorted(os.scandir(folder), key=lambda e: e.name):
+            rel, is_dir = os.path.relpath(entry.path, self.root).replace(os.sep, "/"), entry.is_dir(follow_symlinks=False)
+            if any(r.match(rel, is_dir) for r in self.rules):
+                continue
+            if is_dir:
+                if self.recursive and entry.name.lower() not in SKIPPED and not entry.name.lower().startswith(SKIPPED_PREFIX):
+                    folders.append(entry.path)
+            elif r := self.row(entry.path, self.root):
+                rows.append(r)
+        return folders, rows
+
+    def below(self, folder: str) -> Iterator[tuple]:
+        todo = [folder]
+        while todo:
+            folders, rows = self.level(todo.pop())
+            yield from rows
+            todo += reversed(folders)
+
+
+def planned(root: str, types: dict[str, str], recursive: bool = True, excludes: Iterable[str] = ()) -> Walk:
     if not types:
         raise ValueError("at least one extension is needed")
     root = os.path.abspath(root)
     if not os.path.exists(root):
         raise FileNotFoundError(root)
-
-    def row(path: str, base: str):
-        kind = types.get(os.path.splitext(path)[1].lower())
-        slashed = path.replace(os.sep, "/")
-        when = datetime.fromtimestamp(os.path.getmtime(path), timezone.utc).replace(tzinfo=None)
-        return (base, slashed, slashed, os.path.basename(path), kind, when) if kind else None
-
-    if os.path.isfile(root):
-        return [r for r in [row(root, os.path.dirname(root))] if r]
     own = os.path.join(root, ".gitignore")
     rules = Ignore(open(own, encoding="utf-8").read().splitlines() if os.path.isfile(own) else [])
-    extra = Ignore(excludes)
-    out = []
-    for folder, dirs, names in os.walk(root):
-        rel = lambda n, folder=folder: os.path.relpath(os.path.join(folder, n), root).replace(os.sep, "/")
-        dirs[:] = sorted(d for d in dirs if recursive and d.lower() not in SKIPPED and not d.lower().startswith(SKIPPED_PREFIX) and not rules.match(rel(d), True) and not extra.match(rel(d), True))
-        for n in sorted(names):
-            if not rules.match(rel(n), False) and not extra.match(rel(n), False) and (r := row(os.path.join(folder, n), root)):
-                out.append(r)
-    return out
-
-
-def files(spark: SparkSession, root: str, types: dict[str, str] = MARKDOWN, **how) -> DataFrame:
-    return spark.createDataFrame(walk(root, types, **how), FILES)
+    return Walk(root, types, recursive, [rules, Ignore(excludes)])
+
+
+def walk(root: str, types: dict[str, str], recursive: bool = True, excludes: Iterable[str] = ()) -> list[tuple]:
+    """Rows of ``FILES``; a file as ``root`` is a listing of one."""
+    w = planned(root, types, recursive, excludes)
+    if os.path.isfile(w.root):
+        return [r for r in [w.row(w.root, os.path.dirname(w.root))] if r]
+    return list(w.below(w.root))
+
+
+def files(spark: SparkSession, root: str, types: dict[str, str] = MARKDOWN, recursive: bool = True, excludes: Iterable[str] = (), fan_out: int = 1000) -> DataFrame:
+    """The same as a DataFrame: the driver goes down level by level until it has ``fan_out`` folders, whose trees are walked in tasks."""
+    w = planned(root, types, recursive, excludes)
+    if os.path.isfile(w.root):
+        return spark.createDataFrame(walk(root, types, recursive, excludes), FILES)
+    level, rows = [w.root], []
+    while level and len(level) < fan_out:
+        deeper = []
+        for folder in level:
+            folders, found = w.level(folder)
+            deeper += folders
+            rows += found
+        level = deeper
+
+    def of(frames):
+        for pdf in frames:
+            for folder in pdf["folder"]:
+                yield pd.DataFrame(w.below(folder), columns=[c.split()[0] for c in FILES.split(", ")])
+
+    top = spark.createDataFrame(rows, FILES)
+    if not level:
+        return top
+    each = spark.createDataFrame([(f,) for f in level], "folder string").repartition(min(len(level), 4 * spark.sparkContext.defaultParallelism))
+    return top.union(each.mapInPandas(of, FILES))
 
 
 def contents(listing: DataFrame) -> DataFrame:

@@ -342,6 +342,8 @@ def test_listing(spark, tmp_path):
     assert sorted(names(recursive=False)) == sorted(["_under.md", "a.md", "b.MD"])
     assert "a.md" not in names(excludes=listing.patterns("a.*, .zip"))
     assert listing.extensions("md, .md", listing.MARKDOWN) == [".md"]
+    for fan_out in (1, 2, 1000):  # walked in tasks from the root, from its folders, not at all
+        assert sorted(r["rel_path"].removeprefix(f"{tmp_path}/") for r in listing.files(spark, str(tmp_path), fan_out=fan_out).collect()) == sorted(names())
     got = listing.contents(listing.files(spark, str(tmp_path))).collect()
     assert all(r["content"] == "x" and r["error"] is None for r in got)
     with pytest.raises(FileNotFoundError):
