@@ -27,6 +27,16 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(c, "\u0130", "i")), F.lit(TOKEN), F.lit(0))
 
 
+def trimmed(items: Column) -> Column:
+    """The items trimmed, blanks and nulls left out, in their order."""
+    return F.filter(F.transform(items, strip), lambda t: t.isNotNull() & (t != ""))
+
+
+def truncated(c: Column, most: int = 4000) -> Column:
+    """The first ``most`` characters, for prompts that bound them."""
+    return F.substring(c, 1, most)
+
+
 def normalize_tags(tags: Column) -> Column:
     """Trimmed, lower-cased, without blanks, each once, in order."""
     clean = F.filter(F.transform(tags, lambda t: F.lower(strip(t))), lambda t: t.isNotNull() & (t != ""))

@@ -91,10 +91,11 @@ def with_vectors(chunks: DataFrame, name: str = "keyword", column: str = "conten
     return chunks.withColumn("vector", vector(F.col(column)))
 
 
-def with_tag_vectors(chunks: DataFrame, keys: Sequence[str], name: str, extractor: str, most: int = 8, extractor_options: dict | None = None, **options) -> DataFrame:
+def with_tag_vectors(chunks: DataFrame, keys: Sequence[str], name: str, extractor: str, most: int = 8, extractor_options: dict | None = None, prompt_chars: int | None = None, **options) -> DataFrame:
     """``chunks`` with ``semantic_tags`` and ``tag_vector`` of their file, the pooled vectors of its tags; null for a file without tags.
 
-    A file's own ``tags`` are taken as they are; others are what ``extractor`` finds in its contents. Each distinct tag is embedded once.
+    A file's own ``tags`` are taken as they are; others are what ``extractor`` finds in its contents, or in their first ``prompt_chars`` characters
+    where what answers it takes no more. Each distinct tag is embedded once.
     """
 
     @F.pandas_udf("array<string>")
@@ -110,7 +111,7 @@ def with_tag_vectors(chunks: DataFrame, keys: Sequence[str], name: str, extracto
     )
     lacking = F.coalesce(F.size("tags"), F.lit(0)) == 0
     given = own.where(~lacking).select(*keys, F.col("tags").alias("semantic_tags"))
-    found = own.where(lacking).select(*keys, tx.normalize_semantic_tags(extract("content"), most).alias("semantic_tags"))
+    found = own.where(lacking).select(*keys, tx.normalize_semantic_tags(extract(tx.truncated(F.col("content"), prompt_chars) if prompt_chars else F.col("content")), most).alias("semantic_tags"))
     tagged = given.union(found).where(F.size("semantic_tags") > 0)
     each = tagged.select(*keys, F.explode("semantic_tags").alias("tag"))
     vectors = with_vectors(each.select("tag").distinct(), name, "tag", **options)

@@ -84,7 +84,8 @@ class Answer:
             row.append(F.struct(*told, F.col("score").alias("final_score"), *[c for c in more if c in columns]).alias("explain"))
         rows = (seeded if explain else self.results).agg(F.sort_array(F.collect_list(F.struct(*row))).alias("results"))
         if explain:
-            rows = rows.crossJoin(F.broadcast(self.explain().select(F.struct("*").alias("explain"))))  # one row each
+            told = self.explain().first().asDict()  # one row of settings and counts
+            rows = rows.withColumn("explain", F.struct(*[F.lit(v).alias(k) for k, v in told.items()]))
         a, words = self.about, lambda x: F.array(*[F.lit(t) for t in x]).cast("array<string>")
         envelope = [F.lit("v1").alias("version"), F.lit(self.text).alias("query"), *[F.lit(a[k]).alias(k) for k in ("root_path", "provider", "model", "file_type", "vector_dim")], words(self.tags).alias("tags")]
         envelope += [words(self.query_tags).alias("query_tags")] if self.query_tags else []

@@ -76,8 +76,7 @@ def metadata(loose: Column) -> Column:
     lists = {}
     for k in ("title_path", "tags"):
         errors.append((~none(k) & ~kind(k).isin("ARRAY<STRING>", "ARRAY<VOID>"), f"{k} must be a list of strings"))
-        trimmed = F.transform(F.coalesce(F.try_variant_get(v, f"$.{k}", "array<string>"), F.array().cast("array<string>")), tx.strip)
-        lists[k] = F.filter(trimmed, lambda t: t != "")
+        lists[k] = tx.trimmed(F.coalesce(F.try_variant_get(v, f"$.{k}", "array<string>"), F.array().cast("array<string>")))
     errors += [(~none("yaml") & ~kind("yaml").startswith("OBJECT"), "yaml must be a map"), (index < 0, "chunk_index must be >= 0")]
     error = F.coalesce(*[F.when(c, F.lit(f"metadata: {said}")) for c, said in errors])
     yaml = F.coalesce(F.when(~none("yaml"), F.to_json(F.try_variant_get(v, "$.yaml", "variant"))), F.lit("{}"))

@@ -11,7 +11,7 @@ import hashlib
 import json
 import re
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -207,6 +207,22 @@ class Splitter:
     overlap: int = 120
     short_file: int = 4000
 
+    @classmethod
+    def of(cls, options: Mapping[str, str]) -> Splitter:
+        """From options in text: whole numbers above 0, and an overlap that is less than the size of a chunk."""
+        fields = {"max_chunk_chars": "most", "overlap_chars": "overlap", "short_file_max_chars": "short_file"}
+        given = {}
+        for name, value in options.items():
+            if name not in fields:
+                raise ValueError(f"unknown option {name!r}; known: {sorted(fields)}")
+            if not re.fullmatch(r"\s*\+?\d+\s*", str(value)) or int(value) <= 0:
+                raise ValueError(f"{name} must be a whole number above 0, not {value!r}")
+            given[fields[name]] = int(value)
+        made = cls(**given)
+        if made.overlap >= made.most:
+            raise ValueError("overlap_chars must be less than max_chunk_chars")
+        return made
+
     def recipe_hash(self) -> str:
         options = {"short_file_max_chars": self.short_file}
         if self.most != 1200:

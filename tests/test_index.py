@@ -78,6 +78,62 @@ def test_windows_follow_the_rule():
         assert markdown.windows(text, limit, overlap) == want, (text, limit, overlap)
 
 
+def test_splitter_options():
+    assert markdown.Splitter.of({}) == markdown.Splitter() and markdown.Splitter.of({"max_chunk_chars": " 50", "overlap_chars": "5"}) == markdown.Splitter(50, 5)
+    for bad in ({"max_chunk_chars": "0"}, {"overlap_chars": "x"}, {"max_chunk_chars": "10", "overlap_chars": "10"}, {"other": "1"}, {"short_file_max_chars": "-1"}):
+        with pytest.raises(ValueError):
+            markdown.Splitter.of(bad)
+
+
+def test_splitting_equals_a_plain_reading():
+    """Headings and paragraphs only: sections from a running path of titles, paragraphs packed as long as they fit, long ones cut."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(120):
+        lines, most, overlap = [], rng.randint(60, 160), rng.randint(0, 20)
+        for _ in range(rng.randint(1, 14)):
+            words = " ".join(rng.choice(["lorem", "ipsum", "dolor", "a", "consectetur"]) for _ in range(rng.randint(1, 60)))
+            lines.append(f"{'#' * rng.randint(1, 4)} {words.split()[0]}{rng.randint(0, 9)}" if rng.random() < 0.35 else words)
+        path, sections = ["Base"], [(["Base"], [])]
+        for line in lines:
+            if line.startswith("#"):
+                level, title = len(line.split()[0]), line.split(maxsplit=1)[1]
+                path = path[: 1 + min(level - 1, len(path) - 1)] + [title]
+                if not sections[-1][1]:
+                    sections.pop()
+                sections.append((list(path), []))
+            else:
+                sections[-1][1].append(line)
+        want = []
+        for titles, body in sections:
+            head = " > ".join(titles)
+            full = lambda parts, head=head: "\n\n".join([head, *parts])
+            if len(full(body)) <= most:
+                want.append((titles, full(body)))
+                continue
+            held = []
+            for para in [*body, None]:
+                if para is not None and len(full([*held, para])) <= most:
+                    held.append(para)
+                    continue
+                if held:
+                    want.append((titles, full(held)))
+                    held = []
+                if para is not None and len(full([para])) <= most:
+                    held = [para]
+                elif para is not None:
+                    want += [(titles, full([w])) for w in markdown.windows(para, most - len(head) - 2, overlap)]
+        assert markdown.Splitter(most, overlap, 1).split("\n\n".join(lines), ["Base"]) == want
+
+
+def test_trimmed_and_truncated(spark):
+    from loam.functions import text as tx
+
+    got = spark.createDataFrame([([" a ", "", None, "\u3000", "b"], "日本語" * 3000)], "x array<string>, t string").select(tx.trimmed(F.col("x")), F.length(tx.truncated(F.col("t")))).first()
+    assert tuple(got) == (["a", "b"], 4000)
+
+
 def test_ignore_rules_can_escape_marks():
     rules = listing.Ignore(["\\!a.md", "\\#b.md", "!!c.md", "*.txt", "!keep.txt"])
     assert rules.match("!a.md", False) and rules.match("#b.md", False) and rules.match("x.txt", False) and not rules.match("keep.txt", False)
