@@ -84,7 +84,7 @@ def _capitals(raw: bytes, low: bytes, at: np.ndarray) -> np.ndarray:
 def templates(col: pa.Array, forms: list[int]):
     """Blocks of (words, {form: its Template})."""
     col = pc.fill_null(col, "")
-    for w in ta.blocks(col):
+    for w in ta.blocks(col, 1 << 18):
         own = w.hashes()
         n = len(own)
         if not n:

@@ -87,7 +87,7 @@ def signatures(rows: DataFrame, width: int, bands: int, per_band: int) -> DataFr
     def of(batches):
         for batch in batches:
             parts = []
-            for w in ta.blocks(as_table(batch, "text")):
+            for w in ta.blocks(as_table(batch, "text"), 1 << 19):
                 parts.append((word_keys(w), w.counts, band_hashes(w, width, bands, per_band)))
             if not parts:
                 continue

@@ -172,7 +172,7 @@ def restored(text: str, cost: list, memo: dict[str, str]) -> str:
 
     def read(got: str) -> str:
         if got not in memo:
-            if len(memo) > 200_000:  # a memo only: what is forgotten is decoded again
+            if len(memo) > 50_000:  # a memo only: what is forgotten is decoded again
                 memo.clear()
             plain = restore(got, cost)
             memo[got] = plain + " " + re.sub(r"(.)\1+", r"\1", plain)
@@ -202,17 +202,18 @@ def restored(text: str, cost: list, memo: dict[str, str]) -> str:
 
 def features(col: pa.Array, cost: list, memo: dict[str, str]):
     """Blocks of (first row, rows, row of each feature, 64-bit feature) of the restored texts, repeats kept."""
-    low = pc.utf8_lower(pc.fill_null(col, ""))
-    maybe = pc.match_substring_regex(low, MAYBE).to_numpy(zero_copy_only=False) | tripled(low)
-    if maybe.any():
-        low = pc.replace_with_mask(low, pa.array(maybe), pa.array([restored(low[int(i)].as_py(), cost, memo) for i in np.flatnonzero(maybe)], low.type))
-    for w in ta.blocks(low):
-        rows, found = [w.row], [w.hashes()]
-        for k in PREFIXES:
-            long = np.flatnonzero(w.end - w.start > k)
-            rows.append(w.row[long])
-            found.append(w.hash_range(w.start[long], w.start[long] + k))
-        yield w.first, w.rows, np.concatenate(rows), np.concatenate(found)
+    for first in range(0, len(col), 1000):  # a slice at a time: what is restored is a copy
+        low = pc.utf8_lower(pc.fill_null(col.slice(first, 1000), ""))
+        maybe = pc.match_substring_regex(low, MAYBE).to_numpy(zero_copy_only=False) | tripled(low)
+        if maybe.any():
+            low = pc.replace_with_mask(low, pa.array(maybe), pa.array([restored(low[int(i)].as_py(), cost, memo) for i in np.flatnonzero(maybe)], low.type))
+        for w in ta.blocks(low, 1 << 18):
+            rows, found = [w.row], [w.hashes()]
+            for k in PREFIXES:
+                long = np.flatnonzero(w.end - w.start > k)
+                rows.append(w.row[long])
+                found.append(w.hash_range(w.start[long], w.start[long] + k))
+            yield first + w.first, w.rows, np.concatenate(rows), np.concatenate(found)
 
 
 @dataclass
@@ -291,19 +292,25 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
 
     def grams(batches):
         memo: dict[str, str] = {}
+
+        def counted(names, hits):
+            u, inv = np.unique(np.concatenate(names), return_inverse=True)
+            pos = np.bincount(inv, weights=np.concatenate(hits)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(pos), pa.array(np.bincount(inv) - pos)], names=["name", "pos", "neg"])
+
         for batch in batches:
             y = batch.column(0).to_numpy(zero_copy_only=False)
-            names, hits = [], []
+            names, hits, held = [], [], 0
             for first, _, row, feature in features(as_table(batch, "text"), table, memo):
                 r, f = ta.distinct_per_row(row + first, feature)
                 names.append(f)
                 hits.append(y[r])
+                held += len(f)
+                if held > 1_000_000:
+                    yield counted(names, hits)
+                    names, hits, held = [], [], 0
             if names:
-                u, inv = np.unique(np.concatenate(names), return_inverse=True)
-                hit = np.concatenate(hits)
-                pos = np.bincount(inv, weights=hit)
-                n = np.bincount(inv)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(pos.astype(np.int64)), pa.array((n - pos).astype(np.int64))], names=["name", "pos", "neg"])
+                yield counted(names, hits)
 
     sizes = dict(rows.groupBy("y").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
