@@ -364,25 +364,21 @@ def short_file_chunk(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.length(tx.titled(F.array("source"), F.col("text"))) <= SPLITTER.short_file).alias("short"))
 
 
-def windows_sql(limit: int = 1200, overlap: int = 120) -> str:
-    """Common tables ``parts(doc_id, part, content)``: a recursion that finds one window of each text a round."""
-    half = limit // 2
+def windows_sql(texts: str = r"SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, 1200 AS most FROM documents", overlap: int = 120) -> str:
+    """Common tables ``parts(doc_id, part, begin, t, most, stop)`` of texts(doc_id, t, most): a recursion that finds one window of each text a round."""
+    tail = "substr(t, begin + most // 2 + 2, most - most // 2 - 1)"
+    stop = rf"""CASE WHEN begin + most >= length(t) THEN length(t) WHEN regexp_matches({tail}, '\s') THEN begin + most // 2 + 1 + length(regexp_extract({tail}, '(?s)^(.*)\s', 1)) ELSE begin + most END"""
     return rf"""
-RECURSIVE texts AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+texts AS ({texts}),
 parts AS (
-  SELECT doc_id, 0 AS part, 0::BIGINT AS begin, t, cut(t, 0::BIGINT) AS stop FROM texts WHERE t <> ''
+  SELECT doc_id, 0 AS part, begin, t, most, {stop} AS stop FROM (SELECT *, 0::BIGINT AS begin FROM texts WHERE t <> '')
   UNION ALL
-  SELECT doc_id, part + 1, begin, t, cut(t, begin) FROM (
-    SELECT doc_id, part, t, stop - {overlap} + length(regexp_extract(substr(t, stop - {overlap} + 1), '^\s*')) AS begin FROM parts WHERE stop < length(t))
-)""".replace("cut(t, 0::BIGINT)", _cut_sql("0", limit, half)).replace("cut(t, begin)", _cut_sql("begin", limit, half))
+  SELECT doc_id, part + 1, begin, t, most, {stop} FROM (
+    SELECT doc_id, part, t, most, stop - {overlap} + length(regexp_extract(substr(t, stop - {overlap} + 1), '^\s*')) AS begin FROM parts WHERE stop < length(t))
+)"""
 
 
-def _cut_sql(begin: str, limit: int, half: int) -> str:
-    tail = f"substr(t, {begin} + {half + 2}, {limit - half - 1})"
-    return rf"""CASE WHEN {begin} + {limit} >= length(t) THEN length(t) WHEN regexp_matches({tail}, '\s') THEN {begin} + {half + 1} + length(regexp_extract({tail}, '(?s)^(.*)\s', 1)) ELSE {begin} + {limit} END"""
-
-
-@query(rf"""WITH {windows_sql()}, p AS (SELECT doc_id, part, regexp_replace(substr(t, begin + 1, stop - begin), '^\s+|\s+$', '', 'g') AS content FROM parts)
+@query(rf"""WITH RECURSIVE {windows_sql()}, p AS (SELECT doc_id, part, regexp_replace(substr(t, begin + 1, stop - begin), '^\s+|\s+$', '', 'g') AS content FROM parts)
 SELECT doc_id, part, length(content)::INT AS size, sha256(content) AS content FROM p""")
 def split_long_text(spark, sf_dir):
     """Overlapping windows of every text."""
@@ -411,6 +407,39 @@ def markdown_chunks(spark, sf_dir):
     )
 
 
+SMALL = markdown.Splitter(most=300, overlap=30, short_file=400)
+LINES = "list_filter(list_transform(string_split(translate(text, '*_~`[]|<>#', ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+FILE = "array_to_string(list_transform(lines, lambda x, i: CASE WHEN i % 3 = 1 THEN repeat('#', 1 + ((i - 1) // 3) % 3) || ' Part ' || (i - 1) || chr(10) || chr(10) ELSE '' END || 'Line ' || x), chr(10) || chr(10))"
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, source, {LINES} AS lines FROM documents),
+whole AS (SELECT doc_id, source, source || CASE WHEN len(lines) > 0 THEN chr(10) || chr(10) || {FILE} ELSE '' END AS content FROM d),
+l AS (SELECT doc_id, source, 'Line ' || unnest(lines) AS t, generate_subscripts(lines, 1) - 1 AS n FROM d JOIN whole USING (doc_id, source) WHERE length(content) > {SMALL.short_file}),
+h AS (SELECT *, n // 3 AS sec, n // 9 * 9 AS first, (n // 3) % 3 AS depth FROM l),
+titled AS (SELECT *, source || ' > Part ' || first || CASE WHEN depth > 0 THEN ' > Part ' || (first + 3) ELSE '' END || CASE WHEN depth > 1 THEN ' > Part ' || (first + 6) ELSE '' END AS titles FROM h),
+sized AS (SELECT *, length(titles) + 2 AS lead, {SMALL.most} - length(titles) - 2 AS room, n % 3 AS k, lag(length(t)) OVER s AS one, lag(length(t), 2) OVER s AS two FROM titled WINDOW s AS (PARTITION BY doc_id, sec ORDER BY n)),
+big AS (SELECT doc_id, n, t, room FROM sized WHERE length(t) > room),{windows_sql("SELECT {'at': doc_id, 'n': n} AS doc_id, t, room AS most FROM big", SMALL.overlap)},
+joined AS (SELECT *, coalesce(length(t) <= room AND one <= room AND one + 2 + length(t) <= room, false) AS pair, coalesce(length(t) <= room AND one <= room AND two <= room AND two + 2 + one <= room, false) AS before FROM sized),
+runs AS (SELECT *, CASE WHEN before THEN two + 2 + one + 2 + length(t) <= room ELSE pair END AS glued FROM joined),
+numbered AS (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sec ORDER BY n) AS run FROM runs),
+small AS (SELECT doc_id, titles, min(n) AS n, 0 AS part, string_agg(t, chr(10) || chr(10) ORDER BY n) AS body FROM numbered WHERE length(t) <= room GROUP BY doc_id, sec, titles, run),
+cut AS (SELECT b.doc_id, titles, b.n, part, regexp_replace(substr(p.t, begin + 1, stop - begin), '^\s+|\s+$', '', 'g') AS body FROM parts p JOIN sized b ON p.doc_id.at = b.doc_id AND p.doc_id.n = b.n),
+pieces AS (SELECT doc_id, titles, titles || chr(10) || chr(10) || body AS content, row_number() OVER (PARTITION BY doc_id ORDER BY n, part) - 1 AS chunk_index FROM (FROM small UNION ALL BY NAME FROM cut)
+  UNION ALL SELECT doc_id, source, content, 0 FROM whole WHERE length(content) <= {SMALL.short_file})
+SELECT source || '/' || doc_id AS rel_path, chunk_index::INT AS chunk_index, titles, sha256(content) AS content,
+sha256(source || '/' || doc_id || '|{SMALL.recipe_hash()}|' || chunk_index || '|' || sha256(replace(titles, ' > ', chr(31)) || chr(30) || content)) AS chunk_id FROM pieces JOIN documents USING (doc_id)""")
+def markdown_sections(spark, sf_dir):
+    """Chunks of a file a document under front matter: each line a paragraph, each third under a heading one level deeper, in small chunks."""
+    d = files_of(table(spark, sf_dir, "documents"))
+    lines = F.filter(F.transform(F.split(F.translate("text", "*_~`[]|<>#", ""), "\n"), tx.strip), lambda x: x != "")
+    heading = lambda i: F.concat(F.repeat(F.lit("#"), 1 + F.floor(i / 3).cast("int") % 3), F.lit(" Part "), i.cast("string"), F.lit("\n\n"))
+    body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i % 3 == 0, heading(i)).otherwise(""), F.lit("Line "), x)), "\n\n")
+    content = F.concat(F.lit("---\ntitle: "), "source", F.lit("\n---\n\n"), body)
+    return markdown.chunks(d.select("rel_path", content.alias("content")), SMALL).select(
+        "rel_path", "chunk_index", F.array_join("title_path", " > ").alias("titles"), F.sha2("content", 256).alias("content"), "chunk_id"
+    )
+
+
 # Incremental scans
 
 
@@ -546,7 +575,7 @@ def combined_manifest(spark, sf_dir):
     ))
 
 
-@query(f"""WITH {windows_sql()} SELECT source || '/' || d.doc_id AS rel_path, sha256(text) AS file_hash, count(part) AS chunk_count
+@query(f"""WITH RECURSIVE {windows_sql()} SELECT source || '/' || d.doc_id AS rel_path, sha256(text) AS file_hash, count(part) AS chunk_count
 FROM documents d LEFT JOIN parts p ON d.doc_id = p.doc_id GROUP BY ALL""")
 def file_states_snapshot(spark, sf_dir):
     """A state a file: its hash and how many windows it is cut into."""
@@ -573,6 +602,21 @@ def scan_filter_ext(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ext.alias("ext")).where(F.col("ext").isin(*wanted))
 
 
+PLACES = ("docs", "docs/Node_Modules/x", "build", "docs/build/keep", "a/.trash-1", ".config", "docs/drafts", "drafts")
+RULES = ["# made by tools", "build/", "/drafts", "*.tmp.md", "!6*.tmp.md", "docs/**/keep?"]
+
+
+@query(f"""WITH p AS (SELECT page_id, {list(PLACES)}[1 + page_id % {len(PLACES)}] AS place, page_id || CASE page_id % 5 WHEN 0 THEN '.tmp.md' WHEN 1 THEN '.MD' WHEN 2 THEN '.txt' WHEN 3 THEN 'md' ELSE '.html' END AS name FROM pages)
+SELECT page_id, place || '/' || name AS rel_path, CASE WHEN name LIKE '%.html' THEN 'page' ELSE 'markdown' END AS doc_type FROM p
+WHERE place IN ('docs', '.config', 'docs/drafts') AND (name LIKE '%.html' OR name LIKE '%.MD' OR (name LIKE '6%.tmp.md'))""")
+def scan_prune(spark, sf_dir):
+    """What a scan lists of an inventory with a file a page: skipped folders, rules of an ignore file, exclusions, types."""
+    place = F.element_at(F.array(*[F.lit(x) for x in PLACES]), 1 + (F.col("page_id") % len(PLACES)).cast("int"))
+    end = F.element_at(F.array(*[F.lit(x) for x in (".tmp.md", ".MD", ".txt", "md", ".html")]), 1 + (F.col("page_id") % 5).cast("int"))
+    inventory = table(spark, sf_dir, "pages").select("page_id", F.concat(place, F.lit("/"), F.col("page_id").cast("string"), end).alias("rel_path"))
+    return listing.kept(inventory, KNOWN_TYPES, rules=[listing.Ignore(RULES), listing.Ignore(listing.patterns(".bak, *.txt,"))])
+
+
 @query(r"""WITH f AS (SELECT url, CASE lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) WHEN 'html' THEN 'page' WHEN 'htm' THEN 'page' WHEN 'md' THEN 'markdown' WHEN 'com' THEN 'site' ELSE 'other' END AS doc_type FROM pages)
 SELECT doc_type, count(*) AS files, min(url) AS first_path, max(url) AS last_path FROM f GROUP BY doc_type""")
 def group_files_by_type(spark, sf_dir):

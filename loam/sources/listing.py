@@ -3,7 +3,6 @@ first levels on the driver, what is below them in tasks."""
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import os
 import re
@@ -12,7 +11,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Directories never entered, by name in lower case; and a beginning of such names.
@@ -26,6 +25,23 @@ IMAGES = {e: "image" for e in (".png", ".jpg", ".jpeg", ".webp", ".svg", ".gif",
 FILES = "root string, file_path string, rel_path string, file_name string, doc_type string, mod_time timestamp"
 
 
+def expression(glob: str) -> str:
+    """A glob of one path part as a regular expression that Python and the JVM read alike: ``*``, ``?`` and sets stay within the part."""
+
+    def one(m: re.Match) -> str:
+        t = m.group()
+        if t[0] == "*":
+            return "[^/]*"
+        if t == "?":
+            return "[^/]"
+        if t[0] == "[" and len(t) > 1:
+            inner = re.sub(r"([\\\[\]&~|^])", r"\\\1", t[1:-1].lstrip("!^"))
+            return f"[^/{inner}]" if t[1] in "!^" else f"[{inner}]"
+        return re.escape(t[1] if t[0] == "\\" and len(t) > 1 else t)
+
+    return re.sub(r"\*+|\?|\[[!^]?\]?[^\]/]+\]|\\.|.", one, glob)
+
+
 class Ignore:
     """Rules of an ignore file: the last one that fits decides; ``!`` takes back, a slash at the end means directories; a backslash
     makes the ``!`` or ``#`` after it a plain first character."""
@@ -40,17 +56,30 @@ class Ignore:
             if line.startswith(("\\!", "\\#")):
                 line = line[1:]
             folder, line = line.endswith("/"), line.rstrip("/")
-            anchored = "/" in line
-            pattern = "/".join(".*" if p == "**" else fnmatch.translate(p)[4:-3].replace(".*", "[^/]*") for p in line.lstrip("/").split("/"))
-            self.rules.append((back, folder, re.compile(rf"{'' if anchored else '(?:.*/)?'}{pattern}\Z".replace(".*/", "(?:.*/)?"))))
+            parts = line.lstrip("/").split("/")
+            if "/" not in line:
+                parts.insert(0, "**")  # without a slash: at any depth
+            deep = ["(?:.*/)?" if part == "**" else f"{expression(part)}/" for part in parts[:-1]]
+            self.rules.append((back, folder, "".join(deep) + (".+" if parts[-1] == "**" else expression(parts[-1]))))
 
     def match(self, rel: str, is_dir: bool) -> bool:
         hit = False
         for back, folder, pattern in self.rules:
-            if (is_dir or not folder) and pattern.match(rel):
+            if (is_dir or not folder) and re.fullmatch(pattern, rel):
                 hit = not back
         return hit
 
+    def matches(self, rel: Column, is_dir: bool) -> Column:
+        """The same of a column of paths."""
+        hit = F.lit(False)
+        for back, folder, pattern in self.rules:
+            if is_dir or not folder:
+                hit = F.when(rel.rlike(rf"\A(?:{pattern})\z"), not back).otherwise(hit)
+        return hit
+
+    def folders(self, rel: Column) -> Column:
+        return self.matches(rel, True)
+
 
 def patterns(text: str) -> list[str]:
     """A comma list of patterns: trimmed, each once, a bare extension as ``*.ext``."""
@@ -149,6 +178,23 @@ def files(spark: SparkSession, root: str, types: dict[str, str] = MARKDOWN, recu
     return top.union(each.mapInPandas(of, FILES))
 
 
+def kept(inventory: DataFrame, types: dict[str, str], recursive: bool = True, rules: Iterable[Ignore] = ()) -> DataFrame:
+    """The rows of a listing that exists already, such as an object store's inventory, which ``walk`` would list: ``inventory(rel_path, ...)``
+    below the root, with ``doc_type``. A null or empty path is no file. Nothing is walked and nothing shuffled."""
+    rules, path = list(rules), F.col("rel_path")
+    parts = F.split(path, "/")
+    names = F.slice(parts, 1, F.size(parts) - 1)
+    folders = F.transform(names, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+    closed = F.exists(names, lambda n: F.lower(n).isin(*sorted(SKIPPED)) | F.lower(n).startswith(SKIPPED_PREFIX))
+    for r in rules:
+        closed = closed | F.exists(folders, r.folders) | r.matches(path, False)
+    if not recursive:
+        closed = closed | (F.size(names) > 0)
+    ends = F.lower(F.regexp_extract(path, r"(?s)(?:^|/)\.*[^./][^/]*?(\.[^./]*)$", 1))
+    known = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+    return inventory.where(~closed).withColumn("doc_type", known[ends]).where(F.col("doc_type").isNotNull())
+
+
 def contents(listing: DataFrame) -> DataFrame:
     """``listing`` with content, file_hash and error: a file that cannot be read is a row with an error, not a failed job."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema]

@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import yaml
 from pyspark.sql import DataFrame
@@ -27,11 +28,11 @@ RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$
 ITEM = re.compile(r"^( {0,3})(?:([-*+])|(\d{1,9})[.)])[ \t]+(.*)$")
 CELLS = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 MARKS = re.compile(r"[*_~`\[]")
-BLANK = re.compile(r"\s")
+BLANKS = np.array([chr(i).isspace() for i in range(0x3002)])  # by code point; none is white space beyond
 FRONT = re.compile(FRONT_MATTER.replace(r"\z", r"\Z"))  # the one pattern, as this engine spells it
 
 
-class Loader(yaml.SafeLoader):
+class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """Booleans are ``true`` and ``false`` only, and dates stay text."""
 
 
@@ -178,13 +179,19 @@ def assemble(titles: list[str], body: str) -> str:
     return "\n\n".join(x for x in (title, body.strip()) if x)
 
 
+def blanks_of(text: str) -> list[int]:
+    """Where the white space of a text is."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.flatnonzero(BLANKS[np.minimum(points, len(BLANKS) - 1)]).tolist()
+
+
 def windows(text: str, limit: int, overlap: int) -> list[str]:
     """Pieces of up to ``limit`` characters that overlap. A piece that does not reach the end stops at the last white space
     of its second half, if there is any; the next one starts ``overlap`` before that, at the first character that is not white space."""
     text = text.strip()
     if limit <= 0 or len(text) <= limit:
         return [text] if text else []
-    blanks = [m.start() for m in BLANK.finditer(text)]  # found once; every cut is looked up
+    blanks = blanks_of(text)  # found once; every cut is looked up
 
     def cuts() -> Iterator[tuple[int, int]]:
         begin = 0

@@ -431,3 +431,24 @@ def test_embedders_are_registered_once():
         embedder.register("keyword", embedder.keyword)
     with pytest.raises(KeyError):
         embedder.make("none")
+
+
+def test_an_inventory_is_pruned_as_a_walk_is(spark, tmp_path):
+    made = [
+        "a.md", "b.MD", "c.txt", ".md", "..md", "x.y/d.md", "x.y/e", "sub/a.md", "sub/deep/a.md", "sub/deep/b1.md", "sub/deep/b12.md", "Node_Modules/a.md", "sub/.TRASH-9/a.md",
+        ".hidden/a.md", "build/a.md", "sub/build/a.md", "sub/build.md/a.md", "odd [1].md", "b+c.md", "sub/keep/a.md", "sub/drop/keep.md", "z/q/r/s.md", "z/s.md",
+    ]
+    for name in made:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    rows = [(n, i) for i, n in enumerate(made)] + [("a.md", 99), (None, 100), ("", 101)]
+    inventory = spark.createDataFrame(rows, "rel_path string, n int")
+    for lines in ([], ["build/"], ["/sub/*", "!/sub/keep"], ["b?.md", "[!a-z]*.md"], ["z/**/s.md"], ["**/deep/**"], ["*.md", "!a.md"], ["odd \\[1].md", "b+c.md", "#c"], ["sub/dr*"], ["?"]):
+        for recursive in (True, False):
+            (tmp_path / ".gitignore").write_text("\n".join(lines))
+            walked = sorted(r[1].removeprefix(f"{tmp_path}/") for r in listing.walk(str(tmp_path), listing.MARKDOWN, recursive, listing.patterns("c.*")))
+            rules = [listing.Ignore(lines), listing.Ignore(listing.patterns("c.*"))]
+            got = [r["rel_path"] for r in listing.kept(inventory, listing.MARKDOWN, recursive, rules).collect()]
+            assert sorted(got) == sorted(walked + ["a.md"] * ("a.md" in walked)), (lines, recursive)
+    assert listing.kept(inventory.limit(0), listing.MARKDOWN).count() == 0
+    assert listing.Ignore(["b?.md"]).match("x/b1.md", False) and not listing.Ignore(["x?b.md"]).match("x/b.md", False)
