@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, fingerprints, language_id, licenses, mixing, ngram_join, secrets, token_counts, token_output, toxicity
+from . import decontamination, embedding_dedup, fingerprints, language_id, lexical_search, licenses, mixing, ngram_join, secrets, token_counts, token_output, toxicity
 from .common import table
 
 
@@ -61,11 +61,15 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_embedding_near_dedup, op3_toxicity, op4_license_scan, op5_mix_sources, op6_ngram_jaccard_join,
-        op7_secret_scan, op8_language_id, op9_decontamination, op10_token_output, op12_document_fingerprints,
+        op7_secret_scan, op8_language_id, op9_decontamination, op10_token_output, op12_document_fingerprints, op13_lexical_search,
     )
 }
 
@@ -73,4 +77,5 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": licenses.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op7_secret_scan": secrets.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }

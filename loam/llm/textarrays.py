@@ -146,3 +146,46 @@ def distinct_per_row(row: np.ndarray, hsh: np.ndarray) -> tuple[np.ndarray, np.n
     new = np.ones(len(row), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (hsh[1:] != hsh[:-1])
     return row[new], hsh[new]
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def plain_blocks(col: pa.Array, block_bytes: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes with A-Z lower-cased, offsets of the rows in them) of blocks of whole rows; a longer row has a block to itself."""
+    if col.null_count:
+        col = pc.fill_null(col, "")
+    if not len(col):
+        return
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    offsets = np.frombuffer(col.buffers()[1], dtype=kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    body = col.buffers()[2]
+    data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(col):
+        to = min(len(col), max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_bytes, side="right")) - 1))
+        yield at, LOWER[data[offsets[at] : offsets[to]]], offsets[at : to + 1] - offsets[at]
+        at = to
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal runs of bytes that are ``inside``; none goes beyond its row."""
+    n = len(inside)
+    padded = np.zeros(n + 2, dtype=bool)
+    padded[1:-1] = inside
+    lead, tail = padded[1:] & ~padded[:-1], padded[:-1] & ~padded[1:]
+    cut = offsets[1:-1]
+    cut = cut[(cut > 0) & (cut < n)]
+    joined = cut[padded[cut] & padded[cut + 1]]
+    lead[joined] = tail[joined] = True
+    start, end = np.flatnonzero(lead), np.flatnonzero(tail)
+    return np.searchsorted(offsets, start, side="right") - 1, start, end
+
+
+def coded(data: np.ndarray, inside: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each run, distinct runs as strings): runs are compared whole, not by hashes."""
+    ends = np.zeros(len(start) + 1, dtype=np.int32)
+    np.cumsum(end - start, out=ends[1:])
+    strings = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(data[inside])).dictionary_encode()
+    return strings.indices.to_numpy(), strings.dictionary
