@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, fingerprints, language_id, lexical_search, licenses, mixing, ngram_join, secrets, token_counts, token_output, toxicity
+from . import collocations, decontamination, embedding_dedup, fingerprints, language_id, lexical_search, licenses, mixing, ngram_join, secrets, token_counts, token_output, toxicity
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.training_order(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_embedding_near_dedup, op3_toxicity, op4_license_scan, op5_mix_sources, op6_ngram_jaccard_join,
-        op7_secret_scan, op8_language_id, op9_decontamination, op10_token_output, op12_document_fingerprints, op13_lexical_search,
+        op7_secret_scan, op8_language_id, op9_decontamination, op10_token_output, op11_phrase_collocations, op12_document_fingerprints, op13_lexical_search,
     )
 }
 
@@ -77,5 +81,6 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": licenses.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op7_secret_scan": secrets.ORACLE,
+    "op11_phrase_collocations": collocations.ORACLE,
     "op13_lexical_search": lexical_search.ORACLE,
 }
