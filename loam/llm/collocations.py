@@ -90,7 +90,7 @@ def _shards(batches, most_words: int) -> Iterator[Words]:
     for batch in batches:
         langs = as_table(batch, "lang").dictionary_encode()
         names, of_row = langs.dictionary.to_pylist(), langs.indices.to_numpy().astype(np.int64)
-        for first, data, offsets in ta.plain_blocks(as_table(batch, "text")):
+        for first, data, offsets in ta.plain_blocks(as_table(batch, "text"), 1 << 21):
             inside = _WORD[data]
             row, start, end = ta.runs(inside, offsets)
             if not len(row):
@@ -106,6 +106,8 @@ def _shards(batches, most_words: int) -> Iterator[Words]:
                 parts, size = [], 0
     if parts:
         yield joined()
+    parts.clear()
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -304,7 +306,7 @@ def _by_range(s: Words, columns: list[np.ndarray], prefix: np.ndarray, ranges: i
         yield _batch(k, Automaton.of(held.dictionary.take(pa.array(by)), counted(cols, len(by), weighs_from)))
 
 
-def union_ranges(shards: DataFrame, ranges: int, least: int, weighs_from: int, most_arcs: int = 2_000_000) -> DataFrame:
+def union_ranges(shards: DataFrame, ranges: int, least: int, weighs_from: int, most_arcs: int = 500_000) -> DataFrame:
     """One automaton a range; rows of a range come one after the other, and are united when they have ``most_arcs`` arcs together."""
 
     def of(batches):
@@ -323,6 +325,8 @@ def union_ranges(shards: DataFrame, ranges: int, least: int, weighs_from: int, m
                     bound = max(most_arcs, 2 * arcs)
         if held:
             yield _batch(number, united(held, least, weighs_from))
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return shards.repartition(min(ranges, 100_000), "range").sortWithinPartitions("range").mapInArrow(of, AUTOMATON)
 
@@ -347,7 +351,7 @@ def bits_for(n: int, most_bits: int) -> int:
     return min(most_bits, max(10, (16 * n).bit_length()))
 
 
-def phrase_automata(docs: DataFrame, least: int = 100, most_words: int = 3_000_000, range_words: int = 4_000_000, most_bits: int = 28) -> tuple[DataFrame, DataFrame, int]:
+def phrase_automata(docs: DataFrame, least: int = 100, most_words: int = 1_000_000, range_words: int = 2_000_000, most_bits: int = 28) -> tuple[DataFrame, DataFrame, int]:
     """(words (lang, word, f), automata of the phrases of 2 to ``LONGEST`` words that occur ``least`` times, number of ranges).
 
     ``most_bits`` bounds the bitmaps (2^28 bits are 32 MB); beyond that more n-grams are counted than need be.
