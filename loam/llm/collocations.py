@@ -1,7 +1,7 @@
 """Phrases mined with weighted acyclic automata.
 
 An automaton maps phrases to counts: its arcs carry a word and the count of the phrase that ends with it, the first arc carries the language. A task sorts the n-grams of a
-shard of its texts and makes one automaton for each range of prefixes (the hash of language and first two words, cut in even intervals, so that no frequent first word makes a large
+shard of its texts and makes one automaton for each range of prefixes (hashes of language and first two words, cut in even intervals, so that no frequent first word makes a large
 range). The automata of a range, a few megabytes from every shard, meet in one task, which unites them a few at a time: counts of equal paths add up, and states of one depth with equal arcs are one
 state. Arcs below the least count go, and with them all that could follow.
 
@@ -52,17 +52,37 @@ class Words:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language, word) pairs, and the number of each word's pair."""
-        pairs, number = np.unique(self.lang * len(self.dictionary) + self.code, return_inverse=True)
-        return pairs // len(self.dictionary), pairs % len(self.dictionary), number
-
-    def hashes(self, lang: np.ndarray, code: np.ndarray) -> np.ndarray:
-        return hashes([self.langs[i] for i in lang], [self.dictionary[i].as_py() for i in code] if len(code) < 100 else np.array(self.dictionary.to_pylist(), dtype=object)[code].tolist())
-
-
-def hashes(langs: list[str], words: list[str]) -> np.ndarray:
-    """What ``xxhash64(lang, word)`` gives in a plan."""
-    seeds = {v: xxhash.xxh64_intdigest(v.encode(), 42) for v in set(langs)}
-    return np.array([xxhash.xxh64_intdigest(w.encode(), seeds[v]) for v, w in zip(langs, words, strict=True)], U)
+        n, pair = len(self.dictionary), self.lang * len(self.dictionary) + self.code
+        if len(self.langs) * n <= 16 * len(pair):
+            some = np.flatnonzero(np.bincount(pair, minlength=len(self.langs) * n))
+            number = np.empty(len(self.langs) * n, np.int64)
+            number[some] = np.arange(len(some))
+            return some // n, some % n, number[pair]
+        some, number = np.unique(pair, return_inverse=True)
+        return some // n, some % n, number
+
+    def sorted(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(words and languages in order, place of each word there, place of each language)."""
+        whole = pa.concat_arrays([self.dictionary, pa.array(self.langs, pa.string())]).dictionary_encode()
+        order = pc.array_sort_indices(whole.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = rank[whole.indices.to_numpy()]
+        return whole.dictionary.take(pa.array(order)), place[: len(self.dictionary)], place[len(self.dictionary) :]
+
+
+def hashes(lang: pa.Array, word: pa.Array) -> np.ndarray:
+    """A hash of each (language, word)."""
+    with np.errstate(over="ignore"):
+        return ta.mix(_each(word) + _each(lang) * U(0x9E3779B97F4A7C15))
+
+
+def _each(strings: pa.Array) -> np.ndarray:
+    d = strings.dictionary_encode()
+    body, at = d.dictionary.buffers()[2], np.frombuffer(d.dictionary.buffers()[1], np.int32)[d.dictionary.offset : d.dictionary.offset + len(d.dictionary) + 1].tolist()
+    data = memoryview(body if body is not None else b"")
+    own = np.array([xxhash.xxh3_64_intdigest(data[lo:hi]) for lo, hi in zip(at, at[1:])], U)  # noqa: B905
+    return own[d.indices.to_numpy()] if len(own) else own
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -269,41 +289,68 @@ def united(automata: list[Automaton], least: int = 0, weighs_from: int = 0) -> A
     return Automaton.of(words.take(pa.array(used)), [(p, np.searchsorted(used, x), w) for p, x, w in out])
 
 
-AUTOMATON = "range int, words array<string>, begin array<int>, label array<int>, weight array<long>, target array<int>"
+AUTOMATON = "range int, size int, automaton binary"
+_CODEC = "zstd"
+
+
+def _planes(v: np.ndarray, kind: str) -> bytes:
+    """Numbers as their lowest bytes, then their next ones: small numbers are mostly zeros, which pack well."""
+    return np.ascontiguousarray(v.astype(kind).view(np.uint8).reshape(len(v), np.dtype(kind).itemsize).T).tobytes()
 
 
 def _batch(number: int, a: Automaton) -> pa.RecordBatch:
-    columns = [a.words, *[pa.array(v, t) for v, t in ((a.begin, pa.int32()), (a.label, pa.int32()), (a.weight, pa.int64()), (a.target, pa.int32()))]]
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]], names=[c.split()[0] for c in AUTOMATON.split(", ")])
+    """An automaton as one packed row: words, then arcs a state, labels by their steps within a state, weights and targets."""
+    counts = np.diff(a.begin)
+    step = np.diff(a.label, prepend=0)
+    opens = a.begin[:-1][counts > 0]
+    step[opens] = a.label[opens]
+    at = np.frombuffer(a.words.buffers()[1], np.int32)[a.words.offset : a.words.offset + len(a.words) + 1]
+    body = a.words.buffers()[2]
+    text = memoryview(body)[int(at[0]) : int(at[-1])].tobytes() if body is not None and len(at) else b""
+    head = np.array([len(a.words), len(text), len(counts), len(step)], "<i8").tobytes()
+    raw = b"".join([head, _planes(np.diff(at), "<u4"), text, _planes(counts, "<u4"), _planes(step, "<i4"), _planes(a.weight, "<i8"), _planes(a.target, "<u4")])
+    packed = pa.Codec(_CODEC, compression_level=3).compress(raw, asbytes=True)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(raw)], pa.int32()), pa.array([packed], pa.binary())], names=["range", "size", "automaton"])
 
 
 def _automata(batch) -> Iterator[tuple[int, Automaton]]:
-    for r in range(batch.num_rows):
-        number, words, *rest = (c[r] for c in batch.columns)
-        yield number.as_py(), Automaton(words.values.cast(pa.string()), *[v.values.to_numpy(zero_copy_only=False).astype(np.int64) for v in rest])
+    codec = pa.Codec(_CODEC)
+    for number, size, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        raw = codec.decompress(packed.as_buffer(), size, asbytes=True)
+        n_words, n_text, n_states, n_arcs = np.frombuffer(raw, "<i8", 4).tolist()
+        at = 32
+
+        def numbers(n: int, kind: str, raw=raw) -> np.ndarray:
+            nonlocal at
+            width = np.dtype(kind).itemsize
+            v = np.frombuffer(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.tobytes(), kind)
+            at += n * width
+            return v.astype(np.int64)
+
+        ends = np.append(0, np.cumsum(numbers(n_words, "<u4"))).astype(np.int32)
+        words = pa.StringArray.from_buffers(n_words, pa.py_buffer(ends), pa.py_buffer(raw[at : at + n_text]))
+        at += n_text
+        begin = np.append(0, np.cumsum(numbers(n_states, "<u4")))
+        step, weight, target = numbers(n_arcs, "<i4"), numbers(n_arcs, "<i8"), numbers(n_arcs, "<u4")
+        sums = np.append(0, np.cumsum(step))
+        label = sums[1:] - np.repeat(sums[begin[:-1]], np.diff(begin))
+        yield number, Automaton(words, begin, label, weight, target)
 
 
 def _by_range(s: Words, columns: list[np.ndarray], prefix: np.ndarray, ranges: int, weighs_from: int) -> Iterator[pa.RecordBatch]:
     """The automata of a shard's n-grams: words in ``columns`` after the language, ``prefix`` hashes of the first two."""
     own = range_of(prefix, ranges)
-    order = np.argsort(own, kind="stable")
-    cuts = np.searchsorted(own[order], np.arange(ranges + 1))
-    names = pa.array(s.langs, pa.string())
-    words = s.dictionary.to_pylist()
+    order = np.argsort(own.astype(np.uint16) if ranges < 1 << 16 else own, kind="stable")
+    cuts = np.append(0, np.cumsum(np.bincount(own, minlength=ranges)))
+    names, word, lang = s.sorted()
+    columns = [lang[columns[0]], *[np.where(c >= 0, word[np.maximum(c, 0)], -1) for c in columns[1:]]]
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         at = order[cuts[k] : cuts[k + 1]]
-        used = np.unique(np.concatenate([c[at] for c in columns[1:]]))
-        used = used[used >= 0]
-        held = pa.concat_arrays([names, pa.array([words[i] for i in used.tolist()], pa.string())]).dictionary_encode()
-        by = pc.array_sort_indices(held.dictionary).to_numpy()
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        label = rank[held.indices.to_numpy()]
-        cols = [label[columns[0][at]]]
-        for c in columns[1:]:
-            v = c[at]
-            cols.append(np.where(v >= 0, label[len(names) + np.searchsorted(used, np.maximum(v, 0)).clip(max=len(used) - 1)], -1))
-        yield _batch(k, Automaton.of(held.dictionary.take(pa.array(by)), counted(cols, len(by), weighs_from)))
+        cols = [c[at] for c in columns]
+        used = np.unique(np.concatenate(cols))
+        used = used[used >= 0]  # in order, so a smaller number is an earlier word
+        cols = [np.where(c >= 0, np.searchsorted(used, c), -1) for c in cols]
+        yield _batch(k, Automaton.of(names.take(pa.array(used)), counted(cols, len(used), weighs_from)))
 
 
 def union_ranges(shards: DataFrame, ranges: int, least: int, weighs_from: int, most_arcs: int = 500_000) -> DataFrame:
@@ -362,12 +409,17 @@ def phrase_automata(docs: DataFrame, least: int = 100, most_words: int = 1_000_0
     frequent = words.where(F.col("f") >= least)
     n, total = frequent.agg(F.count("*")).first()[0], words.agg(F.sum("f")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_words))
-    known = spark.sparkContext.broadcast(bitmap(frequent.select(F.xxhash64("lang", "word").alias("h")), bits_for(n, most_bits)))  # at most 2^most_bits bits
+
+    def word_hashes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(as_table(batch, "lang"), as_table(batch, "word")).view(np.int64))], names=["h"])
+
+    known = spark.sparkContext.broadcast(bitmap(frequent.mapInArrow(word_hashes, "h long"), bits_for(n, most_bits)))  # at most 2^most_bits bits
 
     def marked(s: Words, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each word, where a pair of frequent words begins)."""
         lang, code, number = s.distinct()
-        own = s.hashes(lang, code)
+        own = hashes(pa.array(s.langs, pa.string()).take(pa.array(lang)), s.dictionary.take(pa.array(code)))
         some = hit(found, own)[number]
         return own[number], np.flatnonzero(some[:-1] & some[1:] & s.follows[1:])
 
@@ -381,10 +433,9 @@ def phrase_automata(docs: DataFrame, least: int = 100, most_words: int = 1_000_0
     def pair_hashes(batches):
         for batch in batches:
             for _, a in _automata(batch):
-                names = np.array(a.words.to_pylist(), dtype=object)
                 for path, _ in a.paths():
                     if len(path) == 3:
-                        lang, one, other = (names[p].tolist() for p in path)
+                        lang, one, other = (a.words.take(pa.array(p)) for p in path)
                         yield pa.RecordBatch.from_arrays([pa.array(pair_hash(hashes(lang, one), hashes(lang, other)).view(np.int64))], names=["h"])
 
     found = stored(two.mapInArrow(pair_hashes, "h long"), "phrase-pair-hashes")
@@ -424,8 +475,14 @@ def phrases(automata: DataFrame) -> DataFrame:
 
 def weights(requests: DataFrame, automata: DataFrame, ranges: int) -> DataFrame:
     """(lang, words, f) of ``requests(lang, words)``, each once and of two words or more, from the automaton of their range."""
-    rotated = "((shiftleft(xxhash64(lang, words[0]), 1) | shiftrightunsigned(xxhash64(lang, words[0]), 63)) ^ xxhash64(lang, words[1]))"
-    asked = requests.select("lang", "words", F.expr(f"cast(shiftright(shiftrightunsigned({rotated}, 32) * {ranges}L, 32) as int)").alias("range"))
+
+    def with_range(batches):
+        for batch in batches:
+            lang, lists = as_table(batch, "lang"), batch.column(1)
+            first, second = (hashes(lang, pc.list_element(lists, k).cast(pa.string())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range_of(pair_hash(first, second), ranges), pa.int32())], names=["lang", "words", "range"])
+
+    asked = requests.select("lang", "words").mapInArrow(with_range, "lang string, words array<string>, range int")
 
     def of(asked: pa.Table, automata: pa.Table) -> pa.Table:
         weight = np.zeros(asked.num_rows, np.int64)

@@ -73,10 +73,18 @@ def test_composition_looks_up_whole_paths():
     assert a.composed(labels).tolist() == [counts.get(p, 0) for p in asked]
 
 
-def test_hashes_and_ranges_equal_the_plan(spark):
-    pairs = [("en", "the"), ("und", "日本"), ("de", ""), ("", "x" * 100)]
-    got = [r[0] for r in spark.createDataFrame(pairs, "lang string, word string").select(F.xxhash64("lang", "word")).collect()]
-    assert co.hashes(*map(list, zip(*pairs, strict=True))).view(np.int64).tolist() == got
+def test_packed_automata_come_back():
+    for a in (automaton(made_up(300, 4)), automaton({("a",): 2**40, ("a", "日本"): 1}), co.united([automaton({("x",): 1})], least=5)):
+        [(number, b)] = co._automata(co._batch(7, a))
+        assert number == 7 and b.words.to_pylist() == a.words.to_pylist()
+        assert all(np.array_equal(getattr(a, f), getattr(b, f)) for f in ("begin", "label", "weight", "target"))
+
+
+def test_hashes_go_by_language_and_word():
+    lang, word = pa.array(["en", "en", "de", "", "en"]), pa.array(["a", "b", "a", "日本", "a"])
+    h = co.hashes(lang, word)
+    assert len(set(h.tolist())) == 4 and h[0] == h[4] and (co.hashes(lang.slice(1), word.slice(1)) == h[1:]).all()
+    assert (co.range_of(co.pair_hash(h, h[::-1]), 5) < 5).all()
 
 
 def test_scores_are_exact(spark):
