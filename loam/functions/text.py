@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -54,6 +55,11 @@ def normalize_semantic_tags(tags: Column, most: int = 8, shortest: int = 2, long
     return F.slice(F.array_distinct(fit), 1, most)
 
 
+def clean_tags(tags: Sequence[str]) -> list[str]:
+    """What ``normalize_tags`` makes of a few tags that are at hand."""
+    return sorted({re.sub(r"^\s+|\s+$", "", t).lower() for t in tags} - {""})
+
+
 def has_all(tags: Column, wanted: Column) -> Column:
     return F.size(F.array_except(wanted, tags)) == 0
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions import text as tx
+
 Embed = Callable[[list[str]], np.ndarray]
 Extract = Callable[[list[str]], list[list[str]]]
 
@@ -104,8 +106,6 @@ def with_tag_vectors(chunks: DataFrame, keys: Sequence[str], name: str, extracto
         for s in texts:
             yield pd.Series(found(s.fillna("").tolist()), dtype=object)
 
-    from loam.functions import text as tx
-
     own = chunks.where("error is null").groupBy(*keys).agg(
         F.first("tags").alias("tags"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]), "\n\n").alias("content")
     )
@@ -113,11 +113,35 @@ def with_tag_vectors(chunks: DataFrame, keys: Sequence[str], name: str, extracto
     given = own.where(~lacking).select(*keys, F.col("tags").alias("semantic_tags"))
     found = own.where(lacking).select(*keys, tx.normalize_semantic_tags(extract(tx.truncated(F.col("content"), prompt_chars) if prompt_chars else F.col("content")), most).alias("semantic_tags"))
     tagged = given.union(found).where(F.size("semantic_tags") > 0)
-    each = tagged.select(*keys, F.explode("semantic_tags").alias("tag"))
+    vectors = tag_vectors(tagged.select(*keys, F.col("semantic_tags").alias("tags")), keys, name, **options)
+    return chunks.join(tagged.join(vectors, list(keys)), list(keys), "left")
+
+
+def tag_vectors(tagged: DataFrame, keys: Sequence[str], name: str, **options) -> DataFrame:
+    """(*keys, tag_vector): the pooled vectors of ``tagged(*keys, tags)``; each distinct tag is embedded once, rows without tags have none."""
+    each = tagged.select(*keys, F.explode("tags").alias("tag"))
     vectors = with_vectors(each.select("tag").distinct(), name, "tag", **options)
-    key = F.struct(*keys)
-    pooled = mean_pooled(each.join(vectors, "tag").select(key.alias("file"), "vector"), "file").select("file.*", F.col("vector").cast("array<float>").alias("tag_vector"))
-    return chunks.join(tagged.join(pooled, list(keys)), list(keys), "left")
+    pooled = mean_pooled(each.join(vectors, "tag").select(F.struct(*keys).alias("file"), "vector"), "file")
+    return pooled.select("file.*", F.col("vector").cast("array<float>").alias("tag_vector"))
+
+
+def with_query_tags(queries: DataFrame, extractor: str, most: int = 8, extractor_options: dict | None = None) -> DataFrame:
+    """``queries(text, ...)`` with ``query_tags``, normalised as those of files are. A text whose extraction fails has none: it is answered by its content."""
+
+    @F.pandas_udf("array<string>")
+    def extract(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = extractors.make(extractor, **(extractor_options or {}))
+
+        def tags(text: str) -> list[str]:
+            try:
+                return found([text])[0]
+            except Exception:
+                return []
+
+        for s in texts:
+            yield pd.Series([tags(t or "") for t in s], dtype=object)
+
+    return queries.withColumn("query_tags", F.coalesce(tx.normalize_semantic_tags(extract("text"), most), F.array().cast("array<string>")))
 
 
 def pooled(vectors: np.ndarray) -> list[float]:

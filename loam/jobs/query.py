@@ -7,9 +7,13 @@ query is embedded once for each kind of collection among them (provider, model,
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,24 +100,24 @@ def ask(
     store: Store, text: str, path: str = "", tags: Sequence[str] = (), options: search.Options = search.Options(), file_type: str = "markdown", tag_extractor: str | None = None,
     extractor_options: dict | None = None, no_tag: bool = False, root_exists: Callable[[str], bool] = os.path.isdir, **embedder_options,
 ) -> Answer:
-    """Results of one query text over the collections of its scopes."""
+    """Results of one query text over the collections of its scopes. Where the extraction of its tags fails, its content alone counts."""
     if not text.strip():
         raise ValueError("a query needs a text")
     o = options.normalized()
     found = [c.valid() for c in scopes(store.collections(), path, file_type, root_exists)]
-    gate = not no_tag and o.tag_weight > 0 and normalized_type(file_type) != "image" and len(text.strip()) >= 4
-    asked_tags = em.extractors.make(tag_extractor, **(extractor_options or {}))([text])[0] if gate and tag_extractor else []
+    one = store.spark.createDataFrame([(text,)], "text string")
+    asked_tags = list(_tagged_queries(one, o, file_type, tag_extractor, extractor_options, no_tag).first()["query_tags"])
     kinds: dict[tuple, list[Collection]] = {}
     for c in found:
         kinds.setdefault((c.provider, c.model, c.vector_dim), []).append(c)
-    chunks, every, vectors = search.filtered(store.chunks(), tags, path.strip()), None, []
+    every, vectors = None, []
     for (_, model, dim), own in kinds.items():
         embed = em.make(model, **embedder_options)
         vector = embed([text])[0].tolist()
         if len(vector) != dim:
             raise ValueError(f"the query has {len(vector)} dimensions, the collections of {model} have {dim}")
         tag_vector = em.pooled(embed(asked_tags)) if asked_tags else None
-        hits = search.scored(chunks.where(F.col("collection_id").isin([c.collection_id for c in own])), vector, tag_vector, o.tag_weight)
+        hits = search.scored(store.chunks(tags=tags, prefix=path.strip(), only=[c.collection_id for c in own]), vector, tag_vector, o.tag_weight)
         every = hits if every is None else every.unionByName(hits)
         vectors.append(vector)
     marked = search.windowed(every, o)
@@ -121,6 +125,101 @@ def ask(
     return Answer(text, list(tags), asked_tags, combined(found), o, bool(asked_tags), len(found), marked, results, strategy)
 
 
+def _tagged_queries(queries: DataFrame, o: search.Options, file_type: str, extractor: str | None, extractor_options: dict | None, no_tag: bool) -> DataFrame:
+    """``queries(text, ...)`` with ``query_tags``: those that count, or none."""
+    none = F.array().cast("array<string>")
+    if not extractor or no_tag:
+        return queries.withColumn("query_tags", none)
+    tagged = em.with_query_tags(queries, extractor, extractor_options=extractor_options)
+    gate = search.fusion_gate(F.col("text"), F.size("query_tags"), F.lit(o.tag_weight), F.lit(False), F.lit(normalized_type(file_type)))
+    return tagged.withColumn("query_tags", F.when(gate, F.col("query_tags")).otherwise(none))
+
+
+def ask_many(
+    store: Store, queries: DataFrame, options: search.Options = search.Options(), file_type: str = "markdown", tag_extractor: str | None = None, extractor_options: dict | None = None,
+    no_tag: bool = False, root_exists: Callable[[str], bool] = os.path.isdir, most_queries: int = 2000, **embedder_options,
+) -> DataFrame:
+    """(query_id, rank, collection_id, rel_path, chunk_index, chunk_id, score, content_score, tag_score): what ``ask`` says to each of ``queries(query_id, text, path, tags)``.
+
+    The columns path and tags may be missing. All queries are embedded in tasks; blocks of ``most_queries`` of them go against all chunks at once, as ``search.masked_topk`` does, and the
+    stages after that are grouped by query. A null or blank text, and a path that is not indexed, have no results; ids must be unique.
+    With MMR or re-ranking the results have their columns too.
+    """
+    from loam.operators import diversify, lexical
+    from loam.operators.scopes import descendants, longest_prefix
+
+    spark, o = store.spark, options.normalized()
+    known = [c.valid() for c in store.collections() if normalized_type(c.file_type) == normalized_type(file_type)]
+    given = lambda c, kind, other: F.coalesce(F.col(c).cast(kind), other) if c in queries.columns else other
+    asked = queries.select("query_id", "text", tx.strip(given("path", "string", F.lit(""))).alias("path"), tx.normalize_tags(given("tags", "array<string>", F.array().cast("array<string>"))).alias("tags"))
+    asked = _tagged_queries(asked.where(tx.strip(F.coalesce("text", F.lit(""))) != ""), o, file_type, tag_extractor, extractor_options, no_tag)
+    roots = F.broadcast(spark.createDataFrame([(c.root, c.collection_id) for c in known], "root string, collection_id string"))  # the registry: a row a collection
+    kinds: dict[tuple, list[Collection]] = {}
+    for c in known:
+        kinds.setdefault((c.provider, c.model, c.vector_dim), []).append(c)
+    everywhere = {c.collection_id for c in known if root_exists(c.root)}
+    carry = [*(["vector"] if o.mmr and o.mmr_lambda < 1 else []), *(["content", "title_path", "tags"] if o.rerank == "bm25" else [])]
+    folder = f"{store.root}/staging/queries-{uuid.uuid4().hex}"
+    asked.write.parquet(f"{folder}/asked")  # tags are extracted once
+    asked = spark.read.parquet(f"{folder}/asked")
+    rounds = max(1, -(-asked.count() // most_queries))
+    for r in range(rounds):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)
+        paths = part.select("path").distinct().where("path <> ''")
+        found = longest_prefix(paths, roots).select("path", "root").union(descendants(paths, roots)).join(roots, "root").select("path", "collection_id")
+        scopes_of: dict[str, set[str]] = {"": everywhere}
+        for path, c in found.toArrow().to_pandas().itertuples(index=False, name=None):  # the paths of a block, with a few collections each
+            scopes_of.setdefault(path, set()).add(c)
+        for (_, model, dim), own in kinds.items():
+            made = em.with_vectors(part, model, "text", **embedder_options).join(em.tag_vectors(part.select("query_id", F.col("query_tags").alias("tags")), ["query_id"], model, **embedder_options), "query_id", "left")
+            block = made.select("query_id", "path", "tags", F.size("query_tags").alias("n_tags"), F.col("vector").cast("array<double>").alias("vector"), F.col("tag_vector").cast("array<double>").alias("tag_vector")).toArrow()
+            if not block.num_rows:
+                continue
+            hits = _block_hits(store, block, dim, model, own, scopes_of, o, carry)
+            names = spark.createDataFrame(pa.table({"query": pa.array(range(block.num_rows), pa.int32()), "query_id": block.column("query_id").combine_chunks()}))
+            vectors = pa.table({"query": pa.array(range(block.num_rows), pa.int32()), "query_vector": block.column("vector").combine_chunks()})
+            hits = hits.join(F.broadcast(names), "query")  # a row a query of the block
+            if "vector" in carry:
+                hits = hits.join(F.broadcast(spark.createDataFrame(vectors)), "query")
+            hits.drop("query").write.mode("append").parquet(f"{folder}/hits")
+    more = "".join(f", {c} {t}" for c, t in (("vector", "array<float>"), ("content", "string"), ("title_path", "array<string>"), ("tags", "array<string>")) if c in carry)
+    schema = search.HIT.replace("query int", f"query_id {queries.schema['query_id'].dataType.simpleString()}") + more + (", query_vector array<double>" if "vector" in carry else "")
+    fs, p = store._at(f"{folder}/hits")
+    hits = spark.read.schema(schema).parquet(f"{folder}/hits") if fs.exists(p) else spark.createDataFrame([], schema)
+    marked = search.flagged(search.top(hits, o.window, "query_id", "collection_id").drop("rank"), o, "query_id")
+    single = marked.where("single").drop("passed", "single")
+    shown = ["query_id", "rank", "collection_id", "rel_path", "chunk_index", "chunk_id", "score", "content_score", "tag_score"]
+    if o.rerank == "bm25":
+        texts = asked.select("query_id", F.col("text").alias("query_text"))
+        scored = lexical.rerank(single.join(texts, "query_id"), F.col("query_text"), "query_id")
+        return search.top(scored, o.limit, "query_id").select(*shown, "bm25_score", "bm25_norm", "semantic_norm", "pre_rerank_score")
+    if "vector" in carry and len(kinds) == 1:
+        return diversify.mmr_batch(single, "query_id", o.limit, o.mmr_lambda).select(*shown, "mmr_relevance")
+    return search.top(single, o.limit, "query_id").select(*shown)
+
+
+def _block_hits(store: Store, block: pa.Table, dim: int, model: str, own: list[Collection], scopes_of: dict[str, set[str]], o: search.Options, carry: Sequence[str]) -> DataFrame:
+    """The window of each query of a block in the collections of one kind."""
+    lengths = set(pc.list_value_length(block.column("vector")).to_pylist()) - {dim}
+    if lengths:
+        raise ValueError(f"the queries have {sorted(lengths)[0]} dimensions, the collections of {model} have {dim}")
+    one = lambda c: block.column(c).combine_chunks()
+    paths = sorted(set(block.column("path").to_pylist()) - {""})
+    tags = sorted({t for x in block.column("tags").to_pylist() for t in x})
+    at = {p: i for i, p in enumerate(paths)} | {"": len(paths)}
+    place = {t: i for i, t in enumerate(tags)}
+    wanted = np.zeros((block.num_rows, len(tags)), bool)
+    for i, x in enumerate(block.column("tags").to_pylist()):
+        wanted[i, [place[t] for t in x]] = True
+    ids = [c.collection_id for c in own]
+    scope = np.array([[c in scopes_of.get(p, ()) for c in ids] for p in block.column("path").to_pylist()], bool)
+    fused = block.column("tag_vector").is_valid().to_numpy() & (o.tag_weight > 0)
+    asked = search.Asked(
+        search._matrix(one("vector"), dim), search._matrix(one("tag_vector"), dim), fused, scope, ids, paths, np.array([at[p] for p in block.column("path").to_pylist()]), tags, wanted
+    )
+    return search.masked_topk(store.chunks(only=[c for c, used in zip(ids, scope.any(axis=0), strict=True) if used]), asked, o.window, o.tag_weight, carry)
+
+
 def shown_files(store: Store, paths: DataFrame) -> DataFrame:
     """(path, found, collection_id, root_dir, rel_path, file_hash, chunk_count, chunks) of each of ``paths(path)``.
 

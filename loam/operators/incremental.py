@@ -13,19 +13,23 @@ def reasons(**checks: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
 
 
-def plan(files: DataFrame, states: DataFrame, recipe_hash: Column | str, force: bool = False, keys: Sequence[str] = ("rel_path",)) -> DataFrame:
-    """(*keys, action, reasons) of each of ``files(*keys, file_hash)``: skip, or update and why."""
+def marked(files: DataFrame, states: DataFrame, recipe_hash: Column | str, force: bool = False, keys: Sequence[str] = ("rel_path",), carry: Sequence[str] = ()) -> DataFrame:
+    """``files(*keys, file_hash, ...)`` with ``action`` (skip or update), ``reasons`` and the columns ``carry`` of their states; each file is looked at once."""
     recipe = F.lit(recipe_hash) if isinstance(recipe_hash, str) else recipe_hash
-    prior = states.select(*keys, F.col("file_hash").alias("old_hash"), F.col("recipe_hash").alias("old_recipe"), F.lit(True).alias("known"))
-    joined = files.select(*keys, "file_hash").join(prior, list(keys), "left")
+    prior = states.select(*keys, F.col("file_hash").alias("old_hash"), F.col("recipe_hash").alias("old_recipe"), F.lit(True).alias("known"), *carry)
+    joined = files.join(prior, list(keys), "left")
     why = reasons(
         missing_state=F.col("known").isNull(),
         file_hash_changed=~F.col("file_hash").eqNullSafe(F.col("old_hash")),
         recipe_changed=~recipe.eqNullSafe(F.col("old_recipe")),
     )
-    return joined.select(*keys, why.alias("reasons")).select(
-        *keys, F.when(F.lit(force) | (F.size("reasons") > 0), "update").otherwise("skip").alias("action"), "reasons"
-    )
+    out = joined.withColumn("reasons", why).drop("old_hash", "old_recipe", "known")
+    return out.withColumn("action", F.when(F.lit(force) | (F.size("reasons") > 0), "update").otherwise("skip"))
+
+
+def plan(files: DataFrame, states: DataFrame, recipe_hash: Column | str, force: bool = False, keys: Sequence[str] = ("rel_path",)) -> DataFrame:
+    """(*keys, action, reasons) of each of ``files(*keys, file_hash)``: skip, or update and why."""
+    return marked(files.select(*keys, "file_hash"), states, recipe_hash, force, keys).select(*keys, "action", "reasons")
 
 
 def deleted(states: DataFrame, files: DataFrame, keys: Sequence[str] = ("rel_path",)) -> DataFrame:

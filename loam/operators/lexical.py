@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,9 +28,9 @@ def max_normalized(score: str, *by: str):
     return F.when(most > 0, F.col(score) / most).otherwise(F.lit(0.0))
 
 
-def occurrences(tokens: str, wanted: list[str]):
-    """How often each wanted token is among ``tokens``, as an array."""
-    return F.transform(F.array(*[F.lit(w) for w in wanted]), lambda w: F.size(F.filter(tokens, lambda x: x == w)).cast("double"))
+def occurrences(tokens: str, wanted: Column) -> Column:
+    """How often each of an array of wanted tokens is among ``tokens``, as an array."""
+    return F.transform(wanted, lambda w: F.size(F.filter(tokens, lambda x: x == w)).cast("double"))
 
 
 def wanted(spark: SparkSession, query_text: str) -> list[str]:
@@ -38,22 +38,31 @@ def wanted(spark: SparkSession, query_text: str) -> list[str]:
     return spark.range(1).select(F.array_distinct(tx.tokens(F.lit(query_text)))).first()[0]
 
 
-def rerank(candidates: DataFrame, query_text: str, *by: str) -> DataFrame:
+def rerank(candidates: DataFrame, query_text: str | Column, *by: str) -> DataFrame:
     """Candidates scored anew: 0.7 of the normalised semantic score and 0.3 of the normalised BM25 score.
 
-    Frequencies and lengths are those of the candidates. A query without tokens, or candidates without any, change nothing.
-    Candidates are bounded by the query's window, and one row per candidate and query token is the most there is. Their
+    Frequencies and lengths are those of the candidates of a group. ``query_text`` is one text, or a column that is the same within a group. A query
+    without tokens, or candidates without any, change nothing. Candidates are bounded by the query's window, and one row per candidate and query token is the most there is. Their
     ``chunk_id`` must be unique within ``by``.
     """
-    asked = wanted(candidates.sparkSession, query_text)
-    if not asked:
-        blank = {c: F.lit(None).cast("double") for c in ("bm25_score", "bm25_norm", "semantic_norm")}
-        return candidates.withColumns({"pre_rerank_score": F.col("score"), **blank})
-    w = W.partitionBy(*by)
-    own = F.struct(*candidates.columns).alias("__row")
+    blank = {c: F.lit(None).cast("double") for c in ("bm25_score", "bm25_norm", "semantic_norm")}
+    if isinstance(query_text, str):
+        asked = wanted(candidates.sparkSession, query_text)
+        if not asked:
+            return candidates.withColumns({"pre_rerank_score": F.col("score"), **blank})
+        rows, tokens = candidates, F.array(*[F.lit(w) for w in asked])
+    else:
+        rows, tokens = candidates.withColumn("__asked", F.array_distinct(tx.tokens(query_text))), F.col("__asked")
+        plain = rows.where(F.size("__asked") == 0).select(*candidates.columns)
+        return _reranked(rows.where(F.size("__asked") > 0), candidates.columns, tokens, *by).unionByName(plain.withColumns({"pre_rerank_score": F.col("score"), **blank}))
+    return _reranked(rows, candidates.columns, tokens, *by)
+
+
+def _reranked(rows: DataFrame, columns: list[str], asked: Column, *by: str) -> DataFrame:
+    own = F.struct(*columns).alias("__row")
     # explode keeps the tokens a column of their own: inlined, they would be made again for each wanted token
-    terms = candidates.select(*by, "chunk_id", own, F.explode(F.array(tx.tokens(rerank_text(candidates)))).alias("__t")).select(
-        *by, "chunk_id", "__row", F.size("__t").cast("double").alias("__len"), F.posexplode(occurrences("__t", asked)).alias("__k", "__tf")
+    terms = rows.select(*by, "chunk_id", own, asked.alias("__asked"), F.explode(F.array(tx.tokens(rerank_text(rows)))).alias("__t")).select(
+        *by, "chunk_id", "__row", F.size("__t").cast("double").alias("__len"), F.posexplode(occurrences("__t", F.col("__asked"))).alias("__k", "__tf")
     )
     per_token = W.partitionBy(*by, "__k")
     terms = terms.withColumns(

@@ -121,7 +121,8 @@ def batch_topk(chunks: DataFrame, queries: DataFrame, k: int, most_queries: int
 
     The queries are a stated set, of vectors of one length. Up to ``most_queries`` they go to every task as one matrix; more are taken in as many
     rounds. Each task keeps its own best ``k`` per query, in products of ``block_bytes`` at most; a window over those rows ends it.
-    A null or zero vector, one with a null component or one of another length than the queries scores 0, as in ``vectors.cosine``.
+    A null or zero vector, one with a null component or one of another length than the queries scores 0, as in ``vectors.cosine``. Ids are
+    whole numbers or strings.
     """
     n = queries.count()
     rounds = max(1, -(-n // most_queries))
@@ -134,9 +135,10 @@ def batch_topk(chunks: DataFrame, queries: DataFrame, k: int, most_queries: int
         lengths = set(pc.list_value_length(lists).drop_null().to_pylist()) - {0}
         if len(lengths) > 1:
             raise ValueError(f"queries of different lengths: {sorted(lengths)[:5]}")
-        shared = chunks.sparkSession.sparkContext.broadcast((got.column("query_id").to_numpy(), _matrix(lists, max(lengths, default=1))))
-        found = chunks.select(F.col("vec_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(
-            _nearest(shared, k, block_bytes, exclude_self), "query_id long, vec_id long, score double"
+        shared = chunks.sparkSession.sparkContext.broadcast((_plain(got.column("query_id").combine_chunks()), _matrix(lists, max(lengths, default=1))))
+        kind = lambda df, c: df.schema[c].dataType.simpleString()
+        found = chunks.select("vec_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(
+            _nearest(shared, k, block_bytes, exclude_self), f"query_id {kind(queries, 'query_id')}, vec_id {kind(chunks, 'vec_id')}, score double"
         )
         best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")).where(F.col("rank") <= k)
         out = best if out is None else out.union(best)
@@ -154,18 +156,30 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
+def _plain(ids: pa.Array) -> np.ndarray:
+    """Ids as numpy: whole numbers, or the bytes of strings, which have the strings' order."""
+    if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type):
+        return np.array([i.encode() for i in ids.to_pylist()], dtype=np.bytes_)
+    return ids.to_numpy(zero_copy_only=False)
+
+
+def _told(ids: np.ndarray) -> pa.Array:
+    return pa.array([i.decode() for i in ids.tolist()], pa.string()) if ids.dtype.kind == "S" else pa.array(ids)
+
+
 def _nearest(shared, k: int, block_bytes: int, exclude_self: bool):
     def of(batches):
         qid, q = shared.value
-        rows, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        rows, ids, scores = np.zeros(0, np.int64), None, np.zeros(0)
         floor = np.full(len(q), -np.inf)  # the k-th best score of each query so far
         block = max(k, block_bytes // (8 * max(1, len(q))), 1)
         for batch in batches:
-            own_ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), q.shape[1])
+            own_ids, x = _plain(batch.column(0)), _matrix(batch.column(1), q.shape[1])
+            ids = own_ids[:0] if ids is None else ids
             for lo in range(0, len(x) if len(q) else 0, block):
                 own = own_ids[lo : lo + block]
                 s = q @ x[lo : lo + block].T
-                if exclude_self:
+                if exclude_self and qid.dtype.kind == own.dtype.kind:
                     s[qid[:, None] == own[None, :]] = -np.inf
                 least = floor if s.shape[1] <= k else np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
                 i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))  # ties stay in until the ids decide
@@ -175,11 +189,115 @@ def _nearest(shared, k: int, block_bytes: int, exclude_self: bool):
                 nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
                 floor[rows[nth == k - 1]] = scores[nth == k - 1]
                 rows, ids, scores = (a[nth < k] for a in (rows, ids, scores))
-        yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([_told(qid[rows]), _told(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return of
 
 
+@dataclass
+class Asked:
+    """A block of queries of one kind of collection: what a task needs to answer them."""
+
+    vectors: np.ndarray  # unit rows
+    tag_vectors: np.ndarray  # unit rows, zeros for a query without tags
+    fused: np.ndarray  # has the query a tag vector?
+    scopes: np.ndarray  # queries x collections
+    collections: list[str]
+    paths: list[str]  # distinct prefixes
+    path: np.ndarray  # the prefix of each query, -1 for none
+    tags: list[str]  # distinct tags that are asked for
+    wanted: np.ndarray  # queries x tags
+
+
+HIT = "query int, collection_id string, rel_path string, chunk_index int, chunk_id string, content_score double, tag_score double, score double"
+
+
+def _cosines(units: np.ndarray, lists: pa.Array) -> np.ndarray:
+    return units @ _matrix(lists, units.shape[1]).T
+
+
+def masked_topk(chunks: DataFrame, asked: Asked, k: int, tag_weight: float, carry: Sequence[str] = (), block_bytes: int = 1 << 26) -> DataFrame:
+    """``HIT`` and the columns ``carry``: the ``k`` best chunks of every query in each of its collections, among those under its path that have all its tags.
+
+    The queries go to every task. A block of chunks, whose scores with all queries fill ``block_bytes``, is a matrix product, and masks of bits
+    take out what a query does not ask for; a task keeps ``k`` rows a query and collection, ties by path, number and id. The caller ends it with a window.
+    """
+    shared = chunks.sparkSession.sparkContext.broadcast(asked)
+    place = [("rel_path", "ascending"), ("chunk_index", "ascending"), ("chunk_id", "ascending")]
+    names = ["collection_id", "rel_path", "chunk_index", "chunk_id", "tags", "vector", "tag_vector", *carry]
+
+    def best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the k greatest of each row, the first of equals; -inf is none."""
+        if s.shape[1] > k:
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+            ties = (s == least) & np.isfinite(s)
+            room = k - (s > least).sum(axis=1, keepdims=True)
+            return np.nonzero((s > least) | (ties & (np.cumsum(ties, axis=1) <= room)))
+        return np.nonzero(np.isfinite(s))
+
+    def of(batches):
+        a = shared.value
+        held, size = [], 0
+
+        def cut() -> pa.Table:
+            t = pa.concat_tables(held)
+            t = t.take(pc.sort_indices(t, [("query", "ascending"), ("collection_id", "ascending"), ("score", "descending"), *place]))
+            query, where = t.column("query").to_numpy(), t.column("collection_id").combine_chunks().dictionary_encode().indices.to_numpy()
+            new = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (where[1:] != where[:-1]))) if len(query) else np.zeros(0, int)
+            nth = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query))))
+            return t.filter(pa.array(nth < k))
+
+        block = max(1, block_bytes // (8 * max(1, len(a.vectors))))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                t = pa.Table.from_batches([batch.slice(lo, block)])
+                t = t.take(pc.sort_indices(t, place)).combine_chunks()
+                col = lambda c, t=t: t.column(c).combine_chunks()
+                where = pc.index_in(col("collection_id"), pa.array(a.collections, pa.string())).fill_null(-1).to_numpy()
+                paths, lists = col("rel_path"), col("tags")
+                under = np.zeros((len(a.paths) + 1, t.num_rows), bool)
+                under[-1] = True
+                for j, p in enumerate(a.paths):
+                    under[j] = pc.or_(pc.equal(paths, p), pc.starts_with(paths, p + "/")).to_numpy(zero_copy_only=False)
+                allowed = under[a.path]
+                if a.tags:
+                    has = np.zeros((len(a.tags), t.num_rows), bool)
+                    each = pc.index_in(lists.flatten(), pa.array(a.tags, pa.string())).fill_null(-1).to_numpy()
+                    own = pc.list_parent_indices(lists).to_numpy()
+                    has[each[each >= 0], own[each >= 0]] = True
+                    allowed &= (a.wanted.astype(np.int32) @ (~has).astype(np.int32)) == 0
+                content = _cosines(a.vectors, col("vector"))
+                tag = np.full(content.shape, np.nan)
+                if a.fused.any():
+                    vectors = col("tag_vector")
+                    there = np.asarray(pc.equal(pc.list_value_length(vectors), a.tag_vectors.shape[1]).fill_null(False))
+                    both = a.fused[:, None] & there[None, :]
+                    tag[both] = _cosines(a.tag_vectors, vectors)[both]
+                score = np.where(np.isnan(tag), content, (1 - tag_weight) * content + tag_weight * tag)
+                for c in np.unique(where[where >= 0]).tolist():
+                    at = np.flatnonzero(where == c)
+                    s = np.where(allowed[:, at] & a.scopes[:, c, None], score[:, at], -np.inf)
+                    q, j = best(s)
+                    if not len(q):
+                        continue
+                    found = t.take(pa.array(at[j])).drop_columns([n for n in ("tags", "vector", "tag_vector") if n not in carry])
+                    for name, values in (("score", score), ("tag_score", tag), ("content_score", content)):
+                        v = values[q, at[j]]
+                        found = found.append_column(name, pa.array(v, pa.float64(), mask=np.isnan(v)))
+                    held.append(found.append_column("query", pa.array(q, pa.int32())))
+                    size += len(q)
+                if size > 200_000:
+                    held = [cut()]
+                    size = max(0, held[0].num_rows - 100_000)
+        if held:
+            order = [c.split()[0] for c in HIT.split(", ")] + list(carry)
+            yield from cut().select(order).to_batches(max_chunksize=10_000)
+
+    more = "".join(f", `{c}` {chunks.schema[c].dataType.simpleString()}" for c in carry)
+    return chunks.select(*dict.fromkeys(names)).mapInArrow(of, HIT + more)
+
+
 def flagged(kept: DataFrame, o: Options, *by: str) -> DataFrame:
     """``kept``, which a query's window bounds, with ``passed`` (the threshold) and ``single`` (passed, and the best of its file): one pass over it."""
     place = W.partitionBy(*by).orderBy(*order())
