@@ -272,6 +272,32 @@ def mmr_select(spark, sf_dir):
     return shown(diversify.mmr(kept, vector_of(spark, sf_dir), 10, 0.5), "rank", "rel_path", "score", "mmr_relevance")
 
 
+MMR_K = 6
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, e.v, list_cosine_similarity(e.v, q.v) AS score FROM e q, e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
+k AS (SELECT query_id, vec_id, v, score, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id::VARCHAR) AS n FROM s) WHERE n <= 20),
+sim AS (SELECT a.query_id, a.n, b.n AS m, list_cosine_similarity(a.v, b.v) AS c FROM k a JOIN k b USING (query_id) WHERE a.n <> b.n),
+sims AS (SELECT query_id, n, score, list(c ORDER BY m) AS c, list(m ORDER BY m) AS m FROM sim JOIN k USING (query_id, n) GROUP BY query_id, n, score),
+best AS (
+  SELECT query_id, 1 AS step, [1::BIGINT] AS picked FROM k GROUP BY query_id
+  UNION ALL
+  SELECT query_id, step + 1, list_append(picked, arg_min(n, (-value, n))) FROM (
+    SELECT b.query_id, b.step, b.picked, s.n, 0.5::DOUBLE * s.score - 0.5::DOUBLE * greatest(0, list_max(list_transform(b.picked, lambda p: s.c[list_position(s.m, p)]))) AS value
+    FROM best b JOIN sims s ON s.query_id = b.query_id AND NOT list_contains(b.picked, s.n) WHERE b.step < {MMR_K}) GROUP BY query_id, step, picked
+), p AS (SELECT query_id, unnest(picked) AS n, generate_subscripts(picked, 1)::INT AS rank FROM best WHERE step = {MMR_K})
+SELECT query_id, rank, vec_id::VARCHAR AS chunk_id, round(score, 6) AS score, round(score, 6) AS mmr_relevance FROM p JOIN k USING (query_id, n)""")
+def mmr_batch(spark, sf_dir):
+    """Twenty candidates of each twentieth vector, picked anew: all queries at once."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    asked = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    chunks = e.select(F.col("vec_id").cast("string").alias("vec_id"), "vector")
+    near = search.batch_topk(chunks, asked.select(F.col("query_id").cast("string").alias("query_id"), F.col("query_vector").alias("vector")), 20).drop("rank").withColumn("query_id", F.col("query_id").cast("long"))
+    near = near.join(chunks, "vec_id").join(asked, "query_id").withColumnRenamed("vec_id", "chunk_id").withColumns({"rel_path": F.lit(""), "chunk_index": F.lit(0)})
+    return shown(diversify.mmr_batch(near, "query_id", MMR_K, 0.5), "query_id", "rank", "chunk_id", "score", "mmr_relevance")
+
+
 # Filters, tags and text
 
 
@@ -630,7 +656,10 @@ def group_files_by_type(spark, sf_dir):
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder for a store, where the cluster keeps its checkpoints."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    found = found or spark.conf.get("spark.sql.warehouse.dir")
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -694,6 +723,72 @@ def query_job(spark, sf_dir):
     return shown(answer.results, "rank", "rel_path", "score", "content_score", "tag_score")
 
 
+BATCH_SQL = rf"""q AS (SELECT doc_id AS query_id, {COUNTS_SQL.format("lower(text)")} AS qv, {COUNTS_SQL.format("'en'")} AS en, {COUNTS_SQL.format("'de'")} AS de, contains(lower(text), 'en') AS is_en, contains(lower(text), 'de') AS is_de,
+  CASE WHEN doc_id % 40 = 0 THEN '/' || source ELSE '' END AS path, CASE WHEN doc_id % 60 = 0 THEN lang END AS tag, length(trim(text)) >= 4 AS gate FROM documents WHERE doc_id % 20 = 0),
+m AS (SELECT *, CASE WHEN NOT gate THEN NULL WHEN is_en AND is_de THEN list_transform(en, lambda x, i: x + de[i]) WHEN is_en THEN en WHEN is_de THEN de END AS tv FROM q),
+c AS (SELECT '/' || source || '/' || doc_id AS rel_path, source AS collection, lang, {COUNTS_SQL.format(r"lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))")} AS v, {COUNTS_SQL.format("lower(lang)")} AS t FROM documents),
+u AS (SELECT *, list_transform(t, lambda x: CASE WHEN list_inner_product(t, t) > 0 THEN (x / sqrt(list_inner_product(t, t)))::FLOAT::DOUBLE ELSE x END) AS tag_vector FROM c),
+s AS (SELECT query_id, rel_path, collection, {COSINE_SQL.format("v", "qv")} AS content_score, CASE WHEN tv IS NOT NULL THEN {COSINE_SQL.format("tag_vector", "tv")} END AS tag_score FROM m JOIN u ON (path = '' OR rel_path = path OR starts_with(rel_path, path || '/')) AND (tag IS NULL OR lang = tag)),
+h AS (SELECT *, CASE WHEN tag_score IS NULL THEN content_score ELSE (1 - 0.3::DOUBLE) * content_score + 0.3::DOUBLE * tag_score END AS score FROM s),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(score, 9) DESC, rel_path) AS n FROM h) WHERE n <= 10),
+b AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rel_path) AS best, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rel_path) AS k FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rel_path)::INT AS rank FROM b WHERE k = 1 OR (score >= 0.5::DOUBLE * best AND best - score <= 0.4::DOUBLE))"""
+
+
+@query(f"WITH {BATCH_SQL} SELECT query_id, rank, rel_path, round(score, 6) AS score, round(content_score, 6) AS content_score, round(tag_score, 6) AS tag_score FROM r WHERE rank <= 10")
+def query_batch_job(spark, sf_dir):
+    """The texts of each twentieth document asked of a store that two scans have made, all at once; some under the path of their source, some with a tag."""
+    docs = table(spark, sf_dir, "documents")
+    store, known = index.Store(spark, workspace(spark, "query-batch")), job_collections(docs)
+    tagged = F.concat(F.lit("---\ntags: ["), "lang", F.lit("]\n---\n\n"), "text")
+    how = {"splitter": ONE_CHUNK, "tag_extractor": "vocabulary", "extractor_options": {"words": ("en", "de")}, "words": JOB_WORDS}
+    first = files_under(docs, F.when(F.col("doc_id") % 3 == 0, F.concat(tagged, F.lit(" earlier"))).otherwise(tagged)).where("doc_id % 7 <> 0")
+    index.scan(store, first.drop("doc_id"), JOB_RECIPE, known, **how)
+    index.scan(store, files_under(docs, tagged).drop("doc_id"), JOB_RECIPE, known, **how)
+    asked = docs.where("doc_id % 20 = 0").select(
+        F.col("doc_id").alias("query_id"), "text", F.when(F.col("doc_id") % 40 == 0, F.concat(F.lit("/"), "source")).alias("path"), F.when(F.col("doc_id") % 60 == 0, F.array("lang")).alias("tags")
+    )
+    got = ask.ask_many(
+        store, asked, search.Options(limit=10, window=10, alpha=0.5, delta=0.4), tag_extractor="vocabulary", extractor_options={"words": ("en", "de")}, root_exists=lambda _: True, words=JOB_WORDS,
+    )
+    return shown(got, "query_id", "rank", "rel_path", "score", "content_score", "tag_score")
+
+
+@query(r"""SELECT '/' || source || '/' || doc_id AS rel_path, CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version, sha256(regexp_replace(text || CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN '' ELSE 'x' END, '^\s+|\s+$', '', 'g')) AS content
+FROM documents WHERE source IN ('src1', 'src3') AND lang = 'en' AND doc_id % 11 <> 0""")
+def layered_store(spark, sf_dir):
+    """What three scans have left, each of which changed other files, of two collections and the files with two tags: from the postings, and without a shuffle of chunks."""
+    docs = table(spark, sf_dir, "documents")
+    store, known = index.Store(spark, workspace(spark, "layers")), job_collections(docs)
+    tagged = lambda body: F.concat(F.lit("---\ntags: ["), "lang", F.lit(", Any]\n---\n\n"), body)
+    old, new = F.concat("text", F.lit("x")), F.col("text")
+    for changed in (F.lit(False), F.col("doc_id") % 2 == 0, (F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 3 == 0)):
+        rows = files_under(docs, tagged(F.when(changed, new).otherwise(old)))
+        index.scan(store, rows.where("doc_id % 11 <> 0").drop("doc_id"), JOB_RECIPE, known, ONE_CHUNK, words=JOB_WORDS)
+    ids = [c.collection_id for c in known if c.root in ("/src1", "/src3")]
+    got = store.chunks(tags=["EN ", "any"], only=ids).join(files_under(docs, new).select("rel_path", "doc_id"), "rel_path")
+    version = F.when((F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 3 == 0), "new").otherwise("old")
+    return got.select("rel_path", version.alias("version"), F.sha2("content", 256).alias("content"))
+
+
+PICTURES_SQL = "SELECT page_id, '/pages/' || page_id || '.png' AS rel_path, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, length(html) AS n, url FROM pages"
+
+
+@query(rf"""WITH p AS ({PICTURES_SQL}), t AS (SELECT *, CASE WHEN trim(title) = '' THEN page_id::VARCHAR ELSE trim(title) END AS shown FROM p)
+SELECT rel_path, CASE WHEN page_id % 9 = 0 THEN 'error' ELSE 'updated' END AS status, CASE WHEN page_id % 9 <> 0 THEN shown END AS title, CASE WHEN page_id % 9 <> 0 THEN 'a page of ' || n || ' characters' END AS content,
+CASE WHEN page_id % 9 <> 0 THEN sha256(rel_path || '|' || '{hx.Recipe("image", "v1", "offline", "keyword", len(JOB_WORDS)).hash()}' || '|' || sha256(url) || '|0') END AS chunk_id FROM t""")
+def scan_images(spark, sf_dir):
+    """A picture a page, scanned through the provider of images with captions made of the pages; every ninth has none."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit("/pages/"), "page_id", F.lit(".png")).alias("rel_path"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length("html").alias("n"))
+    home = index.Collection("/pages", file_type="image")
+    captions = pages.where("page_id % 9 <> 0").select("rel_path", "title", F.array(F.lit(" Page"), F.lit("page")).alias("tags"), F.concat(F.lit(" a page of "), "n", F.lit(" characters")).alias("description"))
+    found = pages.select(F.lit(home.collection_id).alias("collection_id"), "rel_path", F.lit(None).cast("string").alias("content"), F.sha2("url", 256).alias("file_hash"))
+    store = index.Store(spark, workspace(spark, "scan-images"))
+    recipe = hx.Recipe("image", "v1", "offline", "keyword", len(JOB_WORDS))
+    outcome = index.scan(store, found, recipe, [home], provider_options={"captions": captions}, words=JOB_WORDS)
+    return outcome.join(store.chunks(), list(index.KEYS), "left").select("rel_path", "status", "title", "content", "chunk_id")
+
+
 @query(r"""SELECT '/' || source || '/' || doc_id AS path, doc_id % 7 <> 0 AS found, CASE WHEN doc_id % 7 <> 0 THEN '/' || source END AS root_dir,
 CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE '/' || source || '/' || doc_id END AS rel_path, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS file_hash,
 CASE WHEN doc_id % 7 <> 0 THEN 1 ELSE 0 END AS chunk_count, CASE WHEN doc_id % 7 <> 0 THEN sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) END AS content FROM documents""")

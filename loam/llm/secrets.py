@@ -76,6 +76,45 @@ def spans(text: Column, number: int, pattern: str, group: int, least: int, holds
     return F.when(holds, F.filter(bound(both, placed), lambda s: F.length(s["value"]) >= least)).otherwise(F.array().cast(SPAN))
 
 
+RUN = r"[A-Za-z0-9_.-]+"
+
+
+def web_tokens(text: Column, number: int, holds: Column) -> Column:
+    """Spans of the three-part kind, whose pattern would look at a long run from each of its ``eyJ``: each maximal run is cut at its dots once.
+
+    A match takes its first part from a part's first ``eyJ`` on, for a later one ends at the same dot, and two parts more, all of eight characters at least behind that; the next one may
+    begin with the part after.
+    """
+    segment = f"struct<free:int,at:bigint,found:{SPAN}>"
+
+    def of_run(r: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            seg, i, two, three = x["seg"], x["i"], x["two"], x["three"]
+            p = F.instr(seg, "eyJ")
+            fits = (i >= s["free"]) & (p > 0) & (F.length(seg) - p >= 10) & (F.length(two) >= 8) & (F.length(three) >= 8)
+            begin = r["start"] + s["at"] + p - 1
+            value = F.concat(F.substring(seg, p, F.length(seg)), F.lit("."), two, F.lit("."), three)
+            span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), (begin + F.length(value)).alias("stop"), value.alias("value")).cast(SPAN[6:-1])
+            after = s["at"] + F.length(seg) + 1
+            return F.when(fits, F.struct((i + 3).alias("free"), after.alias("at"), F.concat(s["found"], F.array(span)).alias("found")).cast(segment)).otherwise(
+                F.struct(s["free"].alias("free"), after.alias("at"), s["found"].alias("found")).cast(segment)
+            )
+
+        parts = F.split(r["run"], r"\.", -1)
+        three = lambda v: F.transform(v, lambda seg, i: F.struct(seg.alias("seg"), i.alias("i"), F.coalesce(F.get(v, i + 1), F.lit("")).alias("two"), F.coalesce(F.get(v, i + 2), F.lit("")).alias("three")))
+        zero = F.struct(F.lit(0).alias("free"), F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("found")).cast(segment)
+        return F.aggregate(bound(parts, three), zero, step, lambda s: s["found"])
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("whole"), F.split(text, RUN, -1).alias("gaps"))
+
+    def placed(x):
+        stops = bound(F.transform(x["whole"], lambda w, i: (F.length(w) + F.length(F.get(x["gaps"], i))).cast("bigint")), lambda v: running(v))
+        runs = F.transform(F.arrays_zip(x["whole"].alias("run"), stops.alias("stop")), lambda r: F.struct((r["stop"] - F.length(r["run"])).alias("start"), r["run"].alias("run")))
+        return F.flatten(F.transform(F.filter(runs, lambda r: F.contains(r["run"], F.lit("eyJ"))), of_run))
+
+    return F.when(holds, bound(both, placed)).otherwise(F.array().cast(SPAN))
+
+
 def candidates(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """(row, doc_id, repository, owner, spans): all spans of every row, by start and kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -86,7 +125,7 @@ def candidates(docs: DataFrame, repository: str = "doc_id", owner: str = "source
         holds = F.contains(t, F.lit(marks[0]))
         for m in marks[1:]:
             holds = holds | F.contains(t, F.lit(m))
-        kinds.append(spans(t, i, p, g, n, holds))
+        kinds.append(web_tokens(t, i, holds) if marks == ("eyJ",) else spans(t, i, p, g, n, holds))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", F.sort_array(F.concat(*kinds)).alias("spans"))
 
 

@@ -215,3 +215,31 @@ def test_more_unmodified_licence_texts(spark):
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
     for i, (k, name, _) in enumerate(rows):
         assert got[i] == [name], (k, name, got[i])
+
+
+def test_web_tokens_are_those_of_the_pattern(spark):
+    """Random runs of short parts against the pattern itself, and against the SQL."""
+    import random
+    import re
+
+    rng = random.Random(8)
+    pattern = re.compile(dict((k[0], k[1]) for k in secrets.ADDED)["jwt"])
+    pieces = ["eyJ", "eyJeyJ", "abcdefgh", "abcdefg", ".", ".", ".", "..", "A1_-", " ", "é", "eyJabcdefgh", "12345678", "eyJ1234567"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(400)] + ["eyJabcdefgh.abcdefgh.abcdefgh" * 3, "x.eyJabcdefgh.abcdefgh.abcdefgh.eyJabcdefgh.abcdefgh.eyJabcdefgh", "😀eyJabcdefgh.abcdefgh.abcdefgh"]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    n = secrets.KINDS.index("jwt")
+    got = {r["doc_id"]: [(s["start"], s["stop"], s["value"]) for s in r["spans"] if s["kind"] == n] for r in secrets.scan(docs).collect()}
+    assert got == {i: [(m.start(), m.end(), m.group(1)) for m in pattern.finditer(t)] for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 15
+
+
+def test_long_runs_take_linear_time(spark):
+    """Five million characters that almost are of each added kind."""
+    import time
+
+    runs = {"jwt": "eyJ" * 1_700_000, "github": "ghp_" * 1_250_000, "slack": "xoxb-" * 1_000_000, "pem": "-----BEGIN " + "A " * 2_500_000, "words": "abJ" * 1_700_000}
+    for kind, text in runs.items():
+        docs = spark.createDataFrame([(1, text, None, None, None)], DOCS)
+        began = time.perf_counter()
+        secrets.scan(docs).collect()
+        assert time.perf_counter() - began < 60, kind
