@@ -6,8 +6,8 @@ codeword's bit, weighted by how well that bit's classifier did on its training r
 winner's share of exp(-loss), and a text whose two best codewords are close is flagged ``ambiguous``.
 
 Learning uses text and language of rows that are not held out and have both, about ``most_rows`` of them, an equal share for each
-language but ``least_rows`` each where they are many: the documented bound of the sample. Rows are drawn one by one, whether or not they share an
-id. Every language that has such rows is learned.
+language but ``least_rows`` each where they are many: the documented bound of the sample. Rows are drawn by a hash of id and text, and of n rows alike in both as many as their share
+of the draw: the sample depends on the rows, not on how they lie in files. Every language that has such rows is learned.
 
 Defined cases: null texts and texts without any letter are ``und`` with score 0; so is every text where no language could be learned;
 rows with a null language, or without a letter, teach nothing; null ids and repeated rows are predicted each; other columns are passed over; an empty
@@ -16,7 +16,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,10 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import as_table
+from .common import as_table, stored
 
 BINS = 4096
-LETTER = re.compile(r"[^\W\d_]")
+#: Fixed value: what a letter is, on both sides.
+LETTER = r"\p{L}"
 FOLD = np.arange(256, dtype=np.uint32)
 FOLD[[ord(c) for c in "0123456789"]] = ord("0")
 for _c in range(256):
@@ -118,25 +118,31 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150) ->
 
 
 def train(docs: DataFrame, held_out: Callable[[Column], Column], most_rows: int = 4000, least_rows: int = 20) -> Model | None:
-    usable = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where("lang is not null").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    usable = usable.where(F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().collect()  # a row a language, which the model holds too
+    usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    usable = usable.where(F.col("text").rlike(LETTER)).withColumn("mark", F.xxhash64("doc_id", "text"))
+    # rows alike in id and text are drawn as copies of one, so neither files nor tasks decide, nor do many copies fill the sample
+    copies = stored(usable.groupBy("lang", "mark").agg(F.count("*").alias("n")), "language-copies")
+    counts = copies.groupBy("lang").agg(F.sum("n")).collect()  # a row a language, which the model holds too
     if not counts:
         return None
     each = max(least_rows, most_rows // len(counts))
-    share = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.withColumn("draw", draw).where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+    share = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, min(1.0, each / n))])[F.col("lang")]
+    draw = F.pmod(F.xxhash64("mark", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    taken = copies.select("lang", "mark", F.floor(F.col("n") * share + draw).cast("long").alias("taken")).where("taken > 0")
+    drawn = usable.join(taken, ["lang", "mark"]).groupBy("lang", "mark").agg(F.first("text").alias("text"), F.first("taken").alias("taken")).select("lang", "text", "taken", "mark")
 
     def of(batches):
         for batch in batches:
             got = [x for _, x in vectors(as_table(batch, "text"))]
             if got:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.astype(np.float16).tobytes() for r in np.concatenate(got)], pa.binary())], names=["lang", "x"])
+                x = pa.array([r.astype(np.float16).tobytes() for r in np.concatenate(got)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), x, batch.column(2), batch.column(3)], names=["lang", "x", "taken", "mark"])
 
-    rows = drawn.mapInArrow(of, "lang string, x binary").toArrow()  # about max(most_rows, least_rows a language) rows of 8 KB
+    rows = drawn.mapInArrow(of, "lang string, x binary, taken long, mark long").toArrow()  # about max(most_rows, least_rows a language) rows of 8 KB
     if not rows.num_rows:
         return None
+    rows = rows.sort_by([("lang", "ascending"), ("mark", "ascending")])
+    rows = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), rows.column("taken").to_numpy())))
     languages = sorted(set(rows.column("lang").to_pylist()))
     number = {lang: i for i, lang in enumerate(languages)}
     x = np.stack([np.frombuffer(v, np.float16) for v in rows.column("x").to_pylist()]).astype(np.float32)
@@ -153,9 +159,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         m = shared.value
         for batch in batches:
             texts = as_table(batch, "text")
-            some = np.array([bool(t.is_valid and LETTER.search(t.as_py())) for t in texts], dtype=bool)
-            if m is None:
-                some[:] = False
+            some = batch.column(2).to_numpy(zero_copy_only=False) & (m is not None)
             best, score, close = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
             for first, x in vectors(texts) if m is not None else ():
                 best[first : first + len(x)], score[first : first + len(x)], close[first : first + len(x)] = m.decode(x)
@@ -165,7 +169,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 names=["doc_id", "lang_pred", "score", "ambiguous"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(of, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", text.alias("text"), F.coalesce(text.rlike(LETTER), F.lit(False)).alias("some")).mapInArrow(of, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -89,3 +89,19 @@ def test_a_text_is_scored_whole(spark):
     docs = spark.createDataFrame([(i, "the and of that with this " * 3, "en", None) for i in range(40)] + [(50 + i, "der die das und mit ist " * 3, "de", None) for i in range(40)], SCHEMA)
     long = spark.createDataFrame([(1, "the and of that " * 200 + "der die das und mit ist " * 40_000)], "doc_id long, text string")
     assert li.predict(long, li.train(docs, li.held_out)).first()["lang_pred"] == "de"
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(i, "the and of that with", "en", None) for i in range(30)] + [(100 + i, "der die das und mit", "de", None) for i in range(30)]
+    rows += [(500, "½ ²", "en", None), (501, "Ⅷ ①", "de", None), (502, "٣٤ 12 _", None, None), (503, "é", None, None), (504, "日本", None, None), (505, "ª", None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in li.predict(docs, li.train(docs, li.held_out)).collect()}
+    assert got[500] == got[501] == got[502] == ("und", 0.0)
+    assert all(got[i][0] != "und" for i in (503, 504, 505))
+
+
+def test_the_sample_depends_on_rows_alone(spark):
+    rows = [(k, f"the and of that with number word{k % 700}", "en", None) for k in range(2000)] + [(k, f"der die das und mit wort{k}", "de", None) for k in range(2000, 3000)] + [(7, "one text", "en", None)] * 2000
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, other = (li.train(docs.repartition(n, F.rand(n)), li.held_out, most_rows=300) for n in (2, 5))
+    assert np.array_equal(one.weights, other.weights) and np.array_equal(one.trust, other.trust)
