@@ -6,15 +6,15 @@ of one document, item and form that lie on one diagonal are counted together, th
 the slots they fill are held against each other: a slot value of the item must stand for one value of the document throughout, so a
 question asked again with other numbers or names matches and a chance likeness of templates does not.
 
-A number is digits with the separators and the sign between and before them; a unit is a word of ``UNITS`` after a number; a
-name is a run of capitalised words. ``PLAIN`` has no slots, so neither case nor numbers keep a copy from being found, ``NUMBERS`` has no
+A number is digits with the separators and the sign between and before them, or a run of ``NUMBER_WORDS``; a unit is a word of ``UNITS`` after a number, also where it touches
+its digits; a name is a run of capitalised words. ``PLAIN`` has no slots, so neither case nor numbers keep a copy from being found, ``NUMBERS`` has no
 names; ``NAMES`` has each word as a token of its own. A capitalised word that opens a sentence is a name in ``KNOWN`` if it also stands
 inside one in that text, and always in ``OPENERS``. Windows with under half their tokens literal say nothing and are left out.
 
 Tasks drop the windows that no item has by a table of hashes, up to ``broadcast_windows``, or by a bitmap of bounded size, beyond it; what is
 left is written once. A document and an item that share ``coverage`` of the item's windows share one of the rest and one more, so they are
 paired by the item's rarest windows only: one that very many items have pairs no document with all of them. Items of fewer than
-``window`` tokens are one window of their own length; items under ``shortest`` words match nothing.
+``window`` tokens are one window of their own length; items under ``shortest`` words match where they are a whole line or sentence, or some in a row, word for word (``SHORT``).
 
 Defined cases: null and empty texts on either side match nothing; null ids are carried as they are; items of different ids match each, a repeated
 item once; every row of the documents is one of its own, also where ids repeat or are null; other columns are passed over; an empty table on
@@ -23,7 +23,7 @@ either side gives an empty result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,14 @@ UNITS = (
     "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "meter", "meters", "metre", "metres",
     "degrees", "kmh", "mph", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "v", "w", "kw", "j", "kj", "n", "pa",
 )
+#: Words that are numbers.
+NUMBER_WORDS = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen",
+    "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion",
+)
 NUMBER, NAME, UNIT, SIGN = (np.uint64(x) for x in (0xA11CE00000000001, 0xB0B0000000000002, 0xC0DE000000000003, 0x5161000000000004))
 #: The readings of a text, each matched with its like on the other side.
-PLAIN, NUMBERS, NAMES, RUNS, KNOWN, OPENERS = FORMS = range(6)
+PLAIN, NUMBERS, NAMES, RUNS, KNOWN, OPENERS, SHORT = FORMS = range(7)
 
 
 def _bytes(chars: str) -> np.ndarray:
@@ -53,13 +58,30 @@ def _bytes(chars: str) -> np.ndarray:
 
 
 _STOP, _DIGIT, _SEPARATOR, _LINK = _bytes(".!?:\n"), _bytes("0123456789"), _bytes(".,/'"), _bytes(" -'")
-_units: list[np.ndarray] = []
+_known_words: dict[tuple, np.ndarray] = {}
+
 
+def _hashes_of(words: tuple[str, ...]) -> np.ndarray:
+    if words not in _known_words:
+        _known_words[words] = np.sort(next(ta.blocks(pa.array([" ".join(words)]))).hashes())
+    return _known_words[words]
 
-def _unit_hashes() -> np.ndarray:
-    if not _units:
-        _units.append(np.sort(next(ta.blocks(pa.array([" ".join(UNITS)]))).hashes()))
-    return _units[0]
+
+def _apart(w: ta.Words, digits: np.ndarray) -> ta.Words:
+    """The words with units that touch a number cut off it."""
+    n = digits[w.end] - digits[w.start]
+    mixed = np.flatnonzero((n > 0) & (n < w.end - w.start))
+    mid = w.start[mixed] + n[mixed]
+    leads = digits[mid] - digits[w.start[mixed]] == n[mixed]
+    mixed, mid = mixed[leads], mid[leads]
+    unit = np.isin(w.hash_range(mid, w.end[mixed]), _hashes_of(UNITS)) if len(mixed) else np.zeros(0, bool)
+    mixed, mid = mixed[unit], mid[unit]
+    if not len(mixed):
+        return w
+    end = w.end.copy()
+    end[mixed] = mid
+    row = np.insert(w.row, mixed + 1, w.row[mixed])
+    return replace(w, row=row, start=np.insert(w.start, mixed + 1, mid), end=np.insert(end, mixed + 1, w.end[mixed]), counts=np.bincount(row, minlength=w.rows))
 
 
 @dataclass
@@ -72,6 +94,7 @@ class Template:
     value: np.ndarray
     words: np.ndarray
     counts: np.ndarray  # tokens per row
+    opens: np.ndarray | None = None  # does a line or sentence begin there? Only of SHORT
 
 
 def _capitals(raw: bytes, low: bytes, at: np.ndarray) -> np.ndarray:
@@ -85,6 +108,8 @@ def templates(col: pa.Array, forms: list[int]):
     """Blocks of (words, {form: its Template})."""
     col = pc.fill_null(col, "")
     for w in ta.blocks(col, 1 << 18):
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
+        w = _apart(w, digits)
         own = w.hashes()
         n = len(own)
         if not n:
@@ -94,16 +119,17 @@ def templates(col: pa.Array, forms: list[int]):
         if forms != [PLAIN]:
             follows = none.copy()
             follows[1:] = w.row[1:] == w.row[:-1]
-            digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
-            number = digits[w.end] - digits[w.start] == w.end - w.start
+            figure = digits[w.end] - digits[w.start] == w.end - w.start
+            said = np.isin(own, _hashes_of(NUMBER_WORDS))
+            number = figure | said
             after = follows.copy()
             after[1:] &= number[:-1]
-            unit = after & ~number & np.isin(own, _unit_hashes())
+            unit = after & ~number & np.isin(own, _hashes_of(UNITS))
             ahead = w.data[w.start - 1]  # what stands before a word; looked at only where something does
-            more = after & number & _SEPARATOR[ahead]
-            more[1:] &= w.start[1:] - w.end[:-1] == 1
+            more = after & figure & _SEPARATOR[ahead]
+            more[1:] &= (w.start[1:] - w.end[:-1] == 1) & figure[:-1]
             begins = w.offsets[w.row]
-            sign = number & (w.start > begins) & (ahead == ord("-")) & ((w.start - 1 == begins) | ~ta.IS_WORD[w.data[w.start - 2]])
+            sign = figure & (w.start > begins) & (ahead == ord("-")) & ((w.start - 1 == begins) | ~ta.IS_WORD[w.data[w.start - 2]])
             part = col.slice(w.first, w.rows)
             at = np.frombuffer(part.buffers()[1], dtype=np.int32)[part.offset : part.offset + len(part) + 1]
             capital = _capitals(part.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes(), w.data.tobytes(), w.start) & ~number
@@ -113,11 +139,16 @@ def templates(col: pa.Array, forms: list[int]):
             apart = np.concatenate([[0], np.cumsum(~_LINK[w.data])])
             linked = follows.copy()
             linked[1:] &= apart[w.start[1:]] == apart[w.end[:-1]]
+            words_on = linked & number
+            words_on[1:] &= number[:-1] & (said[1:] | said[:-1])
+            more |= words_on
+            if SHORT in forms:
+                out[SHORT] = Template(w.row, own, none, own, one, w.counts, opens)
             with np.errstate(over="ignore"):
                 mine = own + w.row.astype(np.uint64) * ta.P
             value = np.where(sign, own ^ SIGN, own)
         for f in forms:
-            if f == PLAIN:
+            if f in (PLAIN, SHORT):
                 continue
             name = none if f == NUMBERS else capital if f == OPENERS else capital & ~opens
             if f == KNOWN:
@@ -197,7 +228,8 @@ def window_rows(rows: DataFrame, keys: list[str], widths: dict[int, list[int]],
     """(*keys, form, width, win, pos, slots) per window of ``rows(*keys, text)``, of those in ``known``, if given.
 
     With ``shortest`` the rows are items: of at least so many words, with windows under the largest width only where they
-    are the whole item and half its words are literal; a form that makes no slot of an item says what PLAIN says, and is left out.
+    are the whole item and half its words are literal; a form that makes no slot of an item says what PLAIN says, and is left out. Shorter items are one window of SHORT,
+    which in documents begins and ends with a line or sentence.
     """
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     shared = rows.sparkSession.sparkContext.broadcast(known)
@@ -212,7 +244,13 @@ def window_rows(rows: DataFrame, keys: list[str], widths: dict[int, list[int]],
                     slots = np.bincount(t.row, weights=t.slot, minlength=w.rows)
                     bare = w.counts - np.bincount(t.row, weights=t.words * t.slot, minlength=w.rows)
                     for width, at, h in windows(t, form, widths[form]):
-                        if shortest is not None:
+                        if form == SHORT:
+                            r, stop = t.row[at], at + width
+                            ends = stop == (begin + t.counts)[r]
+                            ends[~ends] = t.opens[stop[~ends]]
+                            ok = (t.counts[r] == width) & (width < shortest) if shortest is not None else t.opens[at] & ends
+                            at, h = at[ok], h[ok]
+                        elif shortest is not None:
                             r = t.row[at]
                             ok = (w.counts[r] >= shortest) & ((form == PLAIN) | (slots[r] > 0))
                             if width < max(widths[form]):

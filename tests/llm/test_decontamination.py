@@ -32,9 +32,9 @@ def test_slots_must_be_consistent(spark):
 def test_odd_rows(spark):
     items = [(1, ITEM, None), (2, None, None), (3, "", None), (4, "only four words here", None), (5, "these are just six plain words", None), (1, ITEM, None)]
     docs = [(1, None, None), (2, "", None), (None, f"x. {ITEM}.", None), (4, ITEM, None), (4, ITEM, None), (5, "so these are just six plain words now", None), (6, "word " * 50_000 + ITEM, None), (7, "only four words here", None)]
-    assert set(found(spark, docs, items)) == {(None, 1), (4, 1), (5, 5), (6, 1)}
+    assert set(found(spark, docs, items)) == {(None, 1), (4, 1), (5, 5), (6, 1), (7, 4)}
     rows = dc.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
-    assert rows.count() == 5  # document 4 twice, item 1 once
+    assert rows.count() == 6  # document 4 twice, item 1 once
     assert not found(spark, docs, []) and not found(spark, [], items)
 
 
@@ -185,3 +185,29 @@ def test_templates_and_slots_equal_a_plain_loop(spark):
                 want[(j, i)] = n
     got = found(spark, [(j, d, None) for j, d in docs.items()], [(i, q, None) for i, q in items.items()])
     assert {k: r["n_windows"] for k, r in got.items()} == want and len(want) > 20
+
+
+def test_short_items_are_found_as_lines_and_sentences(spark):
+    docs = [
+        (1, "Who wrote Hamlet then"), (2, "We asked him. Who wrote Hamlet, then? Nobody knew."), (3, "first line\nwho WROTE hamlet then\nlast line"), (4, "He said who wrote Hamlet then and left."), (5, "Who wrote Hamlet then did"),
+        (6, "Yes."), (7, "No. Yes! Maybe."), (8, "Yes it is."), (9, ""), (10, None), (11, "Say: one two"), (12, "a quite long text of many words, without any of those"),
+    ]
+    items = [("q", "Who wrote Hamlet then?"), ("y", "yes"), ("e", ""), ("n", None), ("t", "One two."), ("p", "Yes. Maybe")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(d, b).collect()}
+    assert got == {(1, "q"), (2, "q"), (3, "q"), (6, "y"), (7, "y"), (7, "p"), (11, "t")}
+    assert dc.contaminated(d, b.where("item_id in ('e', 'n')")).count() == 0
+
+
+def test_numbers_in_other_writings_are_slots(spark):
+    item = "A truck drives 60 miles in 2 hours along the coast road. How far does the truck drive in 5 hours at that speed?"
+    docs = [
+        (1, "A truck drives 75km in 3h along the coast road. How far does the truck drive in 4h at that speed?"),
+        (2, "A truck drives seventy-five miles in three hours along the coast road. How far does the truck drive in twenty four hours at that speed?"),
+        (3, "A truck drives past the house in two days. Along the river nobody asks how far that may be, at any speed you like to name."),
+        (4, item.upper()),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["same_slots"] for r in dc.contaminated(d, b).collect()}
+    assert set(got) == {1, 2, 4} and not got[1] and not got[2] and got[4]
