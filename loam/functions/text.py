@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,6 +70,61 @@ def under(path: Column, prefix: Column | str) -> Column:
     return (p == "") | (path == p) | path.startswith(F.concat(p, F.lit("/")))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where ``use`` names it several times or within loops."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def windows(text: Column, limit: Column | int, overlap: int, most: int | None = None) -> Column:
+    """Pieces of up to ``limit`` characters that overlap, as an array; ``most`` bounds a limit that is a column.
+
+    A piece that does not reach the end stops at the last white space of its second half, if there is any; the next one starts ``overlap`` before that, at the first
+    character that is not white space. A fold over as many steps as there can be pieces: the text is cut into segments once, and a step looks at two of them, so
+    the time is linear in the text.
+    """
+    most = max(most or 0, limit if isinstance(limit, int) else 0, 64)
+    state, cut = "struct<begin:bigint,done:boolean,cuts:array<struct<begin:bigint,stop:bigint>>>", "struct<begin:bigint,stop:bigint>"
+
+    def pieces(x: Column) -> Column:
+        t, n, parts, lim = x["t"], x["n"], x["parts"], x["lim"]
+
+        def sub(at: Column, size: Column | int) -> Column:
+            i = (at / most).cast("bigint").cast("int")
+            two = F.concat(F.coalesce(F.get(parts, i), F.lit("")), F.coalesce(F.get(parts, i + 1), F.lit("")))
+            return F.substring(two, (at - i * most + 1).cast("int"), F.lit(size).cast("int") if isinstance(size, int) else size.cast("int"))
+
+        half = (lim / 2).cast("bigint")
+
+        def stop(b: Column) -> Column:
+            tail = sub(b + half + 1, lim - half - 1)
+            found = lambda v: F.when(v.rlike(r"(?U)\s"), b + half + 1 + F.length(F.regexp_extract(v, r"(?sU)^(.*)\s", 1))).otherwise(b + lim)
+            return F.when(b + lim >= n, n).otherwise(let(tail, found))
+
+        def step(s: Column, _: Column) -> Column:
+            def moved(lead: Column) -> Column:
+                b = s["begin"] + lead
+                grown = lambda e: F.struct(
+                    F.when(e - overlap > b, e - overlap).otherwise(e).alias("begin"), (e >= n).alias("done"), F.concat(s["cuts"], F.array(F.struct(b.alias("begin"), e.alias("stop")).cast(cut))).alias("cuts")
+                ).cast(state)
+                skipped = F.struct(b.alias("begin"), F.lit(False).alias("done"), s["cuts"].alias("cuts")).cast(state)
+                return F.when(lead >= most, skipped).otherwise(let(stop(b), grown))
+
+            blanks = F.length(F.regexp_extract(sub(s["begin"], most), r"(?U)^\s*", 0)).cast("bigint")
+            return F.when(s["done"], s).otherwise(let(blanks, moved))
+
+        least = F.greatest(half + 1 - overlap, F.lit(1))
+        steps = F.sequence(F.lit(1).cast("bigint"), F.ceil(n / least) + F.ceil(n / most) + 2)
+        zero = F.struct(F.lit(0).cast("bigint").alias("begin"), F.lit(False).alias("done"), F.array().cast(f"array<{cut}>").alias("cuts")).cast(state)
+        cuts = F.aggregate(steps, zero, step, lambda s: s["cuts"])
+        every = F.transform(cuts, lambda c: strip(sub(c["begin"], c["stop"] - c["begin"])))
+        return F.when((lim <= 0) | (n <= lim), F.array(t)).otherwise(F.filter(every, lambda p: p != ""))
+
+    whole = strip(F.coalesce(text, F.lit("")))
+    lim = (F.lit(limit) if isinstance(limit, int) else limit).cast("bigint")
+    known = lambda t: F.struct(t.alias("t"), F.length(t).cast("bigint").alias("n"), F.regexp_extract_all(t, F.lit(f"(?s).{{1,{most}}}"), F.lit(0)).alias("parts"), lim.alias("lim"))
+    return let(whole, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(let(known(t), pieces)))
+
+
 def preview(c: Column, width: int = 120) -> Column:
     """White space made single; beyond ``width`` characters the last one kept is an ellipsis."""
     one = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

@@ -18,7 +18,7 @@ from loam.functions import text as tx
 from loam.functions import vectors as vx
 from loam.jobs import embedder, index
 from loam.jobs import query as ask
-from loam.operators import contracts, diversify, incremental, lexical, scopes, search
+from loam.operators import contracts, diversify, incremental, lexical, replies, scopes, search
 from loam.sources import listing, markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,18 +423,34 @@ def front_matter_extract(spark, sf_dir):
     return d.select("doc_id", F.regexp_extract("t", tx.FRONT_MATTER, 1).alias("front"), F.sha2(body, 256).alias("body"))
 
 
-@query()
+LINES = "list_filter(list_transform(string_split(translate(text, '*_~`[]|<>#', ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, source, lang, array_to_string({LINES}, chr(10)) AS t FROM documents),
+whole AS (SELECT *, source || chr(10) || chr(10) || CASE WHEN t <> '' THEN t || chr(10) || chr(10) ELSE '' END || '## Part' || chr(10) || chr(10) || t || chr(10) || chr(10) || '### Note' || chr(10) || chr(10) || '- one' || chr(10) || '- two' AS content FROM d),
+long AS (SELECT * FROM whole WHERE length(content) > {SPLITTER.short_file}),
+parts_of AS (SELECT doc_id, s AS section, t, source || CASE WHEN s = 1 THEN ' > Part' ELSE '' END AS titles FROM long, range(2) r(s)),{windows_sql(f"SELECT {{'at': doc_id, 's': section}} AS doc_id, t, {SPLITTER.most} - length(titles) - 2 AS most FROM parts_of WHERE length(titles) + 2 + length(t) > {SPLITTER.most}")},
+pieces AS (
+  SELECT doc_id, section, 0 AS part, titles, t AS body FROM parts_of WHERE length(titles) + 2 + length(t) <= {SPLITTER.most}
+  UNION ALL SELECT w.doc_id, section, part, titles, regexp_replace(substr(p.t, begin + 1, stop - begin), '^\s+|\s+$', '', 'g') FROM parts p JOIN parts_of w ON p.doc_id.at = w.doc_id AND p.doc_id.s = section
+  UNION ALL SELECT doc_id, 2, 0, source || ' > Part > Note', '- one' || chr(10) || '- two' FROM long),
+numbered AS (
+  SELECT doc_id, titles, titles || chr(10) || chr(10) || body AS content, row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1 AS chunk_index FROM pieces
+  UNION ALL SELECT doc_id, source, content, 0 FROM whole WHERE length(content) <= {SPLITTER.short_file})
+SELECT source || '/' || doc_id AS rel_path, chunk_index::INT AS chunk_index, titles, array_to_string(list_sort([lower(lang), 'any']), ',') AS tags, length(content)::INT AS size,
+sha256(source || '/' || doc_id || '|{SPLITTER.recipe_hash()}|' || chunk_index || '|' || sha256(replace(titles, ' > ', chr(31)) || chr(30) || content)) AS chunk_id FROM numbered JOIN d USING (doc_id)""")
 def markdown_chunks(spark, sf_dir):
-    """Chunks of every document under front matter and headings; tested on fixtures."""
+    """Chunks of every document, freed of marks, under front matter and again under headings, with a list at the end."""
     d = files_of(table(spark, sf_dir, "documents"))
+    lines = F.filter(F.transform(F.split(F.translate("text", "*_~`[]|<>#", ""), "\n"), tx.strip), lambda x: x != "")
+    clean = d.withColumn("text", F.array_join(lines, "\n"))
     headed = F.concat(fenced(), F.lit("\n\n## Part\n\n"), F.col("text"), F.lit("\n\n### Note\n\n- one\n- two\n"))
-    return markdown.chunks(d.select("rel_path", headed.alias("content"))).select(
+    return markdown.chunks(clean.select("rel_path", headed.alias("content"))).select(
         "rel_path", "chunk_index", F.array_join("title_path", " > ").alias("titles"), F.array_join("tags", ",").alias("tags"), F.length("content").alias("size"), "chunk_id"
     )
 
 
 SMALL = markdown.Splitter(most=300, overlap=30, short_file=400)
-LINES = "list_filter(list_transform(string_split(translate(text, '*_~`[]|<>#', ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 FILE = "array_to_string(list_transform(lines, lambda x, i: CASE WHEN i % 3 = 1 THEN repeat('#', 1 + ((i - 1) // 3) % 3) || ' Part ' || (i - 1) || chr(10) || chr(10) ELSE '' END || 'Line ' || x), chr(10) || chr(10))"
 
 
@@ -826,6 +842,23 @@ def metadata_from_map(spark, sf_dir):
     return m.select("doc_id", F.nullif(F.col("m.source"), F.lit("")).alias("source"), "m.file_path", "m.file_hash", F.coalesce("m.chunk_index", F.lit(-9)).alias("chunk_index"), F.array_join("m.tags", ",").alias("tags"), "m.error")
 
 
+@query(r"""WITH w AS (SELECT conv_id, turn, turn % 6 AS kind, lower(regexp_extract(text, '[A-Za-z]{2,30}')) AS word, role FROM conversations)
+SELECT conv_id, turn, CASE kind WHEN 3 THEN 'tags must be a list of texts' WHEN 4 THEN 'a JSON object is needed' WHEN 1 THEN 'unknown member extra' END AS error,
+  CASE WHEN kind IN (0, 1, 5) THEN array_to_string(list_filter(CASE WHEN word = role THEN [word] ELSE [word, role] END, lambda x: x <> ''), ',') WHEN kind = 2 THEN '' END AS tags,
+  CASE kind WHEN 2 THEN 'tags' WHEN 4 THEN '' ELSE '' END AS missing, CASE WHEN kind = 1 THEN 'extra' ELSE '' END AS unknown, CASE WHEN kind = 3 THEN 'tags' ELSE '' END AS mistyped FROM w""")
+def decode_replies(spark, sf_dir):
+    """A tag extractor's reply a turn, some with another member, without tags, with one that is no list, or no object: what strict decoding says, and the tags that tolerant decoding gives."""
+    c = table(spark, sf_dir, "conversations").withColumn("word", F.regexp_extract("text", "[A-Za-z]{2,30}", 0))
+    good = F.concat(F.lit('"tags": [" '), "word", F.lit('", "'), "role", F.lit('", "'), F.upper("role"), F.lit('"]'))
+    kind = F.col("turn") % 6
+    reply = (
+        F.when(kind == 1, F.concat(F.lit(' {"extra": {"x": [1]}, '), good, F.lit("}"))).when(kind == 2, F.lit('{"tags": null}')).when(kind == 3, F.concat(F.lit('{"tags": "'), "word", F.lit('"}')))
+        .when(kind == 4, F.concat(F.lit("["), F.lit('"'), "word", F.lit('"]'))).when(kind == 5, F.concat(F.lit("{"), F.replace(good, F.lit('"tags"'), F.lit('"Tags"')), F.lit("}\n"))).otherwise(F.concat(F.lit("{"), good, F.lit("}")))
+    )
+    d = c.select("conv_id", "turn", replies.decoded(reply, {"tags": "array<string>"}, strict=True).alias("d"), F.array_join(replies.tags(reply), ",").alias("tags"))
+    return d.select("conv_id", "turn", "d.error", "tags", *[F.array_join(f"d.{k}", ",").alias(k) for k in ("missing", "unknown", "mistyped")])
+
+
 # Sinks
 
 

@@ -1,9 +1,10 @@
-"""File listings. Spark's own file sources pass over names that start with a dot or an underscore, so folders are walked here: the
-first levels on the driver, what is below them in tasks."""
+"""File listings. Spark's own file sources pass over names that start with a dot or an underscore, so folders are walked here, as a data source
+of its own: the driver looks at a bounded number of entries to plan, and holds names of folders alone; tasks list files and walk what is below."""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -13,6 +14,7 @@ from datetime import datetime, timezone
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Directories never entered, by name in lower case; and a beginning of such names.
 SKIPPED = {
@@ -102,26 +104,51 @@ class Walk:
     types: dict[str, str]
     recursive: bool
     rules: list[Ignore]
+    prefix: str = ""
 
     def row(self, path: str, base: str) -> tuple | None:
         kind = self.types.get(os.path.splitext(path)[1].lower())
         if not kind:
             return None
         slashed = path.replace(os.sep, "/")
-        when = datetime.fromtimestamp(os.path.getmtime(path), timezone.utc).replace(tzinfo=None)
+        when = datetime.fromtimestamp(os.path.getmtime(path), timezone.utc)
         return base, slashed, slashed, os.path.basename(path), kind, when
 
+    def enters(self, entry: os.DirEntry) -> bool | None:
+        """Is it a folder to enter (true) or a file to look at (false)? None is neither."""
+        rel, is_dir = os.path.relpath(entry.path, self.root).replace(os.sep, "/"), entry.is_dir(follow_symlinks=False)
+        if any(r.match(rel, is_dir) for r in self.rules):
+            return None
+        if not is_dir:
+            return False
+        name = entry.name.lower()
+        return True if self.recursive and name not in SKIPPED and not name.startswith(SKIPPED_PREFIX) and self.near(entry.path) else None
+
+    def near(self, folder: str) -> bool:
+        """Can there be a path with the wanted beginning below?"""
+        folder = folder.replace(os.sep, "/") + "/"
+        return folder.startswith(self.prefix) or self.prefix.startswith(folder)
+
+    def folders(self, folder: str, most: int) -> tuple[list[str], int] | None:
+        """The folders in a folder and how many entries it has; None if they are more than ``most``, of which no more are looked at."""
+        found, n = [], 0
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                n += 1
+                if n > most:
+                    return None
+                if self.enters(entry):
+                    found.append(entry.path)
+        return sorted(found), n
+
     def level(self, folder: str) -> tuple[list[str], list[tuple]]:
         """(folders to enter, rows) of one folder, in lexical order."""
         folders, rows = [], []
         for entry in sorted(os.scandir(folder), key=lambda e: e.name):
-            rel, is_dir = os.path.relpath(entry.path, self.root).replace(os.sep, "/"), entry.is_dir(follow_symlinks=False)
-            if any(r.match(rel, is_dir) for r in self.rules):
-                continue
-            if is_dir:
-                if self.recursive and entry.name.lower() not in SKIPPED and not entry.name.lower().startswith(SKIPPED_PREFIX):
-                    folders.append(entry.path)
-            elif r := self.row(entry.path, self.root):
+            enter = self.enters(entry)
+            if enter:
+                folders.append(entry.path)
+            elif enter is False and (r := self.row(entry.path, self.root)):
                 rows.append(r)
         return folders, rows
 
@@ -152,30 +179,82 @@ def walk(root: str, types: dict[str, str], recursive: bool = True, excludes: Ite
     return list(w.below(w.root))
 
 
-def files(spark: SparkSession, root: str, types: dict[str, str] = MARKDOWN, recursive: bool = True, excludes: Iterable[str] = (), fan_out: int = 1000) -> DataFrame:
-    """The same as a DataFrame: the driver goes down level by level until it has ``fan_out`` folders, whose trees are walked in tasks."""
-    w = planned(root, types, recursive, excludes)
-    if os.path.isfile(w.root):
-        return spark.createDataFrame(walk(root, types, recursive, excludes), FILES)
-    level, rows = [w.root], []
-    while level and len(level) < fan_out:
-        deeper = []
-        for folder in level:
-            folders, found = w.level(folder)
-            deeper += folders
-            rows += found
-        level = deeper
-
-    def of(frames):
-        for pdf in frames:
-            for folder in pdf["folder"]:
-                yield pd.DataFrame(w.below(folder), columns=[c.split()[0] for c in FILES.split(", ")])
-
-    top = spark.createDataFrame(rows, FILES)
-    if not level:
-        return top
-    each = spark.createDataFrame([(f,) for f in level], "folder string").repartition(min(len(level), 4 * spark.sparkContext.defaultParallelism))
-    return top.union(each.mapInPandas(of, FILES))
+@dataclass
+class Folders(InputPartition):
+    """Folders that a task lists: each alone, or with all that is below."""
+
+    own: list[str]
+    trees: list[str]
+
+
+class FileReader(DataSourceReader):
+    def __init__(self, options):
+        self.options = options
+        self.walk = planned(options["root"], json.loads(options.get("types") or json.dumps(MARKDOWN)), options.get("recursive", "true").lower() != "false", json.loads(options.get("excludes") or "[]"))
+        self.walk.prefix = options.get("prefix", "")
+        self.fan_out, self.most = int(options.get("fan_out", "1000")), int(options.get("most_entries", "10000"))
+
+    def partitions(self):
+        """Level by level until there are ``fan_out`` folders or ``most_entries`` entries were seen; whatever is left is walked in tasks."""
+        w, own, level, seen = self.walk, [], [self.walk.root], 0
+        if os.path.isfile(w.root) or not w.types:
+            return [Folders([], [])]
+        while level and len(level) < self.fan_out and seen < self.most:
+            deeper, left = [], []
+            for folder in level:
+                found = w.folders(folder, self.most - seen) if seen < self.most else None
+                if found is None:
+                    seen = self.most
+                    left.append(folder)
+                else:
+                    own.append(folder)
+                    deeper += found[0]
+                    seen += found[1]
+            level = left + deeper
+        parts = [Folders([], []) for _ in range(max(1, min(self.fan_out, len(own) + len(level))))]
+        for k, folder in enumerate(level):
+            parts[k % len(parts)].trees.append(folder)
+        for k, folder in enumerate(own):
+            parts[-1 - k % len(parts)].own.append(folder)
+        return parts
+
+    def read(self, partition):
+        w = self.walk
+        rows = (r for p in [partition] for folder in p.own for r in w.level(folder)[1])
+        if os.path.isfile(w.root):
+            rows = (r for r in [w.row(w.root, os.path.dirname(w.root))] if r)
+        for r in rows:
+            if r[2].startswith(w.prefix):
+                yield r
+        for folder in partition.trees:
+            for r in w.below(folder):
+                if r[2].startswith(w.prefix):
+                    yield r
+
+
+class FileListing(DataSource):
+    """``spark.read.format("file_listing")`` with the options root, types and excludes (JSON), recursive, prefix (of paths), fan_out and most_entries: rows of ``FILES``."""
+
+    @classmethod
+    def name(cls):
+        return "file_listing"
+
+    def schema(self):
+        return FILES
+
+    def reader(self, schema):
+        return FileReader(self.options)
+
+
+def files(spark: SparkSession, root: str, types: dict[str, str] = MARKDOWN, recursive: bool = True, excludes: Iterable[str] = (), fan_out: int = 1000, most_entries: int = 10_000, prefix: str = "") -> DataFrame:
+    """The same as a DataFrame, by ``FileListing``. Folders that hold no path with the beginning ``prefix`` are not entered.
+
+    Filters are no way to say so: a reader of Spark 4.1 keeps what one query has pushed for the next one of the same frame.
+    """
+    planned(root, types, recursive, excludes)  # tells what is wrong at once
+    spark.dataSource.register(FileListing)
+    options = {"root": os.path.abspath(root), "types": json.dumps(types), "recursive": str(recursive), "excludes": json.dumps(list(excludes)), "fan_out": str(fan_out), "most_entries": str(most_entries), "prefix": prefix}
+    return spark.read.format("file_listing").options(**options).load()
 
 
 def kept(inventory: DataFrame, types: dict[str, str], recursive: bool = True, rules: Iterable[Ignore] = ()) -> DataFrame:

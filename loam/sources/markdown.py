@@ -2,24 +2,28 @@
 
 The block parser knows headings (# and underlined), paragraphs, fenced and indented code, block quotes, lists (nested ones
 approximately), HTML blocks, rules and pipe tables; inline it knows code, links and images and takes emphasis marks away.
-Definition lists, footnotes and mathematics are plain paragraphs. One row per file goes to Python, chunks come back.
+Definition lists, footnotes and mathematics are plain paragraphs.
+
+Python reads the front matter and says which lines make which block. All else is a plan: the blocks of long files are exploded, a running minimum over a file's headings
+gives their depths and so the path of titles, sections are packed by a fold over their blocks' lengths, long blocks are cut by ``text.windows``, and
+identities are hashes of columns. Files are shuffled once, by the file.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
-from bisect import bisect_left
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from loam.functions.hashing import splitter_hash
+from loam.functions import hashing as hx
+from loam.functions import text as tx
 from loam.functions.text import FRONT_MATTER
 
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^`]*)$")
@@ -28,8 +32,6 @@ RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$
 ITEM = re.compile(r"^( {0,3})(?:([-*+])|(\d{1,9})[.)])[ \t]+(.*)$")
 CELLS = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 MARKS = re.compile(r"[*_~`\[]")
-BLANKS = np.array([chr(i).isspace() for i in range(0x3002)])  # by code point; none is white space beyond
-FRONT = re.compile(FRONT_MATTER.replace(r"\z", r"\Z"))  # the one pattern, as this engine spells it
 
 
 class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
@@ -43,20 +45,16 @@ Loader.yaml_implicit_resolvers = {
 Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
 
 
-def front_matter(content: str) -> tuple[str, dict]:
-    """(body, metadata); raises ValueError for metadata that are not a mapping with text keys."""
-    m = FRONT.match(content)
-    if not m:
-        return content, {}
+def metadata(front: str) -> dict:
+    """What a front matter says; raises ValueError where it is not a mapping with text keys."""
     try:
-        found = yaml.load(m.group(1), Loader) if m.group(1).strip() else {}
+        found = yaml.load(front, Loader) if front.strip() else {}
     except yaml.YAMLError as e:
         raise ValueError(f"invalid front matter: {e}") from e
-    if found is None:
-        found = {}
+    found = {} if found is None else found
     if not isinstance(found, dict) or any(not isinstance(k, str) for k in found):
         raise ValueError("invalid front matter: a mapping with text keys is needed")
-    return content[m.end() :].lstrip("\r\n"), found
+    return found
 
 
 def title_and_tags(found: dict) -> tuple[str, list[str]]:
@@ -174,40 +172,6 @@ def blocks(text: str) -> list[tuple[int, str]]:
     return [(level, t) for level, t in out if t]
 
 
-def assemble(titles: list[str], body: str) -> str:
-    title = " > ".join(t.strip() for t in titles if t.strip())
-    return "\n\n".join(x for x in (title, body.strip()) if x)
-
-
-def blanks_of(text: str) -> list[int]:
-    """Where the white space of a text is."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.flatnonzero(BLANKS[np.minimum(points, len(BLANKS) - 1)]).tolist()
-
-
-def windows(text: str, limit: int, overlap: int) -> list[str]:
-    """Pieces of up to ``limit`` characters that overlap. A piece that does not reach the end stops at the last white space
-    of its second half, if there is any; the next one starts ``overlap`` before that, at the first character that is not white space."""
-    text = text.strip()
-    if limit <= 0 or len(text) <= limit:
-        return [text] if text else []
-    blanks = blanks_of(text)  # found once; every cut is looked up
-
-    def cuts() -> Iterator[tuple[int, int]]:
-        begin = 0
-        while begin + limit < len(text):
-            last = bisect_left(blanks, begin + limit) - 1
-            end = blanks[last] if last >= 0 and blanks[last] > begin + limit // 2 else begin + limit
-            yield begin, end
-            begin = end - overlap if end - overlap > begin else end
-            at = bisect_left(blanks, begin)
-            while at < len(blanks) and blanks[at] == begin:
-                begin, at = begin + 1, at + 1
-        yield begin, len(text)
-
-    return [piece for begin, end in cuts() if (piece := text[begin:end].strip())]
-
-
 @dataclass(frozen=True)
 class Splitter:
     most: int = 1200
@@ -236,52 +200,7 @@ class Splitter:
             options["max_chunk_chars"] = self.most
         if self.overlap != 120:
             options["overlap_chars"] = self.overlap
-        return splitter_hash(options=options)
-
-    def sections(self, text: str, base: list[str]) -> list[tuple[list[str], list[str]]]:
-        """(title path, blocks) of each section; headings without text are left out, but for the last."""
-        path: list[str] = []
-        out, titles, body = [], list(base), []
-        for level, block in blocks(text):
-            if level:
-                if body:
-                    out.append((titles, body))
-                # a skipped level leaves no gap: blanks go, so what follows may nest
-                path = [t for t in [*path[: level - 1], *[""] * (level - 1 - len(path)), block] if t.strip()]
-                titles, body = [*base, *path], []
-            else:
-                body.append(block)
-        if titles or body:
-            out.append((titles, body))
-        return out
-
-    def pieces(self, titles: list[str], body: list[str]) -> list[str]:
-        whole = assemble(titles, "\n\n".join(body))
-        if not whole or len(whole) <= self.most:
-            return [whole] if whole else []
-        prefix = assemble(titles, "")
-        room = self.most - (len(prefix) + 2 if prefix else 0)
-        out, held = [], []
-        for block in body:
-            if len(assemble(titles, "\n\n".join([*held, block]))) <= self.most:
-                held.append(block)
-                continue
-            if held:
-                out.append(assemble(titles, "\n\n".join(held)))
-                held = []
-            if len(assemble(titles, block)) <= self.most:
-                held.append(block)
-            else:
-                out += [assemble(titles, p) for p in windows(block, room if room > 0 else self.most, self.overlap)]
-        return [*out, assemble(titles, "\n\n".join(held))] if held else out
-
-    def split(self, text: str, base: list[str]) -> list[tuple[list[str], str]]:
-        """(title path, content) of each chunk."""
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
-        short = assemble(base, text)
-        if short and len(short) <= self.short_file:
-            return [(base, short)]
-        return [(titles, p) for titles, body in self.sections(text, base) for p in self.pieces(titles, body)]
+        return hx.splitter_hash(options=options)
 
 
 CHUNKS = (
@@ -290,46 +209,110 @@ CHUNKS = (
 )
 
 
+def front_of(fronts: pa.Array) -> pa.Array:
+    """What the front matter of files says; null is none."""
+    rows = []
+    for front in fronts.to_pylist():
+        try:
+            found = metadata(front) if front is not None else {}
+            title, tags = title_and_tags(found)
+            rows.append({"error": None, "title": title, "tags": tags, "yaml": json.dumps(found, default=str, sort_keys=True)})
+        except ValueError as e:
+            rows.append({"error": str(e), "title": None, "tags": None, "yaml": None})
+    kind = pa.struct([("error", pa.string()), ("title", pa.string()), ("tags", pa.list_(pa.string())), ("yaml", pa.string())])
+    return pa.array(rows, kind)
+
+
+def blocks_of(texts: pa.Array) -> pa.Array:
+    """The blocks of texts; null is none."""
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())]))
+    return pa.array([None if t is None else [{"level": n, "text": b} for n, x in blocks(t) if (b := x.strip())] for t in texts.to_pylist()], kind)
+
+
+def packed(lengths: Column, lead: Column, most: int) -> Column:
+    """Runs (start, size, over) of blocks in order: as many as fit behind ``lead`` characters of titles, with an empty line between them; one that is too long alone is ``over``."""
+    kind = "struct<held:int,runs:array<struct<start:int,size:int,over:boolean>>>"
+    none = F.struct(F.lit(-1).alias("held"), F.array().cast("array<struct<start:int,size:int,over:boolean>>").alias("runs")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        n, i, runs = x["n"], x["i"], s["runs"]
+        joined = s["held"] + 2 + n
+        last = F.element_at(runs, -1)
+        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["start"].alias("start"), (last["size"] + 1).alias("size"), F.lit(False).alias("over"))))
+        over = lead + n > most
+        new = F.concat(runs, F.array(F.struct(i.alias("start"), F.lit(1).alias("size"), over.alias("over"))))
+        fits = (s["held"] >= 0) & (lead + joined <= most)
+        return F.when(fits, F.struct(joined.alias("held"), longer.alias("runs")).cast(kind)).otherwise(F.struct(F.when(over, -1).otherwise(n).alias("held"), new.alias("runs")).cast(kind))
+
+    numbered = F.transform(lengths, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+    return F.aggregate(numbered, none, step, lambda s: s["runs"])
+
+
+def pieces(titles: Column, bodies: Column, splitter: Splitter) -> Column:
+    """The contents of a section: whole if it fits, else its blocks packed, and long ones cut."""
+    prefix = F.length(tx.titled(titles, F.lit("")))
+    lead = F.when(prefix > 0, prefix + 2).otherwise(F.lit(0))
+
+    def cut(x: Column) -> Column:
+        lead, bodies = x["lead"], x["bodies"]
+        room = splitter.most - lead
+        own = F.when(room > 0, room).otherwise(F.lit(splitter.most))
+        joined = lambda r: F.array_join(F.slice(bodies, r["start"] + 1, r["size"]), "\n\n")
+        runs = packed(F.transform(bodies, F.length), lead, splitter.most)
+        return F.flatten(F.transform(runs, lambda r: F.when(r["over"], tx.windows(F.get(bodies, r["start"]), own, splitter.overlap, splitter.most)).otherwise(F.array(joined(r)))))
+
+    whole = tx.titled(titles, F.array_join(bodies, "\n\n"))
+    fits = F.length(whole) <= splitter.most
+    parts = F.transform(tx.let(F.struct(lead.alias("lead"), bodies.alias("bodies")), cut), lambda p: tx.titled(titles, p))
+    return F.filter(F.when(fits, F.array(whole)).otherwise(parts), lambda p: p != "")
+
+
 def chunks(files: DataFrame, splitter: Splitter = Splitter(), keep: Sequence[str] = ()) -> DataFrame:
-    """``files(rel_path, content, *keep)`` -> rows of ``CHUNKS`` with the columns ``keep``. A file that fails is one row with its error and no chunk."""
-
-    def sha(x: str) -> str:
-        return hashlib.sha256(x.encode()).hexdigest()
-
-    def of(frames):
-        recipe = splitter.recipe_hash()
-        for pdf in frames:
-            out, of_file = [], []
-            for n, (path, content) in enumerate(zip(pdf["rel_path"], pdf["content"], strict=True)):
-                content = content or ""
-                raw = sha(content)
-                try:
-                    body, found = front_matter(content)
-                    title, tags = title_and_tags(found)
-                except ValueError as e:
-                    out.append((path, raw, None, None, None, None, None, None, None, None, None, str(e)))
-                    of_file.append(n)
-                    continue
-                for i, (titles, piece) in enumerate(splitter.split(body, [title] if title else [])):
-                    print_ = sha("\x1f".join(titles) + "\x1e" + piece.strip())
-                    out.append((path, raw, title, tags, json.dumps(found, default=str, sort_keys=True), i, titles, piece, recipe, print_, sha(f"{path}|{recipe}|{i}|{print_}"), None))
-                    of_file.append(n)
-            got = pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")]).astype({"chunk_index": "Int32"})
-            for c in keep:
-                got[c] = pdf[c].to_numpy()[of_file]
-            yield got
-
-    kept = ", ".join(["", *(f"{c} {files.schema[c].dataType.simpleString()}" for c in keep)])
-    return files.select("rel_path", "content", *keep).mapInPandas(of, CHUNKS + kept)
+    """``files(rel_path, content, *keep)`` -> rows of ``CHUNKS`` with the columns ``keep``. A file that fails is one row with its error and no chunk.
+
+    ``file_hash`` is the one that ``files`` has, if it has one, else that of the content.
+    """
+    content = F.coalesce("content", F.lit(""))
+    fenced = content.rlike(FRONT_MATTER)
+    body = F.when(fenced, F.regexp_replace(F.regexp_replace(content, FRONT_MATTER, ""), r"^[\r\n]+", "")).otherwise(content)
+    own_hash = F.col("file_hash") if "file_hash" in files.columns else hx.file_hash(content)
+    read = files.select(
+        "rel_path", *keep, own_hash.alias("file_hash"), F.regexp_replace(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\r", "\n").alias("text"), F.when(fenced, F.regexp_extract(content, FRONT_MATTER, 1)).alias("front")
+    ).withColumn("front", F.arrow_udf(front_of, "error string, title string, tags array<string>, yaml string")("front"))
+    base = F.when(F.coalesce(F.col("front.title"), F.lit("")) != "", F.array("front.title")).otherwise(F.array().cast("array<string>"))
+    read = read.withColumn("base", base)
+    whole = tx.titled(F.col("base"), F.col("text"))
+    read = read.withColumn("short", F.when(F.col("front.error").isNull() & (whole != "") & (F.length(whole) <= splitter.short_file), whole))
+    long_text = F.when(F.col("front.error").isNull() & F.col("short").isNull(), F.col("text"))
+    about = F.struct("rel_path", *keep, "file_hash", "front", "base", "short").alias("file")
+    rows = read.select(about, F.monotonically_increasing_id().alias("id"), F.arrow_udf(blocks_of, "array<struct<level:int,text:string>>")(long_text).alias("blocks")).select("id", "file", F.posexplode_outer("blocks").alias("pos", "block"))
+    # headings: a depth is at most one more than the last one's, so it is a running minimum
+    w = W.partitionBy("id").orderBy("pos")
+    heading = F.col("block.level") > 0
+    rows = rows.withColumn("heading", F.coalesce(heading, F.lit(False))).withColumn("section", F.count_if("heading").over(w).cast("int"))
+    rows = rows.withColumn("depth", F.col("section") + F.least(F.lit(0), F.coalesce(F.min(F.when(F.col("heading"), F.col("block.level") - F.col("section"))).over(w), F.lit(0))))
+    ancestors = F.array(*[F.last(F.when(F.col("heading") & (F.col("depth") == d), F.col("block.text")), ignorenulls=True).over(w) for d in range(1, 7)])
+    rows = rows.withColumns({"titles": F.slice(ancestors, 1, F.col("depth")), "sections": F.max("section").over(W.partitionBy("id"))})
+    said = rows.groupBy("id", "section").agg(
+        F.first("file").alias("file"), F.first("titles").alias("titles"), (F.first("sections") == F.col("section")).alias("ends"),
+        F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading") & F.col("block").isNotNull(), F.struct("pos", "block.text")))), lambda b: b["text"]).alias("bodies"),
+    )
+    kept = said.where((F.size("bodies") > 0) | F.col("ends")).select("id", "section", "file", F.concat("file.base", "titles").alias("titles"), "bodies")
+    made = kept.withColumn("contents", F.when(F.col("file.short").isNotNull(), F.array("file.short")).when(F.col("file.front.error").isNull(), pieces(F.col("titles"), F.col("bodies"), splitter)))
+    failed = F.col("file.front.error").isNotNull()
+    each = made.where(failed | (F.size("contents") > 0)).select("id", "section", "file", "titles", F.posexplode_outer("contents").alias("part", "content"))
+    each = each.withColumn("chunk_index", (F.row_number().over(W.partitionBy("id").orderBy("section", "part")) - 1).cast("int"))
+    recipe = F.lit(splitter.recipe_hash())
+    each = each.withColumn("section_fingerprint", hx.fingerprint(F.col("titles"), F.col("content")))
+    good = lambda c: F.when(~failed, c)
+    columns = {
+        "rel_path": F.col("file.rel_path"), "file_hash": F.col("file.file_hash"), "title": F.col("file.front.title"), "tags": F.col("file.front.tags"), "yaml": F.col("file.front.yaml"),
+        "chunk_index": good(F.col("chunk_index")), "title_path": good(F.col("titles")), "content": good(F.col("content")), "recipe_hash": good(recipe), "section_fingerprint": good(F.col("section_fingerprint")),
+        "chunk_id": good(hx.chunk_id(F.col("file.rel_path"), recipe, F.col("chunk_index"), F.col("section_fingerprint"))), "error": F.col("file.front.error"),
+    }
+    return each.select(*[c.alias(k) for k, c in columns.items()], *[F.col(f"file.{c}").alias(c) for c in keep])
 
 
 def text_windows(df: DataFrame, key: str, limit: int = 1200, overlap: int = 120) -> DataFrame:
     """(key, part, content): the overlapping windows of ``df(key, text)``."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def of(frames):
-        for pdf in frames:
-            out = [(k, i, p) for k, t in zip(pdf[key], pdf["text"], strict=True) for i, p in enumerate(windows(t or "", limit, overlap))]
-            yield pd.DataFrame(out, columns=[key, "part", "content"])
-
-    return df.select(key, "text").mapInPandas(of, f"{key} {kind}, part int, content string")
+    return df.select(key, F.posexplode(tx.windows(F.col("text"), limit, overlap)).alias("part", "content"))

@@ -1,3 +1,6 @@
+import os
+
+import plain_markdown
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,12 +27,21 @@ def test_identities(spark):
     assert tuple(ids) == ("6fdb92d73ed94d13055de07d55229929", "faba04d4bf42ca416e1e7304d448f856")
 
 
-def test_headings_nest_as_specified():
-    s = markdown.Splitter(short_file=1)
-    titles = lambda t: [x for x, _ in s.sections(t, [])]
-    assert titles("## X\n\na\n\n## Y\n\nb\n\n## Z\n\nc") == [["X"], ["X", "Y"], ["X", "Z"]]
-    assert titles("# A\n\na\n\n### C\n\nc\n\n### D\n\nd") == [["A"], ["A", "C"], ["A", "C", "D"]]
-    assert titles("# A\n\n# B\n\nb\n\n# C") == [["B"], ["C"]]
+def made_chunks(spark, texts, splitter=markdown.Splitter()):
+    """[(title path, content)] of each text, and its error."""
+    df = spark.createDataFrame([(f"{n:04d}", t) for n, t in enumerate(texts)], "rel_path string, content string").repartition(3)
+    out = [([], None) for _ in texts]
+    for r in markdown.chunks(df, splitter).orderBy("rel_path", "chunk_index").collect():
+        n = int(r["rel_path"])
+        out[n] = (out[n][0], r["error"]) if r["error"] else (out[n][0] + [(r["title_path"], r["content"])], None)
+        assert r["error"] or r["chunk_index"] == len(out[n][0]) - 1
+    return out
+
+
+def test_headings_nest_as_specified(spark):
+    some = ["## X\n\na\n\n## Y\n\nb\n\n## Z\n\nc", "# A\n\na\n\n### C\n\nc\n\n### D\n\nd", "# A\n\n# B\n\nb\n\n# C"]
+    got = [[t for t, _ in c] for c, _ in made_chunks(spark, some, markdown.Splitter(short_file=1))]
+    assert got == [[["X"], ["X", "Y"], ["X", "Z"]], [["A"], ["A", "C"], ["A", "C", "D"]], [["B"], ["C"]]]
 
 
 def test_blocks():
@@ -40,42 +52,37 @@ def test_blocks():
     ]
 
 
-def test_windows_overlap_and_break_at_white_space():
-    text = " ".join(["word"] * 700)
-    got = markdown.windows(text, 1200, 120)
-    assert all(len(p) <= 1200 and not p[0].isspace() for p in got) and len(got) > 2
-    assert got[0][-100:].split()[-1] in got[1]
-    assert markdown.windows("x" * 3000, 1200, 120)[1] == "x" * 1200
-    assert markdown.windows("  ", 10, 2) == []
-
-
-def test_windows_follow_the_rule():
-    """Character by character, without looking anything up."""
+def test_windows_follow_the_rule(spark):
+    """Against a loop over characters: white space of all kinds, runs of it longer than a segment, characters beyond the basic plane."""
     import random
 
+    from loam.functions import text as tx
+
     rng = random.Random(3)
-    for _ in range(300):
-        text = "".join(rng.choice("ab \n\u2003" if rng.random() < 0.3 else "abcdef") for _ in range(rng.randint(0, 90)))
-        limit, overlap = rng.randint(1, 30), rng.randint(0, 12)
-        t, want, at = text.strip(), [], 0
-        if 0 < len(t) <= limit:
-            want = [t]
-        elif t:
-            while True:
-                end = len(t)
-                if at + limit < len(t):
-                    end = at + limit
-                    for k in range(at, at + limit):
-                        if t[k].isspace() and k - at > limit // 2:
-                            end = k
-                if t[at:end].strip():
-                    want.append(t[at:end].strip())
-                if end == len(t):
-                    break
-                at = end - overlap if end - overlap > at else end
-                while t[at].isspace():
-                    at += 1
-        assert markdown.windows(text, limit, overlap) == want, (text, limit, overlap)
+    rows = [("".join(rng.choice("ab \n\u2003" if rng.random() < 0.3 else "abcdef\U0001f600") for _ in range(rng.randint(0, 300))), rng.randint(1, 30)) for _ in range(300)]
+    rows += [("x" * 500 + " " * 700 + "y" * 300, 90), ("  ", 10), (None, 10), ("word " * 700, 1200), ("x" * 3000, 1200), ("some text", 0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, n int")
+    for overlap in (0, 5, 12, 120):
+        got = {r["i"]: r["w"] for r in df.select("i", tx.windows(F.col("t"), F.col("n"), overlap, 1200).alias("w")).collect()}
+        assert got == {i: plain_markdown.windows(t or "", n, overlap) for i, (t, n) in enumerate(rows)}
+    got = markdown.text_windows(df.withColumnRenamed("t", "text"), "i").where("i = 304").orderBy("part").collect()
+    assert [r["part"] for r in got] == [0, 1, 2] and got[1]["content"] == "x" * 1200
+    assert "Python" not in df.select(tx.windows(F.col("t"), 1200, 120))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    import time
+
+    from loam.functions import text as tx
+
+    df = spark.createDataFrame([(k, " ".join(f"word{i}" for i in range(20_000 * k))) for k in (1, 8)], "k int, t string").cache()
+    df.count()
+    took = {}
+    for k in (1, 1, 8):
+        began = time.perf_counter()
+        df.where(F.col("k") == k).select(F.size(tx.windows(F.col("t"), 1200, 120))).collect()
+        took[k] = time.perf_counter() - began
+    assert took[8] < 8 * took[1] + 5
 
 
 def test_splitter_options():
@@ -85,46 +92,29 @@ def test_splitter_options():
             markdown.Splitter.of(bad)
 
 
-def test_splitting_equals_a_plain_reading():
-    """Headings and paragraphs only: sections from a running path of titles, paragraphs packed as long as they fit, long ones cut."""
+def test_splitting_equals_a_plain_reading(spark):
+    """Files of headings, paragraphs of all lengths, lists, code and tables: sections, packing and cuts as loops over one file have them."""
     import random
 
     rng = random.Random(5)
-    for _ in range(120):
-        lines, most, overlap = [], rng.randint(60, 160), rng.randint(0, 20)
-        for _ in range(rng.randint(1, 14)):
-            words = " ".join(rng.choice(["lorem", "ipsum", "dolor", "a", "consectetur"]) for _ in range(rng.randint(1, 60)))
-            lines.append(f"{'#' * rng.randint(1, 4)} {words.split()[0]}{rng.randint(0, 9)}" if rng.random() < 0.35 else words)
-        path, sections = ["Base"], [(["Base"], [])]
-        for line in lines:
-            if line.startswith("#"):
-                level, title = len(line.split()[0]), line.split(maxsplit=1)[1]
-                path = path[: 1 + min(level - 1, len(path) - 1)] + [title]
-                if not sections[-1][1]:
-                    sections.pop()
-                sections.append((list(path), []))
-            else:
-                sections[-1][1].append(line)
-        want = []
-        for titles, body in sections:
-            head = " > ".join(titles)
-            full = lambda parts, head=head: "\n\n".join([head, *parts])
-            if len(full(body)) <= most:
-                want.append((titles, full(body)))
-                continue
-            held = []
-            for para in [*body, None]:
-                if para is not None and len(full([*held, para])) <= most:
-                    held.append(para)
-                    continue
-                if held:
-                    want.append((titles, full(held)))
-                    held = []
-                if para is not None and len(full([para])) <= most:
-                    held = [para]
-                elif para is not None:
-                    want += [(titles, full([w])) for w in markdown.windows(para, most - len(head) - 2, overlap)]
-        assert markdown.Splitter(most, overlap, 1).split("\n\n".join(lines), ["Base"]) == want
+    for splitter in (markdown.Splitter(120, 10, 1), markdown.Splitter(60, 20, 200), markdown.Splitter(160, 0, 1), markdown.Splitter(30, 3, 1)):
+        texts, fronts = [], []
+        for n in range(60):
+            lines = []
+            for _ in range(rng.randint(0, 14)):
+                words = " ".join(rng.choice(["lorem", "ipsum", "dolor", "a", "consectetur"]) for _ in range(rng.randint(1, 60)))
+                kind = rng.random()
+                lines.append(
+                    f"{'#' * rng.randint(1, 6)} {words.split()[0]}{rng.randint(0, 9)}" if kind < 0.35 else f"- {words}\n- x" if kind < 0.4 else f"```\n  {words}\n```" if kind < 0.45
+                    else f"| | i |\n|---|---|\n| {words} | k |" if kind < 0.5 else f"{words}\n===" if kind < 0.53 else words
+                )
+            front = rng.choice(["", "---\ntitle: Base\n---\n\n", "---\ntags: [b, A]\n---\n"])
+            fronts.append(["Base"] if "title" in front else [])
+            texts.append(front + rng.choice(["\n\n", "\r\n\r\n"]).join(lines))
+        got = made_chunks(spark, texts, splitter)
+        for text, base, (chunks, error) in zip(texts, fronts, got, strict=True):
+            body = text.split("---\n", 2)[2].lstrip("\r\n") if text.startswith("---") else text
+            assert error is None and chunks == plain_markdown.split(body, base, splitter), (splitter, text)
 
 
 def test_trimmed_and_truncated(spark):
@@ -139,22 +129,29 @@ def test_ignore_rules_can_escape_marks():
     assert rules.match("!a.md", False) and rules.match("#b.md", False) and rules.match("x.txt", False) and not rules.match("keep.txt", False)
 
 
-def test_oversize_sections_are_cut():
-    s = markdown.Splitter()
+def test_oversize_sections_are_cut(spark):
     text = "# T\n\n" + "\n\n".join(["lorem ipsum " * 60] * 8)
-    got = s.split(text, [])
+    [(got, _)] = made_chunks(spark, [text])
     assert all(len(c) <= 1200 and c.startswith("T\n\n") for _, c in got) and len(got) > 3
 
 
-def test_front_matter():
-    body, found = markdown.front_matter("---\r\ntitle: A\ntags: [on, B, b]\nday: 2024-01-01\n---\r\n\r\nbody")
-    assert body == "body" and found["day"] == "2024-01-01" and found["tags"] == ["on", "B", "b"]
-    assert markdown.title_and_tags(found) == ("A", ["b", "on"])
-    for bad in ("---\ntags: [a\n---\nx", "---\n- a\n---\nx"):
+def test_front_matter(spark):
+    found = markdown.metadata("title: A\ntags: [on, B, b]\nday: 2024-01-01")
+    assert found["day"] == "2024-01-01" and found["tags"] == ["on", "B", "b"] and markdown.title_and_tags(found) == ("A", ["b", "on"])
+    for bad in ("tags: [a", "- a"):
         with pytest.raises(ValueError):
-            markdown.front_matter(bad)
+            markdown.metadata(bad)
     with pytest.raises(ValueError):
         markdown.title_and_tags({"title": 3})
+    got = made_chunks(spark, ["---\r\ntitle: A\ntags: [on, B, b]\n---\r\n\r\nbody", "---\ntags: [a\n---\nx", "", None, "---\n---\n", "plain", "---\ntitle: Only\n---\n"])
+    assert got[0] == ([(["A"], "A\n\nbody")], None) and "invalid front matter" in got[1][1] and got[2] == got[3] == ([], None) and got[5] == ([([], "plain")], None) and got[6] == ([(["Only"], "Only")], None)
+
+
+def test_chunks_run_little_python(spark):
+    """Front matter and blocks are read in Python; the rest of the plan has none, and texts are shuffled once."""
+    df = spark.createDataFrame([("a", "# A\n\n" + "word " * 2000)], "rel_path string, content string")
+    plan = markdown.chunks(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "MapIn" not in plan and plan.count("Exchange") == 1
 
 
 HOME = Collection("/home/docs")
@@ -397,12 +394,46 @@ def test_listing(spark, tmp_path):
     assert listing.extensions("md, .md", listing.MARKDOWN) == [".md"]
     for fan_out in (1, 2, 1000):  # walked in tasks from the root, from its folders, not at all
         assert sorted(r["rel_path"].removeprefix(f"{tmp_path}/") for r in listing.files(spark, str(tmp_path), fan_out=fan_out).collect()) == sorted(names())
+    for most in (0, 1, 3, 8):  # planned until so many entries were seen
+        assert sorted(r["rel_path"].removeprefix(f"{tmp_path}/") for r in listing.files(spark, str(tmp_path), most_entries=most).collect()) == sorted(names())
     got = listing.contents(listing.files(spark, str(tmp_path))).collect()
     assert all(r["content"] == "x" and r["error"] is None for r in got)
     with pytest.raises(FileNotFoundError):
         listing.walk(str(tmp_path / "none"), listing.MARKDOWN)
 
 
+def test_listing_plans_without_files(tmp_path):
+    """A flat tree of few large folders: the driver sees a bounded number of entries and no file row, tasks get the folders."""
+    for d in range(5):
+        (tmp_path / f"d{d}").mkdir()
+        for k in range(200):
+            (tmp_path / f"d{d}" / f"{k}.md").write_text("x")
+    import json
+
+    opened = []
+    reader = listing.FileReader({"root": str(tmp_path), "types": json.dumps(listing.MARKDOWN), "most_entries": "50"})
+    scandir = os.scandir
+    try:
+        os.scandir = lambda p: opened.append(p) or scandir(p)
+        parts = reader.partitions()
+    finally:
+        os.scandir = scandir
+    assert opened == [str(tmp_path), f"{tmp_path}/d0"] and sorted(f for p in parts for f in p.trees) == [f"{tmp_path}/d{d}" for d in range(5)]
+    assert sum(len(list(reader.read(p))) for p in parts) == 1000
+
+
+def test_listing_by_prefix_and_type(spark, tmp_path):
+    for p in ("a/x.md", "a/y.png", "b/z.md", "b/c/w.md", "c/v.md"):
+        (tmp_path / p).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / p).write_text("x")
+    every = listing.files(spark, str(tmp_path), listing.MARKDOWN | listing.IMAGES)
+    names = lambda df: sorted(r["rel_path"].removeprefix(f"{tmp_path}/") for r in df.collect())
+    assert names(every.where("doc_type = 'image'")) == ["a/y.png"] and names(every.where(F.col("rel_path").endswith("v.md"))) == ["c/v.md"]
+    assert names(listing.files(spark, str(tmp_path), prefix=f"{tmp_path}/b")) == ["b/c/w.md", "b/z.md"]
+    parts = listing.FileReader({"root": str(tmp_path), "prefix": f"{tmp_path}/b/z"}).partitions()
+    assert not {f.removeprefix(str(tmp_path)) for p in parts for f in p.own + p.trees} & {"/a", "/c", "/b/c"}
+
+
 def test_longest_prefix_and_descendants(spark):
     paths = spark.createDataFrame([("/a/b/deep/guide.md",), ("/a/x.md",), ("/z",), ("/a/b",)], "path string")
     roots = spark.createDataFrame([("/a",), ("/a/b",), ("/z/1",), ("/z/2",)], "root string")
