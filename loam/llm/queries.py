@@ -28,7 +28,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
-    return found.withColumns({c: F.array_join(c, ";") for c in ("licenses", "rules")})
+    return found.withColumns({c: F.array_join(c, ";") for c in ("licenses", "rules", "spdx")})
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,9 @@ def test_licences(spark):
 
 def test_every_known_sentence_holds_a_hint():
     assert all(re.search(licenses.HINT, s) for s in licenses.SENTENCES)
-    assert {i for _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES.values())
+    assert all(re.search(licenses.HINT, words.replace("~", "")) for words, _ in licenses.LONG)
+    found = set(licenses.SENTENCES.values()) | {i for _, ids in licenses.LONG for i in ids}
+    assert {i for _, ids in licenses.RULES for i in ids} <= found | {"..."}
 
 
 def test_plans_hold_no_python(spark, sf_dir):
@@ -243,3 +245,57 @@ def test_long_runs_take_linear_time(spark):
         began = time.perf_counter()
         secrets.scan(docs).collect()
         assert time.perf_counter() - began < 60, kind
+
+
+def licences_of(spark, texts: list[str]) -> list[list[str]]:
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    return [r["licenses"] for r in licenses.scan(docs).orderBy("doc_id").collect()]
+
+
+def test_full_texts_of_this_machine(spark):
+    """The licences a Debian system has; a text that is not there is passed over."""
+    import os
+
+    here = "/usr/share/common-licenses"
+    want = {
+        "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+        "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+    }
+    there = {f: n for f, n in want.items() if os.path.exists(f"{here}/{f}")}
+    texts = [open(f"{here}/{f}", encoding="utf-8").read() for f in there]
+    for shape in (lambda t: t, lambda t: "".join(f" * {x}\n" for x in t.splitlines())):
+        got = licences_of(spark, [shape(t) for t in texts])
+        assert {f: set(g) for f, g in zip(there, got, strict=True)} == {f: {n} for f, n in there.items()}
+
+
+def test_notices_within_sentences(spark):
+    texts = {
+        "This code is available under the MIT License, see file LICENSE.": ["MIT"], "It is released\n# under the terms of the GNU General Public License,\n# version 3 only.": ["GPL-3.0"],
+        "Licensed under the GNU GPL version 2 or later": ["GPL-2.0-or-later"], "distributed under the Boost Software License, Version 1.0. (See accompanying file)": ["BSL-1.0"],
+        "you can redistribute it": [], "This work is licensed under a Creative Commons\n Attribution-NonCommercial-NoDerivatives 4.0 International License.": ["CC-BY-NC-ND-4.0"],
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS.": ["0BSD"],
+        "This software is provided 'as-is', without any express or implied\nwarranty. Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely": ["Zlib"],
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2.": ["GPL-2.0-only"],
+        "lcnsntnc3 lcnsntnc4\nlcnsntnc5": [], "licensed under the mit license; licensed under the isc license": ["MIT", "ISC"],
+    }
+    assert dict(zip(texts, licences_of(spark, list(texts)), strict=True)) == texts
+    docs = spark.createDataFrame([(1, "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nx\nSPDX-License-Identifier:GPL-2.0-only WITH Classpath-exception-2.0 */", None, None, None), (2, None, None, None, None)], DOCS)
+    assert [r["spdx"] for r in licenses.scan(docs).orderBy("doc_id").collect()] == [["(MIT OR Apache-2.0) AND BSD-3-Clause", "GPL-2.0-only WITH Classpath-exception-2.0"], []]
+
+
+def test_wrapped_licences_equal_the_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    texts = [MIT, BSD.format(ENDORSE), GPL, APACHE, MPL, ISC, LGPL, AGPL, EPL, UNLICENSE, CC.format("ShareAlike"), "x", "", None, "Released under the MIT License. And licensed\n under the\n* Apache License, Version 2.0, too", "SPDX-License-Identifier: MIT"]
+    texts += ["".join(f"# {x}\n" for x in t.splitlines()) for t in texts if t] + [a + "\n" + b for a, b in zip(texts, texts[3:], strict=False) if a and b]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
+    want = sorted(con.execute(licenses.ORACLE).fetchall(), key=str)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = licenses.scan(docs)
+    from pyspark.sql import functions as F
+
+    got = got.withColumns({c: F.array_join(c, ";") for c in ("licenses", "rules", "spdx")})
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want and sum(bool(r[1]) for r in want) > 30
+    assert len({name for name, _ in licenses.RULES}) >= 50
