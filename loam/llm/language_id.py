@@ -28,6 +28,8 @@ from . import textarrays as ta
 from .common import as_table, stored
 
 BINS = 4096
+#: Rows of a draw that go to every task, of 30 bytes each.
+MOST_DRAWN = 1_000_000
 #: Fixed value: what a letter is, on both sides.
 LETTER = r"\p{L}"
 FOLD = np.arange(256, dtype=np.uint32)
@@ -128,8 +130,9 @@ def train(docs: DataFrame, held_out: Callable[[Column], Column], most_rows: int
     each = max(least_rows, most_rows // len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, min(1.0, each / n))])[F.col("lang")]
     draw = F.pmod(F.xxhash64("mark", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    taken = copies.select("lang", "mark", F.floor(F.col("n") * share + draw).cast("long").alias("taken")).where("taken > 0")
-    drawn = usable.join(taken, ["lang", "mark"]).groupBy("lang", "mark").agg(F.first("text").alias("text"), F.first("taken").alias("taken")).select("lang", "text", "taken", "mark")
+    taken = stored(copies.select("lang", "mark", F.floor(F.col("n") * share + draw).cast("long").alias("taken")).where("taken > 0"), "language-draw")
+    few = F.broadcast if taken.count() <= MOST_DRAWN else lambda df: df  # about max(most_rows, least_rows a language) rows
+    drawn = usable.join(few(taken), ["lang", "mark"]).groupBy("lang", "mark").agg(F.first("text").alias("text"), F.first("taken").alias("taken")).select("lang", "text", "taken", "mark")
 
     def of(batches):
         for batch in batches:
