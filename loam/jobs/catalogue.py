@@ -718,25 +718,47 @@ COUNTS_SQL = "list_transform([" + ", ".join(f"'{w}'" for w in JOB_WORDS) + "], l
 COSINE_SQL = "CASE WHEN list_inner_product({0}, {0}) > 0 THEN list_inner_product({0}, {1}) / (sqrt(list_inner_product({0}, {0})) * sqrt(list_inner_product({1}, {1}))) ELSE 0 END"
 
 
-@query(rf"""WITH q AS (SELECT {COUNTS_SQL.format(f"'{JOB_TEXT}'")} AS qv, {COUNTS_SQL.format("'en'")} AS tv),
+ASK_SQL = rf"""q AS (SELECT {COUNTS_SQL.format(f"'{JOB_TEXT}'")} AS qv, {COUNTS_SQL.format("'en'")} AS tv),
 c AS (SELECT '/' || source || '/' || doc_id AS rel_path, source AS collection, {COUNTS_SQL.format(r"lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))")} AS v, {COUNTS_SQL.format("lower(lang)")} AS t FROM documents),
 u AS (SELECT *, list_transform(t, lambda x: CASE WHEN list_inner_product(t, t) > 0 THEN (x / sqrt(list_inner_product(t, t)))::FLOAT::DOUBLE ELSE x END) AS tag FROM c),
 s AS (SELECT rel_path, collection, {COSINE_SQL.format("v", "qv")} AS content_score, {COSINE_SQL.format("tag", "tv")} AS tag_score FROM u, q),
 h AS (SELECT *, (1 - 0.3::DOUBLE) * content_score + 0.3::DOUBLE * tag_score AS score FROM s),
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, rel_path) AS n FROM h) WHERE n <= 25),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, rel_path) AS m, first_value(score) OVER (ORDER BY score DESC, rel_path) AS best FROM w) WHERE m = 1 OR (score >= 0.5::DOUBLE * best AND best - score <= 0.4::DOUBLE))
-SELECT m::INT AS rank, rel_path, round(score, 6) AS score, round(content_score, 6) AS content_score, round(tag_score, 6) AS tag_score FROM t WHERE m <= 15""")
+t AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, rel_path) AS m, first_value(score) OVER (ORDER BY score DESC, rel_path) AS best FROM w) WHERE m = 1 OR (score >= 0.5::DOUBLE * best AND best - score <= 0.4::DOUBLE))"""
+
+
+@query(f"WITH {ASK_SQL} SELECT m::INT AS rank, rel_path, round(score, 6) AS score, round(content_score, 6) AS content_score, round(tag_score, 6) AS tag_score FROM t WHERE m <= 15")
 def query_job(spark, sf_dir):
     """A text asked of all collections of a store that a scan has made, with tag fusion: front matter gives each file its language as a tag."""
+    return shown(job_answer(spark, sf_dir).results, "rank", "rel_path", "score", "content_score", "tag_score")
+
+
+def job_answer(spark: SparkSession, sf_dir: str) -> ask.Answer:
     docs = table(spark, sf_dir, "documents")
     store, known = index.Store(spark, workspace(spark, "query-job")), job_collections(docs)
     files = files_under(docs, F.concat(F.lit("---\ntags: ["), "lang", F.lit("]\n---\n\n"), "text"))
     index.scan(store, files.drop("doc_id"), JOB_RECIPE, known, ONE_CHUNK, tag_extractor="vocabulary", extractor_options={"words": ("en", "de")}, words=JOB_WORDS)
-    answer = ask.ask(
+    return ask.ask(
         store, JOB_TEXT, options=search.Options(limit=15, window=25, alpha=0.5, delta=0.4), tag_extractor="vocabulary", extractor_options={"words": ("en", "de")},
         root_exists=lambda _: True, words=JOB_WORDS,
     )
-    return shown(answer.results, "rank", "rel_path", "score", "content_score", "tag_score")
+
+
+@query(f"""WITH {ASK_SQL}, n AS (SELECT (SELECT count(*) FROM w) AS retrieved, (SELECT count(*) FROM t) AS passed, (SELECT count(DISTINCT collection) FROM c) AS scopes, (SELECT count(*) FROM documents) AS files)
+SELECT 'v1' AS version, '{JOB_TEXT}' AS query, 'offline' AS provider, 'keyword' AS model, {len(JOB_WORDS)} AS vector_dim, 'en' AS query_tags, 25 AS search_window, 'truncate' AS final_strategy, scopes AS scope_count, retrieved AS retrieved_count, passed AS after_threshold_count,
+  passed AS after_unique_count, least(passed, 15) AS final_count, m AS rank, rel_path, round(score, 6) AS score, round(content_score, 6) AS content_score, round(tag_score, 6) AS tag_score,
+  CASE WHEN length(p) > 120 THEN left(p, 119) || '…' ELSE p END AS preview
+FROM t JOIN (SELECT '/' || source || '/' || doc_id AS rel_path, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS p FROM documents) USING (rel_path), n WHERE m <= 15""")
+def answer_json(spark, sf_dir):
+    """The versioned JSON of an answer with its explanation, read back: a row a result with what the envelope says."""
+    made = job_answer(spark, sf_dir).json(explain=True)
+    result = "array<struct<rank:long,score:double,rel_path:string,preview:string,explain:struct<content_score:double,tag_score:double>>>"
+    counts = ("scope_count", "retrieved_count", "after_threshold_count", "after_unique_count", "final_count")
+    schema = f"version string, query string, provider string, model string, vector_dim int, query_tags array<string>, explain struct<search_window:int,final_strategy:string,{','.join(f'{c}:long' for c in counts)}>, results {result}"
+    e = made.select(F.from_json("json", schema).alias("e")).select("e.*")
+    rows = e.select("version", "query", "provider", "model", "vector_dim", F.array_join("query_tags", ",").alias("query_tags"), "explain.*", F.explode("results").alias("r"))
+    told = rows.select(*[c for c in rows.columns if c != "r"], "r.rank", "r.rel_path", "r.score", "r.explain.content_score", "r.explain.tag_score", "r.preview")
+    return told.withColumns({c: F.round(c, 6) for c in ("score", "content_score", "tag_score")})
 
 
 BATCH_SQL = rf"""q AS (SELECT doc_id AS query_id, {COUNTS_SQL.format("lower(text)")} AS qv, {COUNTS_SQL.format("'en'")} AS en, {COUNTS_SQL.format("'de'")} AS de, contains(lower(text), 'en') AS is_en, contains(lower(text), 'de') AS is_de,
@@ -818,6 +840,21 @@ def show_file(spark, sf_dir):
     return got.select("path", "found", "root_dir", "rel_path", "file_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.sha2(F.get("chunks", F.lit(0))["content"], 256).alias("content"))
 
 
+@query(r"""SELECT '/' || source || '/' || doc_id AS path, CASE WHEN doc_id % 7 <> 0 THEN 'true' ELSE 'false' END AS found, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS file_hash, CASE WHEN doc_id % 7 <> 0 THEN '/' || source END AS root_dir,
+CASE WHEN doc_id % 7 <> 0 THEN '9' END AS vector_len, CASE WHEN doc_id % 7 <> 0 THEN sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) END AS content, CASE WHEN doc_id % 7 <> 0 THEN 'false' ELSE 'true' END AS alone FROM documents""")
+def show_json(spark, sf_dir):
+    """The JSON that a store shows of the path of every document, read back; what is not found says only that."""
+    docs = table(spark, sf_dir, "documents")
+    store, files = index.Store(spark, workspace(spark, "show-json")), files_under(docs, F.col("text"))
+    index.scan(store, files.where("doc_id % 7 <> 0").drop("doc_id"), JOB_RECIPE, job_collections(docs), ONE_CHUNK, words=JOB_WORDS)
+    said = ask.show_json(ask.shown_files(store, files.select(F.col("rel_path").alias("path"))))
+    get = lambda p: F.get_json_object("json", p)
+    return said.select(
+        "path", get("$.found").alias("found"), get("$.file.file_hash").alias("file_hash"), get("$.collection.root_dir").alias("root_dir"), get("$.chunks[0].vector_len").alias("vector_len"),
+        F.sha2(get("$.chunks[0].content"), 256).alias("content"), (F.col("json") == '{"found":false}').cast("string").alias("alone"),
+    )
+
+
 @query("""WITH m AS (SELECT doc_id, source || '/' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'metadata: source is required' WHEN doc_id % 7 = 0 THEN 'metadata: chunk_index must be an int'
   WHEN doc_id % 9 = 0 THEN 'metadata: tags must be a list of strings' WHEN doc_id % 11 = 0 THEN 'metadata: chunk_index must be >= 0' END AS error, lang, source FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN path END AS source, path AS file_path, 'h' || doc_id AS file_hash, CASE WHEN doc_id % 7 = 0 THEN -9 WHEN doc_id % 11 = 0 THEN -1 ELSE 3 END::INT AS chunk_index,

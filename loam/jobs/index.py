@@ -382,8 +382,9 @@ def scan(
         other = good.join(lengths, "collection_id").where(F.size("vector") != F.col("expected")).groupBy(*KEYS).agg(
             F.concat(F.lit("vector dimension mismatch: expected="), F.first("expected"), F.lit(" actual="), F.min(F.size("vector"))).alias("error")
         )
-        failed = made.where("error is not null").select(*KEYS, "error").distinct().union(other)
-        fine = good.join(other.select(*KEYS), list(KEYS), "left_anti")
+        made.where("error is not null").select(*KEYS, "error").distinct().union(other).write.parquet(f"{aside}/failed")  # few rows, which all that follows asks for
+        failed = spark.read.parquet(f"{aside}/failed")
+        fine = good.join(failed.select(*KEYS), list(KEYS), "left_anti")
         now = F.lit(store.now()).cast("timestamp")
         about = {
             "source": F.col("rel_path"), "file_path": F.col("rel_path"), "file_name": F.element_at(F.split("rel_path", "/"), -1), "doc_type": F.lit(recipe.type), "layer": F.lit(n),
