@@ -164,3 +164,54 @@ def test_long_runs_of_white_space(spark, tok):
 def test_other_columns_and_other_types_of_id(spark):
     df = spark.createDataFrame([("k", "some text", 1, "x", 2), (None, "more", 3, None, 4)], "doc_id string, text string, bucket int, h string, copy int")
     assert sorted(x for r in to.training_order(df).collect() for x in r["doc_ids"] if x) == ["k"] and tc.token_counts(df).count() == 2
+
+
+def plain_slot(x: int, n: int, key: int) -> int:
+    """The network on one value, with whole numbers of any size."""
+    def mixed(v: int) -> int:
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            v = (v ^ v >> shift) * factor % 2**64
+        return v ^ v >> 31
+
+    half = max(1, ((max(1, n - 1)).bit_length() + 1) // 2)
+    while True:
+        left, right = x >> half, x % 2**half
+        for r in range(1, 7):
+            left, right = right, left ^ mixed(right ^ mixed((r + key * 13) % 2**64)) % 2**half
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_training_order_equals_plain_packing(spark, tok):
+    """Buckets packed in loops, numbered one after the other, each number sent through the network by itself."""
+    docs = spark.createDataFrame([(i, t, None) for i, t in TEXTS.items()] + [(3, "said again", None), (None, "no id", None), (None, "no id", None)], "doc_id long, text string, h string").repartition(3)
+    length, key = 16, 20240229
+    n_buckets = max(1, -(-docs.count() // 5000))
+    keyed = docs.withColumn("hash", F.xxhash64("text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "hash", F.lit(0).cast("long")), F.lit(n_buckets)))
+    rows = sorted(((r["bucket"], (r["doc_id"] is not None, r["doc_id"] or 0), r["hash"], r["doc_id"], r["text"]) for r in keyed.collect() if r["text"]), key=lambda r: r[:3])
+    sequences, bucket, ids, own, starts = [], None, [], [], []
+
+    def close():
+        nonlocal ids, own, starts
+        if ids:
+            sequences.append((own, starts, ids))
+        ids, own, starts = [], [], []
+
+    for b, _, _, doc_id, text in rows:
+        if b != bucket:
+            close()
+            bucket = b
+        for token in [*tok.encode(text).tolist(), tok.end]:
+            if not ids or own_of != (doc_id, text, len(own)):
+                own.append(doc_id), starts.append(len(ids))
+                own_of = (doc_id, text, len(own))
+            ids.append(token)
+            if len(ids) == length:
+                close()
+        own_of = None
+    close()
+    n = len(sequences)
+    want = {plain_slot(k, n, key): (own, starts, len(ids), ids + [tok.end] * (length - len(ids))) for k, (own, starts, ids) in enumerate(sequences)}
+    got = {r["slot"]: (r["doc_ids"], r["starts"], r["n_tokens"], np.frombuffer(r["tokens"], "<u2").tolist()) for r in to.training_order(docs, length, key=key).collect()}
+    assert got == want and n > 5

@@ -163,3 +163,25 @@ def test_rows_that_repeat_an_id_are_bounded(spark):
     finally:
         tx.fit_logistic = fit
     assert len(seen[0]) == 250 and seen[0].sum() == 100 and len(model.names)
+
+
+def test_scores_equal_a_plain_sum(cost):
+    """A weight for each distinct word, and beginning of one, that the model knows; as sets of strings and a sum."""
+    import math
+
+    from loam.llm import textarrays as ta
+
+    known = {"stupid": 1.5, "idio": 0.75, "idiot": 2.0, "nice": -1.25, "trash": 0.5, "worthles": 1.0, "été": -0.5}
+    hashed = {int(next(ta.blocks(pa.array([w]))).hashes()[0]): v for w, v in known.items()}
+    names = np.array(sorted(hashed), np.uint64)
+    model = tx.Model(np.zeros(1), names, np.array([hashed[int(h)] for h in names]), -0.3)
+    texts = ["You stupid, stupid idiot!", "so nice", "idiotic trash; été ÉTÉ", "worthless worthless", "", None, "1 d 1 0 t", "plain words only", "idio"]
+    memo: dict[str, str] = {}
+    got = model.scores(pa.array(texts), cost, memo)
+    for text, score in zip(texts, got, strict=True):
+        said = (text or "").lower()
+        said = tx.restored(said, cost, {}) if said else ""
+        words = {w for w in "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in said).split()}
+        found = words | {w.encode()[:k].decode(errors="ignore") for w in words for k in tx.PREFIXES if len(w.encode()) > k}
+        z = model.bias + sum(v for w, v in known.items() if w in found)
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-12, text
