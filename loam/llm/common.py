@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -38,11 +41,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return done.select(*[F.col(c).alias(c) for c in done.columns])
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write once to the shared folder, read back: for results that several later jobs read."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", **options) -> DataFrame:
+    """Write once to the shared folder, read back: for results that several later jobs read. ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return spark.read.parquet(path)
 
 
@@ -83,6 +86,25 @@ def as_table(batch: pa.RecordBatch, name: str) -> pa.Array:
     return col if col.type == pa.string() else col.cast(pa.string())
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker outlives its tasks, and what it keeps counts as its executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def giving_back(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``of`` for ``mapInArrow``, with ``give_back`` after each task."""
+
+    @functools.wraps(of)
+    def run(batches):
+        yield from of(batches)
+        give_back()
+
+    return run
+
+
 def is_forest_of_stars(edges: DataFrame) -> bool:
     """Does every ``a`` hang under one ``b``, and no ``b`` under another? Then nothing is left to join."""
     return (

@@ -2,7 +2,8 @@
 
 A shard holds some documents: their ids and lengths, the terms in order, and of each term the postings in blocks of ``BLOCK`` documents, each with gaps and counts in as few bytes
 as its largest needs, its last document and the most that one of its documents can score for a term of weight 1; a term has the greatest of these as its bound. Nothing but a shard is
-ever in a task, whatever the documents' number, and no posting is shuffled.
+ever in a task, whatever the documents' number, and no posting is shuffled. Shards are written as a few binary values each, one a row group, so that a reader has one shard at a time
+and no list becomes objects of the JVM.
 
 A query takes its terms by their bounds, greatest first. Terms are essential as long as a document that has only them and later ones could still reach the
 ``k`` best found so far: their lists are read whole. For the rest, a document that already scores is looked up in the blocks' maxima, and a block is decompressed only if one of
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import as_table, numbered, shared_dir, stored
+from .common import as_table, give_back, giving_back, numbered, shared_dir, stored
 
 BLOCK = 128
 
@@ -72,10 +73,9 @@ def _packed(values: np.ndarray, first: np.ndarray, width: np.ndarray) -> tuple[b
     return out.tobytes(), np.append(0, np.cumsum(width * sizes))
 
 
-SHARD = (
-    "lengths array<int>, terms array<string>, frequencies array<int>, bounds array<int>, blocks array<int>, last array<int>, most array<int>, "
-    "gap_at array<int>, gap_bytes array<tinyint>, gaps binary, count_at array<int>, count_bytes array<tinyint>, counts binary"
-)
+#: Numbers are little-endian, of these kinds; terms are joined by spaces, which no term holds.
+NUMBERS = {"lengths": "<i4", "frequencies": "<i4", "bounds": "<i4", "blocks": "<i4", "last": "<i4", "most": "<i4", "gap_at": "<i4", "gap_bytes": "<i1", "count_at": "<i4", "count_bytes": "<i1"}
+SHARD = f"terms string, gaps binary, counts binary, {', '.join(f'{name} binary' for name in NUMBERS)}"
 
 
 def make_shard(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, dictionary: pa.Array, lengths: np.ndarray, documents: int, total: int) -> dict:
@@ -107,15 +107,24 @@ def make_shard(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, dictionary: pa
 
 
 def _row(shard: dict, ids: pa.Array) -> pa.RecordBatch:
-    kinds = dict(c.split() for c in SHARD.split(", "))
-    arrow = {"array<int>": pa.int32(), "array<tinyint>": pa.int8(), "array<string>": pa.string()}
-    columns = {"ids": ids}
-    for name, kind in kinds.items():
-        v = shard[name]
-        columns[name] = v if kind == "binary" else v if isinstance(v, pa.Array) else pa.array(v, arrow[kind])
-    return pa.RecordBatch.from_arrays(
-        [pa.array([v], pa.binary()) if isinstance(v, bytes) else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in columns.values()], names=list(columns)
-    )
+    def one(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    columns = {"ids": one(ids), "terms": pc.binary_join(one(shard["terms"]), " "), "gaps": pa.array([shard["gaps"]], pa.binary()), "counts": pa.array([shard["counts"]], pa.binary())}
+    columns |= {name: pa.array([np.asarray(shard[name]).astype(kind).tobytes()], pa.binary()) for name, kind in NUMBERS.items()}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _terms(batch: pa.RecordBatch, r: int) -> pa.Array:
+    return pc.split_pattern(batch.column(batch.schema.get_field_index("terms")).slice(r, 1).cast(pa.string()), " ").flatten()
+
+
+def _numbers(batch: pa.RecordBatch, r: int, name: str) -> np.ndarray:
+    return np.frombuffer(batch.column(batch.schema.get_field_index(name))[r].as_buffer(), NUMBERS[name])
+
+
+#: A row group a shard: readers take up to a row group at once, writers keep one in memory.
+ONE_A_GROUP = {"parquet.block.row.count.limit": 1, "parquet.enable.dictionary": False}
 
 
 def index(docs: DataFrame, documents: int, total: int, most_terms: int = 2_000_000, most_documents: int = 65_536) -> DataFrame:
@@ -152,10 +161,11 @@ def index(docs: DataFrame, documents: int, total: int, most_terms: int = 2_000_0
                 if size >= most_terms or held >= most_documents:
                     yield flush()
                     parts, ids, lengths, size, held = [], [], [], 0, 0
+                    give_back()
         if parts:
             yield flush()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(of, f"ids array<{kind}>, {SHARD}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(giving_back(of), f"ids array<{kind}>, {SHARD}")
 
 
 @dataclass
@@ -246,7 +256,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block_items: int = 51
     """
     spark = docs.sparkSession
     documents, total = statistics(docs)
-    shards = stored(index(docs, documents, total, most_terms), "lexical-shards")
+    shards = stored(index(docs, documents, total, most_terms), "lexical-shards", **ONE_A_GROUP)
     asked, file, row = numbered(items.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     held = asked.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-held[0] // block_items), -(-(held[1] or 0) // block_bytes))
@@ -256,10 +266,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block_items: int = 51
     for b in range(blocks):
         own = asked.where(F.col("block") == b).select("item", "text").toArrow()  # bounded by the block
         terms, counts = _terms_of(own.column("text").combine_chunks().cast(pa.string()))
-        wanted = F.broadcast(spark.createDataFrame(pa.table({"term": terms})))  # the terms of one block
-        frequencies = shards.select(F.explode(F.arrays_zip("terms", "frequencies")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.frequencies").alias("n"))
-        df = dict(frequencies.join(wanted, "term").groupBy("term").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False, name=None))
-        weights = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * df[t] + 1))) if t in df else 0 for t in terms.to_pylist()], np.int64)
+        counted = shards.select("terms", "frequencies").mapInArrow(_counter(spark.sparkContext.broadcast(terms)), "term int, n long")
+        df = dict(counted.groupBy("term").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False, name=None))  # the terms of one block
+        weights = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * df[t] + 1))) if t in df else 0 for t in range(len(terms))], np.int64)
         queries = spark.sparkContext.broadcast(Queries(terms, weights, [(i, sorted(c.items())) for i, c in zip(own.column("item").to_pylist(), counts, strict=True) if c]))
         found = shards.mapInArrow(_searcher(queries, k, documents, total), f"item long, doc_id {kind}, score long")
         found.write.mode("append").parquet(path)
@@ -269,18 +278,31 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block_items: int = 51
     return ranked.join(asked.select("item", "item_id"), "item").select(F.col("item_id").cast(item_kind).alias("item_id"), F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
-def _searcher(queries, k: int, documents: int, total: int):
-    names = [c.split()[0] for c in SHARD.split(", ")]
+def _counter(wanted):
+    """(number of the term, documents that hold it) of the terms of a block, summed over a task's shards."""
+
+    def of(batches):
+        terms = wanted.value
+        n = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at = pc.index_in(_terms(batch, r), terms).fill_null(-1).to_numpy()
+                n[at[at >= 0]] += _numbers(batch, r, "frequencies")[at >= 0]
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(some, pa.int32()), "n": n[some]})
+
+    return giving_back(of)
 
+
+def _searcher(queries, k: int, documents: int, total: int):
     def of(batches):
         q = queries.value
         for batch in batches:
             for r in range(batch.num_rows):
-                one = {name: batch.column(batch.schema.get_field_index(name))[r] for name in names}
-                shard = {n: v.as_py() if n in ("gaps", "counts") else v.values.to_numpy(zero_copy_only=False) for n, v in one.items() if n != "terms"}
+                shard = {name: _numbers(batch, r, name) for name in NUMBERS}
+                shard |= {name: batch.column(batch.schema.get_field_index(name))[r].as_buffer() for name in ("gaps", "counts")}
                 ids = batch.column(batch.schema.get_field_index("ids"))[r].values
-                at = pc.index_in(q.terms.cast(one["terms"].values.type), one["terms"].values)
-                at = at.fill_null(-1).to_numpy()
+                at = pc.index_in(q.terms, _terms(batch, r)).fill_null(-1).to_numpy()
                 postings, out = Postings(shard, shard["lengths"], documents, total), []
                 for item, terms in q.items:
                     asked = [(int(at[t]), int(q.weights[t]) * n) for t, n in terms if at[t] >= 0]
@@ -297,7 +319,7 @@ def _searcher(queries, k: int, documents: int, total: int):
                     item, doc, score = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), ids.take(pa.array(doc)), pa.array(score)], names=["item", "doc_id", "score"])
 
-    return of
+    return giving_back(of)
 
 
 ORACLE = r"""

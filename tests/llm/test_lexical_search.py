@@ -3,8 +3,10 @@ import random
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from loam.llm import lexical_search as ls
+from loam.llm.common import stored
 
 DOCS = "doc_id long, text string, score string, item long, block string"
 ITEMS = "item_id long, text string, doc_id long"
@@ -88,3 +90,18 @@ def test_blocks_without_hope_stay_compressed():
     at = {t: k for k, t in enumerate(s["terms"].to_pylist())}
     found, score = ls.best(p, [(at["rare"], 8000), (at["common"], 3)], 10)
     assert len(p.block) <= 3 < s["blocks"][-1] and set(found) == set(range(100, 130)) and len(set(score)) == 1
+
+
+def test_a_reader_has_one_shard_at_a_time(spark, monkeypatch):
+    """Vectorised readers take a row group at once, so a file of many shards must not be one; values are flat, for lists become objects of the JVM."""
+    kept = {}
+    monkeypatch.setattr(ls, "stored", lambda df, name, **how: kept.setdefault(name, stored(df, name, **how)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        against_sql(spark, corpus(400), [(1, "ka ke 日本")], most_terms=100)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    shards = kept["lexical-shards"]
+    assert {t for n, t in shards.dtypes if n != "ids"} == {"string", "binary"}
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in shards.inputFiles()]
+    assert all(m.num_row_groups == m.num_rows for m in files) and max(m.num_rows for m in files) > 5
