@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import as_table, checkpointed, numbered, stored
+from .common import as_table, checkpointed, giving_back, numbered, stored
 
 #: Words that are units when they follow a number.
 UNITS = (
@@ -274,7 +274,7 @@ def window_rows(rows: DataFrame, keys: list[str], widths: dict[int, list[int]],
                             names=[*keys, "form", "width", "win", "pos", "slots"],
                         )
 
-    return rows.mapInArrow(of, f"{kinds}, form int, width int, win long, pos long, slots array<long>")
+    return rows.mapInArrow(giving_back(of), f"{kinds}, form int, width int, win long, pos long, slots array<long>")
 
 
 def contaminated_rows(

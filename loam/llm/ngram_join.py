@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import as_table, checkpointed, components, numbered, stored
+from .common import as_table, checkpointed, components, giving_back, numbered, stored
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -103,7 +103,7 @@ def signatures(rows: DataFrame, width: int, bands: int, per_band: int) -> DataFr
                 names=["doc_id", "file", "row", "hi", "lo", "n", "bands"],
             )
 
-    return rows.mapInArrow(of, f"doc_id {kind}, file long, row long, hi long, lo long, n long, bands array<long>")
+    return rows.mapInArrow(giving_back(of), f"doc_id {kind}, file long, row long, hi long, lo long, n long, bands array<long>")
 
 
 def compare(ids, copies, row, hsh, threshold: float, side, keys, band: int) -> tuple[np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokenizer as tk
-from .common import as_table, stored
+from .common import as_table, giving_back, stored
 from .textarrays import mix
 
 #: So many buckets at most, so their starts are a table small enough to broadcast.
 MOST_BUCKETS = 100_000
 
+#: So many rows of a batch are Python objects at once.
+SLICE = 1000
+
 
 def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     """A permutation of 0 .. n-1 set by ``key``, applied to the values ``x``."""
@@ -73,6 +77,12 @@ def told_apart(docs: DataFrame, crowd: int) -> DataFrame:
     return some.join(keys, same_id & F.col("h").eqNullSafe(F.col("hot_h")), "left_anti").union(dealt)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE):
+            yield batch.slice(first, SLICE)
+
+
 def packed(docs: DataFrame, length: int, vocabulary: str, bucket_docs: int = 5000, crowd: int = 1000) -> DataFrame:
     """(bucket, at, doc_ids, starts, n_tokens, tokens): ids as little-endian, unpadded; document k of a sequence starts at id ``starts[k]``.
 
@@ -86,9 +96,8 @@ def packed(docs: DataFrame, length: int, vocabulary: str, bucket_docs: int = 500
 
     def encode(batches):
         tok = tk.build(shared.value)
-        for batch in batches:
-            texts = as_table(batch, "text")
-            ids = [np.append(tok.encode(t), tok.end).astype(f"<u{width}").tobytes() if (t := x.as_py()) else None for x in texts]
+        for batch in sliced(batches):
+            ids = [np.append(tok.encode(t), tok.end).astype(f"<u{width}").tobytes() if (t := x.as_py()) else None for x in as_table(batch, "text")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=["doc_id", "h", "copy", "tokens"])
 
     def pack(batches):
@@ -107,7 +116,7 @@ def packed(docs: DataFrame, length: int, vocabulary: str, bucket_docs: int = 500
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             id_type = batch.column(1).type
             for b, doc_id, tokens in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if b != bucket:
@@ -126,9 +135,9 @@ def packed(docs: DataFrame, length: int, vocabulary: str, bucket_docs: int = 500
         if rows:
             yield flush()
 
-    made = told_apart(docs, crowd).select("doc_id", "h", "copy", "text").mapInArrow(encode, f"doc_id {kind}, h long, copy long, tokens binary").where("tokens is not null")
+    made = told_apart(docs, crowd).select("doc_id", "h", "copy", "text").mapInArrow(giving_back(encode), f"doc_id {kind}, h long, copy long, tokens binary").where("tokens is not null")
     placed = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h", "copy"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "h", "copy")
-    rows = placed.select("bucket", "doc_id", "tokens").mapInArrow(pack, f"bucket long, at long, doc_ids array<{kind}>, starts array<int>, n_tokens int, tokens binary")
+    rows = placed.select("bucket", "doc_id", "tokens").mapInArrow(giving_back(pack), f"bucket long, at long, doc_ids array<{kind}>, starts array<int>, n_tokens int, tokens binary")
     return stored(rows, "sequences")
 
 

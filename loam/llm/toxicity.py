@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import as_table, stored
+from .common import as_table, giving_back, stored
 
 #: What a sign may stand for.
 STANDS_FOR = {
@@ -78,7 +78,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["gram", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(of, "gram int, n long")
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(giving_back(of), "gram int, n long")
     counts = np.zeros(SIZE**3)
     for gram, n in rows.groupBy("gram").agg(F.sum("n")).collect():  # SIZE cubed rows at most
         counts[gram] = n
@@ -317,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
     if not n1 or not n0:
         p = (n1 + 0.1) / (n1 + n0 + 1)
         return Model(cost, np.zeros(0, np.uint64), np.zeros(0), math.log(p / (1 - p)))
-    tested = rows.mapInArrow(grams, "name long, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 2")
+    tested = rows.mapInArrow(giving_back(grams), "name long, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 2")
     share = n1 / (n1 + n0)
     n = F.col("pos") + F.col("neg")
     g = 2 * (
@@ -336,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Colum
             cuts = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(col.astype(np.int32)))], names=["y", "on"])
 
-    seen = rows.mapInArrow(sparse, "y int, on array<int>").toArrow()
+    seen = rows.mapInArrow(giving_back(sparse), "y int, on array<int>").toArrow()
     y = seen.column("y").to_numpy().astype(np.float64)
     on = seen.column("on").combine_chunks()
     on = pa.concat_arrays(on.chunks) if isinstance(on, pa.ChunkedArray) else on
@@ -359,7 +359,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             keep = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != column]
             yield pa.RecordBatch.from_arrays([*[c for c, _ in keep], pa.array(s)], names=[*[n for _, n in keep], column])
 
-    return docs.mapInArrow(of, schema)
+    return docs.mapInArrow(giving_back(of), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loam.llm import common
 from loam.llm import token_counts as tc
 from loam.llm import token_output as to
 from loam.llm import tokenizer as tk
@@ -215,3 +217,38 @@ def test_training_order_equals_plain_packing(spark, tok):
     want = {plain_slot(k, n, key): (own, starts, len(ids), ids + [tok.end] * (length - len(ids))) for k, (own, starts, ids) in enumerate(sequences)}
     got = {r["slot"]: (r["doc_ids"], r["starts"], r["n_tokens"], np.frombuffer(r["tokens"], "<u2").tolist()) for r in to.training_order(docs, length, key=key).collect()}
     assert got == want and n > 5
+
+
+def test_tasks_hold_few_rows_and_give_memory_back(spark, monkeypatch):
+    """Each task of ``packed`` makes Python objects of a slice of its batch, and gives back what it freed when it ends."""
+    tasks, given = [], []
+    made = type(spark.range(1))
+    monkeypatch.setattr(made, "mapInArrow", lambda self, f, *how, was=made.mapInArrow: tasks.append(f) or was(self, f, *how))
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    rows = [(i, f"text {i} " * 5) for i in range(2 * to.SLICE + 7)]
+    to.packed(spark.createDataFrame(rows, "doc_id long, text string"), 64, tk.VOCABULARY)
+    encode, pack = tasks
+    ids, texts = (list(x) for x in zip(*rows, strict=True))
+    out = list(encode(iter([pa.RecordBatch.from_pydict({"doc_id": ids, "h": ids, "copy": ids, "text": texts})])))
+    assert [b.num_rows for b in out] == [to.SLICE, to.SLICE, 7] and len(given) == 1
+    list(pack(iter([pa.RecordBatch.from_pydict({"bucket": ids, "doc_id": ids, "tokens": pa.array([b"\0\0"] * len(ids), pa.binary())})])))
+    assert len(given) == 2
+
+
+def test_freed_memory_goes_back():
+    def held() -> float:
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon")) / 1024
+
+    def task(batches):
+        for batch in batches:
+            made = [bytes(1000) for _ in range(200_000)]
+            pins.append(made[-1])  # what lies above what is freed keeps it from going back by itself
+            yield batch
+
+    pins: list[bytes] = []
+    before = held()
+    for run, most in ((task, None), (common.giving_back(task), 60)):
+        assert len(list(run(iter([1])))) == 1
+        left = held() - before
+        assert left > 100 if most is None else left < most
