@@ -22,7 +22,7 @@ def select(relevance: np.ndarray, vectors: np.ndarray, k: int, lam: float) -> li
     Lazy: what a candidate is worth only falls as more are picked, so an old value bounds it from above, and only the candidate with the greatest
     bound is compared with the picks it has not met. Ties go to the lower index.
     """
-    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    length = np.array([np.linalg.norm(v) for v in vectors]).reshape(-1, 1)  # as dot products sum: along an axis the last bit depends on the machine, and ties on it
     unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
     near, met, picked = np.zeros(len(relevance)), np.zeros(len(relevance), int), []
     heap = [(-float(r), i) for i, r in enumerate(relevance)]
