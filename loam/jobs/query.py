@@ -142,7 +142,7 @@ def ask_many(
     """(query_id, rank, collection_id, rel_path, chunk_index, chunk_id, score, content_score, tag_score): what ``ask`` says to each of ``queries(query_id, text, path, tags)``.
 
     The columns path and tags may be missing. All queries are embedded in tasks; blocks of ``most_queries`` of them go against all chunks at once, as ``search.masked_topk`` does, and the
-    stages after that are grouped by query. A null or blank text, and a path that is not indexed, have no results; ids must be unique.
+    stages after that are grouped by query. Hits rank by ``search.level``, their scores to nine decimals, then by path, number and id. A null or blank text, and a path that is not indexed, have no results; ids must be unique.
     With MMR or re-ranking the results have their columns too.
     """
     from loam.operators import diversify, lexical
@@ -163,18 +163,25 @@ def ask_many(
     asked.write.parquet(f"{folder}/asked")  # tags are extracted once
     asked = spark.read.parquet(f"{folder}/asked")
     rounds = max(1, -(-asked.count() // most_queries))
+    paths = asked.select("path").distinct().where("path <> ''")
+    found = longest_prefix(paths, roots).select("path", "root").union(descendants(paths, roots)).join(roots, "root").select("path", "collection_id")
+    found.write.parquet(f"{folder}/scopes")
+    found = spark.read.parquet(f"{folder}/scopes")
+    for n, (_, model, _) in enumerate(kinds):  # embedded once, in the rounds in which they are asked
+        made = em.with_vectors(asked, model, "text", **embedder_options).join(em.tag_vectors(asked.select("query_id", F.col("query_tags").alias("tags")), ["query_id"], model, **embedder_options), "query_id", "left")
+        block = made.select("query_id", "path", "tags", F.col("vector").cast("array<double>").alias("vector"), F.col("tag_vector").cast("array<double>").alias("tag_vector"), F.pmod(F.xxhash64("query_id"), F.lit(rounds)).alias("round"))
+        block.repartition(min(rounds, spark.sparkContext.defaultParallelism), "round").write.partitionBy("round").parquet(f"{folder}/vectors-{n}")
     for r in range(rounds):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)
-        paths = part.select("path").distinct().where("path <> ''")
-        found = longest_prefix(paths, roots).select("path", "root").union(descendants(paths, roots)).join(roots, "root").select("path", "collection_id")
-        scopes_of: dict[str, set[str]] = {"": everywhere}
-        for path, c in found.toArrow().to_pandas().itertuples(index=False, name=None):  # the paths of a block, with a few collections each
-            scopes_of.setdefault(path, set()).add(c)
-        for (_, model, dim), own in kinds.items():
-            made = em.with_vectors(part, model, "text", **embedder_options).join(em.tag_vectors(part.select("query_id", F.col("query_tags").alias("tags")), ["query_id"], model, **embedder_options), "query_id", "left")
-            block = made.select("query_id", "path", "tags", F.size("query_tags").alias("n_tags"), F.col("vector").cast("array<double>").alias("vector"), F.col("tag_vector").cast("array<double>").alias("tag_vector")).toArrow()
+        for n, ((_, model, dim), own) in enumerate(kinds.items()):
+            # by the folder's name: the whole is one listing for each round otherwise
+            fs, p = store._at(f"{folder}/vectors-{n}/round={r}")
+            block = spark.read.parquet(f"{folder}/vectors-{n}/round={r}").toArrow() if fs.exists(p) else pa.table({})
             if not block.num_rows:
                 continue
+            scopes_of: dict[str, set[str]] = {"": everywhere}
+            named = F.broadcast(spark.createDataFrame(pa.table({"path": pc.unique(block.column("path"))})))  # the paths of a block, with a few collections each
+            for path, c in found.join(named, "path", "left_semi").toArrow().to_pandas().itertuples(index=False, name=None):
+                scopes_of.setdefault(path, set()).add(c)
             hits = _block_hits(store, block, dim, model, own, scopes_of, o, carry)
             names = spark.createDataFrame(pa.table({"query": pa.array(range(block.num_rows), pa.int32()), "query_id": block.column("query_id").combine_chunks()}))
             vectors = pa.table({"query": pa.array(range(block.num_rows), pa.int32()), "query_vector": block.column("vector").combine_chunks()})
@@ -186,7 +193,8 @@ def ask_many(
     schema = search.HIT.replace("query int", f"query_id {queries.schema['query_id'].dataType.simpleString()}") + more + (", query_vector array<double>" if "vector" in carry else "")
     fs, p = store._at(f"{folder}/hits")
     hits = spark.read.schema(schema).parquet(f"{folder}/hits") if fs.exists(p) else spark.createDataFrame([], schema)
-    marked = search.flagged(search.top(hits, o.window, "query_id", "collection_id").drop("rank"), o, "query_id")
+    # dealt once, by the query: all windows below are within one
+    marked = search.flagged(search.top(hits.repartition("query_id"), o.window, "query_id", "collection_id", score="level").drop("rank"), o, "query_id", score="level")
     single = marked.where("single").drop("passed", "single")
     shown = ["query_id", "rank", "collection_id", "rel_path", "chunk_index", "chunk_id", "score", "content_score", "tag_score"]
     if o.rerank == "bm25":
@@ -195,7 +203,7 @@ def ask_many(
         return search.top(scored, o.limit, "query_id").select(*shown, "bm25_score", "bm25_norm", "semantic_norm", "pre_rerank_score")
     if "vector" in carry and len(kinds) == 1:
         return diversify.mmr_batch(single, "query_id", o.limit, o.mmr_lambda).select(*shown, "mmr_relevance")
-    return search.top(single, o.limit, "query_id").select(*shown)
+    return search.top(single, o.limit, "query_id", score="level").select(*shown)
 
 
 def _block_hits(store: Store, block: pa.Table, dim: int, model: str, own: list[Collection], scopes_of: dict[str, set[str]], o: search.Options, carry: Sequence[str]) -> DataFrame:
@@ -215,7 +223,7 @@ def _block_hits(store: Store, block: pa.Table, dim: int, model: str, own: list[C
     scope = np.array([[c in scopes_of.get(p, ()) for c in ids] for p in block.column("path").to_pylist()], bool)
     fused = block.column("tag_vector").is_valid().to_numpy() & (o.tag_weight > 0)
     asked = search.Asked(
-        search._matrix(one("vector"), dim), search._matrix(one("tag_vector"), dim), fused, scope, ids, paths, np.array([at[p] for p in block.column("path").to_pylist()]), tags, wanted
+        search._numbers(one("vector"), dim), search._numbers(one("tag_vector"), dim), fused, scope, ids, paths, np.array([at[p] for p in block.column("path").to_pylist()]), tags, wanted
     )
     return search.masked_topk(store.chunks(only=[c for c, used in zip(ids, scope.any(axis=0), strict=True) if used]), asked, o.window, o.tag_weight, carry)
 

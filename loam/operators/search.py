@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from loam.functions import text as tx
 from loam.functions import vectors as vx
 
-def order() -> list[Column]:
-    return [F.desc("score"), F.asc("rel_path"), F.asc("chunk_index"), F.asc("chunk_id")]
+def order(score: str = "score") -> list[Column]:
+    return [F.desc(score), F.asc("rel_path"), F.asc("chunk_index"), F.asc("chunk_id")]
 
 
 @dataclass(frozen=True)
@@ -69,15 +69,15 @@ def scored(chunks: DataFrame, query: Sequence[float], query_tags: Sequence[float
     return out.withColumn("score", vx.fused(F.col("content_score"), F.col("tag_score"), tag_weight))
 
 
-def ranked(df: DataFrame, *by: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order())).cast("int"))
+def ranked(df: DataFrame, *by: str, score: str = "score") -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order(score))).cast("int"))
 
 
-def top(df: DataFrame, k: int, *by: str) -> DataFrame:
+def top(df: DataFrame, k: int, *by: str, score: str = "score") -> DataFrame:
     """The first ``k`` of each group, ranked; without groups a bounded heap per task instead of a window."""
     if by:
-        return ranked(df, *by).where(F.col("rank") <= k)
-    return ranked(df.orderBy(*order()).limit(k))
+        return ranked(df, *by, score=score).where(F.col("rank") <= k)
+    return ranked(df.orderBy(*order(score)).limit(k), score=score)
 
 
 def threshold(df: DataFrame, alpha: float, delta: float, *by: str) -> DataFrame:
@@ -147,13 +147,19 @@ def batch_topk(chunks: DataFrame, queries: DataFrame, k: int, most_queries: int
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     """The lists as unit rows; one that is not ``dim`` numbers is a row of zeros."""
+    out = _numbers(lists, dim)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _numbers(lists: pa.Array, dim: int) -> np.ndarray:
+    """The lists as rows; one that is not ``dim`` numbers is a row of zeros."""
     out = np.zeros((len(lists), dim))
     offsets = np.asarray(lists.offsets)
     values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
     fine = np.flatnonzero((np.diff(offsets) == dim) & np.asarray(lists.is_valid()))
     out[fine] = values[offsets[fine][:, None] + np.arange(dim)]
     out[~np.isfinite(out).all(axis=1)] = 0
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+    return out
 
 
 def _plain(ids: pa.Array) -> np.ndarray:
@@ -199,108 +205,198 @@ def _nearest(shared, k: int, block_bytes: int, exclude_self: bool):
 class Asked:
     """A block of queries of one kind of collection: what a task needs to answer them."""
 
-    vectors: np.ndarray  # unit rows
-    tag_vectors: np.ndarray  # unit rows, zeros for a query without tags
+    vectors: np.ndarray  # rows, zeros for one that is no vector of the collection's length
+    tag_vectors: np.ndarray  # rows, zeros for a query without tags
     fused: np.ndarray  # has the query a tag vector?
     scopes: np.ndarray  # queries x collections
     collections: list[str]
     paths: list[str]  # distinct prefixes
-    path: np.ndarray  # the prefix of each query, -1 for none
+    path: np.ndarray  # the prefix of each query, len(paths) or -1 for none
     tags: list[str]  # distinct tags that are asked for
     wanted: np.ndarray  # queries x tags
 
 
-HIT = "query int, collection_id string, rel_path string, chunk_index int, chunk_id string, content_score double, tag_score double, score double"
+HIT = "query int, collection_id string, rel_path string, chunk_index int, chunk_id string, content_score double, tag_score double, score double, level double"
+
+
+def level(score: np.ndarray) -> np.ndarray:
+    """Scores to nine decimals, by which the hits of a batch rank: vectors of one direction score alike but for the last bits, so they tie here and their places decide."""
+    return np.copysign(np.floor(np.abs(score) * 1e9 + 0.5), score) / 1e9
 
 
-def _cosines(units: np.ndarray, lists: pa.Array) -> np.ndarray:
-    return units @ _matrix(lists, units.shape[1]).T
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, so that equal rows have equal products wherever they stand."""
+    return (a * b).sum(axis=1)
+
+
+def _over(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return np.divide(x, by, out=np.zeros(x.shape), where=by > 0)
 
 
 def masked_topk(chunks: DataFrame, asked: Asked, k: int, tag_weight: float, carry: Sequence[str] = (), block_bytes: int = 1 << 26) -> DataFrame:
     """``HIT`` and the columns ``carry``: the ``k`` best chunks of every query in each of its collections, among those under its path that have all its tags.
 
-    The queries go to every task. A block of chunks, whose scores with all queries fill ``block_bytes``, is a matrix product, and masks of bits
-    take out what a query does not ask for; a task keeps ``k`` rows a query and collection, ties by path, number and id. The caller ends it with a window.
+    The queries go to every task. Of a block of chunks, whose scores with all queries would fill ``block_bytes``, each distinct vector is scored once, for the queries of one path and one set of
+    tags over the chunks that these allow. Products in single precision only pass over what lies below a query's floor, the k-th best that the task has found for it so far, by more than their
+    error; all else is scored in double precision. A task keeps ``k`` rows a query and collection, by level, path, number and id. The caller ends it with a window.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(asked)
     place = [("rel_path", "ascending"), ("chunk_index", "ascending"), ("chunk_id", "ascending")]
     names = ["collection_id", "rel_path", "chunk_index", "chunk_id", "tags", "vector", "tag_vector", *carry]
-
-    def best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, column) of the k greatest of each row, the first of equals; -inf is none."""
-        if s.shape[1] > k:
-            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
-            ties = (s == least) & np.isfinite(s)
-            room = k - (s > least).sum(axis=1, keepdims=True)
-            return np.nonzero((s > least) | (ties & (np.cumsum(ties, axis=1) <= room)))
-        return np.nonzero(np.isfinite(s))
+    shown = list(dict.fromkeys(["collection_id", "rel_path", "chunk_index", "chunk_id", *carry]))
 
     def of(batches):
-        a = shared.value
-        held, size = [], 0
+        a, best = shared.value, _Best(k, place)
+        dims = a.vectors.shape[1], a.tag_vectors.shape[1]
+        lengths, tag_lengths = (np.sqrt(_dots(x, x)) for x in (a.vectors, a.tag_vectors))
+        content, tag = _over(a.vectors, lengths[:, None]), _over(a.tag_vectors, tag_lengths[:, None])
+        some = bool(a.fused.any())
+        w = np.where(a.fused, tag_weight, 0.0)[:, None]
+        plain = np.hstack([content, np.zeros(tag.shape)] if some else [content]).astype(np.float32)
+        mixed = np.hstack([(1 - w) * content, w * tag]).astype(np.float32) if some else plain
+        slack = 1.2e-7 * (sum(dims) + 8) + 2e-9  # twice the error of a product of unit rows, and of a level
+        floor = np.full((len(a.vectors), len(a.collections)), -np.inf)
+        groups: dict[tuple, list[int]] = {}
+        for i, (p, x) in enumerate(zip(a.path.tolist(), a.wanted, strict=True)):
+            groups.setdefault((p % (len(a.paths) + 1), x.tobytes()), []).append(i)
+        alike = [(p, np.flatnonzero(a.wanted[own[0]]), np.array(own)) for (p, _), own in groups.items()]
+        block = max(1, block_bytes // (8 * max(1, len(a.vectors))))
 
-        def cut() -> pa.Table:
-            t = pa.concat_tables(held)
-            t = t.take(pc.sort_indices(t, [("query", "ascending"), ("collection_id", "ascending"), ("score", "descending"), *place]))
-            query, where = t.column("query").to_numpy(), t.column("collection_id").combine_chunks().dictionary_encode().indices.to_numpy()
-            new = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (where[1:] != where[:-1]))) if len(query) else np.zeros(0, int)
-            nth = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query))))
-            return t.filter(pa.array(nth < k))
+        def exact(q: np.ndarray, x: np.ndarray, v, t, there) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(content score, tag score or NaN, score) of pairs of queries and rows."""
+            both = a.fused[q] & there[x]
+            told = np.full(len(q), np.nan)
+            said = np.empty(len(q))
+            step = max(1, (1 << 22) // max(1, sum(dims)))
+            for lo in range(0, len(q), step):
+                i, j = q[lo : lo + step], x[lo : lo + step]
+                said[lo : lo + step] = _over(_dots(a.vectors[i], v[0][j]), lengths[i] * v[1][j])
+                i, j, at = i[both[lo : lo + step]], j[both[lo : lo + step]], lo + np.flatnonzero(both[lo : lo + step])
+                told[at] = _over(_dots(a.tag_vectors[i], t[0][j]), tag_lengths[i] * t[1][j])
+            return said, told, np.where(both, (1 - tag_weight) * said + tag_weight * np.where(both, told, 0.0), said)
 
-        block = max(1, block_bytes // (8 * max(1, len(a.vectors))))
         for batch in batches:
-            for lo in range(0, batch.num_rows, block):
-                t = pa.Table.from_batches([batch.slice(lo, block)])
-                t = t.take(pc.sort_indices(t, place)).combine_chunks()
-                col = lambda c, t=t: t.column(c).combine_chunks()
+            for lo in range(0, batch.num_rows if len(a.vectors) else 0, block):
+                table = pa.Table.from_batches([batch.slice(lo, block)])
+                table = table.take(pc.sort_indices(table, place)).combine_chunks()
+                col = lambda c, table=table: table.column(c).combine_chunks()
                 where = pc.index_in(col("collection_id"), pa.array(a.collections, pa.string())).fill_null(-1).to_numpy()
-                paths, lists = col("rel_path"), col("tags")
-                under = np.zeros((len(a.paths) + 1, t.num_rows), bool)
-                under[-1] = True
-                for j, p in enumerate(a.paths):
-                    under[j] = pc.or_(pc.equal(paths, p), pc.starts_with(paths, p + "/")).to_numpy(zero_copy_only=False)
-                allowed = under[a.path]
+                paths, lists, under = col("rel_path"), col("tags"), {len(a.paths): np.ones(table.num_rows, bool)}
+                v = _lengthed(col("vector"), dims[0])
+                t = _lengthed(col("tag_vector"), dims[1]) if some else (np.zeros((table.num_rows, dims[1])), np.zeros(table.num_rows))
+                there = np.asarray(pc.equal(pc.list_value_length(col("tag_vector")), dims[1]).fill_null(False)) & some
+                whole = np.ascontiguousarray(np.hstack([v[0], t[0], there[:, None]]))
+                first, same = np.unique(whole.view(np.dtype((np.void, whole.dtype.itemsize * whole.shape[1]))).ravel(), return_index=True, return_inverse=True)[1:]
+                same = same.ravel()
+                in_turn = np.argsort(same, kind="stable")  # equal vectors together, each in the order of places
+                units = np.hstack([_over(v[0][first], v[1][first][:, None]), *([_over(t[0][first], t[1][first][:, None])] if some else [])]).astype(np.float32)
+                has = np.zeros((len(a.tags), table.num_rows), bool)
                 if a.tags:
-                    has = np.zeros((len(a.tags), t.num_rows), bool)
                     each = pc.index_in(lists.flatten(), pa.array(a.tags, pa.string())).fill_null(-1).to_numpy()
-                    own = pc.list_parent_indices(lists).to_numpy()
-                    has[each[each >= 0], own[each >= 0]] = True
-                    allowed &= (a.wanted.astype(np.int32) @ (~has).astype(np.int32)) == 0
-                content = _cosines(a.vectors, col("vector"))
-                tag = np.full(content.shape, np.nan)
-                if a.fused.any():
-                    vectors = col("tag_vector")
-                    there = np.asarray(pc.equal(pc.list_value_length(vectors), a.tag_vectors.shape[1]).fill_null(False))
-                    both = a.fused[:, None] & there[None, :]
-                    tag[both] = _cosines(a.tag_vectors, vectors)[both]
-                score = np.where(np.isnan(tag), content, (1 - tag_weight) * content + tag_weight * tag)
+                    owner = pc.list_parent_indices(lists).to_numpy()
+                    has[each[each >= 0], owner[each >= 0]] = True
+                found = []
                 for c in np.unique(where[where >= 0]).tolist():
-                    at = np.flatnonzero(where == c)
-                    s = np.where(allowed[:, at] & a.scopes[:, c, None], score[:, at], -np.inf)
-                    q, j = best(s)
-                    if not len(q):
-                        continue
-                    found = t.take(pa.array(at[j])).drop_columns([n for n in ("tags", "vector", "tag_vector") if n not in carry])
-                    for name, values in (("score", score), ("tag_score", tag), ("content_score", content)):
-                        v = values[q, at[j]]
-                        found = found.append_column(name, pa.array(v, pa.float64(), mask=np.isnan(v)))
-                    held.append(found.append_column("query", pa.array(q, pa.int32())))
-                    size += len(q)
-                if size > 200_000:
-                    held = [cut()]
-                    size = max(0, held[0].num_rows - 100_000)
-        if held:
-            order = [c.split()[0] for c in HIT.split(", ")] + list(carry)
-            yield from cut().select(order).to_batches(max_chunksize=10_000)
+                    for p, tags, own in alike:
+                        queries = own[a.scopes[own, c]]
+                        if not len(queries):
+                            continue
+                        if p not in under:
+                            under[p] = pc.or_(pc.equal(paths, a.paths[p]), pc.starts_with(paths, a.paths[p] + "/")).to_numpy(zero_copy_only=False)
+                        ok = (where == c) & under[p]
+                        if len(tags):
+                            ok &= has[tags].all(axis=0)
+                        rows = in_turn[ok[in_turn]]
+                        if not len(rows):
+                            continue
+                        start = np.flatnonzero(np.append(True, np.diff(same[rows]) != 0))
+                        count = np.minimum(np.diff(np.append(start, len(rows))), k)
+                        vector = same[rows[start]]
+                        for matrix, those in ((mixed, there[first[vector]]), (plain, ~there[first[vector]])):
+                            at = np.flatnonzero(those)
+                            if not len(at):
+                                continue
+                            x = units[vector[at]].T
+                            step = max(1, (1 << 20) // len(at))
+                            for n in range(0, len(queries), step):
+                                q = queries[n : n + step]
+                                near = matrix[q] @ x
+                                least = floor[q, c] - slack
+                                if len(at) > k and np.isneginf(least).any():
+                                    least = np.maximum(least, np.partition(near, len(at) - k, axis=1)[:, len(at) - k] - 2 * slack)
+                                i, j = np.divmod(np.flatnonzero(near >= least[:, None].astype(np.float32)), len(at))
+                                said, told, score = exact(q[i], first[vector[at[j]]], v, t, there)
+                                high = level(score)
+                                fine = np.flatnonzero(high >= floor[q[i], c])
+                                i, j = i[fine], at[j[fine]]
+                                times = count[j]
+                                again = np.repeat(np.arange(len(fine)), times)
+                                nth = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+                                found.append((q[i][again], np.full(len(again), c), rows[start[j][again] + nth], *(z[fine][again] for z in (said, told, score, high))))
+                if found:
+                    best.add(table.select(shown), [np.concatenate(z) for z in zip(*found, strict=True)], floor)
+        yield from best.told(floor, a.collections, carry)
 
     more = "".join(f", `{c}` {chunks.schema[c].dataType.simpleString()}" for c in carry)
     return chunks.select(*dict.fromkeys(names)).mapInArrow(of, HIT + more)
 
 
-def flagged(kept: DataFrame, o: Options, *by: str) -> DataFrame:
-    """``kept``, which a query's window bounds, with ``passed`` (the threshold) and ``single`` (passed, and the best of its file): one pass over it."""
-    place = W.partitionBy(*by).orderBy(*order())
+def _lengthed(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists as rows, zeros for one that is not ``dim`` numbers, and the rows' lengths."""
+    rows = _numbers(lists, dim)
+    return rows, np.sqrt(_dots(rows, rows))
+
+
+class _Best:
+    """The best rows of a task by query and collection: pairs as numbers, and the chunks they name once each."""
+
+    def __init__(self, k: int, place: list[tuple[str, str]]):
+        self.k, self.place, self.chunks, self.held, self.new, self.size = k, place, None, None, [], 0
+
+    def add(self, chunks: pa.Table, found: list[np.ndarray], floor: np.ndarray) -> None:
+        """``found``: query, collection, row of ``chunks``, content score, tag score, score and level."""
+        named, found[2] = np.unique(found[2], return_inverse=True)
+        if not len(named):
+            return
+        found[2] = found[2].ravel() + (self.chunks.num_rows if self.chunks else 0)
+        own = chunks.take(pa.array(named))
+        self.chunks = pa.concat_tables([self.chunks, own]) if self.chunks else own
+        self.new.append(found)
+        self.size += len(found[0])
+        if self.size > max(20_000, len(self.held[0]) if self.held else 0):
+            self.cut(floor)
+
+    def cut(self, floor: np.ndarray) -> None:
+        held = [np.concatenate(z) for z in zip(*([self.held] if self.held else []), *self.new, strict=True)]
+        rank = np.empty(self.chunks.num_rows, np.int64)
+        rank[pc.sort_indices(self.chunks, self.place).to_numpy()] = np.arange(len(rank))
+        order = np.lexsort((rank[held[2]], -held[6], held[1], held[0]))
+        query, where = held[0][order], held[1][order]
+        new = np.flatnonzero(np.append(True, (np.diff(query) != 0) | (np.diff(where) != 0)))
+        nth = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query))))
+        last = order[nth == self.k - 1]
+        floor[held[0][last], held[1][last]] = held[6][last]
+        self.held = [z[order[nth < self.k]] for z in held]
+        named, self.held[2] = np.unique(self.held[2], return_inverse=True)
+        self.held[2] = self.held[2].ravel()
+        self.chunks = self.chunks.take(pa.array(named)).combine_chunks()
+        self.new, self.size = [], 0
+
+    def told(self, floor: np.ndarray, collections: list[str], carry: Sequence[str], most: int = 10_000):
+        if self.new:
+            self.cut(floor)
+        columns = [c.split()[0] for c in HIT.split(", ")] + list(carry)
+        for lo in range(0, len(self.held[0]) if self.held else 0, most):
+            query, _, row, said, told, score, high = (z[lo : lo + most] for z in self.held)
+            rows = self.chunks.take(pa.array(row))
+            for name, values in (("content_score", said), ("tag_score", told), ("score", score), ("level", high)):
+                rows = rows.append_column(name, pa.array(values, pa.float64(), mask=np.isnan(values)))
+            yield from rows.append_column("query", pa.array(query, pa.int32())).select(columns).combine_chunks().to_batches()
+
+
+def flagged(kept: DataFrame, o: Options, *by: str, score: str = "score") -> DataFrame:
+    """``kept``, which a query's window bounds, with ``passed`` (the threshold) and ``single`` (passed, and the best of its file): one pass over it, in the order of the column ``score``."""
+    place = W.partitionBy(*by).orderBy(*order(score))
     top_score = F.first("score").over(place)
     keep = F.lit(True)
     if o.alpha > 0:
@@ -310,7 +406,7 @@ def flagged(kept: DataFrame, o: Options, *by: str) -> DataFrame:
     out = kept.withColumn("passed", (F.row_number().over(place) == 1) | keep)
     if not o.unique_files:
         return out.withColumn("single", F.col("passed"))
-    return out.withColumn("single", F.col("passed") & (F.row_number().over(W.partitionBy(*by, "rel_path", "passed").orderBy(*order())) == 1))
+    return out.withColumn("single", F.col("passed") & (F.row_number().over(W.partitionBy(*by, "rel_path", "passed").orderBy(*order(score))) == 1))
 
 
 def windowed(hits: DataFrame, o: Options) -> DataFrame:

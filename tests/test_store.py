@@ -254,6 +254,46 @@ def test_many_queries_are_answered_as_each_one_is(spark, tmp_path):
     assert ask.ask_many(store, queries.limit(0), root_exists=lambda _: True).count() == 0
 
 
+def test_many_queries_rank_texts_of_one_direction_by_path(spark, tmp_path):
+    """Their scores differ in the last bits, which depend on the lengths; to nine decimals they are one."""
+    store = Store(spark, str(tmp_path / "store"))
+    scan(store, files(spark, **{f"f{k:02d}": "go go vector vector vector yaml " * (1 + 7 * k % 40) for k in range(40)}))
+    queries = spark.createDataFrame([("a", "go vector"), ("b", "yaml go go"), ("c", "go go vector vector vector yaml")], "query_id string, text string")
+    for o in (search.Options(limit=40, window=40), search.Options(limit=12, window=12)):
+        got = ask.ask_many(store, queries, o, root_exists=lambda _: True).collect()
+        for q in "abc":
+            assert [r["rel_path"][-3:] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [f"f{k:02d}" for k in range(o.limit)]
+
+
+def test_masked_topk_keeps_what_single_precision_cannot_tell_apart(spark):
+    """Against plain sums: near and equal vectors, tags, prefixes, tag vectors of some, in blocks of few rows."""
+    rng = np.random.RandomState(3)
+    base = rng.standard_normal((6, 5))
+    rows = []
+    for k in range(400):
+        v = base[k % 6] * (1 + k % 4) + (0 if k % 3 else 1e-6 * rng.standard_normal(5))
+        t = None if k % 5 == 0 else rng.standard_normal((3, 2))[k % 3].round(1).tolist()
+        rows.append((f"c{k % 2}", f"p{k % 3}/{k:03d}", 0, f"{k:04d}", ["t"] if k % 4 else ["t", "u"], None if k % 50 == 7 else v.tolist(), t))
+    chunks = spark.createDataFrame(rows, "collection_id string, rel_path string, chunk_index int, chunk_id string, tags array<string>, vector array<double>, tag_vector array<double>").repartition(3)
+    n = 12
+    q, tq, fused = base[rng.randint(6, size=n)] + 1e-7 * rng.standard_normal((n, 5)), rng.standard_normal((n, 2)), np.arange(n) % 2 == 0
+    scopes, path, wanted = np.arange(n)[:, None] % 3 != np.array([[1, 2]]), np.where(np.arange(n) % 4 == 0, 0, 1), (np.arange(n) % 5 == 0)[:, None]
+    asked = search.Asked(q, tq * fused[:, None], fused, scopes, ["c0", "c1"], ["p1"], path, ["u"], wanted)
+    got: dict[tuple, list] = {}
+    for r in search.top(search.masked_topk(chunks, asked, 7, 0.4, block_bytes=8 * n * 30), 7, "query", "collection_id", score="level").collect():
+        got.setdefault((r["query"], r["collection_id"]), []).append((r["rank"], r["chunk_id"], round(r["score"], 12)))
+    cos = lambda a, b: float(np.dot(a, b) / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-300))
+    for i in range(n):
+        for c in (0, 1):
+            own = []
+            for collection, rel_path, _, chunk_id, tags, v, t in rows:
+                if collection == f"c{c}" and scopes[i, c] and (path[i] or rel_path.startswith("p1/")) and (not wanted[i, 0] or "u" in tags):
+                    score = 0.0 if v is None else cos(q[i], v)
+                    own.append((0.6 * score + 0.4 * cos(tq[i], t) if fused[i] and t is not None else score, rel_path, chunk_id))
+            own.sort(key=lambda x: (-round(x[0], 9), x[1]))
+            assert sorted(got.get((i, f"c{c}"), [])) == [(k, x[2], round(x[0], 12)) for k, x in enumerate(own[:7], 1)], (i, c)
+
+
 def test_masked_topk_keeps_ties_in_order(spark):
     """Many equal scores, small blocks and several tasks: the first by path, number and id stay."""
     rows = [(f"c{k % 2}", f"p{k % 7}", k % 3, f"{k:04d}", ["t"], [1.0, float(k % 2 == 0)], None) for k in range(500)]
