@@ -15,9 +15,13 @@ TOKEN = rf"[{CJK}]|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+"
 FRONT_MATTER = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)"
 
 
+#: Fixed value: the characters with Unicode's property White_Space.
+SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; what lies between is not looked at."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def tokens(c: Column) -> Column:

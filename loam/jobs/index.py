@@ -369,6 +369,8 @@ def scan(
         made = provider.chunks(todo.select(*KEYS, "content", "file_hash"), splitter, recipe.hash(), ("collection_id",), **(provider_options or {}))
         made = em.with_vectors(made, recipe.model, provider.embeds, **embedder_options)
         if tag_extractor is not None:
+            made.write.parquet(f"{aside}/parsed")  # tags are made of it in several steps, each of which would parse and embed again
+            made = spark.read.parquet(f"{aside}/parsed")
             made = em.with_tag_vectors(made, KEYS, recipe.model, tag_extractor, extractor_options=extractor_options, **embedder_options)
         else:
             made = made.withColumns({"semantic_tags": F.lit(None).cast("array<string>"), "tag_vector": F.lit(None).cast("array<float>")})

@@ -137,12 +137,12 @@ def _tagged_queries(queries: DataFrame, o: search.Options, file_type: str, extra
 
 def ask_many(
     store: Store, queries: DataFrame, options: search.Options = search.Options(), file_type: str = "markdown", tag_extractor: str | None = None, extractor_options: dict | None = None,
-    no_tag: bool = False, root_exists: Callable[[str], bool] = os.path.isdir, most_queries: int = 2000, **embedder_options,
+    no_tag: bool = False, root_exists: Callable[[str], bool] = os.path.isdir, most_queries: int | None = None, **embedder_options,
 ) -> DataFrame:
     """(query_id, rank, collection_id, rel_path, chunk_index, chunk_id, score, content_score, tag_score): what ``ask`` says to each of ``queries(query_id, text, path, tags)``.
 
-    The columns path and tags may be missing. All queries are embedded in tasks; blocks of ``most_queries`` of them go against all chunks at once, as ``search.masked_topk`` does, and the
-    stages after that are grouped by query. Hits rank by ``search.level``, their scores to nine decimals, then by path, number and id. A null or blank text, and a path that is not indexed, have no results; ids must be unique.
+    The columns path and tags may be missing. All queries are embedded in tasks; blocks of ``most_queries`` of them (unless given, as many as have two million rows in all their windows, but 2000 to 20,000) go
+    against all chunks at once, as ``search.masked_topk`` does, and the stages after that are grouped by query. Hits rank by ``search.level``, their scores to nine decimals, then by path, number and id. A null or blank text, and a path that is not indexed, have no results; ids must be unique.
     With MMR or re-ranking the results have their columns too.
     """
     from loam.operators import diversify, lexical
@@ -162,7 +162,7 @@ def ask_many(
     folder = f"{store.root}/staging/queries-{uuid.uuid4().hex}"
     asked.write.parquet(f"{folder}/asked")  # tags are extracted once
     asked = spark.read.parquet(f"{folder}/asked")
-    rounds = max(1, -(-asked.count() // most_queries))
+    rounds = max(1, -(-asked.count() // (most_queries or min(max(2_000_000 // (o.window * max(1, len(known))), 2000), 20_000))))
     paths = asked.select("path").distinct().where("path <> ''")
     found = longest_prefix(paths, roots).select("path", "root").union(descendants(paths, roots)).join(roots, "root").select("path", "collection_id")
     found.write.parquet(f"{folder}/scopes")

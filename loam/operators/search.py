@@ -233,7 +233,7 @@ def _over(x: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.divide(x, by, out=np.zeros(x.shape), where=by > 0)
 
 
-def masked_topk(chunks: DataFrame, asked: Asked, k: int, tag_weight: float, carry: Sequence[str] = (), block_bytes: int = 1 << 26) -> DataFrame:
+def masked_topk(chunks: DataFrame, asked: Asked, k: int, tag_weight: float, carry: Sequence[str] = (), block_bytes: int = 1 << 28) -> DataFrame:
     """``HIT`` and the columns ``carry``: the ``k`` best chunks of every query in each of its collections, among those under its path that have all its tags.
 
     The queries go to every task. Of a block of chunks, whose scores with all queries would fill ``block_bytes``, each distinct vector is scored once, for the queries of one path and one set of

@@ -27,6 +27,20 @@ def test_identities(spark):
     assert tuple(ids) == ("6fdb92d73ed94d13055de07d55229929", "faba04d4bf42ca416e1e7304d448f856")
 
 
+def test_strip_looks_at_the_ends_only(spark):
+    """All white space that Unicode has, as the pattern took it off, and a run within a text that would keep a pattern busy for minutes."""
+    import time
+
+    from loam.functions import text as tx
+
+    ends = [chr(n) for n in range(0x3100) if not 0xD800 <= n < 0xE000] + ["", "\ufeff", "\U0001f600", " \u3000\n\u0085"]
+    df = spark.createDataFrame([(e + "x" + e,) for e in ends] + [(e,) for e in ends] + [(None,)], "t string")
+    assert df.where(~tx.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    long = spark.range(1).select(F.concat(F.lit(" a"), F.repeat(F.lit(" "), 500_000), F.lit("b\n")).alias("t"))
+    began = time.time()
+    assert long.select(F.length(tx.strip(F.col("t")))).first()[0] == 500_002 and time.time() - began < 20
+
+
 def made_chunks(spark, texts, splitter=markdown.Splitter()):
     """[(title path, content)] of each text, and its error."""
     df = spark.createDataFrame([(f"{n:04d}", t) for n, t in enumerate(texts)], "rel_path string, content string").repartition(3)
